@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each Spark context."""
+    context = spark.sparkContext
+    if not getattr(context, "_sensorium_sent", False):
+        home = Path(__file__).resolve().parents[1]
+        place = tempfile.mkdtemp(prefix="sensorium-")  # Spark serves the file from there
+        with zipfile.ZipFile(f"{place}/sensorium.zip", "w") as z:
+            for p in sorted(home.rglob("*.py")):
+                z.write(p, p.relative_to(home.parent))
+        context.addPyFile(f"{place}/sensorium.zip")
+        context._sensorium_sent = True
+
+
 def small_batches(spark: SparkSession) -> None:
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
