@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows sent to a Python worker at once; texts can be long, so few.
@@ -83,15 +83,25 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.xxhash64(doc_id.isNull(), doc_id, whole).alias("__k1"), F.xxhash64(F.lit(7), doc_id.isNull(), doc_id, whole).alias("__k2")]
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until df has no such column."""
+    held = {c.lower() for c in df.columns}
+    return [next(x for k in range(len(held) + 1) if (x := n + "_" * k).lower() not in held) for n in names]
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """docs with their row keys, and the names of these two columns."""
+    names = fresh(docs, "__k1", "__k2")
+    return docs.select("*", *[c.alias(n) for c, n in zip(row_key(docs[id_col], docs[text_col]), names, strict=True)]), names
+
+
 def only_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of docs whose row_key is in keys (__k1, __k2); of identical rows, one."""
-    from pyspark.sql import Window
-
-    names = docs.columns
-    keyed = docs.select("*", *row_key(docs[id_col], docs[text_col]))
-    one = Window.partitionBy("__k1", "__k2").orderBy("__k1", "__k2")
-    found = keyed.join(keys.select("__k1", "__k2"), ["__k1", "__k2"], "inner")
-    return found.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*names)
+    own, (k1, k2) = keyed(docs, id_col, text_col)
+    (n,) = fresh(own, "__n")
+    found = own.join(keys.select(F.col("__k1").alias(k1), F.col("__k2").alias(k2)), [k1, k2], "inner")
+    one = Window.partitionBy(k1, k2).orderBy(k1, k2)
+    return found.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).select(*docs.columns)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

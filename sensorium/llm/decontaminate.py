@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -25,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, only_rows, row_key, small_batches
+from .common import WORD_TABLE, keyed, row_key, small_batches
 
 WINDOW, MAX_CHARS = 13, 50_000_000
-WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 _built: dict[str, ahocorasick.Automaton] = {}
 
 
@@ -161,6 +160,6 @@ def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the contaminated ones, all columns as they were."""
-    found = hits(docs, benchmark, id_col, text_col).where(contaminated()).select("__k1", "__k2").distinct()
-    keyed = docs.select("*", *row_key(docs[id_col], docs[text_col]))
-    return keyed.join(found, ["__k1", "__k2"], "left_anti").select(*docs.columns)
+    own, (k1, k2) = keyed(docs, id_col, text_col)
+    found = hits(docs, benchmark, id_col, text_col).where(contaminated()).select(F.col("__k1").alias(k1), F.col("__k2").alias(k2)).distinct()
+    return own.join(found, [k1, k2], "left_anti").select(*docs.columns)

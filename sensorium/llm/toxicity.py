@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, small_batches, stash
+from .common import WORD_TABLE, fresh, row_key, small_batches, stash
 
-MAX_TRAIN, MAX_CANDIDATES, MAX_FEATURES, LEAST_DOCS = 20_000, 50_000, 4_000, 5
+MAX_TRAIN, MAX_CANDIDATES, MAX_FEATURES, LEAST_DOCS, LEAST_GAIN = 20_000, 50_000, 4_000, 3, 20.0
 PREFIXES, THRESHOLD, DENSE, MAX_WORDS_KNOWN = (3, 4, 5, 6), 0.3, 200, 300_000
 
 #: Identity terms by group, each to be swapped for the next one of its group.
@@ -128,7 +128,7 @@ def examples(rows: DataFrame, known: set[str]) -> list[tuple[int, list[tuple], l
     return [(r.y, parse(r.own), parse(r.swapped)) for r in got]
 
 
-def fit(data: list[tuple[int, list[tuple], list[tuple] | None]], lam: float = 1.0, l2: float = 1e-3, steps: int = 400, rate: float = 0.1) -> tuple[dict[tuple, float], float]:
+def fit(data: list[tuple[int, list[tuple], list[tuple] | None]], lam: float = 1.0, l2: float = 3e-3, steps: int = 400, rate: float = 0.1) -> tuple[dict[tuple, float], float]:
     """Weights of the features that tell the labels apart best, and the bias; the loss is minimised by Adam."""
     y = np.array([d[0] for d in data], float)
     if not len(y) or y.min() == y.max():
@@ -144,7 +144,9 @@ def fit(data: list[tuple[int, list[tuple], list[tuple] | None]], lam: float = 1.
         if a + b >= LEAST_DOCS:
             expect = (a + b) * n1 / len(y)
             spread = (a + b) * (len(y) - a - b) * n1 * n0
-            gain[f] = (a - expect) ** 2 * len(y) ** 3 / spread if spread else 0.0
+            g = (a - expect) ** 2 * len(y) ** 3 / spread if spread else 0.0
+            if a > expect and g >= LEAST_GAIN:
+                gain[f] = g
     chosen = sorted(gain, key=lambda f: (-gain[f], f))[:MAX_FEATURES]
     place = {f: k for k, f in enumerate(chosen)}
 
@@ -190,8 +192,6 @@ def score(text: bytes | None, table: Forms, bias: float) -> float:
 
 def scored(docs: DataFrame, model: tuple[dict[tuple, float], float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, text hash keys, score."""
-    from .common import row_key
-
     small_batches(docs.sparkSession)
     weights, bias = model
     known = {f: (f, *(weights.get((f, k), 0.0) for k in range(3))) for f, _ in weights}
@@ -218,4 +218,5 @@ def drop_toxic(docs: DataFrame, model: tuple[dict[tuple, float], float], id_col:
         for t in texts:
             yield t.map(lambda x: score(x, table, bias)).astype(float)
 
-    return docs.withColumn("__score", of(docs[text_col].cast("binary"))).where(F.col("__score") < THRESHOLD).drop("__score")
+    (name,) = fresh(docs, "__score")
+    return docs.withColumn(name, of(docs[text_col].cast("binary"))).where(F.col(name) < THRESHOLD).drop(name)
