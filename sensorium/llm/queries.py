@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, licenses, pieces, pii, sharding, simhash, token_files, toxicity
+from . import decontaminate, exact_dedup, licenses, line_dedup, pieces, pii, sharding, simhash, token_files, toxicity
 from .common import table
 
 
@@ -33,6 +33,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.decisions(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_kept", F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed_lines"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_pii": op2_pii,
     "op3_token_files": op3_token_files,
+    "op4_line_dedup": op4_line_dedup,
     "op5_licenses": op5_licenses,
     "op6_decontaminate": op6_decontaminate,
     "op7_sharding": op7_sharding,

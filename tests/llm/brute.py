@@ -102,3 +102,52 @@ def simhash(docs, radius=4):
 
 def crc(text: str | None) -> int:
     return zlib.crc32((text or "").encode())
+
+
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+    return row[-1]
+
+
+def line_dedup(docs, radius=3, min_words=3):
+    """docs: (doc_id, text), no two equal. The lines of each that go."""
+    order = lambda d: (d is None, d)
+    found: dict[str, list] = {}
+    for d, t in docs:
+        for k, line in enumerate((t or "").split("\n")):
+            norm = re.sub("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", line.lower()).strip(" ")
+            if len(norm.split(" ")) >= min_words:
+                found.setdefault(norm, []).append((order(d), k, d))
+    sims = {}
+    for n in found:
+        w = n.split(" ")
+        c = [0] * 64
+        for x in w:
+            h = xxhash.xxh64_intdigest(x.encode(), 42)
+            for b in range(64):
+                c[b] += h >> b & 1
+        sims[n] = sum(1 << b for b in range(64) if 2 * c[b] > len(w))
+    names = list(found)
+    root = {n: n for n in names}
+
+    def top(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for k, a in enumerate(names):
+        for b in names[k + 1 :]:
+            if (sims[a] ^ sims[b]).bit_count() <= radius and abs(len(a) - len(b)) * 5 <= max(len(a), len(b)) and edits(a, b) * 5 <= max(len(a), len(b)):
+                root[top(a)] = top(b)
+    gone: dict = {}
+    parts: dict[str, list] = {}
+    for n in names:
+        parts.setdefault(top(n), []).extend(found[n])
+    for places in parts.values():
+        for _, k, d in sorted(places, key=lambda x: (x[0][0], x[0][1] or 0, x[1]))[1:]:
+            gone.setdefault(d, set()).add(k)
+    return gone

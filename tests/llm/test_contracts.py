@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorium.llm import decontaminate, exact_dedup, licenses, pieces, pii, queries, sharding, simhash, token_files, toxicity
+from sensorium.llm import decontaminate, exact_dedup, licenses, line_dedup, pieces, pii, queries, sharding, simhash, token_files, toxicity
 
 from . import brute
 
@@ -134,6 +134,31 @@ def test_token_codes():
     assert all(token_files.token(*levels, k) == ids[k] for k in range(len(ids)))
 
 
+def test_line_dedup(spark):
+    rnd = random.Random(8)
+    words = [f"word{k}x" for k in range(60)]
+    lines = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(2, 40))) for _ in range(40)]
+
+    def changed(x):
+        k = rnd.randrange(len(x))
+        return x[:k] + rnd.choice("abc .") + x[k + 1 :]
+
+    rows = [(k, "\n".join(rnd.choice((x, changed(x), x.upper() + "!", "")) for x in rnd.sample(lines, 8))) for k in range(60)]
+    rows += [(100, None), (101, ""), (102, "\n\n"), (None, "\n".join(lines[:5])), (103, lines[0] + "\n" + lines[0] + "\n"), (104, "y " * 6000)]
+    for df, given in ((case(spark, rows), rows), (spark.read.parquet(f"{SF}/documents.parquet"), small(spark)[:60])):
+        df = df.where(F.col("doc_id").isNull() | F.col("doc_id").isin([d for d, _ in given if d is not None]))
+        gone = brute.line_dedup(given)
+        want = [(d, len(t.split("\n")) if t else 0, (len(t.split("\n")) if t else 0) - len(gone.get(d, ())), sorted(gone.get(d, ()))) for d, t in given]
+        same(line_dedup.decisions(df), want, ["doc_id", "n_lines", "n_kept", "removed"])
+        kept = {r.doc_id: r.text for r in line_dedup.drop_lines(df).collect()}
+        assert all(kept[d] == (t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(d, ()))) for d, t in given)
+    assert any(gone.values())
+    frame = line_dedup.decisions(case(spark, rows))
+    assert not [n for n in ("Python", "Arrow") if n in frame._jdf.queryExecution().toString()]
+    assert line_dedup.decisions(case(spark, [])).count() == 0
+    assert line_dedup.decisions(case(spark, [(1, "a b c d\na b c d"), (1, "a b c d\na b c d")])).where("n_kept = 1").count() == 2
+
+
 def test_licenses(spark, rows):
     cols = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
     for df, given in ((licenses.scans(case(spark, rows)), rows), (queries.op5_licenses(spark, SF), small(spark))):
