@@ -89,95 +89,96 @@ def training_rows(docs: DataFrame, labels: DataFrame, use: Column, id_col: str,
     return docs.join(F.broadcast(few), docs[id_col] == F.col("__lid")).select(docs[text_col].cast("binary").alias("text"), "y")
 
 
-def candidates(rows: DataFrame) -> dict[str, tuple[int, int]]:
-    """The forms that most toxic rows have, with the numbers of other and of toxic rows that have them."""
+def candidates(rows: DataFrame) -> set[str]:
+    """The forms that most toxic rows have, MAX_CANDIDATES at most."""
 
-    def count(batches: Iterator[pa.RecordBatch], known: set[str] | None) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
         for b in batches:
             for text in b.column(0).to_pylist():
-                own = {f for w in set(words(text)) for f in forms(w)}
-                found.update(own if known is None else own & known)
+                found.update({f for w in set(words(text)) for f in forms(w)})
         yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["f", "n"])
 
-    def counted(part: DataFrame, known: set[str] | None) -> DataFrame:
-        return part.select("text").mapInArrow(lambda b: count(b, known), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    counted = rows.where("y = 1").select("text").mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    return {r.f for r in counted.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "f").limit(MAX_CANDIDATES).collect()}
 
-    toxic = {r.f: r.n for r in counted(rows.where("y = 1"), None).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "f").limit(MAX_CANDIDATES).collect()}
-    other = {r.f: r.n for r in counted(rows.where("y = 0"), set(toxic)).collect()}  # as many at most
-    return {f: (other.get(f, 0), n) for f, n in toxic.items()}
 
+def choose(rows: DataFrame, known: set[str]) -> list[tuple]:
+    """The (form, level) of the known forms that tell toxic rows from others best (chi-square), MAX_FEATURES at most."""
+    n1, n0 = (rows.where(F.col("y") == y).count() for y in (1, 0))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, found = Forms({f: f for f in known}), (Counter(), Counter())
+        for b in batches:
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found[y].update(features(words(text), table))
+        every = list({*found[0], *found[1]})
+        columns = [pa.array([f for f, _ in every], pa.string()), pa.array([k for _, k in every], pa.int32()), *[pa.array([found[y][x] for x in every], pa.int64()) for y in (0, 1)]]
+        yield pa.RecordBatch.from_arrays(columns, ["f", "level", "a0", "a1"])
+
+    if not n1 or not n0:
+        return []
+    counted = rows.mapInArrow(count, "f string, level int, a0 long, a1 long").groupBy("f", "level").agg(F.sum("a0").alias("a0"), F.sum("a1").alias("a1"))
+    n, have = float(n1 + n0), (F.col("a0") + F.col("a1")).cast("double")
+    over = F.col("a1") - have * n1 / n
+    gain = over * over * n**3 / (have * (n - have) * float(n1) * float(n0))
+    good = counted.where((have >= LEAST_DOCS) & (have < n) & (over > 0)).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
+    return [(r.f, r.level) for r in good.orderBy(F.desc("gain"), "f", "level").limit(MAX_FEATURES).collect()]
 
-def examples(rows: DataFrame, known: set[str]) -> list[tuple[int, list[tuple], list[tuple] | None]]:
-    """Of each training row: y, its features, and its counterfactual's if it has identity terms."""
+
+def examples(rows: DataFrame, chosen: list[tuple]) -> list[tuple[int, list[int], list[int] | None]]:
+    """Of each training row: y, the places of its chosen features, and of its counterfactual's if it has identity terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Forms({f: f for f in known})
-        show = lambda w: [f"{k}{f}" for f, k in features(w, table)]
+        place = {f: k for k, f in enumerate(chosen)}
+        table = Forms({f: f for f, _ in chosen})
+        show = lambda w: [place[f] for f in features(w, table) if f in place]
         for b in batches:
-            ys, own, swapped = [], [], []
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            own, swapped = [], []
+            for text in b.column(0).to_pylist():
                 w = words(text)
-                ys.append(y)
                 own.append(show(w))
                 swapped.append(show([SWAP.get(x, x) for x in w]) if any(map(SWAP.__contains__, w)) else None)
-            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(own, pa.list_(pa.string())), pa.array(swapped, pa.list_(pa.string()))], ["y", "own", "swapped"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.int32()))], ["y", "own", "swapped"])
 
-    got = rows.mapInArrow(run, "y int, own array<string>, swapped array<string>").toLocalIterator()
-    parse = lambda fs: None if fs is None else [(f[1:], int(f[0])) for f in fs]
-    return [(r.y, parse(r.own), parse(r.swapped)) for r in got]
+    return [tuple(r) for r in rows.mapInArrow(run, "y int, own array<int>, swapped array<int>").toLocalIterator()]
 
 
-def fit(data: list[tuple[int, list[tuple], list[tuple] | None]], lam: float = 1.0, l2: float = 3e-3, steps: int = 400, rate: float = 0.1) -> tuple[dict[tuple, float], float]:
-    """Weights of the features that tell the labels apart best, and the bias; the loss is minimised by Adam."""
+def fit(data: list[tuple[int, list[int], list[int] | None]], n_features: int, lam: float = 1.0, l2: float = 3e-3, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and bias; the regularised loss is minimised by Adam."""
     y = np.array([d[0] for d in data], float)
     if not len(y) or y.min() == y.max():
-        share = (y.sum() + 1e-9) / (len(y) + 2e-9) if len(y) else 1e-9
-        return {}, math.log(max(share, 1e-9) / max(1 - share, 1e-9))
-    n1, n0 = y.sum(), len(y) - y.sum()
-    has = (Counter(), Counter())
-    for label, own, _ in data:
-        has[label].update(own)
-    gain = {}
-    for f in set(has[1]) | set(has[0]):
-        a, b = has[1][f], has[0][f]
-        if a + b >= LEAST_DOCS:
-            expect = (a + b) * n1 / len(y)
-            spread = (a + b) * (len(y) - a - b) * n1 * n0
-            g = (a - expect) ** 2 * len(y) ** 3 / spread if spread else 0.0
-            if a > expect and g >= LEAST_GAIN:
-                gain[f] = g
-    chosen = sorted(gain, key=lambda f: (-gain[f], f))[:MAX_FEATURES]
-    place = {f: k for k, f in enumerate(chosen)}
-
-    def matrix(sets: list[list[tuple]]) -> tuple[np.ndarray, np.ndarray]:
-        pairs = [(k, place[f]) for k, fs in enumerate(sets) for f in fs if f in place]
-        return tuple(np.array(pairs, np.int64).reshape(-1, 2).T)
+        share = min(max(y.mean() if len(y) else 0.0, 1e-9), 1 - 1e-9)
+        return np.zeros(n_features), math.log(share / (1 - share))
+
+    def matrix(sets: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        return np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.array([f for x in sets for f in x], np.int64)
 
     row, col = matrix([d[1] for d in data])
-    twin = [k for k, d in enumerate(data) if d[2] is not None]
-    r1, c1 = matrix([data[k][1] for k in twin])
-    r2, c2 = matrix([data[k][2] for k in twin])
-    w, m, v = (np.zeros(len(chosen) + 1) for _ in range(3))
-    w[-1] = math.log(n1 / n0)
+    twin = [d for d in data if d[2] is not None]
+    (r1, c1), (r2, c2) = matrix([d[1] for d in twin]), matrix([d[2] for d in twin])
+    w, m, v = (np.zeros(n_features + 1) for _ in range(3))
+    w[-1] = math.log(y.sum() / (len(y) - y.sum()))
     for t in range(1, steps + 1):
         z = np.bincount(row, w[col], len(y)) + w[-1]
         g = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(y)
-        grad = np.r_[np.bincount(col, g[row], len(chosen)), g.sum()]
+        grad = np.r_[np.bincount(col, g[row], n_features), g.sum()]
         grad[:-1] += l2 * w[:-1] / 10
         if twin:
             d = (np.bincount(r1, w[c1], len(twin)) - np.bincount(r2, w[c2], len(twin))) * 2 * lam / len(y)
-            grad[:-1] += np.bincount(c1, d[r1], len(chosen)) - np.bincount(c2, d[r2], len(chosen))
+            grad[:-1] += np.bincount(c1, d[r1], n_features) - np.bincount(c2, d[r2], n_features)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return {f: float(w[k]) for f, k in place.items() if abs(w[k]) > 1e-6}, float(w[-1])
+    return w[:-1], float(w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN, lam: float = 1.0) -> tuple[dict[tuple, float], float]:
     """The model: weights of (form, level), and bias. use: which rows of labels may be learned from."""
     small_batches(docs.sparkSession)
     rows = stash(training_rows(docs, labels, F.lit(True) if use is None else use, id_col, text_col, most), "labelled")
-    return fit(examples(rows, set(candidates(rows))), lam)
+    chosen = choose(rows, candidates(rows))
+    weights, bias = fit(examples(rows, chosen), len(chosen), lam)
+    return {f: float(x) for f, x in zip(chosen, weights, strict=True) if abs(x) > 1e-6}, bias
 
 
 def score(text: bytes | None, table: Forms, bias: float) -> float:

@@ -285,7 +285,7 @@ def test_toxicity_cases(spark):
         score[lam] = {r.doc_id: r.score for r in got}
     assert score[0.0][1000] > 0.5 > 0.45 > score[20.0][1000]  # a mere mention no longer decides
     assert score[20.0][1001] > 0.3 and score[20.0][1002] == score[20.0][1003] < 0.5
-    assert toxicity.fit([]) == toxicity.fit([]) and toxicity.scored(case(spark, []), ({}, 0.0)).count() == 0
+    assert toxicity.train(case(spark, []), marks)[0] == {} and toxicity.scored(case(spark, []), ({}, 0.0)).count() == 0
     kept = toxicity.drop_toxic(frame, toxicity.train(frame, marks, lam=20.0))
     assert kept.columns == frame.columns and 1001 not in {r.doc_id for r in kept.collect()}
 
