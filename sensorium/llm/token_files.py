@@ -30,7 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, work_dir
+from sensorium.session import work_dir
+
+from .common import small_batches
 
 SEGMENT, RANK_BITS, MAX_WORDS, END_ID = 1 << 16, 512, 800_000, 2
 SPACES, CUT = regex.compile(r"\s\s"), regex.compile(r"(?<=\S) (?=\S)")
