@@ -129,3 +129,11 @@ def masks_from(df: DataFrame, cols: list[str], workhour: Column | None = None) -
     """{col}_mask: 1 where the column has a value (in work hours), else 0."""
     on = F.lit(1.0) if workhour is None else workhour.cast("double")
     return df.select("*", *[(F.col(c).isNotNull().cast("double") * on).alias(f"{c}_mask") for c in cols])
+
+
+def fixed_samples(df: DataFrame, col: str, n_his: int, n_pred: int, extra: list[str] = ()) -> DataFrame:
+    """Windows over a whole series: the n_his values that end at a row, and the value n_pred rows after it."""
+    w = Window.partitionBy(*extra).orderBy("bucket_idx")
+    x = F.collect_list(F.col(col)).over(w.rowsBetween(1 - n_his, 0))
+    rows = df.select(*extra, "bucket_idx", x.alias("x"), F.lead(col, n_pred).over(w).alias("y"), F.row_number().over(w).alias("pos"), F.lead(F.lit(1), n_pred).over(w).alias("ahead"))
+    return rows.where((F.col("pos") >= n_his) & F.col("ahead").isNotNull()).select(*extra, "bucket_idx", "x", "y")

@@ -448,6 +448,52 @@ def boosted_forecast(spark, sf):
     return got.agg(*metrics.regression())
 
 
+@query("""SELECT 'urn:roomname_' || n_nationkey AS s, count(s_suppkey) AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1 HAVING count(s_suppkey) > 0""")
+def devices_of_rooms(spark, sf):
+    return entities.devices(t.triples(spark, sf)).groupBy(F.col("room_uri").alias("s")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'urn:d' || s_suppkey AS uri FROM supplier UNION SELECT 'urn:roomname_' || s_nationkey FROM supplier""")
+def resources(spark, sf):
+    return entities.resources_of(t.triples(spark, sf), f"{entities.S4BLDG}contains")
+
+
+@query("SELECT 'rooms' AS name, count(*) AS rows FROM nation UNION ALL SELECT 'devices', count(*) FROM supplier UNION ALL SELECT 'floors', count(DISTINCT n_regionkey) FROM nation")
+def entity_counts(spark, sf):
+    x = t.triples(spark, sf)
+    return entities.summary(rooms=entities.rooms(x), devices=entities.devices(x), floors=entities.floors(x))
+
+
+@query("SELECT 'urn:d' || s_suppkey AS s, count(*) AS n FROM supplier GROUP BY 1 UNION ALL SELECT 'urn:roomname_' || n_nationkey, CAST(n_nationkey % 3 = 0 AS INT) + CAST(n_nationkey % 7 = 0 AS INT) FROM nation WHERE n_nationkey % 3 = 0 OR n_nationkey % 7 = 0")
+def triples_without_places(spark, sf):
+    rows = entities.without_places(t.triples(spark, sf)).where(F.col("p") != entities.RDF_TYPE)
+    return rows.groupBy("s").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {PL} SELECT device_uri, "timestamp", round(value, 1) + 0.0 AS value, 'urn:t/' || strftime("timestamp", '%Y-%m-%d_%H0000') AS hour_uri, 'urn:t/' || strftime("timestamp", '%Y-%m-%d') AS day_uri FROM pl""")
+def time_uris(spark, sf):
+    rows = t.property_level(spark, sf)
+    ts = F.col("timestamp")
+    return rows.select("device_uri", "timestamp", entities.rounded_value(F.col("value")).alias("value"), entities.time_uri("urn:t/", ts).alias("hour_uri"), entities.time_uri("urn:t/", ts, by_day=True).alias("day_uri"))
+
+
+@query(f"""WITH {SERIES}, s AS (SELECT room_uri, bucket_idx, lag(clicks, 1) OVER w AS x0, clicks AS x1, lead(clicks, 2) OVER w AS y FROM series WINDOW w AS (PARTITION BY room_uri ORDER BY bucket_idx)) SELECT room_uri, bucket_idx, {r('x0', 'x1', 'y')} FROM s WHERE x0 IS NOT NULL AND y IS NOT NULL""")
+def fixed_samples(spark, sf):
+    out = windows.fixed_samples(t.series(spark, sf), "clicks", 2, 2, ["room_uri"])
+    return out.select("room_uri", "bucket_idx", F.get("x", F.lit(0)).alias("x0"), F.get("x", F.lit(1)).alias("x1"), "y")
+
+
+@query(f"""WITH {SERIES} SELECT room_uri, bucket_idx, round(ln(1 + greatest(clicks, 0)), 8) + 0.0 AS clicks FROM series""")
+def log_features(spark, sf):
+    return scaling.log1p(t.series(spark, sf).select("room_uri", "bucket_idx", "clicks"), ["clicks"])
+
+
+@query(f"""WITH {GRID} SELECT device_uri, property_type, bucket_idx, round(coalesce(mean, 0), 8) + 0.0 AS mean, CAST(mean IS NOT NULL AS DOUBLE) AS mean_mask FROM grid""")
+def imputed_with_masks(spark, sf):
+    d = windows.masks_from(t.device_level(spark, sf).select("device_uri", "property_type", "bucket_idx", "mean"), ["mean"])
+    return scaling.impute_zero(d, ["mean"])
+
+
 DAY = date(2024, 1, 3)
 
 

@@ -11,10 +11,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from sensorium.functions import geodesy
 from sensorium.functions import geometry as g
-from sensorium.operators import adjacency, calendar, entities, graph_tables, levels, metrics, reports, scaling, splits, windows
+from sensorium.operators import adjacency, calendar, emit, entities, graph_tables, levels, metrics, reports, scaling, splits, windows
 from sensorium.plans import forecast, queries, standin
-from sensorium.sources import files, triples
+from sensorium.sources import files, sinks, triples
 from sensorium.streaming import device_levels
 
 SF = "/root/testdata/sf0.001"
@@ -231,3 +232,40 @@ def test_stream_matches_batch(spark, tmp_path):
     batch = rows.groupBy(F.window(F.col("timestamp").cast("timestamp"), "6 hours").start.alias("start"), "device_uri", "property_type").agg(F.count("value").alias("n"))
     both = got.join(batch, ["start", "device_uri", "property_type"])
     assert both.count() == got.count() > 0 and both.where(F.col("n") != F.col("count")).count() == 0
+
+
+def test_geodesy(spark):
+    df = spark.createDataFrame([(48.8582, 2.2945)], "lat double, lon double")
+    u = df.select(geodesy.to_utm(F.col("lat"), F.col("lon")).alias("u"))
+    east, north = u.select("u.*").first()
+    assert abs(east - 448251.8) < 2 and abs(north - 5411932.7) < 2
+    lat, lon = u.select(geodesy.from_utm(F.col("u.east"), F.col("u.north")).alias("x")).select("x.*").first()
+    assert abs(lat - 48.8582) < 1e-8 and abs(lon - 2.2945) < 1e-8
+    p = spark.createDataFrame([([(0.0, 10.0), (20.0, 0.0)],)], standin.T.StructType([standin.T.StructField("p", g.POINTS)]))
+    a, b = p.select(geodesy.placed(F.col("p"), 20, 10, 100.0, 200.0, 40.0, 20.0, 90.0)).first()[0]
+    assert (a.x, a.y) == (100, 200) and (round(b.x), round(b.y)) == (120, 160)
+
+
+def test_emitted_triples_come_back(spark):
+    rooms = standin.rooms(spark, SF).withColumn("floor_uri", F.concat(F.lit("urn:floor_"), F.col("floor_number").cast("string")))
+    made = triples.graph(emit.topology(rooms), emit.room_flags(rooms.select(F.col("room_uri").alias("URI"), F.lit(True).alias("isRoom"))), emit.windows(rooms.where("has_windows").select(F.col("room_uri").alias("URI"), F.lit("front").alias("direction"), F.lit(27.0).alias("heading"))))
+    back = entities.rooms(made)
+    assert back.count() == 25 and back.where("is_proper_room").count() == 25 and back.where("has_windows").count() == 13
+    shapes = entities.polygons(made, document=True).select("room_uri", g.area(g.parse_wkt(F.col("wkt"))).alias("a")).join(rooms.select("room_uri", g.area(F.col("points")).alias("b")), "room_uri")
+    assert shapes.where("abs(a - b) > 1e-9").count() == 0 and shapes.count() == 25
+    assert entities.windows(made).where("has_front_windows").count() == 13
+
+
+def test_sinks(spark, tmp_path):
+    m = spark.createDataFrame([(1.0, 2.0), (3.0, 3.5)], "y double, p double")
+    rep = sinks.metric_report({"overall": m.agg(*metrics.regression()), "by": m.withColumn("horizon", F.lit(1)).groupBy("horizon").agg(*metrics.regression())})
+    assert rep.columns == list(sinks.REPORT) and rep.count() == 2
+    sinks.write_csv(rep, str(tmp_path / "experiment_1" / "results_test.csv"))
+    assert files.read_results(spark, str(tmp_path)).count() == 2
+    sinks.write_splits(splits.BlockSplitter(list(range(10))).table(spark), str(tmp_path / "splits"), 1)
+    assert spark.read.json(str(tmp_path / "splits")).where("fold = -1").count() == 2
+    t = spark.createDataFrame([(0, 2.0), (1, 1.0)], "trial int, value double")
+    assert sinks.merge_trials([t, t]).where("place = 1").first().trial == 1
+    assert sinks.combine_experiments(t, ["value"]).first().mean == 1.5
+    c = metrics.confusion(spark.createDataFrame([(1, 0.9), (0, 0.1), (0, 0.2)], "y int, p double"))
+    assert round(sinks.classification_report(c).first().majority_accuracy, 3) == 0.667
