@@ -43,15 +43,21 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode."""
+    """This application's folder in the one that driver and executors share (spark.checkpoint.dir); where that is
+    unset, a temporary folder in local mode, and ValueError on a cluster."""
     place = spark.conf.get("spark.checkpoint.dir", None)
-    if place:
-        return place.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    place = tempfile.mkdtemp(prefix="sensorium-")
-    spark.conf.set("spark.checkpoint.dir", place)
-    return place
+    if not place:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        place = tempfile.mkdtemp(prefix="sensorium-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    return f"{place.rstrip('/')}/sensorium-{spark.sparkContext.applicationId}"
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Deletes the tables that this application has written to the shared folder; frames that read them end there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
