@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_TABLE, keyed, row_key, small_batches
 
-WINDOW, MAX_CHARS = 13, 50_000_000
+WINDOW, MAX_CHARS = 13, 400_000
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 _built: dict[str, ahocorasick.Automaton] = {}
 
@@ -117,7 +117,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     given = docs.select(docs[id_col].alias("__id"), *row_key(docs[id_col], docs[text_col]), docs[text_col].cast("binary").alias("__text"))
     kind = dict(given.dtypes)["__id"]
     items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text].cast("binary").alias("text"))
-    # a window repeats its words up to WINDOW times, so the bound holds for what is built of them too
+    # windows repeat a text's words WINDOW times at most, so the bound holds for the automaton too
     blocks = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // max_chars) or 1
     parts = []
     for k in range(blocks):
