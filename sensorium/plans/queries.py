@@ -395,9 +395,9 @@ def correlation(spark, sf):
     return reports.correlations(t.series(spark, sf), ["clicks", "mean"])
 
 
-@query(f"WITH {SERIES}, k AS (SELECT rank() OVER (ORDER BY clicks) + (count(*) OVER (PARTITION BY clicks) - 1) / 2 AS a, rank() OVER (ORDER BY mean) + (count(*) OVER (PARTITION BY mean) - 1) / 2 AS b FROM series) SELECT 'clicks' AS a, 'mean' AS b, round(corr(a, b), 8) AS r FROM k")
+@query(f"WITH {SERIES}, v AS (SELECT round(clicks, 4) AS clicks, round(mean, 4) AS mean FROM series), k AS (SELECT rank() OVER (ORDER BY clicks) + (count(*) OVER (PARTITION BY clicks) - 1) / 2 AS a, rank() OVER (ORDER BY mean) + (count(*) OVER (PARTITION BY mean) - 1) / 2 AS b FROM v) SELECT 'clicks' AS a, 'mean' AS b, round(corr(a, b), 8) AS r FROM k")
 def rank_correlation(spark, sf):
-    return reports.spearman(t.series(spark, sf), ["clicks", "mean"])
+    return reports.spearman(t.series(spark, sf).select(F.round("clicks", 4).alias("clicks"), F.round("mean", 4).alias("mean")), ["clicks", "mean"])
 
 
 @query(f"WITH {PL} SELECT property_type, round(100 * avg(CAST(value BETWEEN 10 AND 60 AS DOUBLE)), 8) + 0.0 AS percent FROM pl GROUP BY property_type")

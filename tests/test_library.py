@@ -201,7 +201,7 @@ def test_sources(spark, tmp_path):
     assert files.load_snapshot(spark, str(tmp_path / "snap"), ["rooms"], [1])["rooms"].count() == 5
     a = spark.createDataFrame([(1, "x")], "k int, v string")
     assert files.last_wins([a, a.withColumn("v", F.lit("y"))], ["k"]).first().v == "y"
-    assert files.dataset_name("stgcn", 30) == "stgcn_30min_Wfeat"
+    assert files.dataset_name("graph", 30) == "graph_30min_Wfeat"
 
 
 def test_models_and_reports(spark):
