@@ -32,24 +32,56 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
 
 
-def simhash(words: Column) -> Column:
-    """64 bits, each 1 if set in over half of the words' hashes. Counters: 32 longs of two 32-bit lanes."""
-    both = (1 << 32) | 1
+LANES = [f"c{k}" for k in range(32)]
 
-    def step(s: Column, w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.struct(*[(s[f"c{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(both))).alias(f"c{k}") for k in range(32)])
 
-    def bits(s: Column) -> Column:
-        half = F.size(words).cast("long")
-        out = F.lit(0).cast("long")
-        for k in range(32):
-            c = s[f"c{k}"]
-            for at, n in ((k, c.bitwiseAND(F.lit((1 << 32) - 1))), (k + 32, F.shiftrightunsigned(c, 32))):
-                out = out.bitwiseOR(F.when(n * 2 > half, F.lit((1 << at) - (1 << 64) if at == 63 else 1 << at)).otherwise(F.lit(0).cast("long")))
-        return out
+def lane_sums() -> list[Column]:
+    """Sums over words of their hash h: 32 longs of two 32-bit lanes, together how many words have each bit set."""
+    both = F.lit((1 << 32) | 1)
+    return [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(both)).alias(c) for k, c in enumerate(LANES)]
 
-    return F.aggregate(words, F.struct(*[F.lit(0).cast("long").alias(f"c{k}") for k in range(32)]), step, bits)
+
+def simhash(n_words: Column) -> Column:
+    """64 bits from the lanes, each 1 if set in over half of the words' hashes."""
+    low = F.lit((1 << 32) - 1)
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(LANES):
+        for at, n in ((k, F.col(c).bitwiseAND(low)), (k + 32, F.shiftrightunsigned(c, 32))):
+            out = out + F.when(n * 2 > n_words, F.lit((1 << at) - (1 << 64) if at == 63 else 1 << at)).otherwise(F.lit(0).cast("long"))
+    return out
+
+
+def likely(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows whose key may be wanted, to be joined exactly afterwards: of the wanted keys' hashes 20 bits are
+    broadcast, which is a million small numbers at most, whatever the sizes of the frames."""
+    slot = lambda c: F.pmod(F.xxhash64(F.lit(20), c), F.lit(1 << 20))
+    slots = wanted.select(slot(wanted_key).alias("__slot")).distinct()
+    return rows.withColumn("__slot", slot(key)).join(F.broadcast(slots), "__slot", "left_semi").drop("__slot")
+
+
+def within(pairs: DataFrame, a: str, b: str, most: str) -> DataFrame:
+    """The pairs of texts (words joined by spaces) that are at most so many edits of characters apart.
+
+    Equal words at both ends are cut off, which changes no distance. The rest is within the bound if the longer rest
+    is no longer than it, or if the words that differ place by place have no more characters; only where neither
+    holds, the distance itself is computed.
+    """
+    def same_start(x: Column, y: Column) -> Column:
+        n = F.least(F.size(x), F.size(y))
+        first = F.array_position(F.zip_with(F.slice(x, 1, n), F.slice(y, 1, n), lambda p, q: p != q), True)
+        return F.when(first > 0, first - 1).otherwise(n).cast("int")
+
+    def by_place(p: Column, q: Column) -> Column:
+        alone = F.coalesce(F.length(p), F.length(q)) + 1
+        return F.when(p.eqNullSafe(q), 0).when(p.isNull() | q.isNull(), alone).otherwise(F.greatest(F.length(p), F.length(q)))
+
+    wa, wb = F.col("__wa"), F.col("__wb")
+    rest = lambda w: F.array_join(F.slice(w, F.col("__head") + 1, F.greatest(F.size(w) - F.col("__head") - F.col("__tail"), F.lit(0))), " ")
+    out = pairs.withColumns({"__wa": F.split(a, " "), "__wb": F.split(b, " ")}).withColumn("__head", same_start(wa, wb))
+    out = out.withColumn("__tail", F.least(same_start(F.reverse(wa), F.reverse(wb)), F.least(F.size(wa), F.size(wb)) - F.col("__head")))
+    out = out.withColumns({"__a": rest(wa), "__b": rest(wb), "__by_place": F.aggregate(F.zip_with(wa, wb, by_place), F.lit(0), lambda s, v: s + v)})
+    sure = (F.col("__by_place") <= F.col(most)) | (F.greatest(F.length("__a"), F.length("__b")) <= F.col(most))
+    return out.where(F.when(sure, True).otherwise(F.expr(f"levenshtein(__a, __b, {most}) >= 0"))).select(*pairs.columns)
 
 
 def masks(radius: int, blocks: int) -> list[int]:
@@ -90,24 +122,32 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     first: the occurrence of the class's whole group that stays. Classes of one line in a group of its own are left
     out, as that line stays.
     """
-    lines = exploded(docs, id_col, text_col).select("*", F.split("norm", " ").alias("words")).where(F.size("words") >= min_words)
-    lines = lines.select("__id", "__k1", "__k2", "no", *line_key(), simhash(F.col("words")).alias("sim"), F.length("norm").alias("chars"))
-    lines = stash(lines, "lines")
+    lines = exploded(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id())
+    who = ["__id", "__k1", "__k2", "no", "h1", "h2", "chars"]
+    hashed = lines.select("uid", "__id", "__k1", "__k2", "no", *line_key(), F.length("norm").alias("chars"), F.explode(F.split("norm", " ")).alias("w"))
+    hashed = hashed.select("uid", *who, F.xxhash64("w").alias("h"))
+    # a line's words are in one task, so that its sums are whole before they are dealt out
+    summed = hashed.groupBy("uid").agg(*[F.first(c).alias(c) for c in who], F.count("*").alias("n_words"), *lane_sums()).where(F.col("n_words") >= min_words)
+    lines = stash(summed.select(*who, simhash(F.col("n_words")).alias("sim")), "lines")
     first = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2", "no")
     classes = stash(lines.groupBy("h1", "h2", "sim", "chars").agg(F.min(first).alias("first"), F.count("*").alias("n")).withColumn("line", F.monotonically_increasing_id()), "line-classes")
-    pairs = stash(near_hashes(classes.select("sim").distinct(), radius, blocks), "near-hashes")
+    pairs = near_hashes(classes.select("sim").distinct(), radius, blocks)
     # lines of one fingerprint may be linked too
     shared = classes.groupBy("sim").agg(F.count("*").alias("c")).where("c > 1").select(F.col("sim").alias("a"), F.col("sim").alias("b"))
     pairs = pairs.unionByName(shared)
-    side = lambda s: classes.select(F.col("sim").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("line", "h1", "h2", "chars")])
+    pairs = stash(pairs, "near-hashes")
+    ends = pairs.select(F.col("a").alias("sim")).unionByName(pairs.select(F.col("b").alias("sim")))
+    few = likely(classes.select("sim", "line", "h1", "h2", "chars"), "sim", ends, "sim")
+    side = lambda s: few.select(F.col("sim").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("line", "h1", "h2", "chars")])
     both = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("a") < F.col("b")) | (F.col("a_line") < F.col("b_line")))
     both = stash(both.where(F.abs(F.col("a_chars") - F.col("b_chars")) * CHARS_FOR_AN_EDIT <= F.greatest("a_chars", "b_chars")), "candidates")
     wanted = both.select(F.col("a_h1").alias("h1"), F.col("a_h2").alias("h2")).unionByName(both.select(F.col("b_h1").alias("h1"), F.col("b_h2").alias("h2"))).distinct()
-    texts = exploded(docs, id_col, text_col).select("norm", *line_key()).join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("norm").alias("norm"))
-    texts = stash(texts, "line-texts")
+    texts = likely(exploded(docs, id_col, text_col).select("norm", *line_key()), "h1", wanted, "h1")
+    texts = stash(texts.join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("norm").alias("norm")), "line-texts")
     text = lambda s: texts.select(F.col("h1").alias(f"{s}_h1"), F.col("h2").alias(f"{s}_h2"), F.col("norm").alias(f"{s}_norm"))
-    checked = both.join(text("a"), ["a_h1", "a_h2"]).join(text("b"), ["b_h1", "b_h2"])
-    checked = checked.where(F.expr(f"levenshtein(a_norm, b_norm, cast(greatest(a_chars, b_chars) div {CHARS_FOR_AN_EDIT} as int)) >= 0"))
+    read = both.join(text("a"), ["a_h1", "a_h2"]).join(text("b"), ["b_h1", "b_h2"])
+    most = F.floor(F.greatest("a_chars", "b_chars") / CHARS_FOR_AN_EDIT).cast("int").alias("most")
+    checked = within(read.select("a_line", "b_line", most, "a_norm", "b_norm").repartition("a_line", "b_line"), "a_norm", "b_norm", "most")
     roots = components(checked.select("a_line", "b_line"), "a_line", "b_line")
     grouped = stash(roots.join(classes.select(F.col("line").alias("node"), "h1", "h2", "first", "n"), "node"), "grouped")
     best = stash(grouped.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("m")), "best-lines")

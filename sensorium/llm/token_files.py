@@ -47,6 +47,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.marks = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ".,;:!?"}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
@@ -57,12 +58,16 @@ class Encoder:
         if len(later) + len(first) > MAX_WORDS:
             first.clear()
             later.clear()
-        heads = [x for x in {p[0] for p in parts} if x not in first]
-        tails = [x for x in {w for p in parts for w in p[1:]} if x not in later]
-        for known, new, lead in ((first, heads, ""), (later, tails, " ")):
+        for known, found, lead in ((first, {p[0] for p in parts}, ""), (later, {w for p in parts for w in p[1:]}, " ")):
+            # letters and a mark after them are never one token, so the letters are encoded once for all marks
+            cut = {x: x[:-1] if x[-1:] in self.marks and x[:-1].isalpha() else x for x in found if x not in known}
+            new = [x for x in set(cut.values()) if x not in known]
             if new:
                 for x, e in zip(new, self.tokenizer.encode_batch_fast([lead + x for x in new], add_special_tokens=False), strict=True):
                     known[x] = np.array(e.ids, "<u4").tobytes()
+            for x, letters in cut.items():
+                if x not in known:
+                    known[x] = known[letters] + self.marks[x[-1]]
         get = later.__getitem__
         return [np.frombuffer(first[p[0]] + b"".join(map(get, p[1:])), "<u4") for p in parts]
 
