@@ -29,28 +29,53 @@ CHARS_FOR_AN_EDIT = 5
 
 
 def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
+    """Lower case, words joined by single spaces. Single spaces stay as they are, which the expression doesn't match."""
+    apart = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+    return F.trim(F.regexp_replace(F.lower(line), rf" [{apart}]+|[{apart}&&[^ ]][{apart}]*", " "))
 
 
-LANES = [f"c{k}" for k in range(32)]
+#: Most words of a line whose sums are compared in lanes of 16 bits.
+NARROW = (1 << 14) - 1
 
 
-def lane_sums() -> list[Column]:
-    """Sums over words of their hash h: 32 longs of two 32-bit lanes, together how many words have each bit set."""
-    both = F.lit((1 << 32) | 1)
-    return [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(both)).alias(c) for k, c in enumerate(LANES)]
+def each_lane(width: int) -> int:
+    """A one in each lane of so many bits."""
+    return sum(1 << at for at in range(0, 64, width))
 
 
-def simhash(n_words: Column) -> Column:
-    """64 bits from the lanes, each 1 if set in over half of the words' hashes."""
-    low = F.lit((1 << 32) - 1)
+def lane_sums(width: int) -> list[Column]:
+    """Sums over words of their hash h: `width` longs of lanes of `width` bits, together how many words have each bit set."""
+    return [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(each_lane(width)))).alias(f"c{k}") for k in range(width)]
+
+
+def simhash(n_words: Column, width: int) -> Column:
+    """64 bits from the lanes, each 1 if set in over half of the words' hashes.
+
+    All lanes of a long are compared at once: with 2 ** (width - 2) less the least majority added, a lane's last bit but
+    one tells whether it has the majority, and no lane runs over into the next one.
+    """
+    top = width - 2
+    less = (F.lit((1 << top) - 1) - F.shiftright(n_words.cast("long"), 1)) * F.lit(each_lane(width))
     out = F.lit(0).cast("long")
-    for k, c in enumerate(LANES):
-        for at, n in ((k, F.col(c).bitwiseAND(low)), (k + 32, F.shiftrightunsigned(c, 32))):
-            out = out + F.when(n * 2 > n_words, F.lit((1 << at) - (1 << 64) if at == 63 else 1 << at)).otherwise(F.lit(0).cast("long"))
+    for k in range(width):
+        won = (F.col(f"c{k}") + less).bitwiseAND(F.lit(each_lane(width) << top))
+        out = out.bitwiseOR(F.shiftrightunsigned(won, top - k) if k <= top else F.shiftleft(won, k - top))
     return out
 
 
+def hashed(lines: DataFrame, keep: list[str]) -> DataFrame:
+    """keep and sim of each line of lines (uid, norm, n_words). A line's words are in one task, so that its sums are
+    whole before they are dealt out."""
+
+    def by(width: int, some: DataFrame) -> DataFrame:
+        words = some.select("uid", "n_words", *keep, F.explode(F.split("norm", " ")).alias("w"))
+        words = words.select("uid", "n_words", *keep, F.xxhash64("w").alias("h"))
+        summed = words.groupBy("uid").agg(*[F.first(c).alias(c) for c in ("n_words", *keep)], *lane_sums(width))
+        return summed.select("uid", *keep, simhash(F.col("n_words"), width).alias("sim"))
+
+    return by(16, lines.where(F.col("n_words") <= NARROW)).unionByName(by(32, lines.where(F.col("n_words") > NARROW)))
+
+
 def likely(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
     """The rows whose key may be wanted, to be joined exactly afterwards: of the wanted keys' hashes 20 bits are
     broadcast, which is a million small numbers at most, whatever the sizes of the frames."""
@@ -92,24 +117,28 @@ def masks(radius: int, blocks: int) -> list[int]:
 
 
 def near_hashes(sims: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """sims: different fingerprints. Pairs (a, b), a < b, within the radius, once each."""
+    """sims: different fingerprints. Pairs (a, b), a < b, within the radius, once each.
+
+    The join is on one long, a hash of a choice of blocks and their bits, which Spark sorts by its digits. A pair counts
+    under its first agreeing choice only; what else meets there is dropped by the distance.
+    """
     cover = masks(radius, blocks)
-    keys = F.array(*[F.struct(F.lit(k).cast("tinyint").alias("k"), F.col("sim").bitwiseAND(F.lit(m)).alias("bits")) for k, m in enumerate(cover)])
-    dealt = sims.select("sim", F.explode(keys).alias("x")).select("sim", "x.k", "x.bits")
+    key = lambda sim, k: F.xxhash64(F.lit(k), sim.bitwiseAND(F.lit(cover[k])))
+    dealt = sims.select("sim", F.explode(F.array(*[key(F.col("sim"), k) for k in range(len(cover))])).alias("key"))
     a, b = dealt.withColumnRenamed("sim", "a"), dealt.withColumnRenamed("sim", "b")
     apart = F.col("a").bitwiseXOR(F.col("b"))
-    first = F.lit(len(cover))
+    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= radius))
+    first = F.lit(None).cast("long")
     for k in reversed(range(len(cover))):
-        first = F.when(apart.bitwiseAND(F.lit(cover[k])) == 0, k).otherwise(first)
-    pairs = a.join(b, ["k", "bits"]).where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= radius))
-    return pairs.where(F.col("k") == first).select("a", "b")
+        first = F.when(apart.bitwiseAND(F.lit(cover[k])) == 0, key(F.col("a"), k)).otherwise(first)
+    return pairs.where(F.col("key") == first).select("a", "b")
 
 
 def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """__id, __k1, __k2, no, norm of each line that takes part."""
     given = docs.select(docs[id_col].alias("__id"), *row_key(docs[id_col], docs[text_col]), docs[text_col].alias("__text"))
-    lines = given.select("__id", "__k1", "__k2", F.posexplode(F.split("__text", "\n", -1)).alias("no", "line"))
-    return lines.select("__id", "__k1", "__k2", "no", normalised(F.col("line")).alias("norm"))
+    # normalised before they are dealt out, as Spark would else repeat the work for each use of norm
+    return given.select("__id", "__k1", "__k2", F.posexplode(F.transform(F.split("__text", "\n", -1), normalised)).alias("no", "norm"))
 
 
 def line_key() -> list[Column]:
@@ -122,30 +151,27 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     first: the occurrence of the class's whole group that stays. Classes of one line in a group of its own are left
     out, as that line stays.
     """
-    lines = exploded(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id())
+    n_words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
     who = ["__id", "__k1", "__k2", "no", "h1", "h2", "chars"]
-    hashed = lines.select("uid", "__id", "__k1", "__k2", "no", *line_key(), F.length("norm").alias("chars"), F.explode(F.split("norm", " ")).alias("w"))
-    hashed = hashed.select("uid", *who, F.xxhash64("w").alias("h"))
-    # a line's words are in one task, so that its sums are whole before they are dealt out
-    summed = hashed.groupBy("uid").agg(*[F.first(c).alias(c) for c in who], F.count("*").alias("n_words"), *lane_sums()).where(F.col("n_words") >= min_words)
-    lines = stash(summed.select(*who, simhash(F.col("n_words")).alias("sim")), "lines")
+    lines = exploded(docs, id_col, text_col).withColumn("n_words", F.when(F.col("norm") == "", 0).otherwise(n_words)).where(F.col("n_words") >= min_words)
+    lines = stash(lines.select("*", *line_key(), F.length("norm").alias("chars"), F.monotonically_increasing_id().alias("uid")), "lines")
     first = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2", "no")
-    classes = stash(lines.groupBy("h1", "h2", "sim", "chars").agg(F.min(first).alias("first"), F.count("*").alias("n")).withColumn("line", F.monotonically_increasing_id()), "line-classes")
+    classes = hashed(lines, who).groupBy("h1", "h2", "sim", "chars").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.min("uid").alias("line"))
+    classes = stash(classes, "line-classes")
     pairs = near_hashes(classes.select("sim").distinct(), radius, blocks)
     # lines of one fingerprint may be linked too
     shared = classes.groupBy("sim").agg(F.count("*").alias("c")).where("c > 1").select(F.col("sim").alias("a"), F.col("sim").alias("b"))
     pairs = pairs.unionByName(shared)
     pairs = stash(pairs, "near-hashes")
     ends = pairs.select(F.col("a").alias("sim")).unionByName(pairs.select(F.col("b").alias("sim")))
-    few = likely(classes.select("sim", "line", "h1", "h2", "chars"), "sim", ends, "sim")
-    side = lambda s: few.select(F.col("sim").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("line", "h1", "h2", "chars")])
+    few = likely(classes.select("sim", "line", "chars"), "sim", ends, "sim")
+    side = lambda s: few.select(F.col("sim").alias(s), F.col("line").alias(f"{s}_line"), F.col("chars").alias(f"{s}_chars"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("a") < F.col("b")) | (F.col("a_line") < F.col("b_line")))
     both = stash(both.where(F.abs(F.col("a_chars") - F.col("b_chars")) * CHARS_FOR_AN_EDIT <= F.greatest("a_chars", "b_chars")), "candidates")
-    wanted = both.select(F.col("a_h1").alias("h1"), F.col("a_h2").alias("h2")).unionByName(both.select(F.col("b_h1").alias("h1"), F.col("b_h2").alias("h2"))).distinct()
-    texts = likely(exploded(docs, id_col, text_col).select("norm", *line_key()), "h1", wanted, "h1")
-    texts = stash(texts.join(wanted, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("norm").alias("norm")), "line-texts")
-    text = lambda s: texts.select(F.col("h1").alias(f"{s}_h1"), F.col("h2").alias(f"{s}_h2"), F.col("norm").alias(f"{s}_norm"))
-    read = both.join(text("a"), ["a_h1", "a_h2"]).join(text("b"), ["b_h1", "b_h2"])
+    wanted = both.select(F.col("a_line").alias("uid")).unionByName(both.select(F.col("b_line").alias("uid"))).distinct()
+    texts = stash(likely(lines.select("uid", "norm"), "uid", wanted, "uid").join(wanted, "uid", "left_semi"), "line-texts")
+    text = lambda s: texts.select(F.col("uid").alias(f"{s}_line"), F.col("norm").alias(f"{s}_norm"))
+    read = both.join(text("a"), "a_line").join(text("b"), "b_line")
     most = F.floor(F.greatest("a_chars", "b_chars") / CHARS_FOR_AN_EDIT).cast("int").alias("most")
     checked = within(read.select("a_line", "b_line", most, "a_norm", "b_norm").repartition("a_line", "b_line"), "a_norm", "b_norm", "most")
     roots = components(checked.select("a_line", "b_line"), "a_line", "b_line")
