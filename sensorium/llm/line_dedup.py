@@ -16,9 +16,11 @@ that are equal in id and text count as one document and all get its decision. Ot
 
 from __future__ import annotations
 
+import random
+from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import attach, components, keyed, row_key, stash
@@ -175,16 +177,117 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     most = F.floor(F.greatest("a_chars", "b_chars") / CHARS_FOR_AN_EDIT).cast("int").alias("most")
     checked = within(read.select("a_line", "b_line", most, "a_norm", "b_norm").repartition("a_line", "b_line"), "a_norm", "b_norm", "most")
     roots = components(checked.select("a_line", "b_line"), "a_line", "b_line")
+    return lines, decided(classes, roots)
+
+
+#: The search for near lines: character n-grams, bands of a MinHash and its rows in a band, for lines of so many characters.
+SKETCHES = ((6, 16, 3, 20, None), (3, 20, 4, 12, 100))
+#: Lines of up to so many characters are searched without hashing n-grams: every pair within the bound is found.
+EXACT_CHARS = 19
+
+
+def without(s: Column, times: int) -> Column:
+    """The different strings left when up to so many characters are taken out of s."""
+    out = F.array(s)
+    for _ in range(times):
+        out = F.array_distinct(F.flatten(F.transform(out, lambda x: F.concat(F.array(x), F.transform(F.sequence(F.lit(1), F.length(x)), lambda k: F.concat(F.substring(x, F.lit(1), k - 1), F.substring(x, k + 1, F.length(x))))))))
+    return out
+
+
+def short_keys(classes: DataFrame) -> DataFrame:
+    """key, line, chars: lines of up to EXACT_CHARS characters within the bound share a key.
+
+    Up to 14 characters allow two edits at most. Of two lines so many edits apart, each gives the same string when at
+    most (length / CHARS_FOR_AN_EDIT) characters are taken out. From 15 on three edits are allowed: in the longer line's
+    first 8 or last 7 characters one falls at most, and these meet 1 more or 1 less characters of the other line's end.
+    """
+    deal = lambda df, tag, strings: df.select(F.explode(strings).alias("s"), "line", "chars").select(F.xxhash64(F.lit(tag), "s").alias("key"), "line", "chars")
+    head = lambda n: F.substring("norm", 1, n)
+    tail = lambda n: F.substring("norm", -n, n)
+    ends = lambda part, n: F.array_distinct(F.concat(F.array(part(n - 1)), without(part(n), 1), without(part(n + 1), 1)))
+    few = [deal(classes.where(F.floor(F.col("chars") / CHARS_FOR_AN_EDIT) == k), "few", without(F.col("norm"), k)) for k in (0, 1, 2)]
+    three = classes.where(F.col("chars").between(12, EXACT_CHARS))
+    return reduce(DataFrame.unionByName, [*few, deal(three, "head", ends(head, 8)), deal(three, "tail", ends(tail, 7))])
+
+
+def band_keys(classes: DataFrame, n: int, bands: int, rows: int, least: int, most: int | None) -> DataFrame:
+    """key, line, chars of each band of the MinHash of a line's character n-grams.
+
+    A hash is taken once for each n-gram; a MinHash value is the one nearest to a fixed number (by XOR), with the bits
+    turned by a different amount for each row of a band. A line's text is dealt out before its n-grams are, so that
+    the minima are whole in one task.
+    """
+    rnd = random.Random(n)
+    given = classes.where(F.col("chars") >= least) if most is None else classes.where(F.col("chars").between(least, most))
+    grams = given.select("line", "chars", "norm").repartition("line").select("line", "chars", F.explode(F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))).alias("g"))
+    h = F.col("h")
+    turned = [h, *(F.shiftleft(h, k).bitwiseOR(F.shiftrightunsigned(h, 64 - k)) for k in (16, 32, 48))]
+    mins = [F.min(turned[k % rows].bitwiseXOR(F.lit(rnd.getrandbits(63) - (1 << 62)))).alias(f"m{k}") for k in range(bands * rows)]
+    least_of = grams.select("line", "chars", F.xxhash64("g").alias("h")).groupBy("line", "chars").agg(*mins)
+    keys = [F.xxhash64(F.lit(n), F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]
+    return least_of.select(F.explode(F.array(*keys)).alias("key"), "line", "chars")
+
+
+def linked(pairs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """Of pairs (a, a_chars, b, b_chars) of lines those within the bound, as (a, b)."""
+    both = stash(pairs.where(F.abs(F.col("a_chars") - F.col("b_chars")) * CHARS_FOR_AN_EDIT <= F.greatest("a_chars", "b_chars")).distinct(), f"{name}-candidates")
+    wanted = both.select(F.col("a").alias("line")).unionByName(both.select(F.col("b").alias("line"))).distinct()
+    texts = stash(likely(classes.select("line", "norm"), "line", wanted, "line").join(wanted, "line", "left_semi"), f"{name}-texts")
+    text = lambda s: texts.select(F.col("line").alias(s), F.col("norm").alias(f"{s}_norm"))
+    most = F.floor(F.greatest("a_chars", "b_chars") / CHARS_FOR_AN_EDIT).cast("int").alias("most")
+    read = both.join(text("a"), "a").join(text("b"), "b").select("a", "b", most, "a_norm", "b_norm").repartition("a", "b")
+    return stash(within(read, "a_norm", "b_norm", "most").select("a", "b"), f"{name}-links")
+
+
+def near_lines(classes: DataFrame) -> DataFrame:
+    """classes: line, chars, norm. The connected components (node, root) of the near lines that share a key.
+
+    Each line of a bucket is compared with the bucket's first line; then all those with each other that this has not
+    yet connected. So a dense group costs its size, not the square, and no pair that could join two groups is left out.
+    """
+    keys = short_keys(classes)
+    for how in SKETCHES:
+        keys = keys.unionByName(band_keys(classes, *how))
+    bucket = Window.partitionBy("key")
+    first = F.min(F.struct(F.col("line").alias("a"), F.col("chars").alias("a_chars"))).over(bucket)
+    buckets = stash(keys.withColumns({"first": first, "m": F.count("*").over(bucket)}).where("m > 1").select("key", "line", "chars", "first"), "buckets")
+    stars = buckets.select("first.*", F.col("line").alias("b"), F.col("chars").alias("b_chars")).where("a <> b")
+    links = linked(stars, classes, "star")
+    roots = stash(components(links), "star-groups")
+    own = buckets.select("key", "line", "chars").join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    own = stash(own.withColumns({"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket), "m": F.count("*").over(bucket)}).where("lo <> hi and m > 2"), "mixed-buckets")
+    side = lambda s: own.select("key", F.col("line").alias(s), F.col("chars").alias(f"{s}_chars"), F.col("root").alias(f"{s}_root"))
+    apart = F.abs(F.col("a_chars") - F.col("b_chars")) * CHARS_FOR_AN_EDIT <= F.greatest("a_chars", "b_chars")
+    rest = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & apart)
+    more = linked(rest.select("a", "a_chars", "b", "b_chars"), classes, "rest")
+    return components(links.unionByName(more))
+
+
+def whole_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """As groups, but every line with a word takes part, whatever its length, and near lines are found by character
+    n-grams: there is no condition besides the edit distance."""
+    lines = exploded(docs, id_col, text_col).where(F.size(F.split("norm", " ")) >= MIN_WORDS).select("*", *line_key())
+    first = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2", "no")
+    classes = lines.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.min("norm").alias("norm"))
+    classes = stash(classes.select("*", F.length("norm").alias("chars"), F.monotonically_increasing_id().alias("line")), "line-classes")
+    # normalised twice, as the table of all lines would else hold the texts once more
+    lines = stash(lines.select("__id", "__k1", "__k2", "no", "h1", "h2"), "lines")
+    roots = near_lines(classes.select("line", "chars", "norm"))
+    return lines, decided(classes, roots)
+
+
+def decided(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """h1, h2, n, first of each class that isn't one line in a group of its own: first is its group's least occurrence."""
     grouped = stash(roots.join(classes.select(F.col("line").alias("node"), "h1", "h2", "first", "n"), "node"), "grouped")
     best = stash(grouped.groupBy("root").agg(F.min("first").alias("best"), F.count("*").alias("m")), "best-lines")
     joined = attach(grouped.select("root", "h1", "h2", "n"), best, ["root"], "m").select("h1", "h2", "n", F.col("best").alias("first"))
     alone = classes.where("n > 1").join(grouped.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "h2", "n", "first")
-    return lines, stash(joined.unionByName(alone), "line-groups")
+    return stash(joined.unionByName(alone), "line-groups")
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, **how: int) -> DataFrame:
     """__k1, __k2 and removed (sorted line numbers from 0) of each document that loses lines."""
-    lines, found = groups(docs, id_col, text_col, **how)
+    lines, found = whole_groups(docs, id_col, text_col) if whole else groups(docs, id_col, text_col, **how)
     hit = attach(lines.select("__k1", "__k2", "no", "h1", "h2"), found, ["h1", "h2"], "n")
     lost = hit.where((F.col("__k1") != F.col("first.__k1")) | (F.col("__k2") != F.col("first.__k2")) | (F.col("no") != F.col("first.no")))
     return lost.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_set("no")).alias("removed"))

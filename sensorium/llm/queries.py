@@ -34,7 +34,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.decisions(table(spark, sf_dir, "documents"))
+    found = line_dedup.decisions(table(spark, sf_dir, "documents"), whole=True)
     return found.select("doc_id", "n_lines", "n_kept", F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed_lines"))
 
 
