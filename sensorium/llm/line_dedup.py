@@ -7,6 +7,12 @@ every pair within the radius, each by its first agreeing choice only. Such pairs
 distance of at most a fifth of the longer line's characters (a likeness of 0.8 or more). Of each connected group the
 occurrence with the smallest (document id, line number) stays, all others are removed.
 
+That is the search without whole=True, which leaves out most near lines and all short ones. With it (as the query
+runs) every line with a word takes part and near lines are found by character n-grams: see near_lines.
+
+That is the search without whole=True, which leaves out most near lines and all short ones. With it (as the query
+runs) every line with a word takes part and near lines are found by character n-grams: see near_lines.
+
 The bucket join carries fingerprints only, one row for each different one; texts are fetched for lines in pairs
 alone. Copies never form pairs, and a line that a third of the corpus has is one row until the decision is attached.
 
@@ -266,7 +272,7 @@ def near_lines(classes: DataFrame) -> DataFrame:
 def whole_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """As groups, but every line with a word takes part, whatever its length, and near lines are found by character
     n-grams: there is no condition besides the edit distance."""
-    lines = exploded(docs, id_col, text_col).where(F.size(F.split("norm", " ")) >= MIN_WORDS).select("*", *line_key())
+    lines = exploded(docs, id_col, text_col).where("norm <> ''").select("*", *line_key())
     first = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2", "no")
     classes = lines.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.min("norm").alias("norm"))
     classes = stash(classes.select("*", F.length("norm").alias("chars"), F.monotonically_increasing_id().alias("line")), "line-classes")

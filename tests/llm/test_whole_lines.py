@@ -89,3 +89,12 @@ def test_short_edits(spark):
         docs += [(k, x), (1000 + k, "".join(y))]
     check(spark, docs)
 
+
+def test_lines_without_three_words(spark):
+    cjk = "这是一个没有空格的中文句子它很长并且在许多文件里重复出现"
+    docs = [
+        (1, "Home\nRead more\n\n" + cjk + "\nHome"), (2, "home!\nread  more\n \n" + cjk[:-1] + "了"), (3, "Hone\nจนกว่าจะถึงวันพรุ่งนี้\n42"), (4, "จนกว่าจะถึงวันพรุ่งนี้\n42\n43"),
+        (5, "contact-us\nContact us"), (6, "contakt us\nxy"), (7, None), (8, ""), (9, "\n\n"),
+    ]
+    gone = check(spark, docs)
+    assert gone[2] == {0, 1, 3} and gone[4] == {0, 1} and gone[1] == {4} and 9 not in gone
