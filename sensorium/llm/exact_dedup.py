@@ -1,7 +1,8 @@
-"""Exact dedup by a tree of merges of sorted digest runs.
+"""Exact dedup by a tree of grouped aggregations of digests.
 
-Each input partition makes a run: one entry for each digest with its smallest identifier and its count. Runs are
-exchanged in rounds, FAN_IN to a parent; a parent merges the sorted runs and keeps the smallest identifier of
+A run stands for an input partition: one entry for each digest with its smallest identifier and its count. In each
+round FAN_IN runs become their parent, by grouping on (parent, digest, length); no run is sorted or merged as such,
+and up to FAN_IN input partitions take one round, which is a plain group-by. A parent keeps the smallest identifier of
 equal entries. Entries are equal only if digest (SHA-256) and length agree at every level. Each round is dealt by
 (parent, digest), so that no task holds a whole run. Since a run has one entry for a digest, a text with copies in
 a third of all rows costs one entry for each run.
