@@ -83,10 +83,11 @@ def features(w: list[bytes], table: Forms) -> list[tuple]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, use: Column, id_col: str, text_col: str, most: int = MAX_TRAIN) -> DataFrame:
-    """At most `most` labelled rows: text (bytes), y."""
+    """At most `most` labelled rows: text (bytes), y. Of rows with one id, the one with the least hash of its text."""
     y = labels.where(labels["toxic"].isNotNull() & labels["doc_id"].isNotNull() & use).groupBy(labels["doc_id"].alias("__lid")).agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
     few = y.orderBy(F.xxhash64("__lid"), "__lid").limit(most)  # `most` rows, so small enough to send to all tasks
-    return docs.join(F.broadcast(few), docs[id_col] == F.col("__lid")).select(docs[text_col].cast("binary").alias("text"), "y")
+    found = docs.join(F.broadcast(few), docs[id_col] == F.col("__lid")).select("__lid", "y", docs[text_col].cast("binary").alias("text"))
+    return found.groupBy("__lid", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "y")
 
 
 def candidates(rows: DataFrame) -> set[str]:
