@@ -65,4 +65,13 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stashed = path
+    return out
+
+
+def unstash(*frames: DataFrame) -> None:
+    """Deletes the tables of frames that stash returned; whatever reads them must have been written before."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stashed)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
