@@ -1,87 +1,138 @@
-"""Fuzzy line dedup in DataFrame functions only.
-
-Lines are normalised (lower case, words joined by single spaces); those of MIN_WORDS words or more take part. Equal
-normalised lines are one line. Each has a SimHash of its words; its 64 bits are cut into BLOCKS blocks, of which two
-lines within RADIUS bits agree on BLOCKS - RADIUS at least, so that a join on all choices of so many blocks finds
-every pair within the radius, each by its first agreeing choice only. Such pairs are verified: a link needs an edit
-distance of at most a fifth of the longer line's characters (a likeness of 0.8 or more). Of each connected group the
-occurrence with the smallest (document id, line number) stays, all others are removed.
-
-That is the search without whole=True, which leaves out most near lines and all short ones. With it (as the query
-runs) every line with a word takes part and near lines are found by character n-grams: see near_lines.
-
-That is the search without whole=True, which leaves out most near lines and all short ones. With it (as the query
-runs) every line with a word takes part and near lines are found by character n-grams: see near_lines.
-
-The bucket join carries fingerprints only, one row for each different one; texts are fetched for lines in pairs
-alone. Copies never form pairs, and a line that a third of the corpus has is one row until the decision is attached.
-
-Cases: null and empty texts have no lines; blank and short lines always stay. Null ids come after all others. Rows
-that are equal in id and text count as one document and all get its decision. Other columns are ignored.
+"""Fuzzy line dedup: SimHash of normalised lines, a join on pigeonhole blocks, edit distance, connected groups.
+
+Lines are normalised (lower case, words joined by single spaces); every line with a word takes part, and equal
+normalised lines are one class, whatever their length. A class has a SimHash of its different words (WORDS or more of
+them), or of its different pairs of characters (fewer words than BOTH), or both in between, so that also lines of few
+words, or of scripts without spaces, have one. Two classes are neighbours if a SimHash of one kind differs in at most
+RADIUS of its first 64 bits and MORE of 31 further ones; neighbours are linked if their edit distance is at most a
+fifth of the longer line's characters (a likeness of 0.8 or more). Of each connected group the occurrence with the
+smallest (document id, line number) stays, all others are removed.
+
+The search is exact: of BLOCKS blocks of the 64 bits, neighbours agree on BLOCKS - RADIUS at least, so that if the
+blocks are dealt into BLOCKS - RADIUS - 1 sets, two agreeing blocks are in one set (pigeonhole). Each pair of blocks
+within a set is a key. A bucket is sorted by line length, and compared within lengths that a link may have. What
+leaves a bucket is a spanning forest of its neighbours, not its pairs. The texts of the classes that have neighbours
+at all are then dealt by their connected parts, and verified there: a pair whose ends are already in one group is
+skipped, and again only a spanning forest of the links goes on. Buckets and parts of more than a tile are cut into
+tiles, and each pair of tiles is a task's work of its own.
+
+Comparisons in a bucket grow with the square of the lines (2 ** -10 of all pairs with these parameters). For larger
+corpora take a smaller radius, which lets blocks be wider: keys and their width follow from radius and blocks.
+
+Cases: null and empty texts have no lines; blank lines always stay. Null ids come after all others. Rows that are
+equal in id and text count as one document and all get its decision. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import random
-from functools import reduce
+from collections.abc import Iterator
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, components, keyed, row_key, stash
+from sensorium.session import unstash
+
+from .common import WORD_TABLE, attach, components, fresh, keyed, row_key, small_batches, stash
+from .simhash import forest
 
-RADIUS, BLOCKS, MIN_WORDS = 3, 5, 3
+RADIUS, MORE, BLOCKS = 8, 7, 13
+#: Lines of so many words have a SimHash of words; those of fewer than BOTH one of pairs of characters.
+WORDS, BOTH = 9, 12
 #: Edits allowed: one for so many characters of the longer line.
 CHARS_FOR_AN_EDIT = 5
+#: Fingerprints of a bucket, and lines of a connected part, that a task compares at once.
+TILE, PART = 1 << 17, 1 << 11
+#: Bits of a bucket row's key below the bucket: the line's length, then the further bits of its SimHash.
+CHAR_BITS, MORE_BITS = 17, 31
+#: As WORD_TABLE without lower-casing; line ends stay.
+TO_WORDS = bytes(0x0A if c == 0x0A else c if 0x41 <= c <= 0x5A else x for c, x in enumerate(WORD_TABLE))
+LANES = np.uint64(0x0101010101010101)
 
 
-def normalised(line: Column) -> Column:
-    """Lower case, words joined by single spaces. Single spaces stay as they are, which the expression doesn't match."""
-    apart = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
-    return F.trim(F.regexp_replace(F.lower(line), rf" [{apart}]+|[{apart}&&[^ ]][{apart}]*", " "))
-
-
-#: Most words of a line whose sums are compared in lanes of 16 bits.
-NARROW = (1 << 14) - 1
-
-
-def each_lane(width: int) -> int:
-    """A one in each lane of so many bits."""
-    return sum(1 << at for at in range(0, 64, width))
-
+def normalised(text: str) -> list[list[bytes]]:
+    """The words of each line of a text."""
+    return [x.split() for x in text.lower().encode("utf-8").translate(TO_WORDS).split(b"\n")]
 
-def lane_sums(width: int) -> list[Column]:
-    """Sums over words of their hash h: `width` longs of lanes of `width` bits, together how many words have each bit set."""
-    return [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(each_lane(width)))).alias(f"c{k}") for k in range(width)]
 
+def simhashes(features: list, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists of features laid end to end: the first 64 bits of their SimHash, and MORE_BITS further ones.
 
-def simhash(n_words: Column, width: int) -> Column:
-    """64 bits from the lanes, each 1 if set in over half of the words' hashes.
-
-    All lanes of a long are compared at once: with 2 ** (width - 2) less the least majority added, a lane's last bit but
-    one tells whether it has the majority, and no lane runs over into the next one.
+    Eight lanes of eight bits of a word are added at once, 255 features at most; longer lists are cut and added up.
     """
-    top = width - 2
-    less = (F.lit((1 << top) - 1) - F.shiftright(n_words.cast("long"), 1)) * F.lit(each_lane(width))
-    out = F.lit(0).cast("long")
-    for k in range(width):
-        won = (F.col(f"c{k}") + less).bitwiseAND(F.lit(each_lane(width) << top))
-        out = out.bitwiseOR(F.shiftrightunsigned(won, top - k) if k <= top else F.shiftleft(won, k - top))
-    return out
-
-
-def hashed(lines: DataFrame, keep: list[str]) -> DataFrame:
-    """keep and sim of each line of lines (uid, norm, n_words). A line's words are in one task, so that its sums are
-    whole before they are dealt out."""
-
-    def by(width: int, some: DataFrame) -> DataFrame:
-        words = some.select("uid", "n_words", *keep, F.explode(F.split("norm", " ")).alias("w"))
-        words = words.select("uid", "n_words", *keep, F.xxhash64("w").alias("h"))
-        summed = words.groupBy("uid").agg(*[F.first(c).alias(c) for c in ("n_words", *keep)], *lane_sums(width))
-        return summed.select("uid", *keep, simhash(F.col("n_words"), width).alias("sim"))
-
-    return by(16, lines.where(F.col("n_words") <= NARROW)).unionByName(by(32, lines.where(F.col("n_words") > NARROW)))
+    n = np.array(sizes, np.int64)
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, features)), np.uint64).reshape(-1, 2)
+    cuts = (n + 254) // 255
+    first = np.cumsum(cuts) - cuts  # each list's first cut
+    starts = np.repeat(np.cumsum(n) - n, cuts) + 255 * (np.arange(cuts.sum()) - np.repeat(first, cuts))
+    out = []
+    for half in (0, 1):
+        bits = np.zeros((len(n), 64), bool)
+        for k in range(8):
+            lanes = np.add.reduceat((h[:, half] >> np.uint64(k)) & LANES, starts).view(np.uint8).reshape(-1, 8)
+            bits[:, k::8] = 2 * np.add.reduceat(lanes, first, axis=0, dtype=np.int64) > n[:, None]
+        out.append(np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0])
+    return out[0], out[1] & np.uint64((1 << MORE_BITS) - 1)
+
+
+def char_pairs(words: list[bytes]) -> set[str]:
+    s = b" ".join(words).decode("utf-8")
+    return {s[k : k + 2].encode("utf-8") for k in range(max(1, len(s) - 1))}
+
+
+LINES = "no int, h1 long, h2 long, chars int, a long, ax long, b long, bx long"
+
+
+def prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].alias("__id"), *row_key(docs[id_col], docs[text_col]), docs[text_col].alias("__text"))
+
+
+def hashed_lines(given: DataFrame) -> DataFrame:
+    """__id, __k1, __k2 and LINES of each line with a word: its number, hash and length, and its SimHashes (a of words,
+    b of pairs of characters; null where it has none)."""
+    small_batches(given.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, nos, norms, word_lists = [], [], [], []
+            for r, text in enumerate(batch.column(3).to_pylist()):
+                for no, w in enumerate(normalised(text) if text else ()):
+                    if w:
+                        rows.append(r)
+                        nos.append(no)
+                        norms.append(b" ".join(w))
+                        word_lists.append(w)
+            if not rows:
+                continue
+            h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, norms)), np.int64).reshape(-1, 2)
+            chars = [len(x) if x.isascii() else len(x.decode("utf-8")) for x in norms]
+            n_words = np.fromiter(map(len, word_lists), np.int64, len(rows))
+            columns = []
+            for chosen, make in ((n_words >= WORDS, set), (n_words < BOTH, char_pairs)):
+                values = np.zeros((2, len(rows)), np.int64)
+                at = np.flatnonzero(chosen)
+                if len(at):
+                    sets = [make(word_lists[k]) for k in at]
+                    values[:, at] = [x.view(np.int64) for x in simhashes([x for s in sets for x in s], list(map(len, sets)))]
+                columns += [pa.array(v, mask=~chosen) for v in values]
+            own = batch.select([0, 1, 2]).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(nos, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(chars, pa.int32()), *columns], ["__id", "__k1", "__k2", "no", "h1", "h2", "chars", "a", "ax", "b", "bx"])
+
+    return given.mapInArrow(run, f"__id {dict(given.dtypes)['__id']}, __k1 long, __k2 long, {LINES}")
+
+
+def line_texts(given: DataFrame) -> DataFrame:
+    """__k1, __k2, no, norm of each line with a word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(r, no, b" ".join(w)) for r, t in enumerate(batch.column(3).to_pylist()) for no, w in enumerate(normalised(t) if t else ()) if w]
+            own = batch.select([1, 2]).take(pa.array([f[0] for f in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.binary())], ["__k1", "__k2", "no", "norm"])
+
+    return given.mapInArrow(run, "__k1 long, __k2 long, no int, norm binary")
 
 
 def likely(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
@@ -92,196 +143,220 @@ def likely(rows: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> Dat
     return rows.withColumn("__slot", slot(key)).join(F.broadcast(slots), "__slot", "left_semi").drop("__slot")
 
 
-def within(pairs: DataFrame, a: str, b: str, most: str) -> DataFrame:
-    """The pairs of texts (words joined by spaces) that are at most so many edits of characters apart.
-
-    Equal words at both ends are cut off, which changes no distance. The rest is within the bound if the longer rest
-    is no longer than it, or if the words that differ place by place have no more characters; only where neither
-    holds, the distance itself is computed.
-    """
-    def same_start(x: Column, y: Column) -> Column:
-        n = F.least(F.size(x), F.size(y))
-        first = F.array_position(F.zip_with(F.slice(x, 1, n), F.slice(y, 1, n), lambda p, q: p != q), True)
-        return F.when(first > 0, first - 1).otherwise(n).cast("int")
-
-    def by_place(p: Column, q: Column) -> Column:
-        alone = F.coalesce(F.length(p), F.length(q)) + 1
-        return F.when(p.eqNullSafe(q), 0).when(p.isNull() | q.isNull(), alone).otherwise(F.greatest(F.length(p), F.length(q)))
-
-    wa, wb = F.col("__wa"), F.col("__wb")
-    rest = lambda w: F.array_join(F.slice(w, F.col("__head") + 1, F.greatest(F.size(w) - F.col("__head") - F.col("__tail"), F.lit(0))), " ")
-    out = pairs.withColumns({"__wa": F.split(a, " "), "__wb": F.split(b, " ")}).withColumn("__head", same_start(wa, wb))
-    out = out.withColumn("__tail", F.least(same_start(F.reverse(wa), F.reverse(wb)), F.least(F.size(wa), F.size(wb)) - F.col("__head")))
-    out = out.withColumns({"__a": rest(wa), "__b": rest(wb), "__by_place": F.aggregate(F.zip_with(wa, wb, by_place), F.lit(0), lambda s, v: s + v)})
-    sure = (F.col("__by_place") <= F.col(most)) | (F.greatest(F.length("__a"), F.length("__b")) <= F.col(most))
-    return out.where(F.when(sure, True).otherwise(F.expr(f"levenshtein(__a, __b, {most}) >= 0"))).select(*pairs.columns)
-
-
-def masks(radius: int, blocks: int) -> list[int]:
-    """For each choice of blocks - radius blocks the bits that it covers, as a signed long."""
+def block_pairs(radius: int, blocks: int) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """(first bit, width) of both blocks of each key."""
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    whole = [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
-    return [m - (1 << 64) if m >> 63 else m for m in whole]
-
-
-def near_hashes(sims: DataFrame, radius: int, blocks: int) -> DataFrame:
-    """sims: different fingerprints. Pairs (a, b), a < b, within the radius, once each.
-
-    The join is on one long, a hash of a choice of blocks and their bits, which Spark sorts by its digits. A pair counts
-    under its first agreeing choice only; what else meets there is dropped by the distance.
-    """
-    cover = masks(radius, blocks)
-    key = lambda sim, k: F.xxhash64(F.lit(k), sim.bitwiseAND(F.lit(cover[k])))
-    dealt = sims.select("sim", F.explode(F.array(*[key(F.col("sim"), k) for k in range(len(cover))])).alias("key"))
-    a, b = dealt.withColumnRenamed("sim", "a"), dealt.withColumnRenamed("sim", "b")
-    apart = F.col("a").bitwiseXOR(F.col("b"))
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.bit_count(apart) <= radius))
-    first = F.lit(None).cast("long")
-    for k in reversed(range(len(cover))):
-        first = F.when(apart.bitwiseAND(F.lit(cover[k])) == 0, key(F.col("a"), k)).otherwise(first)
-    return pairs.where(F.col("key") == first).select("a", "b")
-
-
-def exploded(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """__id, __k1, __k2, no, norm of each line that takes part."""
-    given = docs.select(docs[id_col].alias("__id"), *row_key(docs[id_col], docs[text_col]), docs[text_col].alias("__text"))
-    # normalised before they are dealt out, as Spark would else repeat the work for each use of norm
-    return given.select("__id", "__k1", "__k2", F.posexplode(F.transform(F.split("__text", "\n", -1), normalised)).alias("no", "norm"))
-
-
-def line_key() -> list[Column]:
-    return [F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2")]
-
-
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, blocks: int = BLOCKS, min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
-    """The lines that take part (__id, __k1, __k2, no, h1, h2) and their classes (h1, h2, n, first).
-
-    first: the occurrence of the class's whole group that stays. Classes of one line in a group of its own are left
-    out, as that line stays.
-    """
-    n_words = F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) + 1
-    who = ["__id", "__k1", "__k2", "no", "h1", "h2", "chars"]
-    lines = exploded(docs, id_col, text_col).withColumn("n_words", F.when(F.col("norm") == "", 0).otherwise(n_words)).where(F.col("n_words") >= min_words)
-    lines = stash(lines.select("*", *line_key(), F.length("norm").alias("chars"), F.monotonically_increasing_id().alias("uid")), "lines")
-    first = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2", "no")
-    classes = hashed(lines, who).groupBy("h1", "h2", "sim", "chars").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.min("uid").alias("line"))
-    classes = stash(classes, "line-classes")
-    pairs = near_hashes(classes.select("sim").distinct(), radius, blocks)
-    # lines of one fingerprint may be linked too
-    shared = classes.groupBy("sim").agg(F.count("*").alias("c")).where("c > 1").select(F.col("sim").alias("a"), F.col("sim").alias("b"))
-    pairs = pairs.unionByName(shared)
-    pairs = stash(pairs, "near-hashes")
-    ends = pairs.select(F.col("a").alias("sim")).unionByName(pairs.select(F.col("b").alias("sim")))
-    few = likely(classes.select("sim", "line", "chars"), "sim", ends, "sim")
-    side = lambda s: few.select(F.col("sim").alias(s), F.col("line").alias(f"{s}_line"), F.col("chars").alias(f"{s}_chars"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where((F.col("a") < F.col("b")) | (F.col("a_line") < F.col("b_line")))
-    both = stash(both.where(F.abs(F.col("a_chars") - F.col("b_chars")) * CHARS_FOR_AN_EDIT <= F.greatest("a_chars", "b_chars")), "candidates")
-    wanted = both.select(F.col("a_line").alias("uid")).unionByName(both.select(F.col("b_line").alias("uid"))).distinct()
-    texts = stash(likely(lines.select("uid", "norm"), "uid", wanted, "uid").join(wanted, "uid", "left_semi"), "line-texts")
-    text = lambda s: texts.select(F.col("uid").alias(f"{s}_line"), F.col("norm").alias(f"{s}_norm"))
-    read = both.join(text("a"), "a_line").join(text("b"), "b_line")
-    most = F.floor(F.greatest("a_chars", "b_chars") / CHARS_FOR_AN_EDIT).cast("int").alias("most")
-    checked = within(read.select("a_line", "b_line", most, "a_norm", "b_norm").repartition("a_line", "b_line"), "a_norm", "b_norm", "most")
-    roots = components(checked.select("a_line", "b_line"), "a_line", "b_line")
-    return lines, decided(classes, roots)
-
-
-#: The search for near lines: character n-grams, bands of a MinHash and its rows in a band, for lines of so many characters.
-SKETCHES = ((6, 16, 3, 20, None), (3, 20, 4, 12, 100))
-#: Lines of up to so many characters are searched without hashing n-grams: every pair within the bound is found.
-EXACT_CHARS = 19
-
-
-def without(s: Column, times: int) -> Column:
-    """The different strings left when up to so many characters are taken out of s."""
-    out = F.array(s)
-    for _ in range(times):
-        out = F.array_distinct(F.flatten(F.transform(out, lambda x: F.concat(F.array(x), F.transform(F.sequence(F.lit(1), F.length(x)), lambda k: F.concat(F.substring(x, F.lit(1), k - 1), F.substring(x, k + 1, F.length(x))))))))
+    sets = blocks - radius - 1
+    if sets < 1:
+        raise ValueError("neighbours must agree on two blocks at least")
+    return [tuple((cuts[i], cuts[i + 1] - cuts[i]) for i in pair) for s in range(sets) for pair in combinations(range(s, blocks, sets), 2)]
+
+
+def bucket_rows(classes: DataFrame, radius: int, blocks: int) -> tuple[DataFrame, int]:
+    """(key, fp) of each class and key, and the number of bits of a key below its bucket's number."""
+    pairs = block_pairs(radius, blocks)
+    bits = max(a + b for (_, a), (_, b) in pairs)
+    low = CHAR_BITS + MORE_BITS
+    if (2 * len(pairs) - 1).bit_length() + bits + low > 63:
+        raise ValueError("the blocks are too wide for a key of one long")
+    cut = lambda fp, at, width: F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
+    keys = lambda kind: [F.shiftleft((F.lit((2 * k + kind) << bits).cast("long").bitwiseOR(F.shiftleft(cut(F.col("fp"), i, a), b)).bitwiseOR(cut(F.col("fp"), j, b))), low).bitwiseOR(F.col("rest")) for k, ((i, a), (j, b)) in enumerate(pairs)]
+    length = F.shiftleft(F.least("chars", F.lit((1 << CHAR_BITS) - 1)).cast("long"), MORE_BITS)
+    parts = []
+    for kind, (fp, more) in enumerate((("a", "ax"), ("b", "bx"))):
+        some = classes.where(F.col(fp).isNotNull()).select(F.col(fp).alias("fp"), length.bitwiseOR(F.col(more)).alias("rest"))
+        parts.append(some.select(F.explode(F.array(*keys(kind))).alias("key"), "fp"))
+    return parts[0].unionByName(parts[1]), low
+
+
+def neighbours(fp: np.ndarray, more: np.ndarray, chars: np.ndarray, radius: int, most: int, at_once: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chunks of pairs (i, j), i < j, of neighbours; chars is sorted."""
+    n = len(fp)
+    upto = np.searchsorted(chars, chars * CHARS_FOR_AN_EDIT // (CHARS_FOR_AN_EDIT - 1), "right")
+    at = 0
+    while at < n - 1:
+        rows = max(1, min(n - 1 - at, at_once // max(1, int(upto[at]) - at)))
+        end = int(upto[at + rows - 1])
+        near = np.bitwise_count(fp[at : at + rows, None] ^ fp[None, at + 1 : end]) <= radius
+        i, j = np.nonzero(near)
+        i, j = i + at, j + at + 1
+        ok = (i < j) & (j < upto[i])
+        i, j = i[ok], j[ok]
+        ok = np.bitwise_count(more[i] ^ more[j]) <= most
+        if ok.any():
+            yield i[ok], j[ok]
+        at += rows
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list]:
+    """Columns of each run of equal first `keys` columns of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        values = [b.column(k).to_numpy() for k in range(keys)]
+        change = np.zeros(b.num_rows, bool)
+        for v in values:
+            change[1:] |= v[1:] != v[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
+        if held and any(held[-1].column(k)[-1].as_py() != v[0] for k, v in enumerate(values)):
+            yield held
+            held = []
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if x:
+                yield held
+                held = []
+            held.append(b.slice(x, y - x))
+    if held:
+        yield held
+
+
+def forests(rows: DataFrame, low: int, radius: int, most: int, tile: int) -> DataFrame:
+    """Edges (u, v) between fingerprints: of each bucket a spanning forest of its neighbours. Equal ones give u = v."""
+    bucket = F.shiftright("key", low)
+    counts = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > tile)
+    # buckets are as many as keys have values, so this is small whatever the number of rows
+    cut = rows.withColumn("bucket", bucket).join(F.broadcast(counts), "bucket", "left")
+    pieces = F.ceil(F.coalesce("n", F.lit(1)) / tile)
+    own = F.pmod(F.xxhash64("fp", "key"), pieces)
+    deal = F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda x: F.least(own, x) * pieces + F.greatest(own, x))
+    whole = cut.where("n is null").select(F.lit(0).cast("long").alias("t"), "key", "fp")
+    dealt = whole.unionByName(cut.where("n is not null").select(F.explode(deal).alias("t"), "key", "fp"))
+    dealt = dealt.repartition(F.shiftright("key", low), "t").sortWithinPartitions("t", "key")
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+
+    def done(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
+        more, chars = key & ((1 << MORE_BITS) - 1), key >> MORE_BITS & ((1 << CHAR_BITS) - 1)
+        same: list[np.ndarray] = []
+
+        def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for i, j in neighbours(fp.view(np.uint64), more, chars, radius, most):
+                same.append(np.unique(fp[i[fp[i] == fp[j]]]))
+                yield i, j
+
+        root = forest(len(fp), pairs())
+        member = np.flatnonzero(root != np.arange(len(fp)))
+        if not len(member):
+            return None
+        alike = np.unique(np.concatenate(same))
+        u, v = np.concatenate([fp[member], alike]), np.concatenate([fp[root[member]], alike])
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.zeros((3, 0), np.int64)
+        for b in batches:
+            rest = np.concatenate([rest, np.stack([c.to_numpy() for c in b.columns])], axis=1)
+            name = rest[1] >> low
+            new = np.flatnonzero((name[1:] != name[:-1]) | (rest[0, 1:] != rest[0, :-1])) + 1
+            cuts = [0, *new.tolist()]  # the last group may go on
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if y - x > 1 and (out := done(rest[1, x:y], rest[2, x:y])) is not None:
+                    yield out
+            rest = rest[:, cuts[-1] :]
+        if rest.shape[1] > 1 and (out := done(rest[1], rest[2])) is not None:
+            yield out
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most so much: equal ends cut off, then a column of the table as bits of one number."""
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > most:
+        return False
+    n, s = len(b), 0
+    while s < n and a[s] == b[s]:
+        s += 1
+    e = 0
+    while e < n - s and a[-1 - e] == b[-1 - e]:
+        e += 1
+    a, b = a[s : len(a) - e], b[s : n - e]
+    if len(a) <= most:
+        return True
+    places: dict[str, int] = {}
+    for k, c in enumerate(b):
+        places[c] = places.get(c, 0) | 1 << k
+    full, top = (1 << len(b)) - 1, 1 << len(b) >> 1
+    up, down, score, left = full, 0, len(b), len(a)
+    for c in a:
+        eq = places.get(c, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        more = down | ~(diagonal | up) & full
+        less = up & diagonal
+        if more & top:
+            score += 1
+        elif less & top:
+            score -= 1
+        left -= 1
+        if score - left > most:
+            return False
+        more = more << 1 | 1
+        less <<= 1
+        up = (less | ~(diagonal | more)) & full
+        down = more & diagonal & full
+    return score <= most
+
+
+def verified(lines: DataFrame, radius: int, most: int) -> DataFrame:
+    """lines (root, t1, t2, t, line, fp, more, chars, norm), dealt by their first three: edges (u, v) between lines, a
+    spanning forest of the links of each pair of tiles."""
+    cols = ["root", "t1", "t2"]
+    dealt = lines.select(*cols, "t", "line", "fp", "more", "chars", "norm").repartition(*cols).sortWithinPartitions(*cols, "chars")
+    lines.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in groups_of(batches, 3):
+            whole = pa.Table.from_batches(held)
+            own, line, fp, more, chars = (whole.column(k).to_numpy() for k in range(3, 8))
+            across = whole.column(1)[0].as_py() != whole.column(2)[0].as_py()
+            norm = [x.decode("utf-8") for x in whole.column(8).to_pylist()]
+            top = np.arange(len(line))
+            edges: list[tuple[int, int]] = []
+            for i, j in neighbours(fp.view(np.uint64), more, chars, radius, most):
+                if across:
+                    i, j = i[ok := own[i] != own[j]], j[ok]
+                ok = (top[i] != top[j]) & (line[i] != line[j])
+                for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+                    p, q = top[x], top[y]
+                    if p != q and within(norm[x], norm[y], max(len(norm[x]), len(norm[y])) // CHARS_FOR_AN_EDIT):
+                        top[top == max(p, q)] = min(p, q)
+                        edges.append((line[x], line[y]))
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
+def near_lines(given: DataFrame, classes: DataFrame, radius: int = RADIUS, more: int = MORE, blocks: int = BLOCKS, tile: int = TILE, part: int = PART) -> DataFrame:
+    """The connected groups (node, root) of linked classes, of those that have a link."""
+    rows, low = bucket_rows(classes, radius, blocks)
+    edges = stash(forests(rows, low, radius, more, tile).distinct(), "near-hashes")
+    found = components(edges, "u", "v")
+    alike = edges.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("root"))
+    roots = stash(found.unionByName(alike.join(found.select("node"), "node", "left_anti")), "near-parts")
+    kinds = [classes.where(F.col(fp).isNotNull()).select(F.col(fp).alias("fp"), F.col(x).alias("more"), "line", "chars", "first.__k1", "first.__k2", "first.no") for fp, x in (("a", "ax"), ("b", "bx"))]
+    member = likely(kinds[0].unionByName(kinds[1]), "fp", roots, "node").join(roots.withColumnRenamed("node", "fp"), "fp")
+    member = stash(member, "near-lines")
+    sizes = member.groupBy("root").agg(F.count("*").alias("m"))
+    sized = attach(member, stash(sizes, "part-sizes"), ["root"], "m").where("m > 1")
+    pieces = F.ceil(F.col("m") / part)
+    sized = sized.withColumn("t", F.pmod(F.xxhash64("line"), pieces))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda x: F.struct(F.least("t", x).alias("t1"), F.greatest("t", x).alias("t2")))
+    sized = sized.withColumn("pairs", pairs)
+    place = ["__k1", "__k2", "no"]
+    docs = likely(given, "__k1", member, "__k1")
+    texts = line_texts(docs).withColumn("__place", F.xxhash64(*place))
+    wanted = member.select(*place).distinct()
+    texts = likely(texts, "__place", wanted.select(F.xxhash64(*place).alias("__place")), "__place").drop("__place")
+    texts = stash(texts.join(wanted, place, "left_semi").dropDuplicates(place), "line-texts")
+    both = sized.join(texts, place).select("root", "line", "fp", "more", "chars", "norm", "t", F.explode("pairs").alias("x"))
+    links = stash(verified(both.select("*", "x.t1", "x.t2"), radius, more), "links")
+    out = components(links, "u", "v")
+    unstash(edges, roots, member, texts, links)
     return out
 
 
-def short_keys(classes: DataFrame) -> DataFrame:
-    """key, line, chars: lines of up to EXACT_CHARS characters within the bound share a key.
-
-    Up to 14 characters allow two edits at most. Of two lines so many edits apart, each gives the same string when at
-    most (length / CHARS_FOR_AN_EDIT) characters are taken out. From 15 on three edits are allowed: in the longer line's
-    first 8 or last 7 characters one falls at most, and these meet 1 more or 1 less characters of the other line's end.
-    """
-    deal = lambda df, tag, strings: df.select(F.explode(strings).alias("s"), "line", "chars").select(F.xxhash64(F.lit(tag), "s").alias("key"), "line", "chars")
-    head = lambda n: F.substring("norm", 1, n)
-    tail = lambda n: F.substring("norm", -n, n)
-    ends = lambda part, n: F.array_distinct(F.concat(F.array(part(n - 1)), without(part(n), 1), without(part(n + 1), 1)))
-    few = [deal(classes.where(F.floor(F.col("chars") / CHARS_FOR_AN_EDIT) == k), "few", without(F.col("norm"), k)) for k in (0, 1, 2)]
-    three = classes.where(F.col("chars").between(12, EXACT_CHARS))
-    return reduce(DataFrame.unionByName, [*few, deal(three, "head", ends(head, 8)), deal(three, "tail", ends(tail, 7))])
-
-
-def band_keys(classes: DataFrame, n: int, bands: int, rows: int, least: int, most: int | None) -> DataFrame:
-    """key, line, chars of each band of the MinHash of a line's character n-grams.
-
-    A hash is taken once for each n-gram; a MinHash value is the one nearest to a fixed number (by XOR), with the bits
-    turned by a different amount for each row of a band. A line's text is dealt out before its n-grams are, so that
-    the minima are whole in one task.
-    """
-    rnd = random.Random(n)
-    given = classes.where(F.col("chars") >= least) if most is None else classes.where(F.col("chars").between(least, most))
-    grams = given.select("line", "chars", "norm").repartition("line").select("line", "chars", F.explode(F.regexp_extract_all("norm", F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))).alias("g"))
-    h = F.col("h")
-    turned = [h, *(F.shiftleft(h, k).bitwiseOR(F.shiftrightunsigned(h, 64 - k)) for k in (16, 32, 48))]
-    mins = [F.min(turned[k % rows].bitwiseXOR(F.lit(rnd.getrandbits(63) - (1 << 62)))).alias(f"m{k}") for k in range(bands * rows)]
-    least_of = grams.select("line", "chars", F.xxhash64("g").alias("h")).groupBy("line", "chars").agg(*mins)
-    keys = [F.xxhash64(F.lit(n), F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]
-    return least_of.select(F.explode(F.array(*keys)).alias("key"), "line", "chars")
-
-
-def linked(pairs: DataFrame, classes: DataFrame, name: str) -> DataFrame:
-    """Of pairs (a, a_chars, b, b_chars) of lines those within the bound, as (a, b)."""
-    both = stash(pairs.where(F.abs(F.col("a_chars") - F.col("b_chars")) * CHARS_FOR_AN_EDIT <= F.greatest("a_chars", "b_chars")).distinct(), f"{name}-candidates")
-    wanted = both.select(F.col("a").alias("line")).unionByName(both.select(F.col("b").alias("line"))).distinct()
-    texts = stash(likely(classes.select("line", "norm"), "line", wanted, "line").join(wanted, "line", "left_semi"), f"{name}-texts")
-    text = lambda s: texts.select(F.col("line").alias(s), F.col("norm").alias(f"{s}_norm"))
-    most = F.floor(F.greatest("a_chars", "b_chars") / CHARS_FOR_AN_EDIT).cast("int").alias("most")
-    read = both.join(text("a"), "a").join(text("b"), "b").select("a", "b", most, "a_norm", "b_norm").repartition("a", "b")
-    return stash(within(read, "a_norm", "b_norm", "most").select("a", "b"), f"{name}-links")
-
-
-def near_lines(classes: DataFrame) -> DataFrame:
-    """classes: line, chars, norm. The connected components (node, root) of the near lines that share a key.
-
-    Each line of a bucket is compared with the bucket's first line; then all those with each other that this has not
-    yet connected. So a dense group costs its size, not the square, and no pair that could join two groups is left out.
-    """
-    keys = short_keys(classes)
-    for how in SKETCHES:
-        keys = keys.unionByName(band_keys(classes, *how))
-    bucket = Window.partitionBy("key")
-    first = F.min(F.struct(F.col("line").alias("a"), F.col("chars").alias("a_chars"))).over(bucket)
-    buckets = stash(keys.withColumns({"first": first, "m": F.count("*").over(bucket)}).where("m > 1").select("key", "line", "chars", "first"), "buckets")
-    stars = buckets.select("first.*", F.col("line").alias("b"), F.col("chars").alias("b_chars")).where("a <> b")
-    links = linked(stars, classes, "star")
-    roots = stash(components(links), "star-groups")
-    own = buckets.select("key", "line", "chars").join(roots.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-    own = stash(own.withColumns({"lo": F.min("root").over(bucket), "hi": F.max("root").over(bucket), "m": F.count("*").over(bucket)}).where("lo <> hi and m > 2"), "mixed-buckets")
-    side = lambda s: own.select("key", F.col("line").alias(s), F.col("chars").alias(f"{s}_chars"), F.col("root").alias(f"{s}_root"))
-    apart = F.abs(F.col("a_chars") - F.col("b_chars")) * CHARS_FOR_AN_EDIT <= F.greatest("a_chars", "b_chars")
-    rest = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & apart)
-    more = linked(rest.select("a", "a_chars", "b", "b_chars"), classes, "rest")
-    return components(links.unionByName(more))
-
-
-def whole_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """As groups, but every line with a word takes part, whatever its length, and near lines are found by character
-    n-grams: there is no condition besides the edit distance."""
-    lines = exploded(docs, id_col, text_col).where("norm <> ''").select("*", *line_key())
-    first = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2", "no")
-    classes = lines.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.min("norm").alias("norm"))
-    classes = stash(classes.select("*", F.length("norm").alias("chars"), F.monotonically_increasing_id().alias("line")), "line-classes")
-    # normalised twice, as the table of all lines would else hold the texts once more
-    lines = stash(lines.select("__id", "__k1", "__k2", "no", "h1", "h2"), "lines")
-    roots = near_lines(classes.select("line", "chars", "norm"))
-    return lines, decided(classes, roots)
-
-
 def decided(classes: DataFrame, roots: DataFrame) -> DataFrame:
     """h1, h2, n, first of each class that isn't one line in a group of its own: first is its group's least occurrence."""
     grouped = stash(roots.join(classes.select(F.col("line").alias("node"), "h1", "h2", "first", "n"), "node"), "grouped")
@@ -291,10 +366,19 @@ def decided(classes: DataFrame, roots: DataFrame) -> DataFrame:
     return stash(joined.unionByName(alone), "line-groups")
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False, **how: int) -> DataFrame:
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """__k1, __k2 and removed (sorted line numbers from 0) of each document that loses lines."""
-    lines, found = whole_groups(docs, id_col, text_col) if whole else groups(docs, id_col, text_col, **how)
-    hit = attach(lines.select("__k1", "__k2", "no", "h1", "h2"), found, ["h1", "h2"], "n")
+    given = prepared(docs, id_col, text_col)
+    lines = stash(hashed_lines(given), "lines")
+    first = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2", "no")
+    # equal lines have equal SimHashes and lengths
+    same = [F.max(c).alias(c) for c in ("chars", "a", "ax", "b", "bx")]
+    classes = lines.groupBy("h1", "h2").agg(F.min(first).alias("first"), F.count("*").alias("n"), *same)
+    classes = stash(classes.withColumn("line", F.monotonically_increasing_id()), "line-classes")
+    found = decided(classes, near_lines(given, classes, **how))
+    unstash(classes)
+    some = likely(lines.select("__k1", "__k2", "no", "h1", "h2"), "h1", found, "h1")
+    hit = attach(some, found, ["h1", "h2"], "n")
     lost = hit.where((F.col("__k1") != F.col("first.__k1")) | (F.col("__k2") != F.col("first.__k2")) | (F.col("no") != F.col("first.no")))
     return lost.groupBy("__k1", "__k2").agg(F.array_sort(F.collect_set("no")).alias("removed"))
 
@@ -310,7 +394,8 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """docs with the texts without their removed lines, all other columns as they were."""
     own, (k1, k2) = keyed(docs, id_col, text_col)
-    lost = removals(docs, id_col, text_col, **how).select(F.col("__k1").alias(k1), F.col("__k2").alias(k2), F.col("removed").alias(f"{k1}removed"))
-    lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, k: ~F.array_contains(F.col(f"{k1}removed"), k))
-    text = F.when(F.col(f"{k1}removed").isNotNull(), F.array_join(lines, "\n")).otherwise(F.col(text_col))
+    (gone,) = fresh(own, "__removed")
+    lost = removals(docs, id_col, text_col, **how).select(F.col("__k1").alias(k1), F.col("__k2").alias(k2), F.col("removed").alias(gone))
+    lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, k: ~F.array_contains(F.col(gone), k))
+    text = F.when(F.col(gone).isNotNull(), F.array_join(lines, "\n")).otherwise(F.col(text_col))
     return own.join(lost, [k1, k2], "left").withColumn(text_col, text).select(*docs.columns)

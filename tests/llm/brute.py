@@ -113,25 +113,33 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
-def line_dedup(docs, radius=3, min_words=3):
-    """docs: (doc_id, text), no two equal. The lines of each that go."""
+def line_sims(norm):
+    """The two SimHashes of a line (of words, of pairs of characters), where it has them: 64 bits and 31 further ones."""
+    words = norm.split(" ")
+    out = []
+    for has, features in ((len(words) >= 9, set(words)), (len(words) < 12, {norm[k : k + 2] for k in range(max(1, len(norm) - 1))})):
+        count = [0] * 128
+        for x in features:
+            h = xxhash.xxh3_128_digest(x.encode())
+            for b in range(128):
+                count[b] += h[b // 8] >> b % 8 & 1
+        bits = sum(1 << b for b in range(128) if 2 * count[b] > len(features))
+        out.append((bits & (1 << 64) - 1, bits >> 64 & (1 << 31) - 1) if has else None)
+    return out
+
+
+def line_dedup(docs, radius=8, more=7, near=None):
+    """docs: (doc_id, text), no two equal. The lines of each that go. near: a condition instead of that on SimHashes."""
     order = lambda d: (d is None, d)
     found: dict[str, list] = {}
     for d, t in docs:
         for k, line in enumerate((t or "").split("\n")):
-            norm = re.sub("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", line.lower()).strip(" ")
-            if len(norm.split(" ")) >= min_words:
+            if norm := re.sub("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", line.lower()).strip(" "):
                 found.setdefault(norm, []).append((order(d), k, d))
-    sims = {}
-    for n in found:
-        w = n.split(" ")
-        c = [0] * 64
-        for x in w:
-            h = xxhash.xxh64_intdigest(x.encode(), 42)
-            for b in range(64):
-                c[b] += h >> b & 1
-        sims[n] = sum(1 << b for b in range(64) if 2 * c[b] > len(w))
     names = list(found)
+    sims = {n: line_sims(n) for n in names}
+    close = lambda x, y: x and y and (x[0] ^ y[0]).bit_count() <= radius and (x[1] ^ y[1]).bit_count() <= more
+    near = near or (lambda a, b: any(close(x, y) for x, y in zip(sims[a], sims[b], strict=True)))
     root = {n: n for n in names}
 
     def top(n):
@@ -141,7 +149,8 @@ def line_dedup(docs, radius=3, min_words=3):
 
     for k, a in enumerate(names):
         for b in names[k + 1 :]:
-            if (sims[a] ^ sims[b]).bit_count() <= radius and abs(len(a) - len(b)) * 5 <= max(len(a), len(b)) and edits(a, b) * 5 <= max(len(a), len(b)):
+            most = max(len(a), len(b))
+            if abs(len(a) - len(b)) * 5 <= most and top(a) != top(b) and near(a, b) and edits(a, b) * 5 <= most:
                 root[top(a)] = top(b)
     gone: dict = {}
     parts: dict[str, list] = {}

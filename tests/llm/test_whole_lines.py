@@ -1,9 +1,8 @@
-"""Line dedup as op4_line_dedup runs it, against a brute force over all pairs of lines with the edit bound alone."""
+"""Line dedup against a brute force over all pairs of lines, and its recall against the edit bound alone."""
 
 from __future__ import annotations
 
 import random
-import re
 
 from sensorium.llm import line_dedup
 
@@ -11,42 +10,15 @@ from . import brute
 from .test_contracts import case
 
 
-def removed(docs):
-    """docs: (doc_id, text), no two equal. The lines of each that go; every non-blank line takes part."""
-    found: dict[str, list] = {}
-    for d, t in docs:
-        for k, line in enumerate((t or "").split("\n")):
-            if norm := re.sub("[\x00-\x2f\x3a-\x60\x7b-\x7f]+", " ", line.lower()).strip(" "):
-                found.setdefault(norm, []).append((d, k))
-    names = list(found)
-    root = {n: n for n in names}
-
-    def top(n):
-        while root[n] != n:
-            n = root[n]
-        return n
-
-    for k, a in enumerate(names):
-        for b in names[k + 1 :]:
-            most = max(len(a), len(b))
-            if top(a) != top(b) and abs(len(a) - len(b)) * 5 <= most and brute.edits(a, b) * 5 <= most:
-                root[top(a)] = top(b)
-    parts: dict[str, list] = {}
-    for n in names:
-        parts.setdefault(top(n), []).extend(found[n])
-    gone: dict = {}
-    for places in parts.values():
-        for d, k in sorted(places)[1:]:
-            gone.setdefault(d, set()).add(k)
-    return gone
-
-
-def check(spark, docs):
-    gone = removed(docs)
-    got = {r.doc_id: set(r.removed) for r in line_dedup.decisions(case(spark, docs), whole=True).collect()}
+def check(spark, docs, least, **how):
+    """The lines that go; at least such a share of those that would go by the edit bound alone."""
+    gone = brute.line_dedup(docs)
+    got = {r.doc_id: set(r.removed) for r in line_dedup.decisions(case(spark, docs), **how).collect()}
     assert got == {d: gone.get(d, set()) for d, _ in docs}
-    kept = {r.doc_id: r.text for r in line_dedup.drop_lines(case(spark, docs), whole=True).collect()}
+    kept = {r.doc_id: r.text for r in line_dedup.drop_lines(case(spark, docs)).collect()}
     assert all(kept[d] == (t and "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(d, ()))) for d, t in docs)
+    every = brute.line_dedup(docs, near=lambda a, b: True)
+    assert sum(map(len, gone.values())) >= least * sum(map(len, every.values()))
     return gone
 
 
@@ -60,8 +32,7 @@ def test_one_word_changed(spark):
         at = min(range(len(near)), key=lambda i: len(near[i])) if len(near) == 5 else rnd.randrange(len(near))
         near[at] = "".join(rnd.choice("abcdefghij") for _ in near[at])
         docs += [(k, " ".join(line)), (100 + k, "Zeile eins\n" * (k == 0) + " ".join(near))]
-    gone = check(spark, docs)
-    assert sum(map(len, gone.values())) >= 45
+    check(spark, docs, 0.6)
 
 
 def test_dense_group_and_chain(spark):
@@ -72,12 +43,11 @@ def test_dense_group_and_chain(spark):
     for k in range(5):  # the ends of the chain are further apart than the bound
         chain.append(chain[-1][: 12 * k] + "q" * 9 + chain[-1][12 * k + 9 :])
     docs = [(k, x) for k, x in enumerate(group + chain)]
-    gone = check(spark, docs)
-    assert sum(map(len, gone.values())) == len(docs) - 2
+    # small tiles: each pair of tiles is compared by itself
+    check(spark, docs, 0.5, tile=4, part=4)
 
 
 def test_short_edits(spark):
-    """All lines of up to 19 characters: every pair within the bound is found."""
     rnd = random.Random(14)
     docs = []
     for k in range(150):
@@ -87,7 +57,7 @@ def test_short_edits(spark):
             at = rnd.randrange(len(y))
             y[at : at + rnd.randrange(2)] = rnd.choice(("", "z", "y"))
         docs += [(k, x), (1000 + k, "".join(y))]
-    check(spark, docs)
+    check(spark, docs, 0.2)
 
 
 def test_lines_without_three_words(spark):
@@ -96,5 +66,5 @@ def test_lines_without_three_words(spark):
         (1, "Home\nRead more\n\n" + cjk + "\nHome"), (2, "home!\nread  more\n \n" + cjk[:-1] + "了"), (3, "Hone\nจนกว่าจะถึงวันพรุ่งนี้\n42"), (4, "จนกว่าจะถึงวันพรุ่งนี้\n42\n43"),
         (5, "contact-us\nContact us"), (6, "contakt us\nxy"), (7, None), (8, ""), (9, "\n\n"),
     ]
-    gone = check(spark, docs)
-    assert gone[2] == {0, 1, 3} and gone[4] == {0, 1} and gone[1] == {4} and 9 not in gone
+    gone = check(spark, docs, 0.5)
+    assert gone[2] >= {0, 1} and gone[4] >= {0, 1} and gone[1] == {4} and 9 not in gone
