@@ -7,11 +7,13 @@ all such seeds; around each the regex library matches the notice with bounded er
 gives the span. Spans are ranges of words of the text.
 
 Cases: null and empty texts have no words and no places (score 0). Overlapping places are all counted by the base
-search; of overlapping fuzzy places of a notice, the one with fewest edits is reported. Other columns are ignored.
+search; of overlapping fuzzy places, that of the longest notice is reported, then that with fewest edits. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,40 +25,82 @@ from .common import WORD_TABLE, small_batches
 
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Notices for the fuzzy search and their labels.
+#: Notices for the fuzzy search and their labels. Of places that overlap, the longer notice counts, then fewer edits.
 NOTICES = {
+    "apache license": "apache",
     "licensed under the apache license version": "apache",
+    "gnu general public license": "gpl",
     "this work is licensed under the gnu general public license": "gpl",
     "gnu lesser general public license": "lgpl",
-    "permission is hereby granted free of charge to any person": "mit",
+    "gnu affero general public license": "agpl",
+    "mit license": "mit",
     "released under the mit license": "mit",
+    "permission is hereby granted free of charge to any person": "mit",
+    "bsd license": "bsd",
     "redistribution and use in source and binary forms": "bsd",
+    "isc license": "isc",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "mozilla public license": "mpl",
     "this source code form is subject to the terms of the mozilla public license": "mpl",
+    "eclipse public license": "epl",
+    "boost software license": "bsl",
     "creative commons attribution": "cc-by",
-    "licensed under cc by nc": "cc-by-nc",
-    "licensed under cc by sa": "cc-by-sa",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons attribution noncommercial sharealike": "cc-by-nc-sa",
+    "creative commons attribution noncommercial noderivatives": "cc-by-nc-nd",
+    "creative commons zero": "cc0",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "reserved",
 }
+#: Short forms, searched as whole words without edits, as they differ in single letters.
+EXACT = {
+    "cc by sa": "cc-by-sa", "cc by nc": "cc-by-nc", "cc by nd": "cc-by-nd", "cc by nc sa": "cc-by-nc-sa", "cc by nc nd": "cc-by-nc-nd", "cc0": "cc0",
+    "spdx license identifier mit": "mit", "spdx license identifier apache 2 0": "apache", "spdx license identifier isc": "isc",
+    "spdx license identifier gpl": "gpl", "spdx license identifier lgpl": "lgpl", "spdx license identifier agpl": "agpl",
+    "spdx license identifier bsd": "bsd", "spdx license identifier mpl": "mpl", "spdx license identifier epl": "epl", "spdx license identifier bsl": "bsl",
+}
+CHARS_FOR_AN_EDIT = 16
 
 
 def edits_for(notice: str) -> int:
-    return len(notice) // 16
+    """One edit at least, so that short names may be misspelt."""
+    return max(1, len(notice) // CHARS_FOR_AN_EDIT)
 
 
 class Scanner:
     def __init__(self):
         self.seeds = ahocorasick.Automaton()
-        held: dict[str, list[tuple[str, int, int]]] = {}
+        held: dict[str, list[tuple[str, int]]] = {}
         for notice in NOTICES:
             k = edits_for(notice)
             cuts = [round(i * len(notice) / (k + 1)) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                held.setdefault(notice[a:b], []).append((notice, a, b))
+                held.setdefault(notice[a:b], []).append((notice, a))
         for seed, places in held.items():
             self.seeds.add_word(seed, (len(seed), places))
         self.seeds.make_automaton()
         self.match = {n: regex.compile(rf"(?be)(?<= )(?:{regex.escape(n, literal_spaces=True)}){{e<={edits_for(n)}}}(?= )") for n in NOTICES}
+        self.exact = [(f" {p} ", x) for p, x in EXACT.items()]
+
+    def places(self, whole: str) -> Iterator[tuple[int, int, int, str, str]]:
+        """Places (begin, end, edits, label, notice), in the text of words with spaces around, that seeds lead to."""
+        ahead = dict.fromkeys(NOTICES, 0)  # where the search for a notice goes on
+        for end, (n, places) in self.seeds.iter(whole):
+            for notice, a in places:
+                k, begin = edits_for(notice), end + 1 - n - a  # where the notice begins, were there no edits
+                if end < ahead[notice]:
+                    continue
+                if m := self.match[notice].search(whole, max(0, begin - k - 1), min(len(whole), begin + len(notice) + k + 1)):
+                    yield *m.span(), sum(m.fuzzy_counts), NOTICES[notice], notice
+                    if not sum(m.fuzzy_counts):
+                        ahead[notice] = m.end()
+        for phrase, label in self.exact:
+            at = whole.find(phrase)
+            while at >= 0:
+                yield at + 1, at + len(phrase) - 1, 0, label, phrase
+                at = whole.find(phrase, at + 1)
 
     def scan(self, text: bytes | None) -> tuple[int, list[int], set[str], list[tuple[int, int, str, int, float]]]:
         """Number of words, starts of base places, base labels, fuzzy spans (first word, end word, label, edits, likeness)."""
@@ -67,27 +111,30 @@ class Scanner:
         starts: list[int] = []
         labels: set[str] = set()
         for phrase, label in PHRASES.items():
-            at = whole.find(f" {phrase} ")
+            at, seen, upto = whole.find(f" {phrase} "), 0, 0
             while at >= 0:
-                starts.append(whole.count(" ", 0, at))
+                seen, upto = seen + whole.count(" ", upto, at), at
+                starts.append(seen)
                 labels.add(label)
                 at = whole.find(f" {phrase} ", at + 1)
-        best: dict[str, list[tuple[int, int, int]]] = {}
-        for end, (n, places) in self.seeds.iter(whole):
-            for notice, a, _ in places:
-                k, begin = edits_for(notice), end + 1 - n - a  # where the notice begins, were there no edits
-                found = best.setdefault(notice, [])
-                if any(x <= end - n + 1 and end < y for x, y, _ in found):
-                    continue
-                if m := self.match[notice].search(whole, max(0, begin - k - 1), min(len(whole), begin + len(notice) + k + 1)):
-                    found.append((*m.span(), sum(m.fuzzy_counts)))
-        spans = []
-        for notice, found in best.items():
-            for a, b, e in sorted(found, key=lambda x: (x[2], x)):
-                if all(b <= s[5] or a >= s[6] for s in spans if s[7] == notice):
-                    first = whole.count(" ", 0, a) - 1
-                    spans.append((first, first + whole.count(" ", a, b) + 1, NOTICES[notice], e, 1 - e / len(notice), a, b, notice))
-        return len(words), sorted(starts), labels, [s[:5] for s in sorted(spans)]
+        chosen = apart(set(self.places(whole)))
+        spans, seen, upto = [], -1, 0
+        for a, b, e, label, notice in chosen:
+            seen, upto = seen + whole.count(" ", upto, a), a
+            spans.append((seen, seen + whole.count(" ", a, b) + 1, label, e, 1 - e / len(notice)))
+        return len(words), sorted(starts), labels, spans
+
+
+def apart(places: set[tuple[int, int, int, str, str]]) -> list[tuple[int, int, int, str, str]]:
+    """Of places that overlap those of the longest notices, then of fewest edits, in the order of the text."""
+    begins: list[int] = []
+    kept: list[tuple[int, int, int, str, str]] = []
+    for x in sorted(places, key=lambda x: (-len(x[4]), x[2], x)):
+        k = bisect(begins, x[0])
+        if (k == 0 or kept[k - 1][1] <= x[0]) and (k == len(kept) or x[1] <= begins[k]):
+            begins.insert(k, x[0])
+            kept.insert(k, x)
+    return kept
 
 
 _scanner: list[Scanner] = []

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from .common import small_batches
 
 SPACE = "▁"
-#: Parts remembered by a worker; then the table is emptied.
-MAX_PARTS = 1_000_000
+#: Parts remembered by a worker, of so many characters at most; then the table is emptied.
+MAX_PARTS, MAX_CHARS = 500_000, 64
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -159,43 +159,39 @@ class Pieces:
 
 
 class Coder:
-    """Encodes and decodes whole documents, remembering for each part its ids in decimal form."""
+    """Encodes whole documents and decodes their ids, remembering for each part its ids in decimal form and their text."""
 
     def __init__(self, path: str):
         self.model = Pieces(path)
-        self.bare: dict[str, str] = {}
-        self.marked: dict[str, str] = {}
-        #: Parts whose ids decode to another text (unknown pieces).
-        self.odd: dict[str, str] = {}
+        self.bare: dict[str, tuple[str, str]] = {}
+        self.marked: dict[str, tuple[str, str]] = {}
         # put before a part so that its first space is not the document's first, which decoding takes away
         self.start = [next(k for k, p in enumerate(self.model.surface) if p is not None and len(p) == 1 and p != " ")]
 
-    def part(self, w: str, part: str, known: dict[str, str]) -> str:
-        """Encodes a part, remembers its ids as those of w, and decodes them."""
-        if len(known) >= MAX_PARTS:
-            known.clear()
+    def part(self, w: str, part: str, known: dict[str, tuple[str, str]]) -> tuple[str, str]:
+        """Encodes a part and decodes its ids; short ones are remembered as those of w."""
         ids = self.model.ids_of(part)
         seen = [self.model.surface[k] for k in ids]
         text = "".join(seen) if None not in seen else self.model.decode([*self.start, *ids])[len(self.start) :]
-        if text != part.replace(SPACE, " "):
-            self.odd[part] = text
-        made = known[w] = " ".join(map(str, ids))
+        made = " ".join(map(str, ids)), text
+        if len(part) <= MAX_CHARS:
+            if len(known) >= MAX_PARTS:
+                known.clear()
+            known[w] = made
         return made
 
     def document(self, text: str | None) -> tuple[str, str]:
-        """The decimal ids, the end id last, and the decoded text."""
+        """The decimal ids, the end id last, and the text that they decode to: that of each part's ids, in order."""
         text = text or ""
         m, part = self.model, self.part
         if m.prefix and text and SPACE not in text and "  " not in text and text[0] != " " != text[-1]:
             known = self.bare
             get = known.get
-            ids = [get(x) or part(x, SPACE + x, known) for x in text.split(" ")]
+            made = [get(x) or part(x, SPACE + x, known) for x in text.split(" ")]
         else:
-            ids = [self.marked.get(x) or part(x, x, self.marked) for x in m.words(text)]
-        seen = m.prefix + text
-        if self.odd:
-            seen = "".join([self.odd.get(x, x) for x in m.words(text)])
-        seen = seen.replace(SPACE, " ")
+            made = [self.marked.get(x) or part(x, x, self.marked) for x in m.words(text)]
+        seen = "".join([x[1] for x in made])
+        ids = [x[0] for x in made]
         ids.append(str(m.end))
         return " ".join(ids), seen[1:] if m.prefix and seen.startswith(" ") else seen
 

@@ -34,7 +34,9 @@ from sensorium.session import work_dir
 
 from .common import small_batches
 
-SEGMENT, RANK_BITS, MAX_WORDS, END_ID = 1 << 16, 512, 800_000, 2
+SEGMENT, RANK_BITS, END_ID = 1 << 16, 512, 2
+#: Words remembered by a worker, of so many characters at most; then the tables are emptied.
+MAX_WORDS, MAX_CHARS = 800_000, 64
 SPACES, CUT = regex.compile(r"\s\s"), regex.compile(r"(?<=\S) (?=\S)")
 
 
@@ -46,13 +48,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ".,;:!?"}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, as u32."""
+        """The ids of each text, as u32. Texts in which an added token stands are encoded as they are."""
+        held = [k for k, t in enumerate(texts) if any(x in t for x in self.added)]
+        if held:
+            out = dict(zip(held, (np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([texts[k] for k in held], add_special_tokens=False)), strict=True))
+            rest = iter(self.batch([t for k, t in enumerate(texts) if k not in out]))
+            return [out[k] if k in out else next(rest) for k in range(len(texts))]
         parts = [t.split(" ") if not SPACES.search(t) and not t[:1].isspace() and not t[-1:].isspace() else CUT.split(t) for t in texts]
         first, later = self.first, self.later
         if len(later) + len(first) > MAX_WORDS:
@@ -69,7 +76,12 @@ class Encoder:
                 if x not in known:
                     known[x] = known[letters] + self.marks[x[-1]]
         get = later.__getitem__
-        return [np.frombuffer(first[p[0]] + b"".join(map(get, p[1:])), "<u4") for p in parts]
+        out = [np.frombuffer(first[p[0]] + b"".join(map(get, p[1:])), "<u4") for p in parts]
+        for known, found in ((first, {p[0] for p in parts}), (later, {w for p in parts for w in p[1:] if len(w) > MAX_CHARS})):
+            for x in found:
+                if len(x) > MAX_CHARS:
+                    del known[x]
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
@@ -169,8 +181,37 @@ def bases(spark: SparkSession, path: str) -> dict[int, int]:
     return out
 
 
+def tokens(wanted: DataFrame, path: str) -> DataFrame:
+    """wanted (doc_id, place from 0 in the document) with the token there, each read by rank directory; places that
+    the files don't have give no row. Only the index columns are read to find segments."""
+    spark = wanted.sparkSession
+    small_batches(spark)
+    files = spark.read.parquet(path)
+    index = files.select("shard", "segment", F.posexplode(F.arrays_zip(F.col("doc_ids").alias("doc"), F.col("ends").alias("end"))).alias("k", "x"), "ends")
+    index = index.select("shard", "segment", F.col("x.doc").alias("doc_id"), F.coalesce(F.get("ends", F.col("k") - 1), F.lit(0)).alias("begin"), F.col("x.end").alias("end"))
+    asked = wanted.select("doc_id", "place").join(index, wanted["doc_id"].eqNullSafe(index["doc_id"])).where((F.col("place") >= 0) & (F.col("begin") + F.col("place") < F.col("end")))
+    asked = asked.select(wanted["doc_id"], "place", "shard", "segment", (F.col("begin") + F.col("place")).alias("at"))
+    # places of one segment go to its levels in groups of a bounded size
+    asked = asked.groupBy("shard", "segment", F.pmod(F.xxhash64("at"), F.lit(1024)).alias("g")).agg(F.collect_list(F.struct("doc_id", "place", "at")).alias("asked"))
+    both = asked.join(files.select("shard", "segment", "chunks", "bits", "ranks"), ["shard", "segment"]).select("asked", "chunks", "bits", "ranks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                own = b.column(0)[k].values
+                levels = [b.column(c)[k].as_py() for c in (1, 2, 3)]
+                found = [token(*levels, at) for at in own.field("at").to_pylist()]
+                yield pa.RecordBatch.from_arrays([own.field("doc_id"), own.field("place"), pa.array(found, pa.int64())], ["doc_id", "place", "token"])
+
+    kinds = dict(wanted.dtypes)
+    return both.mapInArrow(run, f"doc_id {kinds['doc_id']}, place {kinds['place']}, token long")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document in the files."""
+    """doc_id, start, n_tokens, ids_crc32, first_token of each document in the files.
+
+    A document's first and last token are read by rank directory too, and must be those of the unpacked segment.
+    """
     small_batches(spark)
     files = spark.read.parquet(path)
     base = bases(spark, path)
@@ -179,15 +220,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(b.num_rows):
-                row = {n: b.column(n)[k] for n in ("shard", "start", "doc_ids", "ends", "chunks", "bits")}
-                ids = unpack(row["chunks"].as_py(), row["bits"].as_py())
+                row = {n: b.column(n)[k] for n in ("shard", "start", "doc_ids", "ends", "chunks", "bits", "ranks")}
+                levels = [row[n].as_py() for n in ("chunks", "bits", "ranks")]
+                ids = unpack(*levels[:2])
                 ends = row["ends"].values.to_numpy(zero_copy_only=False)
                 starts = np.r_[0, ends[:-1]]
                 sums = [zlib.crc32(ids[a:e].tobytes()) for a, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                for places in (starts, ends - 1):
+                    if [token(*levels, k) for k in places.tolist()] != ids[places].tolist():
+                        raise ValueError(f"rank directory and codes differ in {path}")
                 at = base[row["shard"].as_py()] + row["start"].as_py()
-                yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(starts + at), pa.array(ends - starts), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(starts + at), pa.array(ends - starts), pa.array(sums, pa.int64()), pa.array(ids[starts], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32", "first_token"])
 
-    return files.select("shard", "start", "doc_ids", "ends", "chunks", "bits").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return files.select("shard", "start", "doc_ids", "ends", "chunks", "bits", "ranks").mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, first_token long")
 
 
 def written(docs: DataFrame, tokenizer: str) -> str:
