@@ -46,6 +46,8 @@ WORDS, BOTH = 9, 12
 CHARS_FOR_AN_EDIT = 5
 #: Fingerprints of a bucket, and lines of a connected part, that a task compares at once.
 TILE, PART = 1 << 17, 1 << 11
+#: Words of lines that are hashed at once.
+WORDS_AT_ONCE = 1 << 17
 #: Bits of a bucket row's key below the bucket: the line's length, then the further bits of its SimHash.
 CHAR_BITS, MORE_BITS = 17, 31
 #: As WORD_TABLE without lower-casing; line ends stay.
@@ -95,31 +97,38 @@ def hashed_lines(given: DataFrame) -> DataFrame:
     b of pairs of characters; null where it has none)."""
     small_batches(given.sparkSession)
 
+    def made(batch: pa.RecordBatch, rows: list[int], nos: list[int], word_lists: list[list[bytes]]) -> pa.RecordBatch:
+        norms = [b" ".join(w) for w in word_lists]
+        h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, norms)), np.int64).reshape(-1, 2)
+        chars = [len(x) if x.isascii() else len(x.decode()) for x in norms]
+        n_words = np.fromiter(map(len, word_lists), np.int64, len(rows))
+        columns = []
+        for chosen, make in ((n_words >= WORDS, set), (n_words < BOTH, char_pairs)):
+            values = np.zeros((2, len(rows)), np.int64)
+            at = np.flatnonzero(chosen)
+            if len(at):
+                sets = [make(word_lists[k]) for k in at]
+                values[:, at] = [x.view(np.int64) for x in simhashes([x for s in sets for x in s], list(map(len, sets)))]
+            columns += [pa.array(v, mask=~chosen) for v in values]
+        own = batch.select([0, 1, 2]).take(pa.array(rows))
+        return pa.RecordBatch.from_arrays([*own.columns, pa.array(nos, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(chars, pa.int32()), *columns], ["__id", "__k1", "__k2", "no", "h1", "h2", "chars", "a", "ax", "b", "bx"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, nos, norms, word_lists = [], [], [], []
-            for r, text in enumerate(batch.column(3).to_pylist()):
+            rows, nos, word_lists, held = [], [], [], 0
+            for r in range(batch.num_rows):
+                text = batch.column(3)[r].as_py()
                 for no, w in enumerate(normalised(text) if text else ()):
                     if w:
                         rows.append(r)
                         nos.append(no)
-                        norms.append(b" ".join(w))
                         word_lists.append(w)
-            if not rows:
-                continue
-            h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, norms)), np.int64).reshape(-1, 2)
-            chars = [len(x) if x.isascii() else len(x.decode("utf-8")) for x in norms]
-            n_words = np.fromiter(map(len, word_lists), np.int64, len(rows))
-            columns = []
-            for chosen, make in ((n_words >= WORDS, set), (n_words < BOTH, char_pairs)):
-                values = np.zeros((2, len(rows)), np.int64)
-                at = np.flatnonzero(chosen)
-                if len(at):
-                    sets = [make(word_lists[k]) for k in at]
-                    values[:, at] = [x.view(np.int64) for x in simhashes([x for s in sets for x in s], list(map(len, sets)))]
-                columns += [pa.array(v, mask=~chosen) for v in values]
-            own = batch.select([0, 1, 2]).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(nos, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(chars, pa.int32()), *columns], ["__id", "__k1", "__k2", "no", "h1", "h2", "chars", "a", "ax", "b", "bx"])
+                        held += len(w)
+                    if held > WORDS_AT_ONCE:
+                        yield made(batch, rows, nos, word_lists)
+                        rows, nos, word_lists, held = [], [], [], 0
+            if rows:
+                yield made(batch, rows, nos, word_lists)
 
     return given.mapInArrow(run, f"__id {dict(given.dtypes)['__id']}, __k1 long, __k2 long, {LINES}")
 
@@ -170,21 +179,31 @@ def bucket_rows(classes: DataFrame, radius: int, blocks: int) -> tuple[DataFrame
 
 
 def neighbours(fp: np.ndarray, more: np.ndarray, chars: np.ndarray, radius: int, most: int, at_once: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Chunks of pairs (i, j), i < j, of neighbours; chars is sorted."""
+    """Chunks of pairs (i, j), i < j, of neighbours; chars is sorted. The further bits, half as wide, are compared first."""
     n = len(fp)
+    more = more.astype(np.uint32)
     upto = np.searchsorted(chars, chars * CHARS_FOR_AN_EDIT // (CHARS_FOR_AN_EDIT - 1), "right")
+    apart, count, near = np.empty(at_once + n, np.uint32), np.empty(at_once + n, np.uint8), np.empty(at_once + n, bool)
     at = 0
     while at < n - 1:
         rows = max(1, min(n - 1 - at, at_once // max(1, int(upto[at]) - at)))
         end = int(upto[at + rows - 1])
-        near = np.bitwise_count(fp[at : at + rows, None] ^ fp[None, at + 1 : end]) <= radius
-        i, j = np.nonzero(near)
-        i, j = i + at, j + at + 1
-        ok = (i < j) & (j < upto[i])
-        i, j = i[ok], j[ok]
-        ok = np.bitwise_count(more[i] ^ more[j]) <= most
-        if ok.any():
-            yield i[ok], j[ok]
+        while rows > 1 and rows * (end - at - 1) > at_once:
+            rows //= 2
+            end = int(upto[at + rows - 1])
+        wide = end - at - 1
+        if wide:
+            x = apart[: rows * wide].reshape(rows, wide)
+            np.bitwise_xor(more[at : at + rows, None], more[None, at + 1 : end], out=x)
+            np.bitwise_count(x, out=(c := count[: rows * wide].reshape(rows, wide)))
+            np.less_equal(c, most, out=(ok := near[: rows * wide].reshape(rows, wide)))
+            i, j = np.divmod(np.flatnonzero(ok.reshape(-1)), wide)
+            i, j = i + at, j + at + 1
+            ok = (i < j) & (j < upto[i])
+            i, j = i[ok], j[ok]
+            ok = np.bitwise_count(fp[i] ^ fp[j]) <= radius
+            if ok.any():
+                yield i[ok], j[ok]
         at += rows
 
 
