@@ -72,7 +72,7 @@ def shape(pts: Column) -> Column:
     b, a, p = bounds(pts), area(pts), perimeter(pts)
     w, h = b.x1 - b.x0, b.y1 - b.y0
     ratio = lambda x, y: F.coalesce(x / F.nullif(y, F.lit(0.0)), F.lit(0.0))
-    return F.struct(a.alias("area"), p.alias("perimeter"), w.alias("width"), h.alias("height"), ratio(4 * PI * a, p * p).alias("compactness"), ratio(a, w * h).alias("rect_fit"), ratio(F.greatest(w, h), F.least(w, h)).alias("aspect_ratio"))
+    return F.struct(a.alias("area"), p.alias("perimeter"), w.alias("width"), h.alias("height"), ratio(4 * PI * a, p * p).alias("compactness"), ratio(a, w * h).alias("rect_fit"), ratio(w, h).alias("aspect_ratio"))
 
 
 def ring(points) -> np.ndarray:
@@ -215,13 +215,18 @@ def simplify_ring(r: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def boundary_points(r: np.ndarray, most: int = 20) -> np.ndarray:
-    """At most so many points at even distances along the boundary."""
-    if len(r) <= most:
-        return r
-    closed = np.vstack([r, r[:1]])
-    along = np.r_[0, np.cumsum(np.hypot(*np.diff(closed, axis=0).T))]
-    at = np.linspace(0, along[-1], most, endpoint=False)
-    return np.column_stack([np.interp(at, along, closed[:, k]) for k in (0, 1)])
+    """At most so many points along the boundary: each edge is cut evenly into as many parts as the mean distance fits
+    into it (one at least), and begins each part with a point. None for fewer than three corners."""
+    if len(r) < 3:
+        return r[:0]
+    step = np.roll(r, -1, 0) - r
+    length = np.hypot(*step.T)
+    if not length.any():
+        return r[:most]
+    parts = np.maximum(1, (length / (length.sum() / most)).astype(int))
+    edge = np.repeat(np.arange(len(r)), parts)
+    t = (np.arange(len(edge)) - np.repeat(np.cumsum(parts) - parts, parts)) / parts[edge]
+    return (r[edge] + t[:, None] * step[edge])[:most]
 
 
 def _points_udf(fn):

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorium.functions import geometry as g
 from sensorium.session import ship, stash
 
+from .calendar import dense_index
+
 
 def sides(rooms: DataFrame, s: str) -> DataFrame:
     """room_uri, floor_number and points of rooms with bounds, each prefixed."""
@@ -67,12 +71,14 @@ def horizontal_weighted(rooms: DataFrame, threshold: float = 5.0, min_shared: fl
 
 def vertical(rooms: DataFrame, weighted: bool = False, min_overlap: float = 0.05, min_weight: float = 0.0) -> DataFrame:
     """src, dst, weight of rooms on neighbouring floors whose outlines overlap by more than min_overlap; weighted: the
-    overlap's share of src's area."""
+    overlap's share of src's area, and min_weight (if any) for all other rooms of neighbouring floors."""
     a, b = sides(rooms, "a"), sides(rooms, "b").withColumn("a_floor", F.col("b_floor") - 1)
-    over = a.join(b, "a_floor").where(_apart(0.0)).withColumn("overlap", g.polygon_overlap("a_points", "b_points")).where(F.col("overlap") > min_overlap)
+    every = weighted and min_weight > 0
+    over = a.join(b, "a_floor").where(F.lit(True) if every else _apart(0.0)).withColumn("overlap", g.polygon_overlap("a_points", "b_points"))
+    over = over if every else over.where(F.col("overlap") > min_overlap)
 
     def edge(s: str, d: str) -> DataFrame:
-        w = F.greatest(F.col("overlap") / g.area(F.col(f"{s}_points")), F.lit(min_weight)) if weighted else F.lit(1.0)
+        w = F.when(F.col("overlap") > min_overlap, F.col("overlap") / g.area(F.col(f"{s}_points"))).otherwise(min_weight) if weighted else F.lit(1.0)
         return over.select(F.col(f"{s}_room").alias("src"), F.col(f"{d}_room").alias("dst"), w.alias("weight"))
 
     return edge("a", "b").unionByName(edge("b", "a"))
@@ -87,12 +93,14 @@ def combined(*edges: DataFrame) -> DataFrame:
 
 
 def outside(rooms: DataFrame, horizontal: DataFrame | None = None) -> DataFrame:
-    """room_uri, weight to the outside: 1 with windows, else 0; with weighted horizontal edges what these leave of 1,
-    for rooms with windows or not."""
+    """room_uri, weight to the outside: 1 with windows, else 0; with weighted horizontal edges what these leave of 1
+    to rooms with windows, and 0 to others."""
+    windows = F.coalesce(F.col("has_windows").cast("double"), F.lit(0.0))
     if horizontal is None:
-        return rooms.select("room_uri", F.coalesce(F.col("has_windows").cast("double"), F.lit(0.0)).alias("weight"))
+        return rooms.select("room_uri", windows.alias("weight"))
     used = horizontal.groupBy(F.col("src").alias("room_uri")).agg(F.sum("weight").alias("used"))
-    return rooms.select("room_uri").join(used, "room_uri", "left").select("room_uri", F.greatest(F.lit(0.0), 1 - F.coalesce("used", F.lit(0.0))).alias("weight"))
+    left = windows * F.greatest(F.lit(0.0), 1 - F.coalesce("used", F.lit(0.0)))
+    return rooms.select("room_uri", "has_windows").join(used, "room_uri", "left").select("room_uri", left.alias("weight"))
 
 
 def with_outside(edges: DataFrame, out: DataFrame) -> DataFrame:
@@ -100,7 +108,7 @@ def with_outside(edges: DataFrame, out: DataFrame) -> DataFrame:
     return edges.unionByName(out.where("weight > 0").select(F.lit("outside").alias("src"), F.col("room_uri").alias("dst"), "weight"))
 
 
-def propagation(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
+def propagation(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """room_uri, activation_step: 0 for seeds (rooms with devices); k + 1 for rooms with an edge from a room of step k
     that no earlier step reached. Rooms that nothing reaches are left out.
 
@@ -108,13 +116,40 @@ def propagation(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataF
     """
     front = stash(seeds.select("room_uri").distinct().withColumn("activation_step", F.lit(0)), "round")
     known = front
-    for k in range(1, rounds + 1):
+    for k in count(1):
         new = edges.where("weight > 0").join(front.select(F.col("room_uri").alias("src")), "src", "left_semi").select(F.col("dst").alias("room_uri")).distinct()
         front = stash(new.join(known, "room_uri", "left_anti").withColumn("activation_step", F.lit(k)), "round")
         if front.isEmpty():
             return known
         known = known.unionByName(front)
-    return known
+
+
+def bundle(rooms: DataFrame, mode: str = "binary", kind: str = "combined", seeds: DataFrame | None = None, outside_node: bool = False) -> dict[str, DataFrame]:
+    """All adjacency of rooms by mode (binary or weighted) and kind (horizontal, vertical or combined).
+
+    edges: those of the kind, with the node `outside` among them if asked for; horizontal and vertical, if they are part
+    of it; outside: weights to the outside; steps, with seeds: when a room is reached, over these edges (the outside, if
+    a node, is there from the start).
+    """
+    if mode not in ("binary", "weighted") or kind not in ("horizontal", "vertical", "combined"):
+        raise ValueError(f"unknown mode {mode} or kind {kind}")
+    own = {}
+    if kind != "vertical":
+        own["horizontal"] = horizontal_weighted(rooms) if mode == "weighted" else horizontal_binary(rooms)
+    if kind != "horizontal":
+        own["vertical"] = vertical(rooms, weighted=mode == "weighted")
+    edges = combined(*own.values())
+    across = own.get("horizontal") if mode == "weighted" else None
+    out = outside(rooms, across)
+    if outside_node:
+        edges = with_outside(edges, out)
+    made = {**own, "outside": out, "edges": edges}
+    if seeds is not None:
+        start = seeds.select("room_uri")
+        if outside_node:
+            start = start.unionByName(seeds.sparkSession.createDataFrame([("outside",)], "room_uri string"))
+        made["steps"] = propagation(edges, start)
+    return made
 
 
 def masked_edges(edges: DataFrame, steps: DataFrame, step: int) -> DataFrame:
@@ -129,24 +164,43 @@ def by_kind(masked: DataFrame, horizontal: DataFrame, up: DataFrame) -> tuple[Da
     return masked.join(horizontal.select(*keys), keys, "left_semi"), masked.join(up.select(*keys), keys, "left_semi")
 
 
-def shift_operator(edges: DataFrame, kind: str) -> DataFrame:
-    """Normalised edges. Kinds: rw (over the number of src's edges), col (of dst's), sym (over the roots of both
-    weighted degrees); with the suffix _renorm self-loops of weight 1 are added first; _lap gives 1 - that."""
+def shift_operator(edges: DataFrame, kind: str, nodes: DataFrame | None = None) -> DataFrame:
+    """Normalised edges of a graph of nodes (room_uri; by default those that have edges).
+
+    rw divides weights by the number of src's edges, col by that of dst's, sym by the roots of both ends' sums of
+    incoming weights; with the suffix _renorm every node has a loop of weight 1 first (for sym, if it has none). loops
+    only adds the loops. _lap, of rw and sym, leaves loops out, divides by the sums of outgoing weights (src's, or the
+    roots of both ends'), and takes the result from loops of weight 1.
+    """
     base, *more = kind.split("_")
-    loops = edges.select(F.col("src").alias("n")).unionByName(edges.select(F.col("dst").alias("n"))).distinct().select(F.col("n").alias("src"), F.col("n").alias("dst"), F.lit(1.0).alias("weight"))
     e = edges.select("src", "dst", "weight")
-    if "renorm" in more:
-        e = combined(e, loops)
-    if base in ("rw", "col"):
-        end = "src" if base == "rw" else "dst"
-        deg = e.groupBy(end).agg(F.count("*").cast("double").alias("d"))
-        out = e.join(deg, end).select("src", "dst", (F.col("weight") / F.col("d")).alias("weight"))
-    elif base == "sym":
-        du, dv = e.groupBy("src").agg(F.sum("weight").alias("du")), e.groupBy("dst").agg(F.sum("weight").alias("dv"))
-        out = e.join(du, "src").join(dv, "dst").select("src", "dst", (F.col("weight") / F.sqrt(F.col("du") * F.col("dv"))).alias("weight"))
-    else:
+    ends = e.select("src").unionByName(e.select(F.col("dst").alias("src"))).distinct() if nodes is None else nodes.select(F.col("room_uri").alias("src"))
+    loops = ends.select("src", F.col("src").alias("dst"), F.lit(1.0).alias("weight"))
+    if base not in ("rw", "col", "sym", "loops") or base == "col" and "lap" in more:
         raise ValueError(f"unknown kind {kind}")
-    return combined(loops, out.withColumn("weight", -F.col("weight"))) if "lap" in more else out
+    if base == "loops":
+        return combined(e, loops)
+    if "lap" in more:
+        e = e.where("src <> dst")
+        d = e.groupBy(F.col("src").alias("n")).agg(F.sum("weight").alias("d"))
+        return combined(loops, _over(e, d, base).withColumn("weight", -F.col("weight")))
+    if "renorm" in more:
+        own = e.where("src = dst").select("src", "dst")
+        e = combined(e, loops.join(own, ["src", "dst"], "left_anti") if base == "sym" else loops)
+    if base == "sym":
+        return _over(e, e.groupBy(F.col("dst").alias("n")).agg(F.sum("weight").alias("d")), base)
+    end = "src" if base == "rw" else "dst"
+    degree = e.groupBy(end).agg(F.count("*").cast("double").alias("d"))
+    return e.join(degree, end).select("src", "dst", (F.col("weight") / F.col("d")).alias("weight"))
+
+
+def _over(e: DataFrame, degrees: DataFrame, base: str) -> DataFrame:
+    """Weights over src's degree, or over the roots of both ends' (n, d); without or with degree 0 the weight is 0."""
+    side = lambda end: degrees.select(F.col("n").alias(end), F.col("d").alias(f"{end}_d"))
+    both = e.join(side("src"), "src", "left").join(side("dst"), "dst", "left")
+    part = lambda end: F.coalesce(1 / F.nullif(F.col(f"{end}_d"), F.lit(0.0)), F.lit(0.0))
+    by = F.sqrt(part("src")) * F.sqrt(part("dst")) if base == "sym" else part("src")
+    return both.select("src", "dst", (F.col("weight") * by).alias("weight"))
 
 
 def spread(edges: DataFrame, values: DataFrame, cols: list[str]) -> DataFrame:
@@ -159,9 +213,7 @@ def spread(edges: DataFrame, values: DataFrame, cols: list[str]) -> DataFrame:
 
 def node_index(rooms: DataFrame) -> DataFrame:
     """room_uri and its dense number in the order of room numbers as texts (ties by uri)."""
-    from pyspark.sql import Window
-
-    return rooms.select("room_uri", (F.row_number().over(Window.orderBy("room_number", "room_uri")) - 1).alias("node_idx"))
+    return dense_index(rooms.select("room_uri", "room_number"), ["room_number", "room_uri"], "node_idx").select("room_uri", "node_idx")
 
 
 def normalised_areas(rooms: DataFrame) -> DataFrame:

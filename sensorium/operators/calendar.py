@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 
 @dataclass(frozen=True)
 class Calendar:
@@ -128,5 +130,6 @@ def strata(spine: DataFrame) -> DataFrame:
 
 
 def dense_index(df: DataFrame, by: list[str], name: str) -> DataFrame:
-    """df with a dense number from 0 by order; for dimension tables, as all rows meet in one task."""
-    return df.withColumn(name, (F.row_number().over(Window.orderBy(*by)) - 1).cast("int"))
+    """df with a dense number from 0 in the order of some columns, in which no two rows are equal."""
+    ordered = df.withColumn("__order", F.struct(*by))
+    return numbered(ordered, "__order", name).drop("__order").withColumn(name, F.col(name).cast("int"))

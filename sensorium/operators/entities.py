@@ -60,24 +60,26 @@ def polygons(triples: DataFrame, document: bool = False) -> DataFrame:
 
 
 def windows(triples: DataFrame) -> DataFrame:
-    """room_uri, headings, directions, and their features."""
+    """room_uri, headings, directions, and their features, of every room; one without windows has empty lists."""
     w = of(triples, f"{EXO}hasWindow", "room_uri", "w").join(of(triples, f"{EXO}hasFacingDirection", "w", "heading"), "w").join(of(triples, f"{EXO}facingRelativeDirection", "w", "direction"), "w")
     lists = w.groupBy("room_uri").agg(F.array_sort(F.collect_list(F.struct(F.col("heading").try_cast("double").alias("heading"), "direction"))).alias("x"))
-    return window_features(lists.select("room_uri", F.col("x.heading").alias("headings"), F.col("x.direction").alias("directions")))
+    flat = rooms(triples).select("room_uri").join(lists, "room_uri", "left")
+    return window_features(flat.select("room_uri", F.coalesce("x.heading", F.array().cast("array<double>")).alias("headings"), F.coalesce("x.direction", F.array().cast("array<string>")).alias("directions")))
 
 
 def window_features(rooms_with_lists: DataFrame) -> DataFrame:
-    """Circular mean of headings as sine and cosine (3 digits, half to even), whether there are several different
-    ones, and a flag for each side."""
-    mean = lambda f: F.bround(F.aggregate(F.transform("headings", lambda h: f(F.radians(h))), F.lit(0.0), lambda a, b: a + b) / F.nullif(F.size("headings"), F.lit(0)), 3)
+    """Circular mean of the headings that are numbers as sine and cosine (3 digits, half to even; 0 and 0 without any),
+    whether there are several, of different windows, and a flag for each side."""
+    known = F.array_compact("headings")
+    mean = lambda f: F.coalesce(F.bround(F.aggregate(F.transform(known, lambda h: f(F.radians(h))), F.lit(0.0), lambda a, b: a + b) / F.nullif(F.size(known), F.lit(0)), 3), F.lit(0.0))
     on = lambda side: F.exists("directions", lambda d: F.contains(F.lower(d), F.lit(side)))
     sides = {f"has_{s}_windows": on(s) for s in ("back", "front", "right", "left")}
-    return rooms_with_lists.withColumns({"direction_sin": mean(F.sin), "direction_cos": mean(F.cos), "has_multiple_windows": F.size(F.array_distinct("headings")) > 1, **sides})
+    return rooms_with_lists.withColumns({"direction_sin": mean(F.sin), "direction_cos": mean(F.cos), "has_multiple_windows": F.size(known) > 1, **sides})
 
 
 def devices(triples: DataFrame) -> DataFrame:
     """device_uri, room_uri, manufacturer, model, device_type; of several values the least."""
-    preds = {f"{S4BLDG}isContainedIn": "room_uri", f"{SAREF}hasManufacturer": "manufacturer", f"{SAREF}hasModel": "model", f"{EXO}hasDeviceType": "device_type"}
+    preds = {f"{S4BLDG}isContainedIn": "room_uri", f"{SAREF}hasManufacturer": "manufacturer", f"{SAREF}hasModel": "model", f"{PREFIXES['ic']}hasDeviceType": "device_type"}
     named = [F.min(F.when(F.col("p") == p, F.col("o"))).alias(a) for p, a in preds.items()]
     is_device = F.max((F.col("p") == RDF_TYPE) & (F.col("o") == f"{PREFIXES['s4ener']}Device")).alias("dev")
     rows = triples.where(F.col("p").isin([*preds, RDF_TYPE])).groupBy("s").agg(is_device, *named).where("dev")

@@ -36,7 +36,7 @@ def static_edges(nodes: dict[str, DataFrame], rooms: DataFrame, edges: DataFrame
 
 def property_nodes(nodes: dict[str, DataFrame], device_level: DataFrame) -> DataFrame:
     """bucket_idx, node_idx, mean, has_measurement of every property node: one join for all buckets."""
-    return device_level.join(F.broadcast(nodes["property"]), ["device_uri", "property_type"]).select("bucket_idx", "node_idx", "property_type", "mean", "has_measurement")
+    return device_level.join(nodes["property"], ["device_uri", "property_type"]).select("bucket_idx", "node_idx", "property_type", "mean", "has_measurement")
 
 
 def outside_nodes(weather: DataFrame, spine: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorium.session import small
+
 from .calendar import Calendar, between
 
 ROOM_STATS = ["mean", "std", "average_intra_device_variation", "max", "min", "count", "n_active_devices", "has_measurement"]
@@ -86,12 +88,12 @@ def drop_high_missingness(device: DataFrame, threshold: float = 0.15) -> DataFra
 
 
 def with_rooms(device: DataFrame, devices: DataFrame, rooms: DataFrame) -> DataFrame:
-    """device with room_uri and floor_number; ValueError if a device has no room or a room no floor."""
+    """device with room_uri and floor_number. A device without a room, or a room without a floor, makes the job fail
+    when it meets its first row: nothing has to be computed beforehand to know."""
     place = devices.select("device_uri", "room_uri").join(rooms.select("room_uri", "floor_number"), "room_uri", "left")
-    lost = device.select("device_uri").distinct().join(place.where("floor_number is not null"), "device_uri", "left_anti")
-    if not lost.isEmpty():
-        raise ValueError("devices without a room on a floor")
-    return device.join(F.broadcast(place), "device_uri")
+    found = device.join(small(place), "device_uri", "left")
+    lost = F.raise_error(F.concat(F.lit("device without a room on a floor: "), F.col("device_uri"))).cast(dict(found.dtypes)["floor_number"])
+    return found.withColumn("floor_number", F.coalesce("floor_number", lost))
 
 
 def only_alone(std: str, n: str) -> Column:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 #: Upper borders of the bins of absolute change for two properties, the last bin being open.
-DELTA_BINS = {"CO2Level": [10.0, 50.0, 100.0], "Temperature": [0.1, 0.5, 1.0]}
+DELTA_BINS = {"CO2Level": [10.0, 100.0, 250.0], "Temperature": [0.5, 2.0, 5.0]}
+#: The same as multiples of the deviation of all changes.
+STD_BINS = [0.1, 1.0, 3.0]
 STEADY = 1e-6
 
 
@@ -49,19 +53,29 @@ def hard_bins(delta: Column, borders: list[float]) -> Column:
     return out
 
 
+def categories(delta: Column) -> Column:
+    """Overall, and Positive or Negative where the change is one."""
+    return F.array_compact(F.array(F.lit("Overall"), F.when(delta > STEADY, "Positive").when(delta < -STEADY, "Negative")))
+
+
 def binned(df: DataFrame, borders: list[float]) -> DataFrame:
     """Metrics by bins of the absolute change (y - source), for all rows and for rising and falling ones; empty bins
     give no row. Needs y, p and source."""
     delta = F.col("y") - F.col("source")
-    sign = F.when(delta > STEADY, "Positive").when(delta < -STEADY, "Negative")
-    rows = df.select("y", "p", hard_bins(delta, borders).alias("bin_label"), F.explode(F.array_compact(F.array(F.lit("Overall"), sign))).alias("category"))
+    rows = df.select("y", "p", hard_bins(delta, borders).alias("bin_label"), F.explode(categories(delta)).alias("category"))
     return rows.groupBy("category", "bin_label").agg(*regression())
 
 
-def std_borders(df: DataFrame, multiples: list[float] = (0.5, 1.0, 2.0)) -> list[float]:
-    """Borders at multiples of the changes' population deviation."""
-    s = df.agg(F.stddev_pop(F.col("y") - F.col("source"))).first()[0] or 0.0
-    return [m * s for m in multiples]
+def std_binned(df: DataFrame, multiples: list[float] = STD_BINS) -> DataFrame:
+    """As binned, with borders at multiples of the population deviation of all changes; no rows for fewer than two."""
+    spread = df.agg(F.stddev_pop(F.col("y") - F.col("source")).alias("__s"), F.count("*").alias("__n")).where("__n > 1").select("__s")
+    delta, s = F.col("y") - F.col("source"), F.col("__s")
+    label = F.lit(f">={multiples[-1]:g}std")
+    for lo, hi in reversed(list(zip([0.0, *multiples], multiples, strict=False))):
+        label = F.when(F.abs(delta) < hi * s, f"[{lo:g},{hi:g})std").otherwise(label)
+    rows = df.crossJoin(F.broadcast(spread))  # one row
+    rows = rows.select("y", "p", label.alias("bin_label"), F.explode(categories(delta)).alias("category"))
+    return rows.groupBy("category", "bin_label").agg(*regression())
 
 
 def confusion(df: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -78,8 +92,7 @@ def confusion(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 def curve(df: DataFrame) -> DataFrame:
     """Cumulative true and false positives by distinct score, highest first. Scores are counted before they meet."""
     per = df.groupBy("p").agg(F.sum((F.col("y") == 1).cast("long")).alias("pos"), F.sum((F.col("y") != 1).cast("long")).alias("neg"))
-    w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("p", "pos", "neg", F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"))
+    return running(per, F.desc("p"), {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
 def ranking(df: DataFrame) -> DataFrame:

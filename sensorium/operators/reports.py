@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorium.session import ship, stash
 
+from .ordered import running
+
 #: Comfortable ranges by property.
 OPTIMAL = {"Temperature": (21.0, 24.0), "Humidity": (40.0, 60.0), "CO2Level": (0.0, 800.0)}
 
@@ -63,13 +65,12 @@ def correlations(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def spearman(df: DataFrame, cols: list[str]) -> DataFrame:
-    """As correlations, of mean ranks. Ranks come from counts by value, so only different values meet in a task."""
+    """As correlations, of mean ranks. Ranks come from counts by value, and running totals over ranges of values."""
     df = stash(df.select(*cols), "ranked")  # the values that are ranked must be those that are joined
     out = df
     for c in cols:
         per = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("__n"))
-        upto = F.sum("__n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        ranks = per.select(c, (upto - (F.col("__n") - 1) / 2).alias(f"__rank_{c}"))
+        ranks = running(per, c, {"__upto": F.col("__n")}).select(c, (F.col("__upto") - (F.col("__n") - 1) / 2).alias(f"__rank_{c}"))
         out = out.join(ranks, c, "left")
     renamed = out.select(*[F.col(f"__rank_{c}").alias(c) for c in cols])
     return correlations(renamed, cols)

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorium.functions import geometry
-from sensorium.operators import adjacency, calendar, entities, graph_tables, levels, metrics, reports, scaling, splits, windows
+from sensorium.operators import adjacency, calendar, entities, features, graph_tables, levels, metrics, reports, scaling, splits, windows
 from sensorium.plans import forecast
 from sensorium.plans import standin as t
+from sensorium.session import small
+from sensorium.sources import triples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,7 +40,7 @@ STATS = f"""{PL}, stats AS (SELECT device_uri, property_type, bucket_idx, avg(va
 GRID = f"""{SPINE}, {STATS}, grid AS (SELECT d.device_uri, p.property_type, s.bucket_idx, mean, CASE WHEN coalesce(count, 0) = 1 THEN 0.0 ELSE std END AS std, max, min, coalesce(count, 0) AS count, CAST(coalesce(count, 0) > 0 AS INTEGER) AS has_measurement
   FROM (SELECT DISTINCT device_uri FROM stats) d CROSS JOIN (SELECT DISTINCT property_type FROM stats) p CROSS JOIN spine s LEFT JOIN stats x ON x.device_uri = d.device_uri AND x.property_type = p.property_type AND x.bucket_idx = s.bucket_idx)"""
 CLEAN = f"""{GRID}, clean AS (SELECT device_uri, property_type, bucket_idx, CASE WHEN bucket_idx % 24 = 23 OR count > 1 THEN NULL ELSE mean END AS mean, CASE WHEN bucket_idx % 24 = 23 OR count > 1 THEN 0 ELSE has_measurement END AS has_measurement FROM grid)"""
-ROOMS = """rooms AS (SELECT 'room' || n_nationkey AS room_uri, n_name AS room_number, n_regionkey AS floor_number, n_nationkey % 5 * 10.0 AS x, n_nationkey // 5 % 2 * 10.0 AS y, 8.0 + n_nationkey % 3 AS w, 7.0 + n_nationkey % 4 AS h, n_nationkey % 2 = 0 AS has_windows FROM nation),
+ROOMS = """rooms AS (SELECT 'room' || n_nationkey AS room_uri, n_name AS room_number, n_regionkey AS floor_number, CAST(n_nationkey * 31 % 41 AS DOUBLE) AS x, CAST(n_nationkey * 19 % 23 AS DOUBLE) AS y, 8.0 + n_nationkey % 3 AS w, 7.0 + n_nationkey % 4 AS h, n_nationkey % 2 = 0 AS has_windows FROM nation),
  devices AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS device_uri, 'room' || (user_id % 25) AS room_uri FROM events)"""
 ROOM = f"""{GRID}, {ROOMS}, room AS (SELECT room_uri, floor_number, bucket_idx, property_type, avg(mean) AS mean, CASE WHEN stddev_samp(mean) IS NULL AND sum(has_measurement) = 1 THEN 0.0 ELSE stddev_samp(mean) END AS std, avg(std) AS average_intra_device_variation,
   max(max) AS max, min(min) AS min, CAST(sum(count) AS BIGINT) AS count, CAST(sum(has_measurement) AS BIGINT) AS n_active_devices, max(has_measurement) AS has_measurement FROM grid JOIN devices USING (device_uri) JOIN rooms USING (room_uri) GROUP BY room_uri, floor_number, bucket_idx, property_type)"""
@@ -228,10 +230,16 @@ def regression_metrics(spark, sf):
     return coarse(metrics.overall_and_by(forecasts(spark, sf), "horizon"))
 
 
-@query(f"""WITH {YP}, b AS (SELECT *, CASE WHEN abs(y - p) < 10 THEN '[0,10)' WHEN abs(y - p) < 50 THEN '[10,50)' WHEN abs(y - p) < 100 THEN '[50,100)' ELSE '>=100' END AS bin_label, CASE WHEN y - p > 1e-6 THEN 'Positive' WHEN y - p < -1e-6 THEN 'Negative' END AS sign FROM ok)
+@query(f"""WITH {YP}, b AS (SELECT *, CASE WHEN abs(y - p) < 10 THEN '[0,10)' WHEN abs(y - p) < 100 THEN '[10,100)' WHEN abs(y - p) < 250 THEN '[100,250)' ELSE '>=250' END AS bin_label, CASE WHEN y - p > 1e-6 THEN 'Positive' WHEN y - p < -1e-6 THEN 'Negative' END AS sign FROM ok)
  SELECT category, bin_label, {REG} FROM (SELECT *, 'Overall' AS category FROM b UNION ALL SELECT *, sign FROM b WHERE sign IS NOT NULL) GROUP BY category, bin_label HAVING var_pop(y) > 0""")
 def binned_metrics(spark, sf):
-    return coarse(metrics.binned(forecasts(spark, sf), [10.0, 50.0, 100.0]).where("n > 1"))
+    return coarse(metrics.binned(forecasts(spark, sf), metrics.DELTA_BINS["CO2Level"]).where("n > 1"))
+
+
+@query(f"""WITH {YP}, s AS (SELECT stddev_pop(y - p) AS s FROM ok), b AS (SELECT ok.*, CASE WHEN abs(y - p) < 0.1 * s THEN '[0,0.1)std' WHEN abs(y - p) < s THEN '[0.1,1)std' WHEN abs(y - p) < 3 * s THEN '[1,3)std' ELSE '>=3std' END AS bin_label, CASE WHEN y - p > 1e-6 THEN 'Positive' WHEN y - p < -1e-6 THEN 'Negative' END AS sign FROM ok, s)
+ SELECT category, bin_label, {REG} FROM (SELECT *, 'Overall' AS category FROM b UNION ALL SELECT *, sign FROM b WHERE sign IS NOT NULL) GROUP BY category, bin_label HAVING var_pop(y) > 0""")
+def std_binned_metrics(spark, sf):
+    return coarse(metrics.std_binned(forecasts(spark, sf)).where("n > 1"))
 
 
 @query(f"WITH {YP} SELECT round(avg(abs(y - p)), 8) + 0.0 AS mae, round(sqrt(avg(pow(y - p, 2))), 8) + 0.0 AS rmse, round(sum(abs(y - p)) / sum(y), 8) + 0.0 AS wmape FROM ok")
@@ -300,7 +308,7 @@ def outside_windows(spark, sf):
     return adjacency.outside(t.rooms(spark, sf))
 
 
-@query(f"WITH {PAIRS} SELECT room_uri, round(greatest(0, 1 - coalesce(s, 0)), 8) + 0.0 AS weight FROM rooms LEFT JOIN (SELECT src AS room_uri, sum(weight) / 4 AS s FROM hor GROUP BY 1) USING (room_uri)")
+@query(f"WITH {PAIRS} SELECT room_uri, round(CASE WHEN has_windows THEN greatest(0, 1 - coalesce(s, 0)) ELSE 0 END, 8) + 0.0 AS weight FROM rooms LEFT JOIN (SELECT src AS room_uri, sum(weight) / 4 AS s FROM hor GROUP BY 1) USING (room_uri)")
 def outside_rest(spark, sf):
     rooms = t.rooms(spark, sf)
     return adjacency.outside(rooms, adjacency.horizontal_binary(rooms).withColumn("weight", F.col("weight") / 4))
@@ -319,10 +327,40 @@ def shift_operator_rows(spark, sf):
     return adjacency.shift_operator(adjacency.horizontal_binary(t.rooms(spark, sf)), "rw")
 
 
-@query(f"""WITH {PAIRS}, e AS (SELECT * FROM hor UNION ALL SELECT n, n, 1.0 FROM (SELECT DISTINCT src AS n FROM hor)), u AS (SELECT src, sum(weight) AS du FROM e GROUP BY src), v AS (SELECT dst, sum(weight) AS dv FROM e GROUP BY dst)
+@query(f"""WITH {PAIRS}, e AS (SELECT * FROM hor UNION ALL SELECT room_uri, room_uri, 1.0 FROM rooms), u AS (SELECT src, sum(weight) AS du FROM e GROUP BY src), v AS (SELECT dst, sum(weight) AS dv FROM e GROUP BY dst)
  SELECT src, dst, round(weight / sqrt(du * dv), 8) + 0.0 AS weight FROM e JOIN u USING (src) JOIN v USING (dst)""")
 def shift_operator_symmetric(spark, sf):
-    return adjacency.shift_operator(adjacency.horizontal_binary(t.rooms(spark, sf)), "sym_renorm")
+    rooms = t.rooms(spark, sf)
+    return adjacency.shift_operator(adjacency.horizontal_binary(rooms), "sym_renorm", rooms)
+
+
+# directed weights: edges to the room of the greater number count threefold
+DIRECTED = f"""{PAIRS}, e AS (SELECT src, dst, CASE WHEN CAST(substr(src, 5) AS INT) < CAST(substr(dst, 5) AS INT) THEN 3.0 ELSE 1.0 END AS weight FROM hor)"""
+
+
+def directed(spark, sf):
+    number = lambda c: F.substring(c, 5, 9).cast("int")
+    return adjacency.horizontal_binary(t.rooms(spark, sf)).withColumn("weight", F.when(number("src") < number("dst"), 3.0).otherwise(1.0))
+
+
+@query(f"""WITH {DIRECTED}, d AS (SELECT dst AS n, sum(weight) AS d FROM e GROUP BY 1) SELECT src, dst, round(coalesce(weight / sqrt(a.d * b.d), 0), 8) + 0.0 AS weight FROM e LEFT JOIN d a ON a.n = src LEFT JOIN d b ON b.n = dst""")
+def shift_operator_directed(spark, sf):
+    return adjacency.shift_operator(directed(spark, sf), "sym")
+
+
+@query(f"""WITH {DIRECTED}, d AS (SELECT src, sum(weight) AS d FROM e GROUP BY 1) SELECT src, dst, round(-weight / d, 8) + 0.0 AS weight FROM e JOIN d USING (src) UNION ALL SELECT room_uri, room_uri, 1.0 FROM rooms""")
+def shift_operator_laplacian(spark, sf):
+    return adjacency.shift_operator(directed(spark, sf), "rw_lap", t.rooms(spark, sf))
+
+
+@query(f"""WITH {DIRECTED}, d AS (SELECT src AS n, sum(weight) AS d FROM e GROUP BY 1) SELECT src, dst, round(-weight / sqrt(a.d * b.d), 8) + 0.0 AS weight FROM e JOIN d a ON a.n = src JOIN d b ON b.n = dst UNION ALL SELECT room_uri, room_uri, 1.0 FROM rooms""")
+def shift_operator_symmetric_laplacian(spark, sf):
+    return adjacency.shift_operator(directed(spark, sf), "sym_lap", t.rooms(spark, sf))
+
+
+@query(f"WITH {DIRECTED} SELECT src, dst, weight + 0.0 AS weight FROM e UNION ALL SELECT room_uri, room_uri, 1.0 FROM rooms")
+def shift_operator_loops(spark, sf):
+    return adjacency.shift_operator(directed(spark, sf), "loops", t.rooms(spark, sf))
 
 
 @query(f"""WITH {SERIES}, rr AS (SELECT 1), {PAIRS.replace("devices AS", "devices2 AS")} SELECT dst AS room_uri, bucket_idx, round(sum(weight * clicks), 8) + 0.0 AS clicks FROM hor JOIN series ON src = room_uri GROUP BY ALL""")
@@ -335,12 +373,21 @@ def room_areas(spark, sf):
     return adjacency.normalised_areas(t.rooms(spark, sf))
 
 
-@query(f"WITH {ROOMS} SELECT room_uri, w * h + 0.0 AS area, 2 * (w + h) + 0.0 AS perimeter, w + 0.0 AS width, h + 0.0 AS height, round(4 * 3.14159 * w * h / pow(2 * (w + h), 2), 8) AS compactness, 1.0::DOUBLE AS rect_fit, round(greatest(w, h) / least(w, h), 8) AS aspect_ratio, x + w / 2 + 0.0 AS cx, y + h / 2 + 0.0 AS cy FROM rooms")
+@query(f"WITH {ROOMS} SELECT room_uri, w * h + 0.0 AS area, 2 * (w + h) + 0.0 AS perimeter, w + 0.0 AS width, h + 0.0 AS height, round(4 * 3.14159 * w * h / pow(2 * (w + h), 2), 8) AS compactness, 1.0::DOUBLE AS rect_fit, round(w / h, 8) AS aspect_ratio, x + w / 2 + 0.0 AS cx, y + h / 2 + 0.0 AS cy FROM rooms")
 def room_shapes(spark, sf):
     s = t.rooms(spark, sf).select("room_uri", geometry.shape(F.col("points")).alias("s"), geometry.centroid(F.col("points")).alias("c"))
     return s.select("room_uri", "s.*", F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
 
 
+@query(f"""WITH {ROOMS}, c AS (SELECT room_uri, unnest([0, 1, 2, 3]) AS k, [x, x + w, x + w, x] AS px, [y, y, y + h, y + h] AS py, w, h FROM rooms),
+ s AS (SELECT *, CASE WHEN k % 2 = 0 THEN w ELSE h END AS len, greatest(1, CAST(floor(CASE WHEN k % 2 = 0 THEN w ELSE h END / (2 * (w + h) / 20)) AS INT)) AS n FROM c),
+ p AS (SELECT room_uri, k, j, px[k + 1] + j / n * (px[(k + 1) % 4 + 1] - px[k + 1]) AS x, py[k + 1] + j / n * (py[(k + 1) % 4 + 1] - py[k + 1]) AS y FROM s, unnest(range(n)) AS u(j))
+ SELECT room_uri, CAST(row_number() OVER (PARTITION BY room_uri ORDER BY k, j) - 1 AS INTEGER) AS pos, round(x, 8) + 0.0 AS x, round(y, 8) + 0.0 AS y FROM p QUALIFY pos < 20""")
+def boundary_points(spark, sf):
+    p = t.rooms(spark, sf).select("room_uri", F.posexplode(geometry.evenly_spaced("points", F.lit(20.0))).alias("pos", "p"))
+    return p.select("room_uri", "pos", "p.x", "p.y")
+
+
 @query(f"WITH {ROOMS} SELECT room_uri, row_number() OVER (ORDER BY room_number, room_uri) - 1 AS node_idx FROM rooms")
 def room_order(spark, sf):
     return adjacency.node_index(t.rooms(spark, sf)).select("room_uri", F.col("node_idx").cast("long").alias("node_idx"))
@@ -499,5 +546,87 @@ DAY = date(2024, 1, 3)
 
 @query(f"""WITH {PL}, devices AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS device_uri, 'room' || (user_id % 25) AS room_uri FROM events) SELECT room_uri, round(avg(value) FILTER (hour("timestamp") = 6), 8) + 0.0 AS h6, round(avg(value) FILTER (hour("timestamp") = 12), 8) + 0.0 AS h12 FROM pl JOIN devices USING (device_uri) WHERE CAST("timestamp" AS DATE) = DATE '2024-01-03' GROUP BY room_uri""")
 def daily_rooms(spark, sf):
-    rows = t.property_level(spark, sf).join(F.broadcast(t.devices(spark, sf)), "device_uri")
+    rows = t.property_level(spark, sf).join(small(t.devices(spark, sf)), "device_uri")
     return reports.daily_rooms(rows, DAY, [6, 12]).select("room_uri", F.col("6").alias("h6"), F.col("12").alias("h12"))
+
+
+# --- features put together
+DESCRIBED = f"""{ROOMS}, k AS (SELECT *, CAST(substr(room_uri, 5) AS INT) AS k FROM rooms), hd AS (SELECT *, CASE WHEN k % 6 = 0 THEN [k * 15 % 360, k * 40 % 360] WHEN k % 2 = 0 THEN [k * 15 % 360] ELSE [] END AS hs FROM k),
+ ar AS (SELECT min(w * h) AS lo, max(w * h) AS hi, sum(w * h) AS tot FROM rooms),
+ st AS (SELECT room_uri, CAST(has_windows AS INT)::DOUBLE AS has_windows, CAST(len(hs) > 1 AS INT)::DOUBLE AS has_multiple_windows, round(coalesce(list_avg(list_transform(hs, lambda x: sin(radians(x)))), 0), 3) + 0.0 AS direction_sin, round(coalesce(list_avg(list_transform(hs, lambda x: cos(radians(x)))), 0), 3) + 0.0 AS direction_cos,
+ CAST(k % 2 = 0 AS INT)::DOUBLE AS has_back_windows, 0.0::DOUBLE AS has_front_windows, 0.0::DOUBLE AS has_right_windows, CAST(k % 6 = 0 AS INT)::DOUBLE AS has_left_windows, CAST(k % 3 = 0 AS INT)::DOUBLE AS is_proper_room,
+ round((w * h - lo) / (hi - lo), 8) + 0.0 AS area_minmax, round(w * h / tot, 8) + 0.0 AS area_share, w + 0.0 AS width, h + 0.0 AS height, round(4 * 3.14159 * w * h / pow(2 * (w + h), 2), 8) AS compactness, 1.0::DOUBLE AS rect_fit, round(w / h, 8) AS aspect_ratio, 2 * (w + h) + 0.0 AS perimeter FROM hd, ar)"""
+TOTAL = f"""{SERIES}, total AS (SELECT bucket_idx, sum(value) AS consumption FROM placed GROUP BY 1)"""
+
+
+@query(f"WITH {DESCRIBED} SELECT * FROM st")
+def static_room_features(spark, sf):
+    return features.static_features(t.described_rooms(spark, sf), "all")
+
+
+@query(f"""WITH {SERIES}, rr AS (SELECT 1), {DESCRIBED.replace("devices AS", "devices2 AS")} SELECT room_uri, bucket_idx, {r('clicks')}, st.* EXCLUDE (room_uri, has_back_windows, has_front_windows, has_right_windows, has_left_windows, area_share, width, height, compactness, rect_fit, aspect_ratio, perimeter) FROM series LEFT JOIN st USING (room_uri)""")
+def series_with_static(spark, sf):
+    return features.with_static(t.series(spark, sf).select("room_uri", "bucket_idx", "clicks"), features.static_features(t.described_rooms(spark, sf)))
+
+
+@query(f"""WITH {TOTAL}, {HOURS} SELECT room_uri, bucket_idx, {r('clicks', 'consumption')}, is_workhour FROM series LEFT JOIN total USING (bucket_idx) LEFT JOIN hours USING (bucket_idx)""")
+def series_by_bucket(spark, sf):
+    return features.with_buckets(t.series(spark, sf).select("room_uri", "bucket_idx", "clicks"), t.consumption(spark, sf), t.hours(spark))
+
+
+@query(f"""WITH {TOTAL}, {SPINE}, f AS (SELECT bucket_idx, CAST(bucket_idx // 24 AS INTEGER) AS block_id, consumption FROM spine LEFT JOIN total USING (bucket_idx)), s AS (SELECT *, lag(consumption, 1) OVER w AS l FROM f WINDOW w AS (PARTITION BY block_id ORDER BY bucket_idx))
+ SELECT bucket_idx, block_id, {r('consumption')}, round(avg(l) OVER (PARTITION BY block_id ORDER BY bucket_idx ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 8) + 0.0 AS consumption_ma_3_sh1, round(lag(consumption, 1) OVER w, 8) + 0.0 AS consumption_lag_1, round(lag(consumption, 4) OVER w, 8) + 0.0 AS consumption_lag_4 FROM s WINDOW w AS (PARTITION BY block_id ORDER BY bucket_idx)""")
+def consumption_history(spark, sf):
+    return features.consumption_features(t.spine(spark).select("bucket_idx", "block_id"), t.consumption(spark, sf), [1, 4], [3])
+
+
+@query(f"""WITH {SERIES} SELECT bucket_idx, round(arg_min(clicks, room_uri) FILTER (clicks > 50), 8) + 0.0 AS clicks, round(arg_min(mean, room_uri), 8) + 0.0 AS mean FROM series GROUP BY 1""")
+def first_values(spark, sf):
+    rows = t.series(spark, sf).withColumn("clicks", F.when(F.col("clicks") > 50, F.col("clicks")))
+    return features.first_by_bucket(rows, ["clicks", "mean"], "room_uri")
+
+
+@query(f"""WITH RECURSIVE {PAIRS}, e AS (SELECT src, dst FROM hor UNION SELECT 'outside', room_uri FROM rooms WHERE has_windows), walk AS (SELECT unnest(['room1', 'outside']) AS room_uri, 0 AS step UNION SELECT dst, step + 1 FROM walk JOIN e ON src = room_uri WHERE step < 25)
+ SELECT room_uri, CAST(min(step) AS INTEGER) AS activation_step FROM walk GROUP BY room_uri""")
+def propagation_from_outside(spark, sf):
+    rooms = t.rooms(spark, sf)
+    return adjacency.bundle(rooms, kind="horizontal", seeds=rooms.where("room_uri = 'room1'"), outside_node=True)["steps"]
+
+
+@query(f"""WITH {PAIRS}, st AS (SELECT 0 AS dummy) SELECT src, dst, kind, round(weight, 8) + 0.0 AS weight FROM (SELECT 'horizontal' AS kind, * FROM hor UNION ALL SELECT 'vertical', src, dst, 1.0 FROM ver UNION ALL SELECT 'edges', src, dst, sum(weight) FROM (SELECT * FROM hor UNION ALL SELECT src, dst, 1.0 FROM ver) GROUP BY ALL)""")
+def adjacency_bundle(spark, sf):
+    made = adjacency.bundle(t.rooms(spark, sf))
+    out = [made[k].select("src", "dst", F.lit(k).alias("kind"), "weight") for k in ("horizontal", "vertical", "edges")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+@query("SELECT 'https://interconnectproject.eu/example/n' || s_nationkey AS uri, string_agg('f' || s_suppkey || '.ttl', ',' ORDER BY 'f' || s_suppkey || '.ttl') AS files FROM supplier GROUP BY s_nationkey")
+def device_index(spark, sf):
+    ids = t.table(spark, sf, "supplier").select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string"), F.lit(".ttl")).alias("file"), F.concat(F.lit("ic:n"), F.col("s_nationkey").cast("string")).alias("device_id"))
+    return triples.device_index(ids).select("uri", F.array_join("files.file", ",").alias("files"))
+
+
+@query("SELECT DISTINCT 'f' || s_suppkey || '.ttl' AS file FROM supplier WHERE s_nationkey % 5 = 0")
+def files_of_devices(spark, sf):
+    ids = t.table(spark, sf, "supplier").select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string"), F.lit(".ttl")).alias("file"), F.concat(F.lit("ic:n"), F.col("s_nationkey").cast("string")).alias("device_id"))
+    uris = t.table(spark, sf, "nation").where("n_nationkey % 5 = 0").select(F.concat(F.lit(triples.PREFIXES["ic"] + "n"), F.col("n_nationkey").cast("string")).alias("uri"))
+    return triples.files_of(triples.device_index(ids), uris)
+
+
+# --- more of calendar, windows, metrics and reports
+@query(f"""WITH {SERIES}, t AS (SELECT room_uri, block_id, bucket_idx, clicks, mean, lag(clicks, 1) {W}) AS clicks_lag_1 FROM series) SELECT kind, round(v, 8) + 0.0 AS v, room_uri, bucket_idx FROM (SELECT 'clicks' AS kind, clicks AS v, room_uri, bucket_idx FROM t WHERE clicks_lag_1 IS NOT NULL)""")
+def rows_with_lags(spark, sf):
+    lagged = windows.lags(t.series(spark, sf), [1], ["clicks"], ["room_uri"]).where("clicks_lag_1 is not null")
+    return lagged.select(F.lit("clicks").alias("kind"), F.col("clicks").alias("v"), "room_uri", "bucket_idx")
+
+
+@query(f"""WITH {SERIES}, p AS (SELECT room_uri, sum(clicks) AS s FROM series GROUP BY 1) SELECT room_uri, round(s, 8) + 0.0 AS s, CAST(rank() OVER (ORDER BY s DESC) AS INTEGER) AS place FROM p QUALIFY place <= 5""")
+def top_rooms(spark, sf):
+    return metrics.top_keep_ties(t.series(spark, sf).groupBy("room_uri").agg(F.round(F.sum("clicks"), 8).alias("s")), "s", 5)
+
+
+@query("""SELECT event_id, ts + INTERVAL 1 HOUR AS local FROM events WHERE month(ts) < 3""")
+def local_times(spark, sf):
+    from sensorium.sources.files import local_time
+
+    return t.table(spark, sf, "events").where("month(ts) < 3").select("event_id", local_time(F.col("ts")).alias("local"))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sensorium.operators import levels
+from sensorium.operators import entities, levels
 from sensorium.operators.calendar import Calendar, dutch_holidays, work_hours
+from sensorium.session import small
 from sensorium.sources.triples import PREFIXES, RDF_TYPE
 
 CALENDAR = Calendar(datetime(2024, 1, 1), datetime(2024, 1, 31), 360)
@@ -36,15 +37,31 @@ def properties(spark: SparkSession) -> DataFrame:
 
 
 def rooms(spark: SparkSession, sf: str) -> DataFrame:
-    """room_uri, room_number, floor_number, points, has_windows: rectangles on a 5 x 5 grid."""
+    """room_uri, room_number, floor_number, points, has_windows: rectangles at scattered places of a plan of
+    41 x 23, so that some of a floor are near each other, and some of neighbouring floors overlap."""
     k = F.col("n_nationkey")
-    x, y = (k % 5 * 10).cast("double"), (F.floor(k / 5) % 2 * 10).cast("double")
+    x, y = (k * 31 % 41).cast("double"), (k * 19 % 23).cast("double")
     w, h = (8 + k % 3).cast("double"), (7 + k % 4).cast("double")
     p = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
     pts = F.array(p(x, y), p(x + w, y), p(x + w, y + h), p(x, y + h))
     return table(spark, sf, "nation").select(F.concat(F.lit("room"), k.cast("string")).alias("room_uri"), F.col("n_name").alias("room_number"), F.col("n_regionkey").alias("floor_number"), pts.alias("points"), (k % 2 == 0).alias("has_windows"))
 
 
+def described_rooms(spark: SparkSession, sf: str) -> DataFrame:
+    """rooms with windows: one to the back if the number is even, a second one to the left if it is divisible by six."""
+    k = F.substring("room_uri", 5, 9).cast("int")
+    one, two = (k * 15 % 360).cast("double"), (k * 40 % 360).cast("double")
+    headings = F.when(k % 6 == 0, F.array(one, two)).when(k % 2 == 0, F.array(one)).otherwise(F.array().cast("array<double>"))
+    sides = F.when(k % 6 == 0, F.array(F.lit("Back"), F.lit("left"))).when(k % 2 == 0, F.array(F.lit("Back"))).otherwise(F.array().cast("array<string>"))
+    return entities.window_features(rooms(spark, sf).withColumns({"headings": headings, "directions": sides, "is_proper_room": k % 3 == 0}))
+
+
+def consumption(spark: SparkSession, sf: str) -> DataFrame:
+    """bucket_idx, consumption: the sum of all readings of a bucket."""
+    p = property_level(spark, sf)
+    return p.groupBy(CALENDAR.bucket(F.col("timestamp")).alias("bucket_idx")).agg(F.sum("value").alias("consumption"))
+
+
 def devices(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "events").select("user_id").distinct()
     return d.select(F.col("user_id").cast("string").alias("device_uri"), F.concat(F.lit("room"), (F.col("user_id") % 25).cast("string")).alias("room_uri"))
@@ -75,7 +92,7 @@ def room_level(spark: SparkSession, sf: str, simple: bool = False) -> DataFrame:
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
     """room_uri, block_id, bucket_idx and the sum of clicks of each room and bucket with any readings of it."""
-    p = property_level(spark, sf).where("property_type = 'click'").join(F.broadcast(devices(spark, sf)), "device_uri")
+    p = property_level(spark, sf).where("property_type = 'click'").join(small(devices(spark, sf)), "device_uri")
     b = CALENDAR.bucket(F.col("timestamp"))
     s = p.groupBy("room_uri", b.alias("bucket_idx")).agg(F.sum("value").alias("clicks"), F.avg("value").alias("mean"))
     return s.select("room_uri", CALENDAR.block(F.col("bucket_idx")).alias("block_id"), "bucket_idx", "clicks", "mean")

@@ -159,9 +159,24 @@ def last_wins(parts: list[DataFrame], key: list[str]) -> DataFrame:
     return out.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n", "__load")
 
 
-def dataset_name(kind: str, minutes: int, weather: str = "feature", family: str = "", task: str = "") -> str:
-    """A fixed name for a prepared dataset."""
-    return "_".join(x for x in (kind, family, task, f"{minutes}min", {"feature": "Wfeat", "node": "Wnode"}.get(weather, weather)) if x)
+def dataset_name(kind: str, interval: str | int, family: str = "graph", weather: str | None = None, task: str | None = None) -> str:
+    """The fixed name of a prepared dataset. kind: metadata, dataframe or hetero_input; family: graph or tabular."""
+    if kind == "hetero_input":
+        return f"hetero_input_{interval}"
+    #: Parts of names.
+    suffix = {"feature": "Wfeat", "node": "Wnode"}
+    tasks = {"consumption_forecast": "consumption", "measurement_forecast": "measurement"}
+    graph = {"metadata": "metadata", "dataframe": "stgcn"}
+    if kind == "dataframe" and family == "tabular" and task in tasks:
+        return f"tabular_{tasks[task]}_{interval}"
+    if kind in graph and (kind == "metadata" or family == "graph") and weather in suffix:
+        return f"{graph[kind]}_{interval}_{suffix[weather]}"
+    raise ValueError(f"no dataset of kind {kind}, family {family}, weather {weather}, task {task}")
+
+
+def key_values(text: Column) -> Column:
+    """`a=1,b=2` as a map; NULL for an empty text."""
+    return F.when(F.trim(text) != "", F.map_from_entries(F.transform(F.split(text, ","), lambda x: F.struct(F.trim(F.split_part(x, F.lit("="), F.lit(1))), F.trim(F.substring(x, F.instr(x, "=") + 1, 1 << 30))))))
 
 
 def read_results(spark: SparkSession, folder: str, which: str = "test") -> DataFrame:

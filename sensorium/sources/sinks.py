@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,15 @@ def write_level(df: DataFrame, path: str, by: list[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*by).parquet(path) if by else df.write.mode("overwrite").parquet(path)
 
 
+def write_metadata(frames: dict[str, DataFrame], settings: dict, path: str) -> None:
+    """Blocks, buckets, adjacency and other frames as Parquet under path, with the settings they were made with as JSON."""
+    for name, df in frames.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        spark = df.sparkSession
+    one = spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "value string")
+    one.coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+
+
 def combine_experiments(runs: DataFrame, metrics: list[str]) -> DataFrame:
     """metric, mean, std, runs over all experiments."""
     parts = [F.struct(F.lit(m).alias("metric"), F.avg(F.col(m).cast("double")).alias("mean"), F.stddev_samp(F.col(m).cast("double")).alias("std"), F.count(m).alias("runs")) for m in metrics]

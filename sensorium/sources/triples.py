@@ -18,7 +18,7 @@ XSD = "http://www.w3.org/2001/XMLSchema#"
 PREFIXES = {
     "saref": "https://saref.etsi.org/core/", "s4ener": "https://saref.etsi.org/saref4ener/", "s4bldg": "https://saref.etsi.org/saref4bldg/",
     "bot": "https://w3id.org/bot#", "geo": "http://www.w3.org/2003/01/geo/wgs84_pos#", "geosparql": "http://www.opengis.net/ont/geosparql#",
-    "om": "http://www.wurvoc.org/vocabularies/om-1.8/", "ex": "https://example.com/", "ex-ont": "https://example.com/ontology#",
+    "om": "http://www.wurvoc.org/vocabularies/om-1.8/", "ex": "https://example.org/", "ex-ont": "https://example.org/ontology#", "ic": "https://interconnectproject.eu/example/",
     "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "xsd": XSD,
 }
 TOKEN = re.compile(
@@ -163,6 +163,17 @@ def expand(c: Column, prefixes: dict[str, str]) -> Column:
     return out
 
 
+def device_index(ids: DataFrame, prefixes: dict[str, str] = PREFIXES) -> DataFrame:
+    """uri and files (file, device_id), of rows (file, device_id): where each device is told of."""
+    whole = ids.where(F.col("device_id").isNotNull()).select(expand(F.col("device_id"), prefixes).alias("uri"), F.struct("file", "device_id").alias("x")).distinct()
+    return whole.groupBy("uri").agg(F.array_sort(F.collect_list("x")).alias("files"))
+
+
+def files_of(index: DataFrame, uris: DataFrame) -> DataFrame:
+    """The files that tell of the devices asked for (uri)."""
+    return index.join(uris.select("uri").distinct(), "uri", "left_semi").select(F.explode("files.file").alias("file")).distinct()
+
+
 def turtle_lines(triples: DataFrame) -> DataFrame:
     """A line of N-Triples (a subset of Turtle) for each triple; write it with df.write.text."""
     esc = F.regexp_replace(F.regexp_replace(F.regexp_replace("o", r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")

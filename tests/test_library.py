@@ -103,6 +103,13 @@ def test_entities(spark):
     assert entities.rooms(df).first().has_windows and entities.floors(df).first().floor_number == 7
     w = entities.windows(df).first()
     assert (w.direction_sin, w.direction_cos, w.has_front_windows, w.has_multiple_windows) == (0.454, 0.891, True, False)
+    two = [("urn:roomname_1", f"{p['ex-ont']}hasWindow", "w2"), ("w2", f"{p['ex-ont']}hasFacingDirection", "27"), ("w2", f"{p['ex-ont']}facingRelativeDirection", "Front"), ("urn:roomname_2", triples.RDF_TYPE, f"{p['s4bldg']}BuildingSpace"), ("urn:roomname_2", f"{p['s4bldg']}isSpaceOf", "urn:floor_7")]
+    w = {r.room_uri: r for r in entities.windows(df.unionByName(spark.createDataFrame(two, df.schema))).collect()}
+    assert w["urn:roomname_1"].has_multiple_windows and w["urn:roomname_1"].direction_sin == 0.454
+    none = w["urn:roomname_2"]
+    assert (none.headings, none.direction_sin, none.direction_cos, none.has_multiple_windows, none.has_left_windows) == ([], 0.0, 0.0, False, False)
+    typed = [("d", triples.RDF_TYPE, f"{p['s4ener']}Device"), ("d", f"{p['ic']}hasDeviceType", "sensor")]
+    assert entities.devices(spark.createDataFrame(typed, df.schema)).first().device_type == "sensor" and p["ex-ont"] == "https://example.org/ontology#"
     m = entities.measurements(df).first()
     assert (m.value, m.timestamp) == (21.5, datetime(2022, 3, 7, 10)) and entities.property_types(df).first().property_type == "Temperature"
     pts = entities.polygons(df, document=True).select(g.parse_wkt(F.col("wkt")).alias("p"))
@@ -146,6 +153,11 @@ def test_adjacency(spark):
     assert adjacency.with_outside(hor, adjacency.outside(rooms)).where("src = 'outside'").count() == 4
     lap = {(r.src, r.dst): r.weight for r in adjacency.shift_operator(hor, "rw_lap").collect()}
     assert lap[("a", "a")] == 1 and lap[("b", "a")] == -0.5
+    least = {(r.src, r.dst): r.weight for r in adjacency.vertical(rooms, weighted=True, min_weight=0.01).collect()}
+    assert least[("c", "e")] == least[("e", "d")] == 0.01 and least[("b", "e")] == 0.9
+    shares = adjacency.outside(rooms, adjacency.horizontal_weighted(rooms))
+    out = {r.room_uri: r.weight for r in shares.collect()}
+    assert out["b"] == 0 and out["d"] == out["e"] == 1 and 0.6 < out["a"] < 0.75
 
 
 def test_scalers(spark):
@@ -169,8 +181,12 @@ def test_splits(spark):
     assert not set(train) & set(test) and sorted(b for _, v in folds for b in v) == sorted(train) and len(folds) == 4
     again = splits.BlockSplitter(list(range(47)))
     assert again.train_test() == (train, test) and again.folds(train, test) == folds
-    t, v = s.last_validation(train)
-    assert set(t) | set(v) == set(train) and not set(t) & set(v)
+    assert len(test) == 10 and {b // 5 for b in test} == set(range(10))  # the last stratum has two blocks
+    t, v = s.last_validation(train, folds)
+    assert set(t) | set(v) == set(train) and not set(t) & set(v) and len(v) == min(len(f) for _, f in folds)
+    assert all(b in {f[i] for _, f in folds} for i, b in enumerate(sorted(v)) if i == 0)
+    t, v = s.single_validation(train)
+    assert sorted([*t, *v]) == train and len({b // 5 for b in v}) == len(v) >= 9
     with pytest.raises(ValueError):
         splits.BlockSplitter([1, 2])
 
@@ -201,7 +217,10 @@ def test_sources(spark, tmp_path):
     assert files.load_snapshot(spark, str(tmp_path / "snap"), ["rooms"], [1])["rooms"].count() == 5
     a = spark.createDataFrame([(1, "x")], "k int, v string")
     assert files.last_wins([a, a.withColumn("v", F.lit("y"))], ["k"]).first().v == "y"
-    assert files.dataset_name("graph", 30) == "graph_30min_Wfeat"
+    assert files.dataset_name("dataframe", "30m", "tabular", task="consumption_forecast") == "tabular_consumption_30m"
+    assert files.dataset_name("metadata", "1h", weather="node") == "metadata_1h_Wnode" and files.dataset_name("hetero_input", "1h") == "hetero_input_1h"
+    with pytest.raises(ValueError):
+        files.dataset_name("metadata", "1h")
 
 
 def test_models_and_reports(spark):
@@ -218,6 +237,9 @@ def test_models_and_reports(spark):
     assert graph_tables.weather_as_node(s, standin.spine(spark).select("bucket_idx")).where("room_uri = 'outside'").count() == 104
     t = forecast.prepared(s, "clicks", [1], delta=True, extra=["room_uri"])
     assert t.where("target_h_1 is null").count() == 0
+    lost = spark.createDataFrame([("1", "room0"), ("2", "nowhere")], "device_uri string, room_uri string")
+    with pytest.raises(Exception, match="device without a room on a floor: 2"):
+        levels.with_rooms(spark.createDataFrame([("1",), ("2",)], "device_uri string"), lost, rooms).collect()
     with pytest.raises(ValueError):
         levels.require_rows(s.where("false"), "rows")
 
