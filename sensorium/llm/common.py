@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sensorium.session import ship, stash
+from sensorium.session import ship, stash, unstash
 
 #: Rows sent to a Python worker at once; texts can be long, so few.
 ARROW_ROWS = "512"
@@ -29,12 +29,12 @@ def small_batches(spark: SparkSession) -> None:
 def attach(rows: DataFrame, classes: DataFrame, keys: list[str], size: str) -> DataFrame:
     """rows joined (inner) with classes on keys, whatever the sizes of the classes.
 
-    classes holds one row for each key and in `size` its number of rows. Classes of more than a thousandth of
-    all rows, a thousand at most, are broadcast; the others are joined by a shuffle, where no key is hot.
-    Both frames should be stashed ones, as each is read twice.
+    classes holds one row for each key and in `size` its number of rows. Classes of more than a 20,000th of all
+    rows, 20,000 at most, are broadcast; the others are joined by a shuffle, where no key is hot. Both frames should
+    be stashed ones, as each is read twice.
     """
     total = classes.agg(F.sum(size)).first()[0] or 0
-    limit = total // 1000 + 1
+    limit = total // 20_000 + 1
     hot, rest = classes.where(F.col(size) > limit), classes.where(F.col(size) <= limit)
     few = rows.join(F.broadcast(hot), keys, "inner")
     many = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, "inner")
@@ -68,24 +68,36 @@ def only_rows(docs: DataFrame, keys: DataFrame, id_col: str, text_col: str) -> D
     return found.withColumn(n, F.row_number().over(one)).where(F.col(n) == 1).select(*docs.columns)
 
 
+#: Edges that a task of components() should have at least.
+EDGES_A_TASK = 200_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected graph of long nodes: (node, root), root the component's least node.
 
     Rounds of joining each node's larger neighbours, then its smaller ones, to the least node around it; each
-    round is a table in the shared folder. Nodes with many edges go through attach. An empty graph gives no rows.
+    round is a table in the shared folder, and deletes those of the round before. Nodes with many edges go through
+    attach. Edges get no more, so tables of few edges are written by few tasks. An empty graph gives no rows.
     """
     u, v = F.col(a), F.col(b)
-    now = stash(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct(), "edges")
-    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = None
-    while (after := mark(now)) != before:
-        before = after
+    edges = stash(edges.where(u != v).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")), "edges")
+    tasks = edges.count() // EDGES_A_TASK + 1
+    kept = lambda df, name: stash(df.coalesce(tasks), name)
+    now = kept(edges.distinct(), "edges")
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    done, after = None, mark(now)
+    old = [edges]
+    while after != done:
+        done = after
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("deg")), "least")
+        least = kept(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("deg")), "least")
         wide = attach(both, least, ["u"], "deg").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        wide = stash(wide.where("u <> v").distinct(), "edges")
-        least = stash(wide.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg")), "least")
-        near = attach(wide, least, ["u"], "deg").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        near = near.unionByName(least.select("u", F.col("m").alias("v")))
-        now = stash(near.where("u <> v").distinct(), "edges")
+        wide = kept(wide.where("u <> v").distinct(), "edges")
+        less = kept(wide.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg")), "least")
+        near = attach(wide, less, ["u"], "deg").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        near = near.unionByName(less.select("u", F.col("m").alias("v")))
+        old += [now, least, wide, less]
+        now = kept(near.where("u <> v").distinct(), "edges")
+        unstash(*old)
+        old, after = [], mark(now)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

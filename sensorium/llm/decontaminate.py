@@ -1,81 +1,109 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark texts, one scan of the corpus.
 
-Benchmark texts are normalised (A-Z lower-cased; words are runs of letters, digits and non-ASCII characters) and cut
-into windows of 13 consecutive words, a shorter text being one window. All windows go into one automaton; each
-document is normalised likewise and scanned once. A match's end is mapped back to words, and words to offsets in
-the original text where spans are asked for.
+Benchmark texts are normalised (A-Z lower-cased; words are runs of letters, digits and non-ASCII characters). A window
+is 13 consecutive words of a text; a shorter text is one window. Any window holds one of the chunks of seven words into
+which its text is cut, so these chunks (and the short texts) are the patterns of an automaton over word numbers, which
+has no more states than the benchmark has words. Where a chunk occurs in a document, the match is followed to both
+sides for as long as the words agree: if 13 or more agree, they are hit. Word places are mapped back to offsets in the
+original text where spans are asked for.
 
-The automaton is sent to the tasks, so its patterns are bounded: benchmarks of more than MAX_CHARS characters are
-cut by hash into blocks, each with an automaton and a scan of its own, and hits are merged for each row.
+A worker holds one automaton. Benchmarks of more than MAX_WORDS words are dealt by hash into lots, each with an
+automaton of its own; the corpus is still read once: each group of a partition's rows (GROUP bytes of text) meets one
+automaton after the other. Long texts of a benchmark are cut into pieces that overlap by a window less one word.
 
 Cases: null texts have no words and no hits; an item without words has no window; items with the same window are all
-reported; a null item id isn't reported, but its words are hit. Rows are told apart by id and text; repeated rows
-each get their result. Other columns are ignored.
+reported; a null item id isn't reported, but its words are hit. Repeated rows each get their result. Other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, keyed, row_key, small_batches
+from .common import WORD_TABLE, fresh, row_key, small_batches, stash
 
-WINDOW, MAX_CHARS = 13, 400_000
+WINDOW, MAX_WORDS, PIECE, GROUP = 13, 2_000_000, 4096, 1 << 25
 WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
-_built: dict[str, ahocorasick.Automaton] = {}
 
 
 def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD_TABLE).split()
 
 
-def windows(items: list[tuple[str | None, bytes | None]], size: int = WINDOW) -> dict[str, tuple[int, list[str]]]:
-    """Each window as " w1 w2 ... " with its number of words and the ids of its items."""
-    out: dict[str, tuple[int, set[str]]] = {}
-    for item, text in items:
-        w = words(text)
-        for k in range(max(1, len(w) - size + 1) if w else 0):
-            part = w[k : k + size]
-            held = out.setdefault(f" {b' '.join(part).decode()} ", (len(part), set()))[1]
-            if item is not None:
-                held.add(item)
-    return {k: (n, sorted(s)) for k, (n, s) in out.items()}
-
-
-def automaton(found: dict[str, tuple[int, list[str]]], name: str) -> ahocorasick.Automaton:
+class Patterns:
+    """The automaton over the chunks of pieces, and the pieces, all as numbers of words."""
+
+    def __init__(self, pieces: list[tuple[bytes, list[str]]], size: int = WINDOW):
+        self.size, self.chunk = size, (size + 1) // 2
+        self.numbers: dict[bytes, int] = {}
+        self.pieces, self.ids = [], [ids for _, ids in pieces]
+        held: dict[tuple, list[tuple[int, int]]] = {}
+        for k, (text, _) in enumerate(pieces):
+            p = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in text.split(b" ")]
+            self.pieces.append(p)
+            step = self.chunk if len(p) >= size else len(p)
+            for o in range(0, len(p) - step + 1, step):
+                held.setdefault(tuple(p[o : o + step]), []).append((k, o))
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for key, places in held.items():
+            self.automaton.add_word(key, (len(key), places))
+        if held:
+            self.automaton.make_automaton()
+
+    def scan(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
+        """Merged ranges (first, end) of hit words, ids of items with an occurring window."""
+        get = self.numbers.get
+        d = tuple([get(x, 0) for x in w])
+        if not d or not self.pieces:
+            return [], set()
+        ranges: list[tuple[int, int]] = []
+        found: set[int] = set()
+        upto: dict[tuple[int, int], int] = {}  # of a piece laid along the document: where its agreement ended
+        for last, (n, places) in self.automaton.iter(d):
+            at = last - n + 1
+            for k, o in places:
+                p = self.pieces[k]
+                if len(p) < self.size:
+                    ranges.append((at, last + 1))
+                    found.add(k)
+                    continue
+                if upto.get((k, at - o), 0) > last:
+                    continue
+                a, i = at, o
+                while a and i and d[a - 1] == p[i - 1]:
+                    a, i = a - 1, i - 1
+                b, j = last + 1, o + n
+                while b < len(d) and j < len(p) and d[b] == p[j]:
+                    b, j = b + 1, j + 1
+                upto[k, at - o] = b
+                if b - a >= self.size:
+                    ranges.append((a, b))
+                    found.add(k)
+        return merged(ranges), {x for k in found for x in self.ids[k]}
+
+
+#: A name, and the lot of the benchmark that it stands for.
+Lot = tuple[str, Broadcast]
+_built: dict[str, Patterns] = {}
+
+
+def patterns(lot: Lot, size: int) -> Patterns:
+    """The automaton of a lot; the last one is kept."""
+    name, sent = lot
     if name not in _built:
         _built.clear()
-        _built[name] = a = ahocorasick.Automaton()
-        for k, v in found.items():
-            a.add_word(k, v)
-        if found:
-            a.make_automaton()
+        _built[name] = Patterns(sent.value, size)
     return _built[name]
 
 
-def scan(text: bytes | None, a: ahocorasick.Automaton) -> tuple[int, list[tuple[int, int]], set[str]]:
-    """Number of words, merged ranges (first, end) of hit words, ids of items with an occurring window."""
-    w = words(text)
-    if not w or not len(a):
-        return len(w), [], set()
-    whole = f" {b' '.join(w).decode()} "
-    ranges: list[tuple[int, int]] = []
-    items: set[str] = set()
-    at = upto = 0
-    for end, (n, ids) in a.iter(whole):
-        at += whole.count(" ", upto, end)  # spaces before the one that ends the match: words up to there
-        upto = end
-        items.update(ids)
-        ranges.append((at - n, at))
-    return len(w), merged(ranges), items
-
-
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(ranges):
@@ -92,52 +120,70 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
-HITS = "n_words long, ranges array<struct<a:long,b:long>>, items array<string>"
-
-
-def _scanned(docs: DataFrame, kind: str, found: dict) -> DataFrame:
-    """docs (__id, __k1, __k2, __text) scanned by one automaton."""
-    name = hashlib.md5(repr(sorted(found.items())).encode()).hexdigest()
-    sent = docs.sparkSession.sparkContext.broadcast(found)
+def lots(benchmark: DataFrame, item_col: str, item_text: str, size: int, most: int) -> list[Lot]:
+    """The benchmark's different pieces with the ids of their items, in lots of about `most` words."""
+    items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text].cast("binary").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton(sent.value, name)
-        span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [scan(x, a) for x in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([g[0] for g in got], pa.int64()), pa.array([[{"a": x, "b": y} for x, y in g[1]] for g in got], span), pa.array([sorted(g[2]) for g in got], pa.list_(pa.string()))], ["__id", "__k1", "__k2", "n_words", "ranges", "items"])
-
-    return docs.mapInArrow(run, f"__id {kind}, __k1 long, __k2 long, {HITS}")
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_chars: int = MAX_CHARS) -> DataFrame:
+            out = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = words(text)
+                for k in range(0, max(1, len(w) - size + 1) if w else 0, PIECE):
+                    part = w[k : k + PIECE + size - 1]
+                    out.append((item, b" ".join(part), len(part)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.binary(), pa.int64()))], ["item", "piece", "n"])
+
+    pieces = items.mapInArrow(cut, "item string, piece binary, n long").groupBy("piece", "n").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    pieces = stash(pieces, "benchmark-pieces")
+    n = -(-(pieces.agg(F.sum("n")).first()[0] or 0) // most) or 1
+    sent = []
+    for k in range(n):
+        chosen = pieces.where(F.pmod(F.xxhash64("piece"), F.lit(n)) == k) if n > 1 else pieces
+        found = [(bytes(r["piece"]), r["items"]) for r in chosen.select("piece", "items").collect()]
+        sent.append((uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast(found)))
+    return sent
+
+
+def scanned(batches: Iterator[pa.RecordBatch], sent: list[Lot], size: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list, set]]]]:
+    """Batches, the text in their last column, each with (number of words, ranges, items) of its rows."""
+
+    def done(group: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
+        out = [[(0, [], set())] * b.num_rows for b in group]
+        for lot in sent:
+            p = patterns(lot, size)
+            for b, rows in zip(group, out, strict=True):
+                text = b.column(b.num_columns - 1)
+                for k in range(b.num_rows):
+                    w = words(text[k].as_py())
+                    ranges, items = p.scan(w)
+                    rows[k] = len(w), merged(rows[k][1] + ranges) if rows[k][1] else ranges, rows[k][2] | items
+        yield from zip(group, out, strict=True)
+
+    group, held = [], 0
+    for b in batches:
+        group.append(b)
+        held += b.nbytes
+        if held >= GROUP or len(sent) == 1:
+            yield from done(group)
+            group, held = [], 0
+    yield from done(group)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
     """A row for each row of docs: __id, __k1, __k2, n_words, n_hit, ranges (of words), items (ids as strings)."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     given = docs.select(docs[id_col].alias("__id"), *row_key(docs[id_col], docs[text_col]), docs[text_col].cast("binary").alias("__text"))
-    kind = dict(given.dtypes)["__id"]
-    items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text].cast("binary").alias("text"))
-    # windows repeat a text's words WINDOW times at most, so the bound holds for the automaton too
-    blocks = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // max_chars) or 1
-    parts = []
-    for k in range(blocks):
-        chosen = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        parts.append(_scanned(given, kind, windows([(r.item, bytes(r.text) if r.text is not None else None) for r in chosen.collect()])))
-    out = parts[0]
-    if blocks > 1:
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        # a row's ranges are few; repeated rows have equal hits, and are counted so that each gets its result
-        out = out.groupBy("__k1", "__k2").agg(F.first("__id").alias("__id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_set("ranges")).alias("ranges"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.floor(F.count("*") / blocks).alias("copies"))
-        out = out.withColumn("ranges", F.aggregate(F.array_sort("ranges"), F.array().cast("array<struct<a:long,b:long>>"), _join_ranges))
-        out = out.withColumn("c", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("__id", "__k1", "__k2", "n_words", "ranges", F.array_sort("items").alias("items"))
-    return out.withColumn("n_hit", F.aggregate("ranges", F.lit(0).cast("long"), lambda s, r: s + r.b - r.a))
-
-
-def _join_ranges(done, r):
-    last = F.element_at(done, -1)
-    grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last.a.alias("a"), F.greatest(last.b, r.b).alias("b"))))
-    return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1)).b >= r.a), grown).otherwise(F.concat(done, F.array(r)))
+    sent = lots(benchmark, item_col, item_text, WINDOW, max_words)
+    span = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, rows in scanned(batches, sent, WINDOW):
+            n_hit = [sum(y - x for x, y in r) for _, r, _ in rows]
+            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array(n_hit, pa.int64()), pa.array([[{"a": x, "b": y} for x, y in r[1]] for r in rows], span), pa.array([sorted(r[2]) for r in rows], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], ["__id", "__k1", "__k2", "n_words", "n_hit", "ranges", "items"])
+
+    return given.mapInArrow(run, f"__id {dict(given.dtypes)['__id']}, __k1 long, __k2 long, n_words long, n_hit long, ranges array<struct<a:long,b:long>>, items array<string>")
 
 
 def contaminated():
@@ -158,8 +204,16 @@ def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return both.mapInPandas(run, f"doc_id {dict(given.dtypes)['doc_id']}, spans array<struct<a:long,b:long>>")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the contaminated ones, all columns as they were."""
-    own, (k1, k2) = keyed(docs, id_col, text_col)
-    found = hits(docs, benchmark, id_col, text_col).where(contaminated()).select(F.col("__k1").alias(k1), F.col("__k2").alias(k2)).distinct()
-    return own.join(found, [k1, k2], "left_anti").select(*docs.columns)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
+    """docs without the contaminated ones, all columns as they were: decided within the scan, without a shuffle."""
+    small_batches(docs.sparkSession)
+    sent = lots(benchmark, "item_id", "text", WINDOW, max_words)
+    (name,) = fresh(docs, "__text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, rows in scanned(batches, sent, WINDOW):
+            n_hit = [sum(y - x for x, y in r) for _, r, _ in rows]
+            clean = pa.array([not (h and 20 * h >= n) for h, (n, _, _) in zip(n_hit, rows, strict=True)])
+            yield b.select(range(b.num_columns - 1)).filter(clean)
+
+    return docs.withColumn(name, docs[text_col].cast("binary")).mapInArrow(run, docs.schema)

@@ -45,7 +45,7 @@ WORDS, BOTH = 9, 12
 #: Edits allowed: one for so many characters of the longer line.
 CHARS_FOR_AN_EDIT = 5
 #: Fingerprints of a bucket, and lines of a connected part, that a task compares at once.
-TILE, PART = 1 << 17, 1 << 11
+TILE, PART = 1 << 17, 1 << 9
 #: Words of lines that are hashed at once.
 WORDS_AT_ONCE = 1 << 17
 #: Bits of a bucket row's key below the bucket: the line's length, then the further bits of its SimHash.
@@ -207,29 +207,6 @@ def neighbours(fp: np.ndarray, more: np.ndarray, chars: np.ndarray, radius: int,
         at += rows
 
 
-def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list]:
-    """Columns of each run of equal first `keys` columns of sorted batches."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        values = [b.column(k).to_numpy() for k in range(keys)]
-        change = np.zeros(b.num_rows, bool)
-        for v in values:
-            change[1:] |= v[1:] != v[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), b.num_rows]
-        if held and any(held[-1].column(k)[-1].as_py() != v[0] for k, v in enumerate(values)):
-            yield held
-            held = []
-        for x, y in zip(cuts, cuts[1:], strict=False):
-            if x:
-                yield held
-                held = []
-            held.append(b.slice(x, y - x))
-    if held:
-        yield held
-
-
 def forests(rows: DataFrame, low: int, radius: int, most: int, tile: int) -> DataFrame:
     """Edges (u, v) between fingerprints: of each bucket a spanning forest of its neighbours. Equal ones give u = v."""
     bucket = F.shiftright("key", low)
@@ -241,7 +218,7 @@ def forests(rows: DataFrame, low: int, radius: int, most: int, tile: int) -> Dat
     deal = F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda x: F.least(own, x) * pieces + F.greatest(own, x))
     whole = cut.where("n is null").select(F.lit(0).cast("long").alias("t"), "key", "fp")
     dealt = whole.unionByName(cut.where("n is not null").select(F.explode(deal).alias("t"), "key", "fp"))
-    dealt = dealt.repartition(F.shiftright("key", low), "t").sortWithinPartitions("t", "key")
+    dealt = dealt.repartition(F.shiftright("key", low), "t").sortWithinPartitions("key")
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
 
     def done(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
@@ -261,19 +238,21 @@ def forests(rows: DataFrame, low: int, radius: int, most: int, tile: int) -> Dat
         u, v = np.concatenate([fp[member], alike]), np.concatenate([fp[root[member]], alike])
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
+    def bucket_done(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for t in np.unique(rows[0]) if rows.shape[1] > 1 else ():
+            own = rows[:, rows[0] == t]
+            if own.shape[1] > 1 and (out := done(own[1], own[2])) is not None:
+                yield out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.zeros((3, 0), np.int64)
         for b in batches:
             rest = np.concatenate([rest, np.stack([c.to_numpy() for c in b.columns])], axis=1)
-            name = rest[1] >> low
-            new = np.flatnonzero((name[1:] != name[:-1]) | (rest[0, 1:] != rest[0, :-1])) + 1
-            cuts = [0, *new.tolist()]  # the last group may go on
+            cuts = [0, *(np.flatnonzero(np.diff(rest[1] >> low)) + 1).tolist()]  # the last bucket may go on
             for x, y in zip(cuts, cuts[1:], strict=False):
-                if y - x > 1 and (out := done(rest[1, x:y], rest[2, x:y])) is not None:
-                    yield out
+                yield from bucket_done(rest[:, x:y])
             rest = rest[:, cuts[-1] :]
-        if rest.shape[1] > 1 and (out := done(rest[1], rest[2])) is not None:
-            yield out
+        yield from bucket_done(rest)
 
     return dealt.mapInArrow(run, "u long, v long")
 
@@ -324,25 +303,50 @@ def verified(lines: DataFrame, radius: int, most: int) -> DataFrame:
     dealt = lines.select(*cols, "t", "line", "fp", "more", "chars", "norm").repartition(*cols).sortWithinPartitions(*cols, "chars")
     lines.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
 
+    def near(fp: list[int], further: list[int], chars: list[int]) -> Iterator[tuple[int, int]]:
+        if len(fp) > 24:
+            for i, j in neighbours(np.array(fp, np.int64).view(np.uint64), np.array(further, np.int64), np.array(chars, np.int64), radius, most):
+                yield from zip(i.tolist(), j.tolist(), strict=True)
+            return
+        for i, j in combinations(range(len(fp)), 2):
+            if chars[j] * (CHARS_FOR_AN_EDIT - 1) <= chars[i] * CHARS_FOR_AN_EDIT and ((fp[i] ^ fp[j]) & (1 << 64) - 1).bit_count() <= radius and (further[i] ^ further[j]).bit_count() <= most:
+                yield i, j
+
+    def links(group: list[list]) -> list[tuple[int, int]]:
+        _, t1, t2, own, line, fp, further, chars, norm = group
+        across, top = t1[0] != t2[0], list(range(len(line)))
+        text: dict[int, str] = {}
+
+        def root(k: int) -> int:
+            while top[k] != k:
+                top[k] = k = top[top[k]]
+            return k
+
+        out = []
+        for x, y in near(fp, further, chars):
+            if line[x] == line[y] or across and own[x] == own[y] or (p := root(x)) == (q := root(y)):
+                continue
+            a, b = (text.get(k) or text.setdefault(k, norm[k].decode()) for k in (x, y))
+            if within(a, b, max(len(a), len(b)) // CHARS_FOR_AN_EDIT):
+                top[max(p, q)] = min(p, q)
+                out.append((line[x], line[y]))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in groups_of(batches, 3):
-            whole = pa.Table.from_batches(held)
-            own, line, fp, more, chars = (whole.column(k).to_numpy() for k in range(3, 8))
-            across = whole.column(1)[0].as_py() != whole.column(2)[0].as_py()
-            norm = [x.decode("utf-8") for x in whole.column(8).to_pylist()]
-            top = np.arange(len(line))
-            edges: list[tuple[int, int]] = []
-            for i, j in neighbours(fp.view(np.uint64), more, chars, radius, most):
-                if across:
-                    i, j = i[ok := own[i] != own[j]], j[ok]
-                ok = (top[i] != top[j]) & (line[i] != line[j])
-                for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
-                    p, q = top[x], top[y]
-                    if p != q and within(norm[x], norm[y], max(len(norm[x]), len(norm[y])) // CHARS_FOR_AN_EDIT):
-                        top[top == max(p, q)] = min(p, q)
-                        edges.append((line[x], line[y]))
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], ["u", "v"])
+        group: list[list] = [[] for _ in range(9)]
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            columns = [c.to_pylist() for c in b.columns]
+            keys = list(zip(*columns[:3], strict=True))
+            for k, key in enumerate(keys):
+                if group[0] and key != (group[0][0], group[1][0], group[2][0]):
+                    found += links(group)
+                    group = [[] for _ in range(9)]
+                for held, c in zip(group, columns, strict=True):
+                    held.append(c[k])
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+        found = links(group) if group[0] else []
+        yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     return dealt.mapInArrow(run, "u long, v long")
 

@@ -49,7 +49,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shards(table(spark, sf_dir, "documents"), sharding.tree(8), sharding.tree(9))
+    return sharding.shards(table(spark, sf_dir, "documents"), sharding.tree(8), sharding.grown(sharding.tree(8)))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,15 +24,20 @@ Tree = dict[str, dict[str, dict[int, float]]]
 
 
 def tree(shards: int, racks_of: int = 2, regions_of: int = 2) -> Tree:
-    """Shards 0 to shards - 1 in racks of two and regions of two racks. Shards beyond full regions get a region each."""
+    """Shards 0 to shards - 1 in racks of two and regions of two racks; the last ones may have fewer."""
     out: Tree = {}
-    full = shards // (racks_of * regions_of) * racks_of * regions_of
     for k in range(shards):
-        region = f"region{k // (racks_of * regions_of)}" if k < full else f"region-of-{k}"
+        region = f"region{k // (racks_of * regions_of)}"
         out.setdefault(region, {}).setdefault(f"{region}/rack{k // racks_of}", {})[k] = 1.0
     return out
 
 
+def grown(tree: Tree, weight: float = 1.0) -> Tree:
+    """A tree with the next shard as a region of its own: whatever the tree, rows move only into that shard."""
+    k = max((s for region in tree.values() for rack in region.values() for s in rack), default=-1) + 1
+    return {**tree, f"region-of-{k}": {f"region-of-{k}/rack": {k: weight}}}
+
+
 def weight(node) -> float:
     return sum(map(weight, node.values())) if isinstance(node, dict) else node
 
@@ -78,9 +83,9 @@ def numbered(rows: DataFrame, shard: str, order: list[str]) -> DataFrame:
     return joined.withColumn("slot", F.col("__at") - F.col("__first") + F.col("__before")).drop("__at", "__part", "__first", "__before")
 
 
-def shards(docs: DataFrame, now: Tree, grown: Tree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shards(docs: DataFrame, now: Tree, then: Tree, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of each row."""
     whole = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("doc_id"), (F.octet_length(whole) + 1).cast("long").alias("size"), F.crc32(whole.cast("binary")).alias("text_crc32"))
-    rows = rows.withColumns({"shard": shard_of(F.col("doc_id"), now), "grown_shard": shard_of(F.col("doc_id"), grown)})
+    rows = rows.withColumns({"shard": shard_of(F.col("doc_id"), now), "grown_shard": shard_of(F.col("doc_id"), then)})
     return numbered(rows, "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

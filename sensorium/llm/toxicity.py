@@ -1,10 +1,10 @@
 """Toxicity: a logistic classifier that is regularised by counterfactuals.
 
 Features are whole words and word beginnings, each at three levels: in the text at all, twice or more, in at least
-one of 200 words. Those kept are the ones that tell toxic from other labelled texts best. For each labelled text
-with identity terms there is a counterfactual one, with each term swapped for another of its group. Training adds to
-the logistic loss lam times the squared difference of a text's and its counterfactual's scores (as log odds), so a
-mere mention of a group cannot carry the score, however the labels are spread over groups.
+one of 200 words. Those kept are the MAX_FEATURES that tell toxic from other labelled texts best, either way. For each
+labelled text with identity terms there are counterfactual ones, with each term swapped for the others of its group.
+Training adds to the logistic loss lam times the mean squared difference of a text's and its counterfactuals' scores
+(as log odds), so a mere mention of a group cannot carry the score, however the labels are spread over groups.
 
 Training uses at most MAX_TRAIN labelled rows (those whose ids hash lowest), a fixed bound: the model is as small at
 every size of the corpus. Features are counted and chosen on Spark; only the chosen features' places of these rows
@@ -28,8 +28,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD_TABLE, fresh, row_key, small_batches, stash
 
-MAX_TRAIN, MAX_CANDIDATES, MAX_FEATURES, LEAST_DOCS, LEAST_GAIN = 20_000, 50_000, 4_000, 3, 20.0
-PREFIXES, THRESHOLD, DENSE, MAX_WORDS_KNOWN = (3, 4, 5, 6), 0.3, 200, 300_000
+MAX_TRAIN, MAX_FEATURES, LEAST_DOCS, LEAST_GAIN = 20_000, 4_000, 3, 20.0
+PREFIXES, THRESHOLD, DENSE = (3, 4, 5, 6), 0.3, 200
+#: Words remembered by a worker, of so many bytes at most, and features that a task counts before it passes them on.
+MAX_WORDS_KNOWN, MAX_BYTES, MAX_COUNTED = 300_000, 64, 1_000_000
 
 #: Identity terms by group, each to be swapped for the next one of its group.
 IDENTITY = (
@@ -40,7 +42,7 @@ IDENTITY = (
     ("disabled", "abled"), ("blind", "sighted"), ("deaf", "hearing"), ("old", "young"), ("elderly", "youthful"),
     ("african", "european", "american", "mexican", "chinese", "indian", "arab"), ("frauen", "männer"), ("mujeres", "hombres"), ("femmes", "hommes"),
 )
-SWAP = {a.encode(): group[(k + 1) % len(group)].encode() for group in IDENTITY for k, a in enumerate(group)}
+GROUP_OF = {a.encode(): [x.encode() for x in group] for group in IDENTITY for a in group}
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -60,9 +62,11 @@ class Forms(dict):
         self.known = known
 
     def __missing__(self, word: bytes) -> tuple:
-        if len(self) >= MAX_WORDS_KNOWN:
-            self.clear()
-        self[word] = found = tuple([self.known[f] for f in forms(word) if f in self.known])
+        found = tuple([self.known[f] for f in forms(word) if f in self.known])
+        if len(word) <= MAX_BYTES:
+            if len(self) >= MAX_WORDS_KNOWN:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -90,62 +94,62 @@ def training_rows(docs: DataFrame, labels: DataFrame, use: Column, id_col: str,
     return found.groupBy("__lid", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "y")
 
 
-def candidates(rows: DataFrame) -> set[str]:
-    """The forms that most toxic rows have, MAX_CANDIDATES at most."""
+def choose(rows: DataFrame, most: int = MAX_FEATURES) -> list[tuple]:
+    """The (form, level) that tell toxic rows from others best (chi-square), whichever of both they speak for; `most` at
+    most, which is a parameter of the classifier. Forms are counted on Spark, those of rare occurrence first left out."""
+    n1, n0 = (rows.where(F.col("y") == y).count() for y in (1, 0))
+    if not n1 or not n0:
+        return []
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                found.update({f for w in set(words(text)) for f in forms(w)})
-        yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["f", "n"])
+        found = (Counter(), Counter())
 
-    counted = rows.where("y = 1").select("text").mapInArrow(count, "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    return {r.f for r in counted.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "f").limit(MAX_CANDIDATES).collect()}
+        def held() -> pa.RecordBatch:
+            every = list({*found[0], *found[1]})
+            columns = [pa.array([f for f, _ in every], pa.string()), pa.array([k for _, k in every], pa.int32()), *[pa.array([found[y][x] for x in every], pa.int64()) for y in (0, 1)]]
+            return pa.RecordBatch.from_arrays(columns, ["f", "level", "a0", "a1"])
 
-
-def choose(rows: DataFrame, known: set[str]) -> list[tuple]:
-    """The (form, level) of the known forms that tell toxic rows from others best (chi-square), MAX_FEATURES at most."""
-    n1, n0 = (rows.where(F.col("y") == y).count() for y in (1, 0))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, found = Forms({f: f for f in known}), (Counter(), Counter())
         for b in batches:
             for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found[y].update(features(words(text), table))
-        every = list({*found[0], *found[1]})
-        columns = [pa.array([f for f, _ in every], pa.string()), pa.array([k for _, k in every], pa.int32()), *[pa.array([found[y][x] for x in every], pa.int64()) for y in (0, 1)]]
-        yield pa.RecordBatch.from_arrays(columns, ["f", "level", "a0", "a1"])
+                w = words(text)
+                found[y].update(levels(Counter([f for x in w for f in forms(x)]), len(w)))
+                if len(found[0]) + len(found[1]) > MAX_COUNTED:
+                    yield held()
+                    found[0].clear()
+                    found[1].clear()
+        yield held()
 
-    if not n1 or not n0:
-        return []
     counted = rows.mapInArrow(count, "f string, level int, a0 long, a1 long").groupBy("f", "level").agg(F.sum("a0").alias("a0"), F.sum("a1").alias("a1"))
     n, have = float(n1 + n0), (F.col("a0") + F.col("a1")).cast("double")
     over = F.col("a1") - have * n1 / n
     gain = over * over * n**3 / (have * (n - have) * float(n1) * float(n0))
-    good = counted.where((have >= LEAST_DOCS) & (have < n) & (over > 0)).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
-    return [(r.f, r.level) for r in good.orderBy(F.desc("gain"), "f", "level").limit(MAX_FEATURES).collect()]
+    good = counted.where((have >= LEAST_DOCS) & (have < n)).withColumn("gain", gain).where(F.col("gain") >= LEAST_GAIN)
+    return [(r.f, r.level) for r in good.orderBy(F.desc("gain"), "f", "level").limit(most).collect()]
+
 
+def swaps(w: list[bytes]) -> list[list[bytes]]:
+    """The counterfactuals of a text's words: each identity term swapped for the next of its group, then for the one
+    after that, and so on through the largest group that the text has."""
+    most = max((len(GROUP_OF[x]) for x in w if x in GROUP_OF), default=1)
+    return [[GROUP_OF[x][(GROUP_OF[x].index(x) + k) % len(GROUP_OF[x])] if x in GROUP_OF else x for x in w] for k in range(1, most)]
 
-def examples(rows: DataFrame, chosen: list[tuple]) -> list[tuple[int, list[int], list[int] | None]]:
-    """Of each training row: y, the places of its chosen features, and of its counterfactual's if it has identity terms."""
+
+def examples(rows: DataFrame, chosen: list[tuple]) -> list[tuple[int, list[int], list[list[int]]]]:
+    """Of each training row: y, the places of its chosen features, and of those of its counterfactuals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = {f: k for k, f in enumerate(chosen)}
         table = Forms({f: f for f, _ in chosen})
         show = lambda w: [place[f] for f in features(w, table) if f in place]
         for b in batches:
-            own, swapped = [], []
-            for text in b.column(0).to_pylist():
-                w = words(text)
-                own.append(show(w))
-                swapped.append(show([SWAP.get(x, x) for x in w]) if any(map(SWAP.__contains__, w)) else None)
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.int32()))], ["y", "own", "swapped"])
+            split = [words(text) for text in b.column(0).to_pylist()]
+            own, swapped = [show(w) for w in split], [[show(x) for x in swaps(w)] for w in split]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(own, pa.list_(pa.int32())), pa.array(swapped, pa.list_(pa.list_(pa.int32())))], ["y", "own", "swapped"])
 
-    return [tuple(r) for r in rows.mapInArrow(run, "y int, own array<int>, swapped array<int>").toLocalIterator()]
+    return [tuple(r) for r in rows.mapInArrow(run, "y int, own array<int>, swapped array<array<int>>").toLocalIterator()]
 
 
-def fit(data: list[tuple[int, list[int], list[int] | None]], n_features: int, lam: float = 1.0, l2: float = 3e-3, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit(data: list[tuple[int, list[int], list[list[int]]]], n_features: int, lam: float = 1.0, l2: float = 3e-3, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias; the regularised loss is minimised by Adam."""
     y = np.array([d[0] for d in data], float)
     if not len(y) or y.min() == y.max():
@@ -156,8 +160,9 @@ def fit(data: list[tuple[int, list[int], list[int] | None]], n_features: int, la
         return np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.array([f for x in sets for f in x], np.int64)
 
     row, col = matrix([d[1] for d in data])
-    twin = [d for d in data if d[2] is not None]
-    (r1, c1), (r2, c2) = matrix([d[1] for d in twin]), matrix([d[2] for d in twin])
+    twin = [(d[1], x, 1 / len(d[2])) for d in data for x in d[2]]
+    (r1, c1), (r2, c2) = matrix([d[0] for d in twin]), matrix([d[1] for d in twin])
+    share = np.array([d[2] for d in twin])
     w, m, v = (np.zeros(n_features + 1) for _ in range(3))
     w[-1] = math.log(y.sum() / (len(y) - y.sum()))
     for t in range(1, steps + 1):
@@ -166,18 +171,18 @@ def fit(data: list[tuple[int, list[int], list[int] | None]], n_features: int, la
         grad = np.r_[np.bincount(col, g[row], n_features), g.sum()]
         grad[:-1] += l2 * w[:-1] / 10
         if twin:
-            d = (np.bincount(r1, w[c1], len(twin)) - np.bincount(r2, w[c2], len(twin))) * 2 * lam / len(y)
+            d = (np.bincount(r1, w[c1], len(twin)) - np.bincount(r2, w[c2], len(twin))) * share * 2 * lam / len(y)
             grad[:-1] += np.bincount(c1, d[r1], n_features) - np.bincount(c2, d[r2], n_features)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN, lam: float = 1.0) -> tuple[dict[tuple, float], float]:
+def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN, lam: float = 1.0, features: int = MAX_FEATURES) -> tuple[dict[tuple, float], float]:
     """The model: weights of (form, level), and bias. use: which rows of labels may be learned from."""
     small_batches(docs.sparkSession)
     rows = stash(training_rows(docs, labels, F.lit(True) if use is None else use, id_col, text_col, most), "labelled")
-    chosen = choose(rows, candidates(rows))
+    chosen = choose(rows, features)
     weights, bias = fit(examples(rows, chosen), len(chosen), lam)
     return {f: float(x) for f, x in zip(chosen, weights, strict=True) if abs(x) > 1e-6}, bias
 
@@ -214,11 +219,11 @@ def drop_toxic(docs: DataFrame, model: tuple[dict[tuple, float], float], id_col:
     weights, bias = model
     known = {f: (f, *(weights.get((f, k), 0.0) for k in range(3))) for f, _ in weights}
 
-    @F.pandas_udf("double", F.PandasUDFType.SCALAR_ITER)
-    def of(texts):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Forms(known)
-        for t in texts:
-            yield t.map(lambda x: score(x, table, bias)).astype(float)
+        for b in batches:
+            kept = pa.array([score(x, table, bias) < THRESHOLD for x in b.column(b.num_columns - 1).to_pylist()], pa.bool_())
+            yield b.select(range(b.num_columns - 1)).filter(kept)
 
-    (name,) = fresh(docs, "__score")
-    return docs.withColumn(name, of(docs[text_col].cast("binary"))).where(F.col(name) < THRESHOLD).drop(name)
+    (name,) = fresh(docs, "__text")
+    return docs.withColumn(name, docs[text_col].cast("binary")).mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
 import zlib
@@ -222,18 +223,32 @@ def test_decontaminate(spark, rows, items):
     bench = spark.createDataFrame(items, "item_id long, text string")
     cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     want = [x for x in brute.contamination(rows, items)]
-    for most in (10**9, 60):
-        found = decontaminate.hits(case(spark, rows), bench, max_chars=most)
+    for most in (10**9, 12):
+        found = decontaminate.hits(case(spark, rows), bench, max_words=most)
+        assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # one scan
         ids = F.sha2(F.array_join("items", ",").cast("binary"), 256)
         same(found.select(F.col("__id").alias("doc_id"), "n_words", "n_hit", F.size("items").alias("n_items"), ids.alias("items_sha256"), decontaminate.contaminated().alias("contaminated")), want, cols)
     kept = decontaminate.drop_contaminated(case(spark, rows), bench)
     assert sorted((r.doc_id, r.text) for r in kept.collect() if r.doc_id) == sorted((d, t) for (d, t), x in zip(rows, want, strict=True) if not x[5] and d)
     spans = {r.doc_id: r.spans for r in decontaminate.spans(case(spark, rows), bench).collect()}
     assert [(s.a, s.b) for s in spans[11]] == [(0, 10)]
-    assert decontaminate.hits(case(spark, []), bench).count() == 0
+    assert decontaminate.hits(case(spark, []), bench).count() == 0 and decontaminate.drop_contaminated(case(spark, []), bench, max_words=12).count() == 0
+    assert decontaminate.drop_contaminated(case(spark, rows), bench)._jdf.queryExecution().toString().count("Exchange") <= case(spark, rows)._jdf.queryExecution().toString().count("Exchange")
     assert decontaminate.hits(case(spark, rows), spark.createDataFrame([], "item_id long, text string")).where("n_hit > 0").count() == 0
 
 
+def test_chunks_find_every_window():
+    rnd = random.Random(6)
+    for _ in range(400):
+        word = lambda: rnd.choice("abc")
+        items = [(k, " ".join(word() for _ in range(rnd.randrange(0, 40)))) for k in range(4)]
+        text = " ".join(x for _, t in rnd.sample(items, 3) for x in (t, word(), t[rnd.randrange(9) :])) or "a"
+        found = decontaminate.Patterns([(t.encode(), [str(k)]) for k, t in items if t])
+        ranges, ids = found.scan(text.encode().split())
+        want = brute.contamination([(1, text)], items)[0]
+        assert (sum(b - a for a, b in ranges), brute.sha(",".join(sorted(ids)))) == (want[2], want[4])
+
+
 def test_exact_dedup(spark, rows):
     found = exact_dedup.decisions(case(spark, rows), fan_in=2)
     cols = ["__id", "keep_id", "group_size", "sha"]
@@ -287,7 +302,7 @@ def test_simhash_tiles(spark):
 
 
 def test_sharding(spark, rows):
-    found = sharding.shards(case(spark, rows), sharding.tree(8), sharding.tree(9)).collect()
+    found = sharding.shards(case(spark, rows), sharding.tree(8), sharding.grown(sharding.tree(8))).collect()
     assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in found), key=repr) == sorted(((d, len((t or "").encode()) + 1, brute.crc(t)) for d, t in rows), key=repr)
     for s in range(8):
         own = sorted((r for r in found if r.shard == s), key=lambda r: r.slot)
@@ -297,12 +312,36 @@ def test_sharding(spark, rows):
     assert all(r.grown_shard in (r.shard, 8) for r in found) and all(r.law == "key" for r in found)
     assert len({r.shard for r in found if r.doc_id == 6}) == 1
     many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
-    sizes = sharding.shards(many, sharding.tree(8), sharding.tree(9)).groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.expr("int(grown_shard = 8)")).alias("g")).collect()
+    sizes = sharding.shards(many, sharding.tree(8), sharding.grown(sharding.tree(8))).groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.expr("int(grown_shard = 8)")).alias("g")).collect()
     assert len(sizes) == 8 and all(2200 < r.n < 2800 and 200 < r.g < 360 for r in sizes)
     heavy = {"a": {"r": {0: 3.0, 1: 1.0}}, "b": {"r": {2: 4.0}}, "none": {"r": {3: 0.0}}}
     n = {r[0]: r[1] for r in many.select(sharding.shard_of(F.col("doc_id"), heavy).alias("s")).groupBy("s").count().collect()}
     assert 3 not in n and 7000 < n[0] < 8000 and 9600 < n[2] < 10400
-    assert sharding.shards(case(spark, []), sharding.tree(8), sharding.tree(9)).count() == 0
+    assert sharding.shards(case(spark, []), sharding.tree(8), sharding.grown(sharding.tree(8))).count() == 0
+
+
+def test_trees_take_rows_only_into_a_new_shard(spark):
+    """Draws against a plain restatement, and trees of 1 to 16 shards grown twice."""
+    ids = spark.range(400).withColumnRenamed("id", "doc_id")
+    trees = [t for n in range(1, 17) for t in (sharding.tree(n), sharding.grown(sharding.tree(n)), sharding.grown(sharding.grown(sharding.tree(n))))]
+    rows = ids.select("doc_id", *[sharding.shard_of(F.col("doc_id"), t).alias(f"s{k}") for k, t in enumerate(trees)]).collect()
+    for r in rows:
+        for n in range(1, 17):
+            a, b, c = r[3 * n - 2], r[3 * n - 1], r[3 * n]
+            assert b in (a, n) and c in (b, n + 1)
+    assert {len({r[3 * n - 2] for r in rows}) == n for n in range(1, 17)} == {True}
+    tree = sharding.grown(sharding.tree(7))
+    names = [*tree, *[k for x in tree.values() for k in x], *[str(k) for x in tree.values() for y in x.values() for k in y]]
+    hashes = {r.doc_id: dict(zip(names, r[1:], strict=True)) for r in ids.select("doc_id", *[F.xxhash64(F.lit(n), F.lit(False), "doc_id") for n in names]).collect()}
+
+    def descend(d, node):
+        if not isinstance(node, dict):
+            return None
+        best = min(node, key=lambda n: -math.log((((hashes[d][str(n)] & (1 << 64) - 1) >> 11) + 1) / (1 << 53)) / sharding.weight(node[n]))
+        below = descend(d, node[best])
+        return best if below is None else below
+
+    assert all(r[3 * 7 - 1] == descend(r.doc_id, tree) for r in rows)
 
 
 def test_toxicity_held_out(spark):
