@@ -25,21 +25,25 @@ class Scaler:
     lam: float = 1.0
     knots: tuple[float, ...] = ()
 
-    def apply(self, x: Column) -> Column:
+    def apply(self, x: Column, knots: Column | None = None) -> Column:
+        """knots: a column that holds them, so that they needn't be in the plan."""
         if self.kind in ("none", "standard", "robust", "minmax", "maxabs"):
             return (x - self.center) / self.scale
         if self.kind.startswith("quantile"):
-            rank = _rank(x, self.knots)
+            rank = _rank(x, self.knots, self.literal() if knots is None else knots)
             return F.when(x.isNotNull(), _normal(rank) if self.kind.endswith("normal") else rank)
         return (_power(x, self.lam, self.kind.startswith("yeo")) - self.center) / self.scale
 
-    def invert(self, z: Column) -> Column:
+    def literal(self) -> Column:
+        return F.array(*[F.lit(k) for k in self.knots])
+
+    def invert(self, z: Column, knots: Column | None = None) -> Column:
         if self.kind in ("none", "standard", "robust", "minmax", "maxabs"):
             return z * self.scale + self.center
         if self.kind.startswith("quantile"):
             if self.kind.endswith("normal"):
-                raise ValueError("the normal quantile scaler has no inverse expression")
-            ks = F.array(*[F.lit(k) for k in self.knots])
+                z = _share(z)
+            ks = self.literal() if knots is None else knots
             at = F.greatest(F.lit(0.0), F.least(z, F.lit(1.0))) * (len(self.knots) - 1)
             low = F.least(F.floor(at), F.lit(len(self.knots) - 2)).cast("int")
             a, b = F.get(ks, low), F.get(ks, low + 1)
@@ -47,19 +51,36 @@ class Scaler:
         return _unpower(z * self.scale + self.center, self.lam, self.kind.startswith("yeo"))
 
 
-def _rank(x: Column, knots: tuple[float, ...]) -> Column:
+def _count(x: Column, ks: Column, n: int, equal: bool) -> Column:
+    """How many of n ascending knots are below x (or equal), by halves."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(n.bit_length()))])
+    less = lambda k: (k <= x) if equal else (k < x)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= n) & less(F.get(ks, at + step - 1)), at + step).otherwise(at))
+
+
+def _rank(x: Column, knots: tuple[float, ...], ks: Column) -> Column:
     """Place of x among the knots as a share, by interpolation; ties take the middle of their places."""
-    ks = F.array(*[F.lit(k) for k in knots])
     n = len(knots) - 1
-    below = F.size(F.filter(ks, lambda k: k < x))
-    upto = F.size(F.filter(ks, lambda k: k <= x))
+    below, upto = _count(x, ks, n + 1, False), _count(x, ks, n + 1, True)
     a, b = F.get(ks, below - 1), F.get(ks, below)
     inner = (below - 1 + (x - a) / F.nullif(b - a, F.lit(0.0))) / n
     return F.when(x <= knots[0], 0.0).when(x >= knots[-1], 1.0).when(upto > below, (below + upto - 1) / (2.0 * n)).otherwise(inner)
 
 
+def _share(z: Column) -> Column:
+    """The share whose normal quantile is z: the inverse of _normal, by halving an interval."""
+    start = F.struct(F.lit(1e-7).alias("lo"), F.lit(1 - 1e-7).alias("hi"))
+
+    def half(x: Column, _: Column) -> Column:
+        mid = (x.lo + x.hi) / 2
+        return F.when(_normal(mid) < z, F.struct(mid.alias("lo"), x.hi.alias("hi"))).otherwise(F.struct(x.lo.alias("lo"), mid.alias("hi")))
+
+    return F.when(z.isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(50)), start, half, lambda x: (x.lo + x.hi) / 2))
+
+
 def _normal(rank: Column) -> Column:
     """The normal quantile of a share by Acklam's rational approximation (relative error 1.2e-9)."""
+    #: Fixed public values: the approximation's coefficients.
     a = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
     b = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01]
     c = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
@@ -151,8 +172,13 @@ def fit(train: DataFrame, kinds: dict[str, str]) -> dict[str, Scaler]:
 
 
 def transform(df: DataFrame, scalers: dict[str, Scaler], inverse: bool = False) -> DataFrame:
-    """All columns in one projection."""
-    return df.withColumns({c: s.invert(F.col(c)) if inverse else s.apply(F.col(c)) for c, s in scalers.items()})
+    """All columns in one projection. Knots of quantile scalers come from a frame of one row, not from the plan."""
+    columns, held = df.columns, {c: f"__knots{k}" for k, (c, s) in enumerate(scalers.items()) if s.knots}
+    if held:
+        one = df.sparkSession.createDataFrame([tuple(list(scalers[c].knots) for c in held)], ", ".join(f"{n} array<double>" for n in held.values()))
+        df = df.crossJoin(F.broadcast(one))
+    knots = {c: F.col(n) for c, n in held.items()}
+    return df.select(*[(s.invert(F.col(c), knots.get(c)) if inverse else s.apply(F.col(c), knots.get(c))).alias(c) if (s := scalers.get(c)) else F.col(c) for c in columns])
 
 
 def scaler_map(cols: list[str], default: str, rules: dict[str, str], skip: list[str] = ()) -> dict[str, str]:

@@ -163,10 +163,11 @@ def test_adjacency(spark):
 def test_scalers(spark):
     rnd = np.random.default_rng(2)
     df = spark.createDataFrame([(float(x),) for x in rnd.lognormal(size=300)], "x double").withColumn("y", F.col("x"))
-    for kind in ("standard", "robust", "minmax", "maxabs", "quantile_uniform", "yeo-johnson_std", "box-cox"):
+    for kind in ("standard", "robust", "minmax", "maxabs", "quantile_uniform", "quantile_normal", "yeo-johnson_std", "box-cox"):
         s = scaling.fit(df, {"x": kind})
+        inner = F.col("y").between(0.05, 15) if kind == "quantile_normal" else F.lit(True)  # its ends are cut off
         back = scaling.transform(scaling.transform(df, s), s, inverse=True)
-        assert back.agg(F.max(F.abs(F.col("x") - F.col("y")))).first()[0] < 1e-6, kind
+        assert back.where(inner).agg(F.max(F.abs(F.col("x") - F.col("y")))).first()[0] < (1e-5 if kind == "quantile_normal" else 1e-6), kind
     assert abs(scaling.fit(df, {"x": "box-cox"})["x"].lam) < 0.25
     z = scaling.transform(df, scaling.fit(df, {"x": "quantile_normal"})).agg(F.stddev_pop("x"), F.avg("x")).first()
     assert abs(z[0] - 1) < 0.2 and abs(z[1]) < 0.05
