@@ -400,3 +400,28 @@ def test_pipeline(spark):
     assert {r.doc_id for r in after.collect()} == {x[0] for x in brute.contamination(before, items) if not x[5]}
     before, after = seen["encoding"]
     assert {r.doc_id for r in after.collect()} == {d for d, _ in before}
+
+
+def test_pipeline_cases(spark):
+    """Nulls, empty texts, repeated rows, columns with clashing names, and no rows at all, through all stages."""
+    import corpus_pipeline
+
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    long = next(t for _, t in items if t and len(t.split()) >= 20)
+    docs = [(1, None), (2, ""), (3, "some plain text here"), (3, "some plain text here"), (None, "some  plain text here"), (4, long), (5, "a b " * 4000), (None, None), (6, "some plain text there")]
+    frame, none = case(spark, docs), case(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        before = [(r.doc_id, r.text) for r in frame.collect()]
+        frame = corpus_pipeline.stash(stage(spark, frame, SF), "cases")
+        after, left = [(r.doc_id, r.text) for r in frame.collect()] if name != "encoding" else [], stage(spark, none, SF)
+        assert left.count() == 0
+        if name == "encoding":
+            assert sorted(((r.doc_id,) for r in frame.collect()), key=repr) == sorted(((d,) for d, _ in before), key=repr)
+            continue
+        assert frame.columns == none.columns == left.columns
+        if name == "exact dedup":
+            assert sorted(after, key=repr) == sorted([(1, None), (3, "some plain text here"), (4, long), (5, "a b " * 4000), (6, "some plain text there")], key=repr)
+        if name == "near dedup":
+            assert {d for d, _ in after} == {c for _, _, c in brute.simhash(before)}
+        if name == "decontamination":
+            assert {d for d, _ in after} == {x[0] for x in brute.contamination(before, items) if not x[5]} and 4 not in {d for d, _ in after}
