@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result as Parquet in the shared
 folder and reads it again. The last stage returns, for each document kept, what op1 returns.
+
+Cases: null and empty texts are scored like any others, are copies of each other (exact dedup keeps one of all), have
+no words that a benchmark could hit, and encode to the end id. Null ids come after all others, so that of copies a row
+with an id stays. Of rows that are equal in id and text one stays. Further columns are carried, whatever their names,
+up to the last stage. Empty tables give empty results. Texts are whole, however long.
 """
 
 from __future__ import annotations
