@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from datetime import date, datetime
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -134,6 +136,66 @@ def svg_points(d: pd.Series) -> pd.Series:
     return d.map(path_points)
 
 
+#: Names of an Inkscape drawing, the labels of outlines, and the layer of rooms by label or else by id.
+SVG_NS, LABEL = "{http://www.w3.org/2000/svg}", "{http://www.inkscape.org/namespaces/inkscape}label"
+OUTLINES, ROOM_LAYER, ROOM_LAYER_ID = ("building", "building_ground"), "rooms", "layer1"
+PLAN = "file string, width double, height double, kind string, label string, points array<struct<x:double,y:double>>"
+
+
+def _shift(element: ElementTree.Element) -> tuple[float, float]:
+    m = re.search(r"translate\(([-\d.]+),([-\d.]+)\)", element.get("transform", ""))
+    return (float(m[1]), float(m[2])) if m else (0.0, 0.0)
+
+
+def floor_plan(text: str) -> tuple[float, float, list[tuple[str, str, list[dict[str, float]]]]]:
+    """Width and height of a drawing (of its view box, else its own), and (kind, label, points) of its outlines and rooms.
+
+    Translations are taken away from points: an outline's own, a room's and that of its layer together. Rooms are the
+    labelled paths of the layer; a drawing without one has no rooms.
+    """
+    root = ElementTree.fromstring(text.encode())
+    box = root.get("viewBox", "").split()
+    width, height = (float(x) for x in (box[2:] if len(box) == 4 else (root.get(k, "0").replace("pt", "") for k in ("width", "height"))))
+    moved = lambda path, x, y: [{"x": p["x"] - x, "y": p["y"] - y} for p in path_points(path.get("d", ""))]
+    out = []
+    for name in OUTLINES:
+        path = next((e for e in root.iter(f"{SVG_NS}path") if e.get(LABEL) == name), None)
+        if path is not None and path.get("d"):
+            out.append((name, name, moved(path, *_shift(path))))
+    layers = list(root.iter(f"{SVG_NS}g"))
+    layer = next((e for e in layers if e.get(LABEL) == ROOM_LAYER), None)
+    layer = next((e for e in layers if e.get("id") == ROOM_LAYER_ID), None) if layer is None else layer
+    for path in layer.findall(f"{SVG_NS}path") if layer is not None else ():
+        label, (x, y), (dx, dy) = path.get(LABEL, ""), _shift(layer), _shift(path)
+        if label and label not in OUTLINES and path.get("d"):
+            out.append(("room", label, moved(path, x + dx, y + dy)))
+    return width, height, out
+
+
+def read_floor_plans(spark: SparkSession, path: str) -> DataFrame:
+    """file, width, height and kind (building, building_ground, room), label, points of each outline and room of the
+    drawings, each parsed by one task; of a drawing without any, one row with NULLs."""
+    ship(spark)
+    texts = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for text, file in zip(f["value"], f["file"], strict=True):
+                width, height, parts = floor_plan(text)
+                rows = [(file, width, height, *p) for p in parts] or [(file, width, height, None, None, None)]
+                yield pd.DataFrame(rows, columns=["file", "width", "height", "kind", "label", "points"], dtype=object)
+
+    return texts.mapInPandas(run, PLAN)
+
+
+def ground_outlines(plans: DataFrame) -> DataFrame:
+    """file, width, height, points of each drawing's ground outline, which it must have: else the job fails."""
+    of = F.when(F.col("kind") == "building_ground", F.col("points"))
+    one = plans.groupBy("file", "width", "height").agg(F.max_by("points", of.isNotNull()).alias("p"), F.max(of.isNotNull()).alias("has"))
+    missing = F.raise_error(F.concat(F.lit("no ground outline in "), F.col("file"))).cast("array<struct<x:double,y:double>>")
+    return one.select("file", "width", "height", F.when(F.coalesce("has", F.lit(False)), F.col("p")).otherwise(missing).alias("points"))
+
+
 def snapshot(frames: dict[str, DataFrame], path: str) -> None:
     """Entity frames as Parquet, by floor where they have one."""
     for name, df in frames.items():

@@ -214,6 +214,18 @@ def test_sources(spark, tmp_path):
     (tmp_path / "plan.svg").write_text('<svg xmlns:inkscape="http://i"><g><path inkscape:label="7.010" d="M 0 0 L 4 0 L 4 3 Z"/><path d="M 1 1 L 2 2"/></g></svg>')
     svg = files.read_svg(spark, str(tmp_path / "plan.svg"))
     assert {r.label: len(r.p) for r in svg.select("label", files.svg_points("d").alias("p")).collect()} == {"7.010": 3, None: 2}
+    drawn = '<svg xmlns="http://www.w3.org/2000/svg" xmlns:inkscape="http://www.inkscape.org/namespaces/inkscape" {0}><path inkscape:label="building_ground" transform="translate(1,2)" d="M 1 2 L 5 2 L 5 6 Z"/><g {1} transform="translate(10,0)"><path inkscape:label="7.1" transform="translate(0,-5)" d="m 10 0 h 4 v 3 z"/><path d="M 0 0 L 1 1"/></g></svg>'
+    (tmp_path / "a.xml").write_text(drawn.format('viewBox="0 0 40 30"', 'inkscape:label="rooms"'))
+    (tmp_path / "b.xml").write_text(drawn.format('width="8pt" height="9pt"', 'id="layer1"'))
+    plans = files.read_floor_plans(spark, str(tmp_path / "[ab].xml")).collect()
+    assert {(r.width, r.height, r.label, tuple((p.x, p.y) for p in r.points)) for r in plans} == {(w, h, k, v) for w, h in ((40, 30), (8, 9)) for k, v in (("building_ground", ((0, 0), (4, 0), (4, 4))), ("7.1", ((0, 5), (4, 5), (4, 8))))}
+    assert files.ground_outlines(files.read_floor_plans(spark, str(tmp_path / "a.xml"))).first().points[1].x == 4
+    (tmp_path / "c.xml").write_text('<svg xmlns="http://www.w3.org/2000/svg"/>')
+    with pytest.raises(Exception, match="no ground outline"):
+        files.ground_outlines(files.read_floor_plans(spark, str(tmp_path / "c.xml"))).collect()
+    assert {r.k: r.m for r in spark.createDataFrame([("a", "x=1, y=2=3"), ("b", "")], "k string, t string").select("k", files.key_values(F.col("t")).alias("m")).collect()} == {"a": {"x": "1", "y": "2=3"}, "b": None}
+    sinks.write_metadata({"blocks": standin.spine(spark)}, {"interval": 30}, str(tmp_path / "meta"))
+    assert spark.read.text(str(tmp_path / "meta" / "settings")).first().value == '{"interval": 30}' and spark.read.parquet(str(tmp_path / "meta" / "blocks")).count() == 104
     files.snapshot({"rooms": standin.rooms(spark, SF)}, str(tmp_path / "snap"))
     assert files.load_snapshot(spark, str(tmp_path / "snap"), ["rooms"], [1])["rooms"].count() == 5
     a = spark.createDataFrame([(1, "x")], "k int, v string")
