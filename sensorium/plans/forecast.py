@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from itertools import product
 
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +35,37 @@ def naive(df: DataFrame, source: str, horizons: list[int], delta: bool = True) -
     return metrics.overall_and_by(out, "horizon")
 
 
-def boosted(train: DataFrame, test: DataFrame, features: list[str], target: str, rounds: int = 20, depth: int = 4, rate: float = 0.1, absolute: bool = False, seed: int = 1):
-    """A gradient-boosted forecaster on Spark ML: (model, test rows with y and p)."""
+def boosted(train: DataFrame, test: DataFrame, features: list[str], target: str, rounds: int = 20, depth: int = 4, rate: float = 0.1, absolute: bool = False, seed: int = 1, validation: DataFrame | None = None, classify: bool = False, least_gain: float = 0.01):
+    """A gradient-boosted forecaster on Spark ML: (model, test rows with y and p).
+
+    With validation rows, rounds stop when the error on them falls by less than least_gain. classify: labels 0 and 1,
+    p being the score of 1.
+    """
     names = [f"__{c}" for c in features]
     cast = lambda d: d.where(F.col(target).isNotNull()).select("*", *[F.col(c).cast("double").alias(n) for c, n in zip(features, names, strict=True)], F.col(target).cast("double").alias("y"))
     a, b = cast(train), cast(test)
     fill = Imputer(inputCols=names, outputCols=names, strategy="mean").fit(a)
     join = VectorAssembler(inputCols=names, outputCol="__x", handleInvalid="keep")
-    model = GBTRegressor(featuresCol="__x", labelCol="y", predictionCol="p", maxIter=rounds, maxDepth=depth, stepSize=rate, lossType="absolute" if absolute else "squared", seed=seed).fit(join.transform(fill.transform(a)))
-    return model, model.transform(join.transform(fill.transform(b))).select("y", "p")
+    fitted = join.transform(fill.transform(a))
+    how = {"featuresCol": "__x", "labelCol": "y", "maxIter": rounds, "maxDepth": depth, "stepSize": rate, "seed": seed}
+    if validation is not None:
+        held = join.transform(fill.transform(cast(validation))).select("__x", "y", F.lit(True).alias("__held"))
+        fitted = fitted.select("__x", "y", F.lit(False).alias("__held")).unionByName(held)
+        how |= {"validationIndicatorCol": "__held", "validationTol": least_gain}
+    if classify:
+        model = GBTClassifier(**how).fit(fitted)
+    else:
+        model = GBTRegressor(predictionCol="p", lossType="absolute" if absolute else "squared", **how).fit(fitted)
+    got = model.transform(join.transform(fill.transform(b)))
+    return model, got.select("y", F.get(vector_to_array("probability"), F.lit(1)).alias("p") if classify else "p")
+
+
+def save_model(model, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str, classify: bool = False):
+    return (GBTClassificationModel if classify else GBTRegressionModel).load(path)
 
 
 def importance(model, features: list[str], spark) -> DataFrame:

@@ -13,7 +13,7 @@ from sensorium.operators import adjacency, calendar, entities, features, graph_t
 from sensorium.plans import forecast
 from sensorium.plans import standin as t
 from sensorium.session import small
-from sensorium.sources import triples
+from sensorium.sources import files, triples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -128,10 +128,13 @@ def room_level_simple(spark, sf):
     return t.room_level(spark, sf, simple=True)
 
 
-@query(f"""WITH {ROOM} SELECT room_uri, bucket_idx, {", ".join(f"round(max(CASE WHEN property_type = '{p}' THEN mean END), 8) + 0.0 AS {p}_mean, coalesce(max(CASE WHEN property_type = '{p}' THEN n_active_devices END), 0) AS {p}_n_active_devices" for p in t.PROPERTIES)} FROM room GROUP BY ALL""")
+ROOM_SHOWN, ROOM_COUNTS = ("mean", "std", "average_intra_device_variation", "max", "min"), ("count", "n_active_devices", "has_measurement")
+
+
+@query(f"""WITH {ROOM} SELECT room_uri, bucket_idx, {", ".join(f"{", ".join(f"round(max(CASE WHEN property_type = '{p}' THEN {s} END), 8) + 0.0 AS {p}_{s}" for s in ROOM_SHOWN)}, {", ".join(f"coalesce(max(CASE WHEN property_type = '{p}' THEN {s} END), 0) AS {p}_{s}" for s in ROOM_COUNTS)}" for p in t.PROPERTIES)} FROM room GROUP BY ALL""")
 def room_level_wide(spark, sf):
     w = levels.wide(t.room_level(spark, sf), ["room_uri", "bucket_idx"], t.PROPERTIES)
-    return w.select("room_uri", "bucket_idx", *[f"{p}_{s}" for p in t.PROPERTIES for s in ("mean", "n_active_devices")])
+    return w.select("room_uri", "bucket_idx", *[f"{p}_{s}" for p in t.PROPERTIES for s in ROOM_SHOWN + ROOM_COUNTS])
 
 
 @query(f"""WITH {SPINE}, {SERIES}, {ROOMS.replace("devices AS", "devices2 AS")} SELECT r.room_uri, s.bucket_idx, {r('clicks')} FROM rooms r CROSS JOIN spine s LEFT JOIN series x ON x.room_uri = r.room_uri AND x.bucket_idx = s.bucket_idx""")
@@ -150,10 +153,13 @@ def building_level(spark, sf):
     return levels.building_level(levels.floor_level(t.room_level(spark, sf)))
 
 
-@query(f"""WITH {FLOOR} SELECT bucket_idx, {", ".join(f"round(max(CASE WHEN floor_number = {f} AND property_type = 'click' THEN mean END), 8) + 0.0 AS F{f}_click_mean" for f in range(5))} FROM floor GROUP BY bucket_idx""")
+FLOOR_SHOWN = ("mean", "std", "max", "min", "count", "n_active_rooms")
+
+
+@query(f"""WITH {FLOOR} SELECT bucket_idx, {", ".join(f"round(max(CASE WHEN floor_number = {f} AND property_type = '{p}' THEN {s} END), 8) + 0.0 AS F{f}_{p}_{s}" for f in range(5) for p in t.PROPERTIES for s in FLOOR_SHOWN)} FROM floor GROUP BY bucket_idx""")
 def floors_wide(spark, sf):
-    w = levels.floors_wide(levels.floor_level(t.room_level(spark, sf)), list(range(5)), ["click"])
-    return w.select("bucket_idx", *[f"F{f}_click_mean" for f in range(5)])
+    w = levels.floors_wide(levels.floor_level(t.room_level(spark, sf)), list(range(5)), t.PROPERTIES)
+    return w.select("bucket_idx", *[F.col(f"F{f}_{p}_{s}").cast("double").alias(f"F{f}_{p}_{s}") for f in range(5) for p in t.PROPERTIES for s in FLOOR_SHOWN])
 
 
 @query(f"""WITH {GRID} SELECT property_type, CAST(sum(CAST(count = 0 AS INT)) AS BIGINT) AS none, CAST(sum(CAST(count = 1 AS INT)) AS BIGINT) AS single, CAST(sum(CAST(count > 1 AS INT)) AS BIGINT) AS several, CAST(sum(CASE WHEN std = 0 THEN 1 ELSE 0 END) AS BIGINT) AS no_spread, CAST(sum(CASE WHEN mean = min AND mean = max THEN 1 ELSE 0 END) AS BIGINT) AS all_equal, CAST(sum(count) AS BIGINT) AS readings, count(DISTINCT device_uri) AS devices FROM grid GROUP BY property_type""")
@@ -614,19 +620,56 @@ def files_of_devices(spark, sf):
 
 
 # --- more of calendar, windows, metrics and reports
-@query(f"""WITH {SERIES}, t AS (SELECT room_uri, block_id, bucket_idx, clicks, mean, lag(clicks, 1) {W}) AS clicks_lag_1 FROM series) SELECT kind, round(v, 8) + 0.0 AS v, room_uri, bucket_idx FROM (SELECT 'clicks' AS kind, clicks AS v, room_uri, bucket_idx FROM t WHERE clicks_lag_1 IS NOT NULL)""")
-def rows_with_lags(spark, sf):
-    lagged = windows.lags(t.series(spark, sf), [1], ["clicks"], ["room_uri"]).where("clicks_lag_1 is not null")
-    return lagged.select(F.lit("clicks").alias("kind"), F.col("clicks").alias("v"), "room_uri", "bucket_idx")
-
-
 @query(f"""WITH {SERIES}, p AS (SELECT room_uri, sum(clicks) AS s FROM series GROUP BY 1) SELECT room_uri, round(s, 8) + 0.0 AS s, CAST(rank() OVER (ORDER BY s DESC) AS INTEGER) AS place FROM p QUALIFY place <= 5""")
 def top_rooms(spark, sf):
     return metrics.top_keep_ties(t.series(spark, sf).groupBy("room_uri").agg(F.round(F.sum("clicks"), 8).alias("s")), "s", 5)
 
 
-@query("""SELECT event_id, ts + INTERVAL 1 HOUR AS local FROM events WHERE month(ts) < 3""")
+@query("""SELECT event_id, ts + INTERVAL 1 HOUR AS local FROM events""")
 def local_times(spark, sf):
-    from sensorium.sources.files import local_time
+    return t.table(spark, sf, "events").select("event_id", files.local_time(F.col("ts")).alias("local"))
+
+
+@query(f"""WITH {SERIES}, s AS (SELECT room_uri, block_id, bucket_idx, mean AS click_mean, clicks AS click_count, lag(mean, 1) {W}) AS l1, lag(mean, 2) {W}) AS l2, lag(clicks, 1) {W}) AS c1 FROM series) SELECT room_uri, block_id, bucket_idx, {r('click_mean', 'click_count')}, round(l1, 8) + 0.0 AS click_mean_lag_1, round(l2, 8) + 0.0 AS click_mean_lag_2, round(avg(l1) {W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 8) + 0.0 AS click_mean_ma_3_sh1, round(avg(c1) {W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 8) + 0.0 AS click_count_ma_3_sh1 FROM s""")
+def tabular_history(spark, sf):
+    s = t.series(spark, sf).select("room_uri", "block_id", "bucket_idx", F.col("mean").alias("click_mean"), F.col("clicks").alias("click_count"))
+    return windows.tabular_features(s, [1, 2], [3], 1, ["room_uri"])
+
+
+@query(f"""WITH {SERIES}, {HOURS}, s AS (SELECT room_uri, block_id, bucket_idx, round(CAST(CAST(lead(clicks, 2) {W}) - clicks AS FLOAT) AS DOUBLE), 3) + 0.0 AS target_h_2, coalesce(lead(is_workhour, 2) {W}), 0) AS m FROM series JOIN hours USING (bucket_idx)) SELECT room_uri, block_id, bucket_idx, target_h_2 FROM s WHERE m = 1 AND target_h_2 IS NOT NULL""")
+def masked_targets(spark, sf):
+    s = windows.drop_missing_targets(windows.keep_masked(windows.targets(t.series(spark, sf), "clicks", [2], True, ["room_uri"], t.hours(spark))))
+    return s.select("room_uri", "block_id", "bucket_idx", F.round(F.col("target_h_2").cast("double"), 3).alias("target_h_2"))
+
+
+@query(f"""WITH {SERIES} SELECT room_uri, block_id, bucket_idx, round(lag(clicks, 1) {W}), 8) + 0.0 AS clicks_lag_1, round(lag(clicks, 9) {W}), 8) + 0.0 AS clicks_lag_9 FROM series""")
+def kept_lags(spark, sf):
+    s = windows.redundant_lags(windows.lags(t.series(spark, sf), [1, 2, 8, 9], ["clicks"], ["room_uri"]), 1)
+    return windows.drop_columns(s, ["mean"]).drop("clicks")
+
+
+@query(f"""WITH {GRID}, p AS (SELECT corr(mean, max) AS a, corr(mean, min) AS b, corr(max, min) AS d FROM grid)
+ SELECT a, b, round(r, 8) AS r FROM (SELECT 'mean' AS a, 'max' AS b, p.a AS r FROM p UNION ALL SELECT 'mean', 'min', p.b FROM p UNION ALL SELECT 'max', 'min', p.d FROM p) ORDER BY abs(r) DESC, a, b LIMIT 2""")
+def strongest_pairs(spark, sf):
+    return reports.strongest(reports.correlations(t.device_level(spark, sf), ["mean", "max", "min"]), 2, 0.1)
+
+
+@query(f"""WITH {PL}, {HOURS} SELECT device_uri, "timestamp", bucket_idx FROM placed SEMI JOIN (SELECT bucket_idx FROM hours WHERE is_workhour = 1) h USING (bucket_idx)""")
+def workhour_rows(spark, sf):
+    rows = t.property_level(spark, sf).select("device_uri", "timestamp", t.CALENDAR.bucket(F.col("timestamp")).alias("bucket_idx"))
+    return reports.weekday_hours(rows, t.hours(spark))
+
+
+@query(f"""WITH RECURSIVE {PAIRS}, e AS (SELECT src, dst FROM hor UNION SELECT src, dst FROM ver), walk AS (SELECT 'room0' AS room_uri, 0 AS step UNION SELECT dst, step + 1 FROM walk JOIN e ON src = room_uri WHERE step < 3), ready AS (SELECT DISTINCT room_uri AS src FROM walk)
+ SELECT 'horizontal' AS kind, src, dst FROM hor JOIN ready USING (src) UNION ALL SELECT 'vertical', src, dst FROM ver JOIN ready USING (src)""")
+def masked_by_kind(spark, sf):
+    made = adjacency.bundle(t.rooms(spark, sf), seeds=t.rooms(spark, sf).where("room_uri = 'room0'"))
+    masked = adjacency.masked_edges(made["edges"], made["steps"], 3)
+    hor, ver = adjacency.by_kind(masked, made["horizontal"], made["vertical"])
+    return hor.select(F.lit("horizontal").alias("kind"), "src", "dst").unionByName(ver.select(F.lit("vertical").alias("kind"), "src", "dst"))
+
 
-    return t.table(spark, sf, "events").where("month(ts) < 3").select("event_id", local_time(F.col("ts")).alias("local"))
+@query(f"""WITH {GRID}, n AS (SELECT device_uri, property_type, row_number() OVER (ORDER BY device_uri, property_type) - 1 AS node_idx FROM (SELECT DISTINCT device_uri, property_type FROM pl)) SELECT bucket_idx, CAST(node_idx AS INTEGER) AS node_idx, {r('mean')}, has_measurement FROM grid JOIN n USING (device_uri, property_type)""")
+def property_nodes(spark, sf):
+    nodes = graph_tables.node_maps(t.rooms(spark, sf), t.devices(spark, sf), t.property_level(spark, sf))
+    return graph_tables.property_nodes(nodes, t.device_level(spark, sf)).select("bucket_idx", "node_idx", "mean", "has_measurement")

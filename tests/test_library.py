@@ -257,6 +257,17 @@ def test_models_and_reports(spark):
         levels.require_rows(s.where("false"), "rows")
 
 
+def test_boosted_classes_and_stopping(spark, tmp_path):
+    rnd = np.random.default_rng(3)
+    rows = [(float(a), float(b), float(a + 0.3 * c > 0.5)) for a, b, c in rnd.random((400, 3)) - [0, 0, 0.5]]
+    df = spark.createDataFrame(rows, "a double, b double, y1 double").repartition(2)
+    model, got = forecast.boosted(df.limit(200), df, ["a", "b"], "y1", rounds=15, depth=2, classify=True, validation=df)
+    assert metrics.ranking(got.withColumn("y", F.col("y").cast("int"))).first().roc_auc > 0.9 and model.getNumTrees <= 15
+    forecast.save_model(model, str(tmp_path / "m"))
+    again = forecast.load_model(str(tmp_path / "m"), classify=True)
+    assert again.getNumTrees == model.getNumTrees and forecast.importance(again, ["a", "b"], spark).orderBy(F.desc("importance")).first().feature == "a"
+
+
 def test_stream_matches_batch(spark, tmp_path):
     schema = "timestamp timestamp_ntz, device_uri string, property_type string, value double"
     rows = standin.property_level(spark, SF)
