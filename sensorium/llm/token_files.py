@@ -65,6 +65,7 @@ class Encoder:
         if len(later) + len(first) > MAX_WORDS:
             first.clear()
             later.clear()
+        long: list[tuple[dict[str, bytes], str]] = []  # words that aren't kept
         for known, found, lead in ((first, {p[0] for p in parts}, ""), (later, {w for p in parts for w in p[1:]}, " ")):
             # letters and a mark after them are never one token, so the letters are encoded once for all marks
             cut = {x: x[:-1] if x[-1:] in self.marks and x[:-1].isalpha() else x for x in found if x not in known}
@@ -75,12 +76,11 @@ class Encoder:
             for x, letters in cut.items():
                 if x not in known:
                     known[x] = known[letters] + self.marks[x[-1]]
+            long += [(known, x) for x in {*cut, *cut.values()} if len(x) > MAX_CHARS]
         get = later.__getitem__
         out = [np.frombuffer(first[p[0]] + b"".join(map(get, p[1:])), "<u4") for p in parts]
-        for known, found in ((first, {p[0] for p in parts}), (later, {w for p in parts for w in p[1:] if len(w) > MAX_CHARS})):
-            for x in found:
-                if len(x) > MAX_CHARS:
-                    del known[x]
+        for known, x in long:
+            del known[x]
         return out
 
 
