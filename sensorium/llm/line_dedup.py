@@ -48,7 +48,7 @@ CHARS_FOR_AN_EDIT = 5
 TILE, PART = 1 << 17, 1 << 9
 #: Words of lines that are hashed at once.
 WORDS_AT_ONCE = 1 << 17
-#: Bits of a bucket row's key below the bucket: the line's length, then the further bits of its SimHash.
+#: Bits of a line's length in a bucket row's key, and further bits of its SimHash.
 CHAR_BITS, MORE_BITS = 17, 31
 #: As WORD_TABLE without lower-casing; line ends stay.
 TO_WORDS = bytes(0x0A if c == 0x0A else c if 0x41 <= c <= 0x5A else x for c, x in enumerate(WORD_TABLE))
@@ -162,20 +162,22 @@ def block_pairs(radius: int, blocks: int) -> list[tuple[tuple[int, int], tuple[i
 
 
 def bucket_rows(classes: DataFrame, radius: int, blocks: int) -> tuple[DataFrame, int]:
-    """(key, fp) of each class and key, and the number of bits of a key below its bucket's number."""
+    """(key, fp) of each class and key, and how many further bits of the SimHash a key has room for. A key is its
+    bucket's number, the line's length, and these bits, so that one long sorts a bucket by length."""
     pairs = block_pairs(radius, blocks)
     bits = max(a + b for (_, a), (_, b) in pairs)
-    low = CHAR_BITS + MORE_BITS
-    if (2 * len(pairs) - 1).bit_length() + bits + low > 63:
+    room = min(MORE_BITS, 63 - (2 * len(pairs) - 1).bit_length() - bits - CHAR_BITS)
+    if room < 0:
         raise ValueError("the blocks are too wide for a key of one long")
+    low = CHAR_BITS + room
     cut = lambda fp, at, width: F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
     keys = lambda kind: [F.shiftleft((F.lit((2 * k + kind) << bits).cast("long").bitwiseOR(F.shiftleft(cut(F.col("fp"), i, a), b)).bitwiseOR(cut(F.col("fp"), j, b))), low).bitwiseOR(F.col("rest")) for k, ((i, a), (j, b)) in enumerate(pairs)]
-    length = F.shiftleft(F.least("chars", F.lit((1 << CHAR_BITS) - 1)).cast("long"), MORE_BITS)
+    length = F.shiftleft(F.least("chars", F.lit((1 << CHAR_BITS) - 1)).cast("long"), room)
     parts = []
     for kind, (fp, more) in enumerate((("a", "ax"), ("b", "bx"))):
-        some = classes.where(F.col(fp).isNotNull()).select(F.col(fp).alias("fp"), length.bitwiseOR(F.col(more)).alias("rest"))
+        some = classes.where(F.col(fp).isNotNull()).select(F.col(fp).alias("fp"), length.bitwiseOR(F.col(more).bitwiseAND(F.lit((1 << room) - 1))).alias("rest"))
         parts.append(some.select(F.explode(F.array(*keys(kind))).alias("key"), "fp"))
-    return parts[0].unionByName(parts[1]), low
+    return parts[0].unionByName(parts[1]), room
 
 
 def neighbours(fp: np.ndarray, more: np.ndarray, chars: np.ndarray, radius: int, most: int, at_once: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -207,8 +209,9 @@ def neighbours(fp: np.ndarray, more: np.ndarray, chars: np.ndarray, radius: int,
         at += rows
 
 
-def forests(rows: DataFrame, low: int, radius: int, most: int, tile: int) -> DataFrame:
+def forests(rows: DataFrame, room: int, radius: int, most: int, tile: int) -> DataFrame:
     """Edges (u, v) between fingerprints: of each bucket a spanning forest of its neighbours. Equal ones give u = v."""
+    low = CHAR_BITS + room
     bucket = F.shiftright("key", low)
     counts = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > tile)
     # buckets are as many as keys have values, so this is small whatever the number of rows
@@ -222,7 +225,7 @@ def forests(rows: DataFrame, low: int, radius: int, most: int, tile: int) -> Dat
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
 
     def done(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
-        more, chars = key & ((1 << MORE_BITS) - 1), key >> MORE_BITS & ((1 << CHAR_BITS) - 1)
+        more, chars = key & ((1 << room) - 1), key >> room & ((1 << CHAR_BITS) - 1)
         same: list[np.ndarray] = []
 
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -353,8 +356,8 @@ def verified(lines: DataFrame, radius: int, most: int) -> DataFrame:
 
 def near_lines(given: DataFrame, classes: DataFrame, radius: int = RADIUS, more: int = MORE, blocks: int = BLOCKS, tile: int = TILE, part: int = PART) -> DataFrame:
     """The connected groups (node, root) of linked classes, of those that have a link."""
-    rows, low = bucket_rows(classes, radius, blocks)
-    edges = stash(forests(rows, low, radius, more, tile).distinct(), "near-hashes")
+    rows, room = bucket_rows(classes, radius, blocks)
+    edges = stash(forests(rows, room, radius, more, tile).distinct(), "near-hashes")
     found = components(edges, "u", "v")
     alike = edges.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("root"))
     roots = stash(found.unionByName(alike.join(found.select("node"), "node", "left_anti")), "near-parts")

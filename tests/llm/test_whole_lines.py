@@ -68,3 +68,16 @@ def test_lines_without_three_words(spark):
     ]
     gone = check(spark, docs, 0.5)
     assert gone[2] >= {0, 1} and gone[4] >= {0, 1} and gone[1] == {4} and 9 not in gone
+
+
+def test_smaller_radius(spark):
+    rnd = random.Random(15)
+    words = [f"w{k}x" for k in range(200)]
+    docs = []
+    for k in range(60):
+        line = rnd.sample(words, 30)
+        near = [*line[:-1], "other"] if k % 2 else line[:-6]
+        docs += [(k, " ".join(line)), (100 + k, " ".join(near))]
+    gone = brute.line_dedup(docs, radius=3)
+    got = {r.doc_id: set(r.removed) for r in line_dedup.decisions(case(spark, docs), radius=3, blocks=6).collect()}
+    assert got == {d: gone.get(d, set()) for d, _ in docs} and gone
