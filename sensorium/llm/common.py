@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,20 +26,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lots(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about so many bytes of a string column; a longer string is a slice of its own."""
+    for b in batches:
+        ends = pc.cumulative_sum(pc.fill_null(pc.binary_length(b.column(column)), 0).cast(pa.int64())).to_numpy()
+        start = 0
+        while start < b.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 def small_batches(spark: SparkSession) -> None:
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
-def attach(rows: DataFrame, classes: DataFrame, keys: list[str], size: str) -> DataFrame:
+def attach(rows: DataFrame, classes: DataFrame, keys: list[str], size: str, most: int = 20_000) -> DataFrame:
     """rows joined (inner) with classes on keys, whatever the sizes of the classes.
 
-    classes holds one row for each key and in `size` its number of rows. Classes of more than a 20,000th of all
-    rows, 20,000 at most, are broadcast; the others are joined by a shuffle, where no key is hot. Both frames should
+    classes holds one row for each key and in `size` its number of rows. Classes of more than one row in `most`, which
+    are fewer than `most`, are broadcast; the others are joined by a shuffle, where no key is hot. Both frames should
     be stashed ones, as each is read twice.
     """
     total = classes.agg(F.sum(size)).first()[0] or 0
-    limit = total // 20_000 + 1
+    limit = total // most + 1
     hot, rest = classes.where(F.col(size) > limit), classes.where(F.col(size) <= limit)
     few = rows.join(F.broadcast(hot), keys, "inner")
     many = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, "inner")
