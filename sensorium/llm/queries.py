@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, exact_dedup, licenses, line_dedup, pieces, pii, sharding, simhash, token_files, toxicity
+from . import alignment, decontaminate, exact_dedup, licenses, line_dedup, merkle, pieces, pii, sharding, simhash, token_files, toxicity
 from .common import table
 
 
@@ -79,6 +79,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), piece_model())
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_pii": op2_pii,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
     "op11_alignment": op11_alignment,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLE_SQL = {
@@ -111,4 +116,32 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(x, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN per USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op13_merkle": r"""
+        WITH RECURSIVE f AS (SELECT doc_id, coalesce('s' || source, '') AS key, text,
+                 coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+                 || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+                 list_reduce(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda k: CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(k AS INTEGER), 1)) AS BIGINT)),
+                     lambda c, b: list_reduce(range(0, 8), lambda x, _: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)), CAST(4294967295 AS BIGINT)) AS crc
+             FROM documents),
+             d AS (SELECT doc_id, key, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+                 CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-'))
+                      ELSE sha256(head || coalesce(strlen(text) || ':' || text, '-')) END AS tampered FROM f),
+             l AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY key) AS n FROM d),
+             t(key, level, pos, n, h) AS (SELECT key, 0, pos, n, leaf FROM l UNION ALL
+                 SELECT key, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY key, level, n, pos // 3),
+             s AS (SELECT key, h AS subroot, row_number() OVER (ORDER BY key) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+             r(level, pos, n, h) AS (SELECT 0, pos, n, subroot FROM s UNION ALL
+                 SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM r WHERE n > 1 GROUP BY level, n, pos // 3),
+             sibs AS (SELECT l.key, l.pos, 0 AS tree, t.level, t.pos AS q, t.h FROM l JOIN t ON t.key = l.key AND t.n > 1 AND t.pos // 3 = l.pos // CAST(pow(3, t.level + 1) AS BIGINT) AND t.pos <> l.pos // CAST(pow(3, t.level) AS BIGINT)
+                 UNION ALL SELECT l.key, l.pos, 1, r.level, r.pos, r.h FROM l JOIN s USING (key) JOIN r ON r.n > 1 AND r.pos // 3 = s.pos // CAST(pow(3, r.level + 1) AS BIGINT) AND r.pos <> s.pos // CAST(pow(3, r.level) AS BIGINT)),
+             proof AS (SELECT key, pos, sha256(string_agg(h, '' ORDER BY tree, level, q)) AS proof FROM sibs GROUP BY key, pos),
+             up(key, leaf, level, pos, h, n) AS (SELECT key, pos, 0, pos, tampered, n FROM l UNION ALL
+                 SELECT u.key, u.leaf, u.level + 1, u.pos // 3, sha256(string_agg(CASE WHEN t.pos = u.pos THEN u.h ELSE t.h END, '' ORDER BY t.pos)), (u.n + 2) // 3
+                 FROM up u JOIN t ON t.key = u.key AND t.level = u.level AND t.pos // 3 = u.pos // 3 WHERE u.n > 1 GROUP BY u.key, u.leaf, u.level, u.pos, u.n),
+             on_top(key, leaf, level, pos, h, n) AS (SELECT up.key, leaf, 0, s.pos, up.h, s.n FROM up JOIN s ON s.key = up.key WHERE up.n = 1 UNION ALL
+                 SELECT u.key, u.leaf, u.level + 1, u.pos // 3, sha256(string_agg(CASE WHEN r.pos = u.pos THEN u.h ELSE r.h END, '' ORDER BY r.pos)), (u.n + 2) // 3
+                 FROM on_top u JOIN r ON r.level = u.level AND r.pos // 3 = u.pos // 3 WHERE u.n > 1 GROUP BY u.key, u.leaf, u.level, u.pos, u.n)
+        SELECT doc_id, l.leaf, subroot, root.h AS root, coalesce(proof, sha256('')) AS proof_sha256, o.h AS folded_root, o.h = root.h AS verified
+        FROM l JOIN s USING (key) JOIN (SELECT h FROM r WHERE n = 1) root ON true JOIN on_top o ON o.key = l.key AND o.leaf = l.pos AND o.n = 1
+        LEFT JOIN proof ON proof.key = l.key AND proof.pos = l.pos""",
 }
