@@ -19,10 +19,8 @@ from __future__ import annotations
 import hashlib
 import os
 from array import array
-from bisect import bisect_left, bisect_right
-from collections import Counter
 from collections.abc import Iterator
-from itertools import accumulate, chain, pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +34,14 @@ from .common import attach, lots
 from .pieces import BYTE, SPACE, Pieces
 
 #: Parts that a worker remembers, and characters in them; with more the tables are emptied before the next lot of texts.
-MAX_PARTS, MAX_CHARS = 400_000, 1 << 24
+MAX_PARTS, MAX_CHARS = 500_000, 1 << 24
 #: Pairs that are broadcast with their counts, at most.
 HOT_PAIRS = 1 << 18
 SPACES, CUT = regex.compile(r"\s\s"), regex.compile(r"(?<=\S) (?=\S)")
 
 #: Places in a part where both tokenizers may be certain to cut.
-INNER = regex.compile(r"(?<=\p{L})(?=[.,;:!?])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
+MARKS = ".,;:!?"
+INNER = regex.compile(rf"(?<=\p{{L}})(?=[{MARKS}])|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -52,24 +51,28 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]:
-    """(first A, past A, first B, past B) of each group; a and b are the tokens' lengths in bytes, with equal sums.
+def groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First A, past A, first B and past B of each group; a and b are the tokens' lengths in bytes, with equal sums.
 
-    Each A token's overlaps are found in the index of B; a group ends at a gap of A tokens that no B token spans.
+    Each A token's overlaps are found in the index of B by bisection (of all A tokens at once); a group ends at a gap
+    of A tokens that no B token spans.
     """
-    b_ends = [*accumulate(b)]
-    b_starts = [0, *b_ends[:-1]]
-    out, first, own, end, past = [], 0, 0, 0, 0
-    for k, n in enumerate(a):
-        low = bisect_right(b_ends, end)
-        if k and past <= low:
-            out.append((first, k, own, past))
-            first, own = k, low
-        end += n
-        past = bisect_left(b_starts, end)
-    if a:
-        out.append((first, len(a), own, past))
-    return out
+    a_ends, b_ends = np.cumsum(a), np.cumsum(b)
+    low, past = np.searchsorted(b_ends, a_ends - a, "right"), np.searchsorted(b_ends - b, a_ends, "left")
+    ends = np.flatnonzero(np.append(past[:-1] <= low[1:], [True] * bool(len(a)))) + 1
+    first = np.append(0, ends)[:-1].astype(np.int64)
+    return first, ends, low[first], past[ends - 1]
+
+
+def run_lengths(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1 and so on, as many as its size says, of each."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def sums(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of x, whose sizes (also zero) are given."""
+    whole, ends = np.append(0, np.cumsum(x)), np.cumsum(sizes)
+    return whole[ends] - whole[ends - sizes]
 
 
 class Aligner:
@@ -84,99 +87,113 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b, self.pieces = SentencePieceProcessor(model_file=b_path), Pieces(b_path)
         at = byte_alphabet()
-        self.a_size = {k: len(x) if all(c in at for c in x) else len(x.encode()) for x, k in self.a.get_vocab(with_added_tokens=True).items()}
-        self.b_size = [1 if t == BYTE else len(p.replace(SPACE, " ").encode()) for p, t in zip(self.pieces.pieces, self.pieces.kinds, strict=True)]
+        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        self.a_size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for x, k in vocabulary.items():
+            self.a_size[k] = len(x) if all(c in at for c in x) else len(x.encode())
+        self.b_size = np.array([1 if t == BYTE else len(p.replace(SPACE, " ").encode()) for p, t in zip(self.pieces.pieces, self.pieces.kinds, strict=True)])
+        self.digits = np.array([str(k) for k in range(max(len(self.a_size), len(self.b_size)))], object)
         #: Characters that stand together in a piece; between others B always cuts.
         self.together = {x + y for p in self.pieces.ids for x, y in pairwise(p)}
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, tuple[int, ...]] = {}  # parts after a space: what they consist of
-        self.whole: dict[str, int] = {}  # parts that aren't cut any more, with their space
+        self.bare: dict[str, int] = {}  # parts of these, without a space
         self.said: list[str | None] = []
         self.held = 0  # characters of parts
         self.numbers = array("q")  # n_a, n_b, n_groups, n_links
         self.pairs, self.times, self.starts = array("q"), array("q"), array("q", [0])
 
-    def align(self, part: str, a: list[int], b: list[int]) -> None:
-        """Keeps a part's groups as a string (None if its tokens aren't its bytes), its numbers, and the links of each pair."""
-        self.whole[part] = len(self.said)
-        self.held += len(part)
-        a_sizes, b_sizes, n = [self.a_size[k] for k in a], [self.b_size[k] for k in b], len(part.encode())
-        if sum(a_sizes) != n or sum(b_sizes) != n:  # bytes that A lacks are left out, characters that B lacks are longer
-            self.said.append(None)
-            self.numbers.extend((0, 0, 0, 0))
-            self.starts.append(len(self.pairs))
-            return
-        size, n_links, said = len(self.b_size), 0, []
-        links: dict[int, int] = {}
-        found = groups(a_sizes, b_sizes)
-        for i, j, k, m in found:
-            if j - i == 1 == m - k:
-                said.append(f"{a[i]}|{b[k]}")
-                x = a[i] * size + b[k]
-                links[x] = links.get(x, 0) + 1
-                n_links += 1
-                continue
-            said.append(f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}")
-            n_links += (j - i) * (m - k)
-            theirs = Counter(b[k:m]).items() if m - k > 1 else ((b[k], 1),)
-            for x, n in Counter(a[i:j]).items() if j - i > 1 else ((a[i], 1),):
-                for y, times in theirs:
-                    links[x * size + y] = links.get(x * size + y, 0) + n * times
-        self.said.append(";".join(said))
-        self.numbers.extend((len(a), len(b), len(found), n_links))
-        self.pairs.extend(links)
-        self.times.extend(links.values())
-        self.starts.append(len(self.pairs))
+    def align(self, parts: list[str], a: list[list[int]], b: list[list[int]]) -> range:
+        """Keeps each part's groups as a string (None if its tokens aren't its bytes), its numbers, and the links of each pair."""
+        of_lists = lambda x: (np.fromiter(map(len, x), np.int64, len(x)), np.fromiter(chain.from_iterable(x), np.int64))
+        (n_a, a), (n_b, b) = of_lists(a), of_lists(b)
+        n = np.fromiter((len(x.encode()) for x in parts), np.int64, len(parts))
+        good = (sums(self.a_size[a], n_a) == n) & (sums(self.b_size[b], n_b) == n)  # what A lacks is left out, what B lacks is longer
+        if not good.all():
+            a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+            n_a, n_b = n_a * good, n_b * good
+        # the parts lie one after another on one axis of bytes: where one ends, tokens of both do
+        first_a, past_a, first_b, past_b = groups(self.a_size[a], self.b_size[b])
+        in_a, in_b = past_a - first_a, past_b - first_b
+        part = np.repeat(np.arange(len(parts)), n_a)[first_a]
+        n_groups = np.bincount(part, minlength=len(parts))
+        numbers = np.stack([n_a, n_b, n_groups, sums(in_a * in_b, n_groups)], axis=1)
+        # different ids of each group with their counts, then all pairs of them
+        ids = lambda x, sizes, most: np.unique(np.repeat(np.arange(len(part)), sizes) * most + x, return_counts=True)
+        (x, of_x), (y, of_y) = ids(a, in_a, len(self.a_size)), ids(b, in_b, len(self.b_size))
+        (group, x), (other, y) = np.divmod(x, len(self.a_size)), np.divmod(y, len(self.b_size))
+        own = np.bincount(other, minlength=len(part))
+        held = own[group]
+        at = run_lengths((np.cumsum(own) - own)[group], held)
+        self.pairs.frombytes((np.repeat(x, held) * len(self.b_size) + y[at]).tobytes())
+        self.times.frombytes((np.repeat(of_x, held) * of_y[at]).tobytes())
+        stops = np.cumsum(np.bincount(part[group], held, len(parts)).astype(np.int64)) + self.starts[-1]
+        # a1,a2|b1;a3|b2,b3 of all parts at once, a line for each
+        said = np.full(2 * (len(a) + len(b)), ",", object)
+        said[2 * (np.arange(len(a)) + np.repeat(first_b, in_a))] = self.digits[a]
+        said[2 * (np.arange(len(b)) + np.repeat(past_a, in_b))] = self.digits[b]
+        said[2 * (past_a + first_b) - 1] = "|"
+        said[2 * (past_a + past_b) - 1] = ";"
+        said[2 * np.cumsum(n_a + n_b)[good] - 1] = "\n"
+        lines = iter("".join(said.tolist()).split("\n"))
+        first = len(self.said)
+        self.said += [next(lines) if x else None for x in good.tolist()]
+        self.numbers.frombytes(numbers.tobytes())
+        self.starts.frombytes(stops.tobytes())
+        self.held += int(n.sum())
+        return range(first, len(self.said))
 
     def cut(self, part: str) -> list[str]:
         """A part, cut where both tokenizers do whatever stands around: beside line ends, and between a letter and a mark."""
         if part.isalpha() or " " in part:
             return [part]
+        if part[:-1].isalpha() and part[-1] in MARKS:
+            return [part[:-1], part[-1]] if part[-2:] not in self.together else [part]
         at = [k for m in INNER.finditer(part) if part[(k := m.start()) - 1 : k + 1] not in self.together]
         return [part[i:j] for i, j in pairwise([0, *at, len(part)])]
 
     def learn(self, parts: set[str]) -> None:
-        """Aligns what isn't known."""
-        cut = {x: self.cut(x) for x in parts if x not in self.known}
-        first = [x for x in {p[0] for p in cut.values()} if f" {x}" not in self.whole]
-        later = [x for x in {x for p in cut.values() for x in p[1:]} if x not in self.whole]
-        for new, a, b in (([f" {x}" for x in first], first, self.b.encode(first, num_threads=1)), (later, later, [self.pieces.ids_of(x) for x in later])):
-            for x, e, ids in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), b, strict=True):
-                self.align(x, e.ids, ids)
+        """Aligns what isn't known: first what the parts are cut into."""
+        known, bare = self.known, self.bare
+        cut = {x: self.cut(x) for x in parts if x not in known}
+        first = [x for x in {p[0] for p in cut.values()} if x not in known]
+        a = self.a.encode_batch_fast([" " + x for x in first], add_special_tokens=False)
+        known.update((x, (k,)) for x, k in zip(first, self.align([" " + x for x in first], [e.ids for e in a], self.b.encode(first, num_threads=1)), strict=True))
+        later = [x for x in {x for p in cut.values() if len(p) > 1 for x in p[1:]} if x not in bare]
+        a = self.a.encode_batch_fast(later, add_special_tokens=False)
+        bare.update(zip(later, self.align(later, [e.ids for e in a], [self.pieces.ids_of(x) for x in later]), strict=True))
         for x, (own, *rest) in cut.items():
-            self.known[x] = (self.whole[f" {own}"], *[self.whole[y] for y in rest])
+            if rest:
+                known[x] = (*known[own], *[bare[y] for y in rest])
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of each text n_a, n_b, n_groups, n_links and groups_sha256; the pairs and links of all, and where each text's end."""
         cut = [[] if not t or SPACE in t else t.split(" ") if not SPACES.search(t) and not t[0].isspace() and not t[-1].isspace() else CUT.split(t) for t in texts]
-        if len(self.said) > MAX_PARTS or self.held > MAX_CHARS:
+        if len(self.known) > MAX_PARTS or self.held > MAX_CHARS:
             self.clear()
-        self.learn({x for parts in cut for x in parts})
+        self.learn(set().union(*cut))
         get, said = self.known.__getitem__, self.said
         places = [[*chain.from_iterable(map(get, parts))] for parts in cut]
         shas = [""] * len(texts)
         for k, p in enumerate(places):
             try:
-                shas[k] = hashlib.sha256(";".join([said[x] for x in p]).encode()).hexdigest() if p else ""
+                shas[k] = hashlib.sha256(";".join(map(said.__getitem__, p)).encode()).hexdigest() if p else ""
             except TypeError:  # a part has no tokens
                 places[k] = []
         sizes = np.fromiter(map(len, places), np.int64, len(places))
         words = np.fromiter(chain.from_iterable(places), np.int64, sizes.sum())
         doc = np.repeat(np.arange(len(texts)), sizes)
-        numbers = np.array(self.numbers, np.int64).reshape(-1, 4)[words]
-        summed = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(numbers, axis=0)])
-        ends = np.cumsum(sizes)
-        numbers = summed[ends] - summed[ends - sizes]
+        numbers = np.stack([sums(x, sizes) for x in np.frombuffer(self.numbers, np.int64).reshape(-1, 4)[words].T], axis=1)
         # (text, part) with its count, then (text, pair) with its links
         some, n = np.unique(doc * max(1, len(said)) + words, return_counts=True)
         doc, words = np.divmod(some, max(1, len(said)))
-        starts = np.array(self.starts, np.int64)
-        held = starts[words + 1] - starts[words]
-        at = np.repeat(starts[words] - np.cumsum(held) + held, held) + np.arange(held.sum())
-        own, pair = np.unique(np.array(self.pairs, np.int64)[at], return_inverse=True)
-        times = np.array(self.times, np.int64)[at] * np.repeat(n, held)
+        starts, stops = (np.frombuffer(self.starts, np.int64)[words + k] for k in (0, 1))
+        held = stops - starts
+        at = run_lengths(starts, held)
+        own, pair = np.unique(np.frombuffer(self.pairs, np.int64)[at], return_inverse=True)
+        times = np.frombuffer(self.times, np.int64)[at] * np.repeat(n, held)
         key = np.repeat(doc, held) * max(1, len(own)) + pair
         order = np.argsort(key, kind="stable")
         key = key[order]
