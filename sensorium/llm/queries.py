@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, exact_dedup, licenses, line_dedup, merkle, pieces, pii, sharding, simhash, token_files, toxicity
+from . import alignment, decontaminate, exact_dedup, langid, licenses, line_dedup, merkle, pieces, pii, sharding, simhash, token_files, toxicity
 from .common import table
 
 
@@ -79,6 +79,13 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), piece_model())
 
 
+def op12_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = lambda d: F.pmod(F.crc32(d.cast("string").cast("binary")), F.lit(5)) == 0
+    found = langid.predictions(docs, langid.sample(docs, ~fold(docs["doc_id"])))
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proofs(table(spark, sf_dir, "documents"))
 
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
     "op11_alignment": op11_alignment,
+    "op12_langid": op12_langid,
     "op13_merkle": op13_merkle,
 }
 
