@@ -183,18 +183,18 @@ def shift_operator(edges: DataFrame, kind: str, nodes: DataFrame | None = None)
     if "lap" in more:
         e = e.where("src <> dst")
         d = e.groupBy(F.col("src").alias("n")).agg(F.sum("weight").alias("d"))
-        return combined(loops, _over(e, d, base).withColumn("weight", -F.col("weight")))
+        return combined(loops, over_degrees(e, d, base).withColumn("weight", -F.col("weight")))
     if "renorm" in more:
         own = e.where("src = dst").select("src", "dst")
         e = combined(e, loops.join(own, ["src", "dst"], "left_anti") if base == "sym" else loops)
     if base == "sym":
-        return _over(e, e.groupBy(F.col("dst").alias("n")).agg(F.sum("weight").alias("d")), base)
+        return over_degrees(e, e.groupBy(F.col("dst").alias("n")).agg(F.sum("weight").alias("d")), base)
     end = "src" if base == "rw" else "dst"
     degree = e.groupBy(end).agg(F.count("*").cast("double").alias("d"))
     return e.join(degree, end).select("src", "dst", (F.col("weight") / F.col("d")).alias("weight"))
 
 
-def _over(e: DataFrame, degrees: DataFrame, base: str) -> DataFrame:
+def over_degrees(e: DataFrame, degrees: DataFrame, base: str) -> DataFrame:
     """Weights over src's degree, or over the roots of both ends' (n, d); without or with degree 0 the weight is 0."""
     side = lambda end: degrees.select(F.col("n").alias(end), F.col("d").alias(f"{end}_d"))
     both = e.join(side("src"), "src", "left").join(side("dst"), "dst", "left")

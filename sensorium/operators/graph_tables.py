@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .calendar import dense_index
@@ -63,3 +65,101 @@ def dense_rows(values: DataFrame, rooms: DataFrame, spine: DataFrame, cols: list
     full = grid.join(values.select("room_uri", "bucket_idx", *cols), ["room_uri", "bucket_idx"], "left")
     row = F.struct("node_idx", F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
     return full.groupBy("bucket_idx").agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r.x).alias("rooms"))
+
+
+def type_numbers(nodes: dict[str, DataFrame], properties: list[str]) -> dict[str, DataFrame]:
+    """node_type, key and node_idx of the typed graph, each type numbered from 0: room, device, a type prop_{property}
+    for each property (its nodes are devices), outside and time."""
+    spark = nodes["room"].sparkSession
+    one = lambda n: spark.createDataFrame([(n, n, 0)], "node_type string, key string, node_idx int")
+    out = {
+        "room": nodes["room"].select(F.lit("room").alias("node_type"), F.col("room_uri").alias("key"), "node_idx"),
+        "device": nodes["device"].select(F.lit("device").alias("node_type"), F.col("device_uri").alias("key"), "node_idx"),
+        "outside": one("outside"),
+        "time": one("time"),
+    }
+    for p in properties:
+        own = nodes["property"].where(F.col("property_type") == p).select(F.lit(f"prop_{p}").alias("node_type"), F.col("device_uri").alias("key"))
+        out[f"prop_{p}"] = dense_index(own, ["key"], "node_idx")
+    return out
+
+
+def numbers(cols: list[str]) -> Column:
+    """The columns as an array of doubles, in order."""
+    return F.array(*[F.col(c).cast("double") for c in cols]).alias("x")
+
+
+def static_nodes(typed: dict[str, DataFrame], rooms: DataFrame, cols: list[str]) -> DataFrame:
+    """node_type, node_idx, x of nodes that don't change: rooms with static features (NULL where there are none), and
+    devices, whose only one is their number, for embeddings."""
+    room = typed["room"].join(rooms.select(F.col("room_uri").alias("key"), *cols), "key", "left").select("node_type", "node_idx", numbers(cols))
+    return room.unionByName(typed["device"].select("node_type", "node_idx", numbers(["node_idx"])))
+
+
+def temporal_nodes(typed: dict[str, DataFrame], spine: DataFrame, device_level: DataFrame, weather: DataFrame, time_features: DataFrame, cols: list[str]) -> DataFrame:
+    """bucket_idx, node_type, node_idx, x of nodes that change, with a row for each node and bucket.
+
+    Property nodes have cols of the device level, outside the weather's columns and time the time features'; what isn't
+    known in a bucket is NULL, so that all types are aligned on the same buckets and on their nodes' order.
+    """
+    buckets = F.broadcast(spine.select("bucket_idx"))
+    props = [df for name, df in typed.items() if name.startswith("prop_")]
+    out = None
+    if props:
+        every = reduce(DataFrame.unionByName, props).crossJoin(buckets)
+        level = device_level.select(F.concat(F.lit("prop_"), "property_type").alias("node_type"), F.col("device_uri").alias("key"), "bucket_idx", *cols)
+        out = every.join(level, ["node_type", "key", "bucket_idx"], "left").select("bucket_idx", "node_type", "node_idx", numbers(cols))
+    for name, values in (("outside", weather), ("time", time_features)):
+        own = [c for c in values.columns if c != "bucket_idx"]
+        one = spine.select("bucket_idx").join(values, "bucket_idx", "left").select("bucket_idx", F.lit(name).alias("node_type"), F.lit(0).alias("node_idx"), numbers(own))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def typed_edges(typed: dict[str, DataFrame], nodes: dict[str, DataFrame], horizontal: DataFrame, vertical: DataFrame, outside: DataFrame) -> DataFrame:
+    """src_type, relation, dst_type, src, dst, weight of the typed graph, by the numbers within types. Between rooms and
+    devices, and devices and their properties, there is an edge in either direction."""
+    at = lambda n, to: typed[n].select(F.col("key").alias(f"{to}_key"), F.col("node_idx").alias(to))
+    cols = ["src_type", "relation", "dst_type", "src", "dst", "weight"]
+
+    def told(df: DataFrame, src: str, relation: str, dst: str) -> DataFrame:
+        joined = df.join(at(src, "src"), "src_key").join(at(dst, "dst"), "dst_key")
+        return joined.withColumns({"src_type": F.lit(src), "relation": F.lit(relation), "dst_type": F.lit(dst)}).select(*cols)
+
+    def turned(df: DataFrame, relation: str) -> DataFrame:
+        return df.select(F.col("dst_type").alias("src_type"), F.lit(relation).alias("relation"), F.col("src_type").alias("dst_type"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+
+    keyed = lambda df, s, d, w=F.lit(1.0): df.select(F.col(s).alias("src_key"), F.col(d).alias("dst_key"), w.alias("weight"))
+    out = [told(keyed(e, "src", "dst", F.col("weight")), "room", f"adjacent_{name}", "room") for name, e in (("horizontal", horizontal), ("vertical", vertical))]
+    held = told(keyed(nodes["device"], "room_uri", "device_uri"), "room", "contains", "device")
+    out += [held, turned(held, "contained_in")]
+    for name in (n for n in typed if n.startswith("prop_")):
+        own = told(keyed(typed[name].withColumn("device_uri", F.col("key")), "device_uri", "key"), "device", name.replace("prop_", "measures_", 1), name)
+        out += [own, turned(own, "measured_by")]
+    out.append(told(outside.where("weight > 0").select(F.lit("outside").alias("src_key"), F.col("room_uri").alias("dst_key"), "weight"), "outside", "influences", "room"))
+    for name, df in typed.items():
+        if name != "time":
+            out.append(told(df.select(F.lit("time").alias("src_key"), F.col("key").alias("dst_key"), F.lit(1.0).alias("weight")), "time", f"affects_{name}", name))
+    return reduce(DataFrame.unionByName, out)
+
+
+def export_bundle(rooms: DataFrame, static: DataFrame, devices: DataFrame, device_level: DataFrame, properties: list[str], spine: DataFrame, weather: DataFrame, time_features: DataFrame, horizontal: DataFrame, vertical: DataFrame, outside: DataFrame, cols: list[str] = ("mean", "has_measurement")) -> tuple[dict[str, DataFrame], dict]:
+    """All that a trainer of the typed graph reads: frames, and settings (feature names, which are unique over property
+    types, property types). sinks.write_metadata writes both, sinks.read_metadata reads them.
+
+    Frames: mappings (node_type, key, node_idx), static and temporal nodes, edges. A snapshot is a filter of temporal
+    on its bucket. Written by (node_type, bucket_idx) ranges they come out in the nodes' order.
+    """
+    nodes = node_maps(rooms, devices, device_level)
+    typed = type_numbers(nodes, properties)
+    own = [c for c in static.columns if c != "room_uri"]
+    temporal = temporal_nodes(typed, spine, device_level, weather, time_features, list(cols))
+    frames = {
+        "mappings": reduce(DataFrame.unionByName, typed.values()),
+        "static": static_nodes(typed, static, own),
+        "temporal": temporal.repartitionByRange("node_type", "bucket_idx", "node_idx").sortWithinPartitions("node_type", "bucket_idx", "node_idx"),
+        "edges": typed_edges(typed, nodes, horizontal, vertical, outside),
+    }
+    names = {"room": own, "device": ["embedding_index"], "outside": [c for c in weather.columns if c != "bucket_idx"], "time": [c for c in time_features.columns if c != "bucket_idx"]}
+    names |= {f"prop_{p}": [f"{p}_{c}" for c in cols] for p in properties}
+    return frames, {"feature_names": names, "property_types": list(properties)}

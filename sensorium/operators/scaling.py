@@ -12,6 +12,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 QUANTILES = 5000
 
 
@@ -133,8 +135,12 @@ def _best_power(train: DataFrame, col: str, yeo: bool) -> float:
     return (lo + hi) / 2
 
 
+LINEAR = ("standard", "robust", "minmax", "maxabs")
+
+
 def fit(train: DataFrame, kinds: dict[str, str]) -> dict[str, Scaler]:
-    """Scalers by column, fitted on train. All linear ones come from a single aggregate.
+    """Scalers by column, fitted on train. All linear ones come from a single aggregate, and all quantiles that any
+    column wants (exact and interpolated) from one selection by ranges of values.
 
     Kinds: none, standard, robust, minmax, maxabs, quantile_uniform, quantile_normal, yeo-johnson, yeo-johnson_std,
     box-cox, box-cox_std.
@@ -144,23 +150,27 @@ def fit(train: DataFrame, kinds: dict[str, str]) -> dict[str, Scaler]:
         x = F.col(c).cast("double")
         if kind == "standard":
             aggs += [F.avg(x).alias(f"a{k}"), F.stddev_pop(x).alias(f"b{k}")]
-        elif kind == "robust":  # exact and interpolated
-            aggs += [F.percentile(x, 0.5).alias(f"a{k}"), (F.percentile(x, 0.75) - F.percentile(x, 0.25)).alias(f"b{k}")]
         elif kind == "minmax":
             aggs += [F.min(x).alias(f"a{k}"), (F.max(x) - F.min(x)).alias(f"b{k}")]
         elif kind == "maxabs":
             aggs += [F.lit(0.0).alias(f"a{k}"), F.max(F.abs(x)).alias(f"b{k}")]
+        elif kind.startswith("quantile"):
+            aggs += [F.count(F.nanvl(x, F.lit(None).cast("double"))).alias(f"a{k}")]
     got = train.agg(*aggs).first() if aggs else None
+    knots = {c: max(2, min(QUANTILES, got[f"a{k}"])) for k, (c, kind) in enumerate(kinds.items()) if kind.startswith("quantile")}
+    shares = {c: [i / (n - 1) for i in range(n)] for c, n in knots.items()}
+    found = quantiles.of_columns(train, shares | {c: [0.25, 0.5, 0.75] for c, kind in kinds.items() if kind == "robust"})
     out = {}
     for k, (c, kind) in enumerate(kinds.items()):
         if kind == "none":
             out[c] = Scaler(kind)
-        elif kind in ("standard", "robust", "minmax", "maxabs"):
+        elif kind == "robust":
+            q = found.get(c, {0.25: 0.0, 0.5: 0.0, 0.75: 0.0})
+            out[c] = Scaler(kind, q[0.5], q[0.75] - q[0.25] or 1.0)
+        elif kind in LINEAR:
             out[c] = Scaler(kind, got[f"a{k}"] or 0.0, got[f"b{k}"] or 1.0)
         elif kind.startswith("quantile"):
-            n = min(QUANTILES, max(2, train.where(F.col(c).isNotNull()).count()))
-            knots = train.agg(F.percentile(F.col(c).cast("double"), F.array(*[F.lit(i / (n - 1)) for i in range(n)]))).first()[0] or [0.0, 1.0]
-            out[c] = Scaler(kind, knots=tuple(knots))
+            out[c] = Scaler(kind, knots=tuple(found[c][p] for p in shares[c]) if c in found else (0.0, 1.0))
         elif kind.startswith(("yeo-johnson", "box-cox")):
             yeo = kind.startswith("yeo")
             lam = _best_power(train, c, yeo)
@@ -171,6 +181,44 @@ def fit(train: DataFrame, kinds: dict[str, str]) -> dict[str, Scaler]:
     return out
 
 
+def masked(df: DataFrame, masks: dict[str, str]) -> DataFrame:
+    """df with the columns NULL where their mask is 0, false or NULL."""
+    return df.withColumns({c: F.when(F.col(m).cast("double") > 0, F.col(c)) for c, m in masks.items()})
+
+
+def fit_targets(train: DataFrame, targets: list[str], kind: str = "robust", per_horizon: bool = False, masks: list[str] | None = None) -> dict[str, Scaler]:
+    """Scalers of the targets of several horizons, fitted on values whose mask (one for each target) holds.
+
+    One for each horizon, all from the same pass; or else one for all, fitted on the values of all horizons together.
+    Raises ValueError if there are no values to fit on (of some horizon).
+    """
+    if kind == "none":
+        return {c: Scaler(kind) for c in targets}
+    rows = masked(train.select(*dict.fromkeys([*targets, *(masks or ())])), dict(zip(targets, masks, strict=True))) if masks else train
+    counts = rows.agg(*[F.count(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))).alias(c) for c in targets]).first()
+    if not all(counts) if per_horizon else not any(counts):
+        raise ValueError(f"no valid values to fit a scaler of {', '.join(c for c in targets if not counts[c])}")
+    if per_horizon:
+        return fit(rows.select(*[F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in targets]), dict.fromkeys(targets, kind))
+    one = fit(quantiles.long(rows, targets).select("value"), {"value": kind})["value"]
+    return dict.fromkeys(targets, one)
+
+
+def invert_predictions(rows: DataFrame, scalers: dict[str, Scaler], cols: list[str], horizon: str = "horizon", prefix: str = "target_h_") -> DataFrame:
+    """Rows of predictions by horizon with the columns on their own scale again, each by the scaler of its horizon.
+    Horizons without a scaler make the job fail."""
+    at = F.col(horizon).cast("int")
+    lost = F.raise_error(F.concat(F.lit("no scaler for horizon "), at.cast("string"))).cast("double")
+
+    def back(c: str) -> Column:
+        out = lost
+        for name, s in scalers.items():
+            out = F.when(at == int(name.removeprefix(prefix)), s.invert(F.col(c))).otherwise(out)
+        return F.when(F.col(c).isNotNull(), out)
+
+    return rows.withColumns({c: back(c) for c in cols})
+
+
 def transform(df: DataFrame, scalers: dict[str, Scaler], inverse: bool = False) -> DataFrame:
     """All columns in one projection. Knots of quantile scalers come from a frame of one row, not from the plan."""
     columns, held = df.columns, {c: f"__knots{k}" for k, (c, s) in enumerate(scalers.items()) if s.knots}

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -41,8 +38,8 @@ def boosted(train: DataFrame, test: DataFrame, features: list[str], target: str,
     With validation rows, rounds stop when the error on them falls by less than least_gain. classify: labels 0 and 1,
     p being the score of 1.
     """
-    names = [f"__{c}" for c in features]
-    cast = lambda d: d.where(F.col(target).isNotNull()).select("*", *[F.col(c).cast("double").alias(n) for c, n in zip(features, names, strict=True)], F.col(target).cast("double").alias("y"))
+    names = [f"__f{k}" for k in range(len(features))]
+    cast = lambda d: d.where(F.col(target).isNotNull()).select(*[F.col(c).cast("double").alias(n) for c, n in zip(features, names, strict=True)], F.col(target).cast("double").alias("y"))
     a, b = cast(train), cast(test)
     fill = Imputer(inputCols=names, outputCols=names, strategy="mean").fit(a)
     join = VectorAssembler(inputCols=names, outputCol="__x", handleInvalid="keep")
@@ -71,16 +68,3 @@ def load_model(path: str, classify: bool = False):
 def importance(model, features: list[str], spark) -> DataFrame:
     rows = [(c, float(w)) for c, w in zip(features, model.featureImportances.toArray(), strict=True)]
     return metrics.top_keep_ties(spark.createDataFrame(rows, "feature string, importance double"), "importance")
-
-
-def search(df: DataFrame, table: DataFrame, folds: list[int], features: list[str], target: str, grid: dict[str, list]) -> DataFrame:
-    """Mean validation error of each combination over the folds, best first: the table of trials."""
-    rows = []
-    for k, values in enumerate(product(*grid.values())):
-        how = dict(zip(grid, values, strict=True))
-        errors = []
-        for f in folds:
-            _, got = boosted(splits.part(df, table, f, "train"), splits.part(df, table, f, "validation"), features, target, **how)
-            errors.append(RegressionEvaluator(labelCol="y", predictionCol="p", metricName="rmse").evaluate(got))
-        rows.append((k, str(how), float(sum(errors) / len(errors))))
-    return df.sparkSession.createDataFrame(sorted(rows, key=lambda r: r[2]), "trial int, params string, rmse double")

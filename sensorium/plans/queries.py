@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorium.functions import geometry
 from sensorium.operators import adjacency, calendar, entities, features, graph_tables, levels, metrics, reports, scaling, splits, windows
 from sensorium.plans import forecast
 from sensorium.plans import standin as t
+from sensorium.plans.registry import QUERIES, SQL, query  # noqa: F401
 from sensorium.session import small
 from sensorium.sources import files, triples
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf: t.rounded(f(spark, sf))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- parts of the SQL
 SPINE = """spine AS (SELECT CAST(row_number() OVER (ORDER BY s) - 1 AS INTEGER) AS bucket_idx, s AS "start", s + INTERVAL 6 HOUR AS "end"
   FROM (SELECT TIMESTAMP '2024-01-01' + INTERVAL 6 HOUR * i AS s FROM range(120) r(i)) WHERE isodow(s) <> 7)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Columns of the tidy metric report, in order.
@@ -48,8 +48,22 @@ def write_metadata(frames: dict[str, DataFrame], settings: dict, path: str) -> N
     for name, df in frames.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
         spark = df.sparkSession
-    one = spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "value string")
-    one.coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+    write_settings(spark, settings, f"{path}/settings")
+
+
+def read_metadata(spark: SparkSession, path: str, names: list[str]) -> tuple[dict[str, DataFrame], dict]:
+    """The frames and settings that write_metadata wrote."""
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}, read_settings(spark, f"{path}/settings")
+
+
+def write_settings(spark: SparkSession, settings: dict, path: str) -> None:
+    """Arguments or best parameters as one JSON file."""
+    spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_settings(spark: SparkSession, path: str) -> dict:
+    (one,) = spark.read.text(path, wholetext=True).collect()
+    return json.loads(one.value)
 
 
 def combine_experiments(runs: DataFrame, metrics: list[str]) -> DataFrame:

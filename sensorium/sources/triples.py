@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from sensorium.session import ship
 
+from .heads import read_heads
+
 SCHEMA = "s string, p string, o string, o_kind string, o_dtype string, file string"
 RDF_TYPE = "http://www.w3.org/1999/02/22-rdf-syntax-ns#type"
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -21,6 +24,8 @@ PREFIXES = {
     "om": "http://www.wurvoc.org/vocabularies/om-1.8/", "ex": "https://example.org/", "ex-ont": "https://example.org/ontology#", "ic": "https://interconnectproject.eu/example/",
     "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "xsd": XSD,
 }
+#: Fixed value: how serial numbers of a maker's devices begin.
+SERIAL = "urn:Device:SmartThings:"
 TOKEN = re.compile(
     r"""\s+|\#[^\n]*
     |(?P<iri><[^<>"{}|^`\\\s]*>)
@@ -129,30 +134,57 @@ def graph(*parts: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether any file matches a path."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop))
+
+
 def read_if_there(spark: SparkSession, path: str, **how) -> DataFrame:
     """read_turtle, or no triples if the path doesn't exist."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
-    return read_turtle(spark, path, **how) if there else spark.createDataFrame([], SCHEMA)
+    return read_turtle(spark, path, **how) if there(spark, path) else spark.createDataFrame([], SCHEMA)
 
 
 def read_floors(spark: SparkSession, folder: str, floors: list[int] | None, kind: str) -> DataFrame:
-    """Triples of floor_{n}_{kind}.ttl for the floors asked for, missing files skipped; ValueError without floors."""
+    """Triples of floor_{n}_{kind}.ttl for the floors asked for, missing files skipped with a warning; ValueError without floors."""
     if floors is None:
         raise ValueError("floors must be given")
-    parts = [read_if_there(spark, f"{folder}/floor_{n}_{kind}.ttl").withColumn("floor", F.lit(n)) for n in floors]
+    parts = []
+    for n in floors:
+        path = f"{folder}/floor_{n}_{kind}.ttl"
+        if not there(spark, path):
+            warnings.warn(f"there is no {path}", stacklevel=2)
+        parts.append(read_if_there(spark, path).withColumn("floor", F.lit(n)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def device_headers(spark: SparkSession, path: str, lines: int = 20) -> DataFrame:
-    """file, device_id, parent_serial, found in each file's first lines."""
-    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.ttl").text(path, wholetext=True)
-    head = F.array_join(F.slice(F.split("value", "\n"), 1, lines), "\n")
-    found = lambda p: F.nullif(F.regexp_extract(head, p, 1), F.lit(""))
-    return text.select(F.col("_metadata.file_path").alias("file"), found(r"(?m)^\s*(\S+)\s+a\s+s4ener:Device").alias("device_id"), found(r'hasParentSerialNumber\s+"([^"]*)"').alias("parent_serial"))
+def device_headers(spark: SparkSession, path: str, lines: int = 20, **options) -> DataFrame:
+    """file, device_id, parent_serial, found in each file's first lines; nothing beyond them is read. Either is NULL
+    where the lines don't tell it. Options are those of heads.FileHeads."""
+    found = lambda p: F.nullif(F.regexp_extract("head", p, 1), F.lit(""))
+    rows = read_heads(spark, path, "*.ttl", lines, **options)
+    return rows.select("file", found(r"(?m)^(ic:\S+)[ \t]+a[ \t]+s4ener:Device").alias("device_id"), found(r'ic:hasParentSerialNumber[ \t]+"([^"\n]+)"').alias("parent_serial"))
+
+
+def device_ids(headers: DataFrame) -> DataFrame:
+    """(file, device_id) of device_headers, with a row for each name that a file gives its device."""
+    both = headers.select("file", F.explode(F.array("device_id", "parent_serial")).alias("device_id"))
+    return both.where("device_id is not null").distinct()
+
+
+def read_devices(spark: SparkSession, folder: str) -> DataFrame:
+    """The triples of all device files, which lie two folders deep: {folder}/devices/*/*.ttl; none if there are none."""
+    return read_if_there(spark, f"{folder}/devices/*/*.ttl")
+
+
+def read_devices_of(spark: SparkSession, folder: str, uris: DataFrame) -> DataFrame:
+    """The triples of the devices asked for (uri): only the files are parsed whose first lines name one of them."""
+    index = device_index(device_ids(device_headers(spark, f"{folder}/devices")))
+    files = [r.file for r in files_of(index, uris).collect()]  # names of files that are read next
+    return read_turtle(spark, *files) if files else spark.createDataFrame([], SCHEMA)
 
 
 def expand(c: Column, prefixes: dict[str, str]) -> Column:
@@ -164,8 +196,10 @@ def expand(c: Column, prefixes: dict[str, str]) -> Column:
 
 
 def device_index(ids: DataFrame, prefixes: dict[str, str] = PREFIXES) -> DataFrame:
-    """uri and files (file, device_id), of rows (file, device_id): where each device is told of."""
-    whole = ids.where(F.col("device_id").isNotNull()).select(expand(F.col("device_id"), prefixes).alias("uri"), F.struct("file", "device_id").alias("x")).distinct()
+    """uri and files (file, device_id), of rows (file, device_id): where each device is told of. Serial numbers of
+    the kind urn:Device:SmartThings:... are names below ic:device_."""
+    named = F.when(F.col("device_id").startswith(SERIAL), F.concat(F.lit(prefixes["ic"] + "device_"), "device_id")).otherwise(expand(F.col("device_id"), prefixes))
+    whole = ids.where(F.col("device_id").isNotNull()).select(named.alias("uri"), F.struct("file", "device_id").alias("x")).distinct()
     return whole.groupBy("uri").agg(F.array_sort(F.collect_list("x")).alias("files"))
 
 

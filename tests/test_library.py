@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 from sensorium.functions import geodesy
 from sensorium.functions import geometry as g
 from sensorium.operators import adjacency, calendar, emit, entities, graph_tables, levels, metrics, reports, scaling, splits, windows
-from sensorium.plans import forecast, queries, standin
+from sensorium.plans import (
+    advanced,  # noqa: F401  its queries are in the same dictionaries
+    forecast,
+    queries,
+    standin,
+)
 from sensorium.sources import files, sinks, triples
 from sensorium.streaming import device_levels
 
