@@ -82,15 +82,16 @@ def phrases(start: Node, text: str) -> int:
     """The number of longest matches, one after the other, that a text consists of."""
     n, node = 0, start
     for c in text:
-        to = node.get(c)
-        if to is None:
+        if c in node:
+            node = node[c]
+        else:
             if node is not start:
                 n += 1
-            to = start.get(c)
-            if to is None:
+            if c in start:
+                node = start[c]
+            else:
                 n += 1
-                to = start
-        node = to
+                node = start
     return n + (node is not start)
 
 
