@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from sensorium.session import unstash
 
-from .common import WORD_TABLE, attach, components, fresh, keyed, row_key, small_batches, stash
+from .common import WORD_TABLE, attach, components, fresh, keyed, lots, row_key, small_batches, stash
 from .simhash import forest
 
 RADIUS, MORE, BLOCKS = 8, 7, 13
@@ -114,7 +114,7 @@ def hashed_lines(given: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([*own.columns, pa.array(nos, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(chars, pa.int32()), *columns], ["__id", "__k1", "__k2", "no", "h1", "h2", "chars", "a", "ax", "b", "bx"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lots(batches, "__text"):
             rows, nos, word_lists, held = [], [], [], 0
             for r in range(batch.num_rows):
                 text = batch.column(3)[r].as_py()
@@ -134,9 +134,10 @@ def hashed_lines(given: DataFrame) -> DataFrame:
 
 
 def line_texts(given: DataFrame) -> DataFrame:
-    """__k1, __k2, no, norm of each line with a word."""
+    """__k1, __k2, no, norm of each line with a word. Whatever batches come, the lines of a few MB of text are held at once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in lots(batches, "__text"):
             found = [(r, no, b" ".join(w)) for r, t in enumerate(batch.column(3).to_pylist()) for no, w in enumerate(normalised(t) if t else ()) if w]
             own = batch.select([1, 2]).take(pa.array([f[0] for f in found], pa.int64()))
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.binary())], ["__k1", "__k2", "no", "norm"])
