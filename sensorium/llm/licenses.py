@@ -2,7 +2,8 @@
 
 Texts are normalised (A-Z lower-cased, words joined by single spaces). The base search finds the places of fixed
 phrases. The fuzzy search allows a notice EDITS_FOR its length edits: it is split into one more part than edits, so
-that at least one part stands unchanged in any place within the bound (pigeonhole). One Aho-Corasick automaton finds
+that at least one part stands unchanged in any place within the bound (pigeonhole). Names shorter than that may have an
+edit in their last word only ("license"), as they differ from each other in a letter or two. One Aho-Corasick automaton finds
 all such seeds; around each the regex library matches the notice with bounded errors, which verifies the edits and
 gives the span. Spans are ranges of words of the text.
 
@@ -28,17 +29,19 @@ PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc
 #: Notices for the fuzzy search and their labels. Of places that overlap, the longer notice counts, then fewer edits.
 NOTICES = {
     "apache license": "apache",
+    "mit license": "mit",
+    "bsd license": "bsd",
+    "isc license": "isc",
+    "zlib license": "zlib",
+    "artistic license": "artistic",
     "licensed under the apache license version": "apache",
     "gnu general public license": "gpl",
     "this work is licensed under the gnu general public license": "gpl",
     "gnu lesser general public license": "lgpl",
     "gnu affero general public license": "agpl",
-    "mit license": "mit",
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person": "mit",
-    "bsd license": "bsd",
     "redistribution and use in source and binary forms": "bsd",
-    "isc license": "isc",
     "permission to use copy modify and or distribute this software for any purpose": "isc",
     "mozilla public license": "mpl",
     "this source code form is subject to the terms of the mozilla public license": "mpl",
@@ -52,12 +55,24 @@ NOTICES = {
     "creative commons attribution noncommercial noderivatives": "cc-by-nc-nd",
     "creative commons zero": "cc0",
     "this is free and unencumbered software released into the public domain": "unlicense",
+    "the software is provided as is without warranty of any kind express or implied": "mit",
+    "the above copyright notice and this permission notice shall be included in all copies": "mit",
+    "redistributions of source code must retain the above copyright notice": "bsd",
+    "redistributions in binary form must reproduce the above copyright notice": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors": "bsd",
+    "unless required by applicable law or agreed to in writing software distributed under the license": "apache",
+    "you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license": "lgpl",
+    "you can redistribute it and or modify it under the terms of the gnu affero general public license": "agpl",
     "all rights reserved": "reserved",
 }
-#: Short forms, searched as whole words without edits, as they differ in single letters.
+#: Short names and identifiers, searched as whole words without edits, as they differ in a letter or two.
 EXACT = {
+    "licensed under mit": "mit", "licensed under the mit": "mit", "license mit": "mit", "licensed under apache": "apache", "licensed under bsd": "bsd", "licensed under the bsd": "bsd", "licensed under isc": "isc", "licensed under gpl": "gpl", "licensed under the gpl": "gpl",
     "cc by sa": "cc-by-sa", "cc by nc": "cc-by-nc", "cc by nd": "cc-by-nd", "cc by nc sa": "cc-by-nc-sa", "cc by nc nd": "cc-by-nc-nd", "cc0": "cc0",
-    "spdx license identifier mit": "mit", "spdx license identifier apache 2 0": "apache", "spdx license identifier isc": "isc",
+    "apache 2 0": "apache", "apache2 0": "apache", "gplv2": "gpl", "gplv3": "gpl", "gpl 2 0": "gpl", "gpl 3 0": "gpl", "gnu gpl": "gpl", "lgplv2": "lgpl", "lgplv3": "lgpl", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "agplv3": "agpl", "agpl 3 0": "agpl",
+    "mpl 2 0": "mpl", "epl 1 0": "epl", "epl 2 0": "epl", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd",
+    "spdx license identifier mit": "mit", "spdx license identifier apache 2 0": "apache", "spdx license identifier isc": "isc", "spdx license identifier zlib": "zlib",
     "spdx license identifier gpl": "gpl", "spdx license identifier lgpl": "lgpl", "spdx license identifier agpl": "agpl",
     "spdx license identifier bsd": "bsd", "spdx license identifier mpl": "mpl", "spdx license identifier epl": "epl", "spdx license identifier bsl": "bsl",
 }
@@ -65,15 +80,25 @@ CHARS_FOR_AN_EDIT = 16
 
 
 def edits_for(notice: str) -> int:
-    """One edit at least, so that short names may be misspelt."""
+    """One edit at least; in names shorter than CHARS_FOR_AN_EDIT only the last word may have it."""
     return max(1, len(notice) // CHARS_FOR_AN_EDIT)
 
 
+def pattern(notice: str) -> regex.Pattern:
+    short = len(notice) < CHARS_FOR_AN_EDIT
+    name, last = notice.rsplit(" ", 1) if short else ("", notice)
+    plain = lambda x: regex.escape(x, literal_spaces=True)
+    return regex.compile(rf"(?be)(?<= ){plain(name + ' ') if short else ''}(?:{plain(last)}){{e<={edits_for(notice)}}}(?= )")
+
+
 class Scanner:
     def __init__(self):
         self.seeds = ahocorasick.Automaton()
         held: dict[str, list[tuple[str, int]]] = {}
         for notice in NOTICES:
+            if len(notice) < CHARS_FOR_AN_EDIT:  # the name itself is the part that stands unchanged
+                held.setdefault(f" {notice.rsplit(' ', 1)[0]} ", []).append((notice, -1))
+                continue
             k = edits_for(notice)
             cuts = [round(i * len(notice) / (k + 1)) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -81,7 +106,7 @@ class Scanner:
         for seed, places in held.items():
             self.seeds.add_word(seed, (len(seed), places))
         self.seeds.make_automaton()
-        self.match = {n: regex.compile(rf"(?be)(?<= )(?:{regex.escape(n, literal_spaces=True)}){{e<={edits_for(n)}}}(?= )") for n in NOTICES}
+        self.match = {n: pattern(n) for n in NOTICES}
         self.exact = [(f" {p} ", x) for p, x in EXACT.items()]
 
     def places(self, whole: str) -> Iterator[tuple[int, int, int, str, str]]:
