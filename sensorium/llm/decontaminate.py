@@ -3,9 +3,10 @@
 Benchmark texts are normalised (A-Z lower-cased; words are runs of letters, digits and non-ASCII characters). A window
 is 13 consecutive words of a text; a shorter text is one window. Any window holds one of the chunks of seven words into
 which its text is cut, so these chunks (and the short texts) are the patterns of an automaton over word numbers, which
-has no more states than the benchmark has words. Where a chunk occurs in a document, the match is followed to both
-sides for as long as the words agree: if 13 or more agree, they are hit. Word places are mapped back to offsets in the
-original text where spans are asked for.
+has no more states than the benchmark has words. Where a chunk occurs in a document, its six words before and after are
+compared, which any window with it lies within: if 13 or more agree, they are hit. Places of a chunk that have the same
+six words on both sides are compared once, so that texts of repeated words take no longer. Word places are mapped back
+to offsets in the original text where spans are asked for.
 
 A worker holds one automaton. Benchmarks of more than MAX_WORDS words are dealt by hash into lots, each with an
 automaton of its own; the corpus is still read once: each group of a partition's rows (GROUP bytes of text) meets one
@@ -39,22 +40,24 @@ def words(text: bytes | None) -> list[bytes]:
 
 
 class Patterns:
-    """The automaton over the chunks of pieces, and the pieces, all as numbers of words."""
+    """The automaton over the chunks of pieces, as numbers of words. A chunk has the words before and after it that a
+    window may hold besides it, and the items of each such context; places with the same context are one."""
 
     def __init__(self, pieces: list[tuple[bytes, list[str]]], size: int = WINDOW):
         self.size, self.chunk = size, (size + 1) // 2
         self.numbers: dict[bytes, int] = {}
-        self.pieces, self.ids = [], [ids for _, ids in pieces]
-        held: dict[tuple, list[tuple[int, int]]] = {}
-        for k, (text, _) in enumerate(pieces):
-            p = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in text.split(b" ")]
-            self.pieces.append(p)
+        held: dict[tuple, dict[tuple[tuple, tuple], set[str]]] = {}
+        for text, ids in pieces:
+            p = tuple([self.numbers.setdefault(w, len(self.numbers) + 1) for w in text.split(b" ")])
             step = self.chunk if len(p) >= size else len(p)
+            reach = size - self.chunk if len(p) >= size else 0
             for o in range(0, len(p) - step + 1, step):
-                held.setdefault(tuple(p[o : o + step]), []).append((k, o))
+                context = p[max(0, o - reach) : o][::-1], p[o + step : o + step + reach]
+                held.setdefault(p[o : o + step], {}).setdefault(context, set()).update(ids)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, places in held.items():
-            self.automaton.add_word(key, (len(key), places))
+        for key, contexts in held.items():
+            self.automaton.add_word(key, (len(key), [(*c, ids) for c, ids in contexts.items()]))
+        self.empty = not held
         if held:
             self.automaton.make_automaton()
 
@@ -62,32 +65,28 @@ class Patterns:
         """Merged ranges (first, end) of hit words, ids of items with an occurring window."""
         get = self.numbers.get
         d = tuple([get(x, 0) for x in w])
-        if not d or not self.pieces:
+        if not d or self.empty:
             return [], set()
         ranges: list[tuple[int, int]] = []
-        found: set[int] = set()
-        upto: dict[tuple[int, int], int] = {}  # of a piece laid along the document: where its agreement ended
-        for last, (n, places) in self.automaton.iter(d):
-            at = last - n + 1
-            for k, o in places:
-                p = self.pieces[k]
-                if len(p) < self.size:
-                    ranges.append((at, last + 1))
-                    found.add(k)
-                    continue
-                if upto.get((k, at - o), 0) > last:
-                    continue
-                a, i = at, o
-                while a and i and d[a - 1] == p[i - 1]:
-                    a, i = a - 1, i - 1
-                b, j = last + 1, o + n
-                while b < len(d) and j < len(p) and d[b] == p[j]:
-                    b, j = b + 1, j + 1
-                upto[k, at - o] = b
-                if b - a >= self.size:
-                    ranges.append((a, b))
-                    found.add(k)
-        return merged(ranges), {x for k in found for x in self.ids[k]}
+        found: set[str] = set()
+        for last, (n, contexts) in self.automaton.iter(d):
+            at, end = last - n + 1, last + 1
+            for before, after, ids in contexts:
+                a, b = at, end
+                if n >= self.chunk and (before or after):
+                    for x in before:
+                        if not a or d[a - 1] != x:
+                            break
+                        a -= 1
+                    for x in after:
+                        if b == len(d) or d[b] != x:
+                            break
+                        b += 1
+                    if b - a < self.size:
+                        continue
+                ranges.append((a, b))
+                found |= ids
+        return merged(ranges), found
 
 
 #: A name, and the lot of the benchmark that it stands for.
