@@ -1,10 +1,12 @@
 """Sharding by a hierarchical weighted hash tree.
 
-A row descends from the regions to a region's racks to a rack's shards. At each level every child draws
--ln(u) / weight, u being a hash of the row's id and the child's name in (0, 1], and the least draw wins: a child gets
-its weight's share, and if a weight changes, rows move only into (or out of) that child. A shard that is added as a
-region of its own therefore takes rows only into itself; one added to a rack moves rows within the subtrees whose
-weights change. The law is `key`: the id and the tree decide, whatever other rows there are.
+A row descends from the regions to a region's racks to a rack's shards, by the least draw at each level. A shard draws
+-ln(u) / weight, u being a hash of the row's id and the shard's number in (0, 1]; a rack's draw is the least of its
+shards', and a region's the least of its racks', which is distributed as one draw with the sum of their weights. So a
+child gets its weight's share on each level, and the shard at the end is the one with the least draw of all. If a
+weight changes, rows move only into (or out of) the shards whose weights change, within the racks and regions that
+hold them; the same is true of a shard that is added or taken away, wherever in the tree. The law is `key`: the id and
+the shard count decide, as the tree of n shards is always the same one, whatever other rows there are.
 
 Slots number the rows of a shard from 0 without gaps, by id. They come from a sort by (shard, id) over all tasks:
 a row's slot is its place in its partition plus the rows of its shard in the partitions before.
@@ -24,7 +26,8 @@ Tree = dict[str, dict[str, dict[int, float]]]
 
 
 def tree(shards: int, racks_of: int = 2, regions_of: int = 2) -> Tree:
-    """Shards 0 to shards - 1 in racks of two and regions of two racks; the last ones may have fewer."""
+    """Shards 0 to shards - 1 in racks of two and regions of two racks; the last ones may have fewer. Each tree holds
+    the smaller ones: a shard more comes into the last rack, or a new one, or a new region."""
     out: Tree = {}
     for k in range(shards):
         region = f"region{k // (racks_of * regions_of)}"
@@ -32,40 +35,27 @@ def tree(shards: int, racks_of: int = 2, regions_of: int = 2) -> Tree:
     return out
 
 
-def grown(tree: Tree, weight: float = 1.0) -> Tree:
-    """A tree with the next shard as a region of its own: whatever the tree, rows move only into that shard."""
-    k = max((s for region in tree.values() for rack in region.values() for s in rack), default=-1) + 1
-    return {**tree, f"region-of-{k}": {f"region-of-{k}/rack": {k: weight}}}
-
-
-def weight(node) -> float:
-    return sum(map(weight, node.values())) if isinstance(node, dict) else node
+def leaves(node) -> list[tuple[int, float]]:
+    """(shard, weight) of all shards below a node that have weight."""
+    if not isinstance(node, dict):
+        raise TypeError("a tree is a dict of weights or of dicts")
+    return [x for name, below in node.items() for x in (leaves(below) if isinstance(below, dict) else [(name, below)]) if x[1] > 0]
 
 
 def draw(key: Column, name: str, w: float) -> Column:
-    """-ln(u) / w of a child, u in (0, 1] by the upper 53 bits of a hash."""
+    """-ln(u) / w of a shard, u in (0, 1] by the upper 53 bits of a hash."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(name), key.isNull(), key), 11).cast("double") + 1) / float(1 << 53)
     return -F.log(u) / w
 
 
 def shard_of(key: Column, node) -> Column:
-    """The shard that a key comes to by descending the tree; weightless children get nothing."""
-    if not isinstance(node, dict):
-        raise TypeError("a tree is a dict of weights or of dicts")
-    children = [(name, x, w) for name, x in node.items() if (w := weight(x)) > 0]
-    if not children:
+    """The shard that a key comes to: at each level the child with the least draw, which is the one that holds the
+    least draw of all shards. Weightless shards get nothing."""
+    found = leaves(node)
+    if not found:
         raise ValueError("a tree needs a shard with weight")
-    leaf = lambda name, x: shard_of(key, x) if isinstance(x, dict) else F.lit(name).cast("int")
-    if len(children) == 1:
-        return leaf(children[0][0], children[0][1])
-    drawn = F.array(*[F.struct(draw(key, f"{name}", w).alias("d"), F.lit(k).alias("k")) for k, (name, _, w) in enumerate(children)])
-    won = F.array_min(drawn)["k"]
-    if all(not isinstance(x, dict) for _, x, _ in children):
-        return F.element_at(F.array(*[F.lit(name).cast("int") for name, *_ in children]), won + 1)
-    out = leaf(children[0][0], children[0][1])
-    for k, (name, x, _) in list(enumerate(children))[1:]:
-        out = F.when(won == k, leaf(name, x)).otherwise(out)
-    return out
+    drawn = [F.struct(draw(key, f"shard{s}", w).alias("draw"), F.lit(s).cast("int").alias("shard")) for s, w in found]
+    return F.array_min(F.array(*drawn))["shard"]
 
 
 def numbered(rows: DataFrame, shard: str, order: list[str]) -> DataFrame:

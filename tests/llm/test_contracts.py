@@ -205,6 +205,14 @@ def test_licenses(spark, rows):
     assert [got[k].labels for k in range(1, 14)] == ["apache", "bsd", "cc-by", "", "cc-by,cc-by-nd", "cc-by-nc-sa", "cc-by,cc-by-nc-sa", "mit", "gpl", "isc", "epl", "cc0", ""]
     assert (got[3].spans[0].first, got[3].spans[0].end) == (50, 53) and 0.9 < got[3].score < 1 and got[4].score == 0
     assert licenses.scans(case(spark, [])).count() == 0
+    said = {
+        "this is license free software": "", "buy it license included": "", "hit license plate": "", "a bad license was revoked": "", "bit license": "", "its license": "",
+        "Licensed under MIT": "mit", "apache-2.0": "apache", "GPLv3": "gpl", "GPL-3.0-or-later": "gpl", "zlib license": "zlib", "the Artistic License": "artistic", "BSD 3-Clause": "bsd",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED": "mit", "Redistributions of source code must retain the above copyright notice,": "bsd",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "lgpl", "ISC licence": "isc",
+    }
+    got = {r.doc_id: r.labels for r in licenses.scans(case(spark, list(enumerate(said)))).collect()}
+    assert {x: got[k] for k, x in enumerate(said)} == said
 
 
 def test_seeds_lose_no_notice():
@@ -249,6 +257,17 @@ def test_chunks_find_every_window():
         assert (sum(b - a for a, b in ranges), brute.sha(",".join(sorted(ids)))) == (want[2], want[4])
 
 
+def test_repeated_words_take_no_longer():
+    """An item of equal words, and a period of words, against long texts of the same."""
+    for item, text in (("0 " * 4096, "0 " * 40_000), ("a b c " * 1300, "a b c " * 13_000), ("0 " * 4096, "0 " * 3000 + "x " + "0 " * 12 + "y " + "0 " * 13)):
+        found = decontaminate.Patterns([(item.strip().encode(), ["1"])])
+        w = text.encode().split()
+        begin = time.time()
+        ranges, ids = found.scan(w)
+        assert time.time() - begin < 1 and ids == {"1"}
+        assert ranges == ([(0, len(w))] if len(w) > 39_000 or "x" not in text else [(0, 3000), (3014, 3027)])
+
+
 def test_exact_dedup(spark, rows):
     found = exact_dedup.decisions(case(spark, rows), fan_in=2)
     cols = ["__id", "keep_id", "group_size", "sha"]
@@ -302,7 +321,7 @@ def test_simhash_tiles(spark):
 
 
 def test_sharding(spark, rows):
-    found = sharding.shards(case(spark, rows), sharding.tree(8), sharding.grown(sharding.tree(8))).collect()
+    found = sharding.shards(case(spark, rows), sharding.tree(8), sharding.tree(9)).collect()
     assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in found), key=repr) == sorted(((d, len((t or "").encode()) + 1, brute.crc(t)) for d, t in rows), key=repr)
     for s in range(8):
         own = sorted((r for r in found if r.shard == s), key=lambda r: r.slot)
@@ -312,36 +331,40 @@ def test_sharding(spark, rows):
     assert all(r.grown_shard in (r.shard, 8) for r in found) and all(r.law == "key" for r in found)
     assert len({r.shard for r in found if r.doc_id == 6}) == 1
     many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
-    sizes = sharding.shards(many, sharding.tree(8), sharding.grown(sharding.tree(8))).groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.expr("int(grown_shard = 8)")).alias("g")).collect()
+    sizes = sharding.shards(many, sharding.tree(8), sharding.tree(9)).groupBy("shard").agg(F.count("*").alias("n"), F.sum(F.expr("int(grown_shard = 8)")).alias("g")).collect()
     assert len(sizes) == 8 and all(2200 < r.n < 2800 and 200 < r.g < 360 for r in sizes)
     heavy = {"a": {"r": {0: 3.0, 1: 1.0}}, "b": {"r": {2: 4.0}}, "none": {"r": {3: 0.0}}}
     n = {r[0]: r[1] for r in many.select(sharding.shard_of(F.col("doc_id"), heavy).alias("s")).groupBy("s").count().collect()}
     assert 3 not in n and 7000 < n[0] < 8000 and 9600 < n[2] < 10400
-    assert sharding.shards(case(spark, []), sharding.tree(8), sharding.grown(sharding.tree(8))).count() == 0
+    assert sharding.shards(case(spark, []), sharding.tree(8), sharding.tree(9)).count() == 0
 
 
 def test_trees_take_rows_only_into_a_new_shard(spark):
-    """Draws against a plain restatement, and trees of 1 to 16 shards grown twice."""
+    """Trees of 1 to 65 shards, which keep their racks and regions; draws against a plain restatement, level by level."""
     ids = spark.range(400).withColumnRenamed("id", "doc_id")
-    trees = [t for n in range(1, 17) for t in (sharding.tree(n), sharding.grown(sharding.tree(n)), sharding.grown(sharding.grown(sharding.tree(n))))]
-    rows = ids.select("doc_id", *[sharding.shard_of(F.col("doc_id"), t).alias(f"s{k}") for k, t in enumerate(trees)]).collect()
+    trees = {n: sharding.tree(n) for n in range(1, 66)}
+    rows = ids.select("doc_id", *[sharding.shard_of(F.col("doc_id"), t).alias(f"s{n}") for n, t in trees.items()]).collect()
     for r in rows:
-        for n in range(1, 17):
-            a, b, c = r[3 * n - 2], r[3 * n - 1], r[3 * n]
-            assert b in (a, n) and c in (b, n + 1)
-    assert {len({r[3 * n - 2] for r in rows}) == n for n in range(1, 17)} == {True}
-    tree = sharding.grown(sharding.tree(7))
-    names = [*tree, *[k for x in tree.values() for k in x], *[str(k) for x in tree.values() for y in x.values() for k in y]]
-    hashes = {r.doc_id: dict(zip(names, r[1:], strict=True)) for r in ids.select("doc_id", *[F.xxhash64(F.lit(n), F.lit(False), "doc_id") for n in names]).collect()}
+        assert all(r[n + 1] in (r[n], n) for n in range(1, 65))
+    assert all(len({r[n] for r in rows}) == n for n in range(1, 17))
+    for n, t in trees.items():
+        racks = [rack for region in t.values() for rack in region.values()]
+        assert [s for rack in racks for s in rack] == list(range(n)) and all(len(rack) == 2 for rack in racks[:-1]) and all(len(region) == 2 for region in list(t.values())[:-1])
+    shards = range(65)
+    hashes = {r.doc_id: r[1:] for r in ids.select("doc_id", *[F.xxhash64(F.lit(f"shard{s}"), F.lit(False), "doc_id") for s in shards]).collect()}
+    drawn = {d: [-math.log((((h & (1 << 64) - 1) >> 11) + 1) / (1 << 53)) for h in hs] for d, hs in hashes.items()}
+
+    def least(d, node):
+        return min(least(d, x) if isinstance(x, dict) else drawn[d][s] / x for s, x in node.items())
 
     def descend(d, node):
-        if not isinstance(node, dict):
-            return None
-        best = min(node, key=lambda n: -math.log((((hashes[d][str(n)] & (1 << 64) - 1) >> 11) + 1) / (1 << 53)) / sharding.weight(node[n]))
-        below = descend(d, node[best])
-        return best if below is None else below
+        best = min(node, key=lambda s: least(d, node[s]) if isinstance(node[s], dict) else drawn[d][s] / node[s])
+        return descend(d, node[best]) if isinstance(node[best], dict) else best
 
-    assert all(r[3 * 7 - 1] == descend(r.doc_id, tree) for r in rows)
+    assert all(r[n] == descend(r.doc_id, trees[n]) for r in rows for n in (1, 7, 8, 9, 33, 65))
+    heavier = {**trees[8], "region1": {**trees[8]["region1"], "region1/rack3": {6: 1.0, 7: 3.0}}}
+    moved = ids.select(sharding.shard_of(F.col("doc_id"), trees[8]).alias("a"), sharding.shard_of(F.col("doc_id"), heavier).alias("b")).where("a <> b").collect()
+    assert moved and {r.b for r in moved} == {7}
 
 
 def test_toxicity_held_out(spark):
