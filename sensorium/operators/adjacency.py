@@ -73,15 +73,20 @@ def vertical(rooms: DataFrame, weighted: bool = False, min_overlap: float = 0.05
     """src, dst, weight of rooms on neighbouring floors whose outlines overlap by more than min_overlap; weighted: the
     overlap's share of src's area, and min_weight (if any) for all other rooms of neighbouring floors."""
     a, b = sides(rooms, "a"), sides(rooms, "b").withColumn("a_floor", F.col("b_floor") - 1)
-    every = weighted and min_weight > 0
-    over = a.join(b, "a_floor").where(F.lit(True) if every else _apart(0.0)).withColumn("overlap", g.polygon_overlap("a_points", "b_points"))
-    over = over if every else over.where(F.col("overlap") > min_overlap)
+    over = a.join(b, "a_floor").where(_apart(0.0)).withColumn("overlap", g.polygon_overlap("a_points", "b_points")).where(F.col("overlap") > min_overlap)
 
     def edge(s: str, d: str) -> DataFrame:
-        w = F.when(F.col("overlap") > min_overlap, F.col("overlap") / g.area(F.col(f"{s}_points"))).otherwise(min_weight) if weighted else F.lit(1.0)
+        w = F.col("overlap") / g.area(F.col(f"{s}_points")) if weighted else F.lit(1.0)
         return over.select(F.col(f"{s}_room").alias("src"), F.col(f"{d}_room").alias("dst"), w.alias("weight"))
 
-    return edge("a", "b").unionByName(edge("b", "a"))
+    found = edge("a", "b").unionByName(edge("b", "a"))
+    if not (weighted and min_weight > 0):
+        return found
+    # all other pairs, without their outlines: no overlap has to be computed of rooms whose boxes are apart
+    at = lambda s: rooms.select(F.col("room_uri").alias(s), F.col("floor_number").alias(f"{s}_floor"))
+    up = at("src").join(at("dst").withColumn("src_floor", F.col("dst_floor") - 1), "src_floor").select("src", "dst")
+    pairs = up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return pairs.join(found, ["src", "dst"], "left").select("src", "dst", F.coalesce("weight", F.lit(float(min_weight))).alias("weight"))
 
 
 def combined(*edges: DataFrame) -> DataFrame:

@@ -135,6 +135,24 @@ def summary(**frames: DataFrame) -> DataFrame:
     return out
 
 
+def room_summaries(rooms: DataFrame, devices: DataFrame) -> DataFrame:
+    """room_uri, room_number, floor_number and n_devices of every room."""
+    held = devices.groupBy("room_uri").agg(F.countDistinct("device_uri").alias("n_devices"))
+    return rooms.select("room_uri", "room_number", "floor_number").join(held, "room_uri", "left").withColumn("n_devices", F.coalesce("n_devices", F.lit(0)))
+
+
+def floor_summaries(rooms: DataFrame, devices: DataFrame) -> DataFrame:
+    """floor_number, n_rooms and n_devices of every floor that has rooms."""
+    return room_summaries(rooms, devices).groupBy("floor_number").agg(F.count("*").alias("n_rooms"), F.sum("n_devices").alias("n_devices"))
+
+
+def device_summaries(devices: DataFrame, readings: DataFrame) -> DataFrame:
+    """device_uri, room_uri, n_measurements, n_properties, first and last (timestamps) of every device; 0 and NULL
+    without readings."""
+    made = readings.groupBy("device_uri").agg(F.count("*").alias("n_measurements"), F.countDistinct("property_type").alias("n_properties"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    return devices.select("device_uri", "room_uri").join(made, "device_uri", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_measurements", "n_properties")})
+
+
 def rounded_value(value: Column) -> Column:
     return F.round(value, 1)
 

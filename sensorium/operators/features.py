@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorium.functions import geometry
-from sensorium.session import small
-
 from . import windows
 from .adjacency import normalised_areas
 
@@ -45,7 +43,7 @@ def static_features(rooms: DataFrame, preset: str | list[str] = "standard") -> D
 
 def with_static(df: DataFrame, static: DataFrame) -> DataFrame:
     """df with the static features of its rooms; rooms without any keep NULLs."""
-    return df.join(small(static), "room_uri", "left")
+    return df.join(static, "room_uri", "left")
 
 
 def with_buckets(df: DataFrame, *series: DataFrame) -> DataFrame:

@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorium.session import small
-
 from .calendar import Calendar, between
 
 ROOM_STATS = ["mean", "std", "average_intra_device_variation", "max", "min", "count", "n_active_devices", "has_measurement"]
@@ -30,6 +28,23 @@ def property_level(measurements: DataFrame, properties: DataFrame, calendar: Cal
     return rows.join(F.broadcast(one), "property_uri").select("timestamp", "device_uri", "property_type", F.col("value").cast("double").alias("value"))
 
 
+def skipped(measurements: DataFrame, properties: DataFrame, calendar: Calendar, keep: list[str]) -> DataFrame:
+    """reason, n: of readings that property_level leaves out, the first that holds of time (outside the calendar),
+    property (of no type that is kept) and value (NULL or NaN); and kept. All four have a row. One pass."""
+    one = properties.groupBy("property_uri").agg(F.min("property_type").alias("property_type")).where(F.col("property_type").isin(keep))
+    told = measurements.join(F.broadcast(one), "property_uri", "left")
+    lost = ~F.coalesce(between(F.col("timestamp"), calendar.start, calendar.end), F.lit(False))
+    reason = F.when(lost, "time").when(F.col("property_type").isNull(), "property").when(F.col("value").isNull() | F.isnan("value"), "value").otherwise("kept")
+    counts = [F.struct(F.lit(r).alias("reason"), F.count_if(reason == r).alias("n")) for r in ("time", "property", "value", "kept")]
+    return told.agg(F.array(*counts).alias("x")).select(F.inline("x"))
+
+
+def in_timeframe(rows: DataFrame, start, end, device_uri: str | None = None) -> DataFrame:
+    """Readings from start to end, both inclusive (of one device)."""
+    out = rows.where(F.col("timestamp").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+    return out if device_uri is None else out.where(F.col("device_uri") == device_uri)
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     """df, or ValueError if it has no rows."""
     if df.isEmpty():
@@ -91,7 +106,7 @@ def with_rooms(device: DataFrame, devices: DataFrame, rooms: DataFrame) -> DataF
     """device with room_uri and floor_number. A device without a room, or a room without a floor, makes the job fail
     when it meets its first row: nothing has to be computed beforehand to know."""
     place = devices.select("device_uri", "room_uri").join(rooms.select("room_uri", "floor_number"), "room_uri", "left")
-    found = device.join(small(place), "device_uri", "left")
+    found = device.join(place, "device_uri", "left")
     lost = F.raise_error(F.concat(F.lit("device without a room on a floor: "), F.col("device_uri"))).cast(dict(found.dtypes)["floor_number"])
     return found.withColumn("floor_number", F.coalesce("floor_number", lost))
 

@@ -131,4 +131,10 @@ def summary(runs: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
 
 
 def top_keep_ties(df: DataFrame, by: str, n: int = 30) -> DataFrame:
-    return df.withColumn("place", F.rank().over(Window.orderBy(F.desc(by)))).where(F.col("place") <= n)
+    """The rows with the n greatest values, and those equal to the last of them, with their rank (`place`, from 1).
+
+    The n-th value comes from a bounded sort; only rows from it on are ranked. NULLs come after all values."""
+    least = df.select(by).orderBy(F.desc(by)).limit(n).agg(F.min(by).alias("__least"), F.count("*").alias("__n"), F.count(by).alias("__known"))
+    kept = (F.col(by) >= F.col("__least")) | (F.col(by).isNull() & (F.col("__known") < F.col("__n")))
+    few = df.crossJoin(F.broadcast(least)).where(kept).drop("__least", "__n", "__known")
+    return few.withColumn("place", F.rank().over(Window.orderBy(F.desc(by))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorium.session import ship, stash
@@ -121,6 +121,12 @@ def weekday_hours(rows: DataFrame, hours: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(hours.where("is_workhour = 1").select("bucket_idx")), "bucket_idx", "left_semi")
 
 
+def first_samples(rows: DataFrame, order: list[str], n: int = 150) -> DataFrame:
+    """The first n rows in an order, numbered from 0: what a figure of forecasts shows."""
+    few = rows.orderBy(*order).limit(n)
+    return few.withColumn("sample", F.row_number().over(Window.orderBy(*order)) - 1)
+
+
 def daily_rooms(rows: DataFrame, day, hours: list[int] = tuple(range(24))) -> DataFrame:
     """room_uri with the mean value of each hour of a day."""
     own = rows.where(F.col("timestamp").cast("date") == F.lit(day))

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordered import numbered
+
+#: Rows of a chunk whose frames run over blocks.
+CHUNK = 1 << 16
 IDS = {"bucket_idx", "block_id", "room_uri", "floor_number"}
 
 
@@ -32,14 +36,23 @@ def moving_averages(df: DataFrame, windows: list[int], shift: int = 1, cols: lis
     """{col}_ma_{w}_sh{shift}: mean of the w values up to `shift` rows before, within the block, of as many as there are.
 
     across_blocks=True lets the frame of w rows run on over the borders of blocks in the order of (block, extra,
-    bucket), as a rolling mean over a sorted table does; it has no partition key and so is for small tables only.
+    bucket), as a rolling mean over a sorted table does. Rows are numbered by ranges and cut into chunks, each with the
+    rows before it that its first frames need, so no task holds them all; no two rows may be equal in that order.
     """
     w = by_block(extra)
     cols = cols or default_columns(df)
     rows = df.select("*", *[F.lag(c, shift).over(w).alias(f"__{c}") for c in cols])
-    over = Window.orderBy("block_id", *extra, "bucket_idx") if across_blocks else w
-    out = [F.avg(f"__{c}").over(over.rowsBetween(1 - n, 0)).alias(f"{c}_ma_{n}_sh{shift}") for c in cols for n in windows]
-    return rows.select("*", *out).drop(*[f"__{c}" for c in cols])
+    made = lambda over: [F.avg(f"__{c}").over(over.rowsBetween(1 - n, 0)).alias(f"{c}_ma_{n}_sh{shift}") for c in cols for n in windows]
+    if not across_blocks:
+        return rows.select("*", *made(w)).drop(*[f"__{c}" for c in cols])
+    reach = max(windows) - 1
+    placed = numbered(rows.withColumn("__order", F.struct("block_id", *extra, "bucket_idx")), "__order", "__at")
+    size = max(CHUNK, reach)
+    own = F.floor(F.col("__at") / size)
+    chunks = F.when(F.col("__at") % size >= size - reach, F.array(own, own + 1)).otherwise(F.array(own))
+    over = Window.partitionBy("__chunk").orderBy("__at")
+    halved = placed.withColumn("__chunk", F.explode(chunks)).select("*", *made(over))
+    return halved.where(own == F.col("__chunk")).drop("__order", "__at", "__chunk", *[f"__{c}" for c in cols])
 
 
 def targets(df: DataFrame, source: str, horizons: list[int], delta: bool = False, extra: list[str] = (), hours: DataFrame | None = None) -> DataFrame:

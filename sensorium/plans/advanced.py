@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorium.operators import adjacency, assembly, concordance, features, graph_tables, quantiles, scaling, snapshots, spectral, windows
+from sensorium.functions import geometry
+from sensorium.operators import adjacency, assembly, concordance, entities, features, graph_tables, levels, quantiles, reports, scaling, snapshots, spectral, windows
 from sensorium.operators import calendar as cal
 from sensorium.plans import standin as t
 from sensorium.plans.queries import DIRECTED, GRID, HOURS, PAIRS, PL, SERIES, ROOMS, SPINE, W, directed, r
@@ -199,7 +200,7 @@ def typed_nodes(spark, sf):
 
 
 @query(f"""WITH {PL}, {PAIRS}, {TYPED} SELECT node_type, CAST(node_idx AS INTEGER) AS node_idx, w + 0.0 AS x0, CAST(has_windows AS DOUBLE) AS x1 FROM typed JOIN rooms ON room_uri = key WHERE node_type = 'room'
- UNION ALL SELECT node_type, node_idx, node_idx, NULL FROM typed WHERE node_type = 'device'""")
+ UNION ALL SELECT node_type, CAST(node_idx AS INTEGER), node_idx, NULL FROM typed WHERE node_type = 'device'""")
 def typed_static_nodes(spark, sf):
     frames, _ = bundle_of(spark, sf)
     return frames["static"].select("node_type", "node_idx", F.get("x", F.lit(0)).alias("x0"), F.get("x", F.lit(1)).alias("x1"))
@@ -214,6 +215,139 @@ def typed_edges(spark, sf):
     return bundle_of(spark, sf)[0]["edges"]
 
 
+# --- weights of neighbours, and rooms that aren't rectangles
+REACH = 2.5
+#: Of two rectangles each edge of one with the part of its line within reach of each edge of the other, and their union.
+SHARED = f"""{PAIRS}, near AS (SELECT src, dst FROM gaps WHERE gap <= 5.0),
+ sides AS (SELECT room_uri, 'h' AS dir, y AS pos, x AS lo, x + w AS hi FROM rooms UNION ALL SELECT room_uri, 'h', y + h, x, x + w FROM rooms UNION ALL SELECT room_uri, 'v', x, y, y + h FROM rooms UNION ALL SELECT room_uri, 'v', x + w, y, y + h FROM rooms),
+ off AS (SELECT n.src, n.dst, a.dir, a.pos, a.lo, a.hi, CASE WHEN b.dir = a.dir THEN b.lo ELSE b.pos END AS p, CASE WHEN b.dir = a.dir THEN b.hi ELSE b.pos END AS q, CASE WHEN b.dir = a.dir THEN abs(a.pos - b.pos) ELSE greatest(0, b.lo - a.pos, a.pos - b.hi) END AS d FROM near n JOIN sides a ON a.room_uri = n.src JOIN sides b ON b.room_uri = n.dst),
+ part AS (SELECT src, dst, dir, pos, greatest(lo, p - sqrt({REACH * REACH} - d * d)) AS a, least(hi, q + sqrt({REACH * REACH} - d * d)) AS b FROM off WHERE d < {REACH}),
+ cover AS (SELECT *, max(b) OVER (PARTITION BY src, dst, dir, pos ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM part WHERE a < b),
+ lengths AS (SELECT src, dst, sum(greatest(0, b - greatest(a, coalesce(upto, a)))) AS length FROM cover GROUP BY 1, 2),
+ wh AS (SELECT src, dst, length / (2 * (w + h)) AS weight FROM lengths JOIN rooms ON room_uri = src WHERE length > 0.01)"""
+
+
+@query(f"WITH {SHARED} SELECT src, dst, {r('weight')} FROM wh")
+def weighted_horizontal(spark, sf):
+    return adjacency.horizontal_weighted(t.rooms(spark, sf))
+
+
+@query(f"""WITH {SHARED}, used AS (SELECT src AS room_uri, sum(weight) AS s FROM wh GROUP BY 1) SELECT src, dst, round(sum(weight), 8) + 0.0 AS weight FROM (SELECT * FROM wh UNION ALL SELECT * FROM ver UNION ALL
+ SELECT 'outside', room_uri, CASE WHEN has_windows THEN greatest(0, 1 - coalesce(s, 0)) ELSE 0 END FROM rooms LEFT JOIN used USING (room_uri)) WHERE weight > 0 GROUP BY ALL""")
+def weighted_bundle(spark, sf):
+    return adjacency.bundle(t.rooms(spark, sf), mode="weighted", outside_node=True)["edges"]
+
+
+@query(f"WITH {PAIRS} SELECT a.room_uri AS src, b.room_uri AS dst, round(coalesce(weight, 0.01), 8) + 0.0 AS weight FROM rooms a JOIN rooms b ON abs(a.floor_number - b.floor_number) = 1 LEFT JOIN ver ON src = a.room_uri AND dst = b.room_uri")
+def vertical_with_least_weight(spark, sf):
+    return adjacency.vertical(t.rooms(spark, sf), weighted=True, min_weight=0.01)
+
+
+#: The two rectangles of each L.
+HALVES = f"""{ROOMS}, half AS (SELECT room_uri, floor_number, x, y, w, h / 2 AS h FROM rooms UNION ALL SELECT room_uri, floor_number, x, y + h / 2, w / 2, h / 2 FROM rooms)"""
+
+
+@query(f"WITH {HALVES} SELECT room_uri, sum(w * h) + 0.0 AS area, max(2 * (rw + rh)) + 0.0 AS perimeter, max(rw) + 0.0 AS width, max(rh) + 0.0 AS height, round(sum(w * h) / max(rw * rh), 8) AS rect_fit FROM (SELECT half.*, rooms.w AS rw, rooms.h AS rh FROM half JOIN rooms USING (room_uri)) GROUP BY 1")
+def concave_shapes(spark, sf):
+    return t.l_rooms(spark, sf).select("room_uri", geometry.shape(F.col("points")).alias("s")).select("room_uri", "s.area", "s.perimeter", "s.width", "s.height", "s.rect_fit")
+
+
+@query(f"""WITH {HALVES}, gap AS (SELECT a.room_uri AS src, b.room_uri AS dst, min(sqrt(pow(greatest(0, a.x - b.x - b.w, b.x - a.x - a.w), 2) + pow(greatest(0, a.y - b.y - b.h, b.y - a.y - a.h), 2))) AS d FROM half a JOIN half b ON a.floor_number = b.floor_number AND a.room_uri <> b.room_uri GROUP BY 1, 2)
+ SELECT src, dst, 1.0::DOUBLE AS weight FROM gap WHERE d <= 5.0""")
+def concave_horizontal(spark, sf):
+    return adjacency.horizontal_binary(t.l_rooms(spark, sf))
+
+
+@query(f"""WITH {HALVES}, lap AS (SELECT a.room_uri AS src, b.room_uri AS dst, sum(greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y))) AS area FROM half a JOIN half b ON abs(a.floor_number - b.floor_number) = 1 GROUP BY 1, 2)
+ SELECT src, dst, round(area / (w * h * 0.75), 8) + 0.0 AS weight FROM lap JOIN rooms ON room_uri = src WHERE area > 0.05""")
+def concave_vertical(spark, sf):
+    return adjacency.vertical(t.l_rooms(spark, sf), weighted=True)
+
+
+# --- entities and readings
+@query("""WITH d AS (SELECT 'urn:d' || s_suppkey AS device, 'urn:roomname_' || s_nationkey AS room FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2 AND n_nationkey % 7 <> 0)
+ SELECT device AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'https://saref.etsi.org/saref4ener/Device' AS o FROM d UNION SELECT device, 'https://saref.etsi.org/saref4bldg/isContainedIn', room FROM d UNION SELECT room, 'https://saref.etsi.org/saref4bldg/contains', device FROM d
+ UNION SELECT room, 'https://saref.etsi.org/saref4bldg/isSpaceOf', 'urn:floor_2' FROM d UNION SELECT room, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type', 'https://saref.etsi.org/saref4bldg/BuildingSpace' FROM d""")
+def placing_triples(spark, sf):
+    return entities.devices_on_floor(t.triples(spark, sf), "urn:floor_2")
+
+
+DEVICES = "devices AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS device_uri, 'room' || (user_id % 25) AS room_uri FROM events)"
+
+
+@query(f"WITH {ROOMS} SELECT room_uri, room_number, floor_number, count(device_uri) AS n_devices FROM rooms LEFT JOIN devices USING (room_uri) GROUP BY ALL")
+def room_summaries(spark, sf):
+    return entities.room_summaries(t.rooms(spark, sf), t.devices(spark, sf))
+
+
+@query(f"WITH {ROOMS} SELECT floor_number, count(DISTINCT room_uri) AS n_rooms, CAST(count(device_uri) AS BIGINT) AS n_devices FROM rooms LEFT JOIN devices USING (room_uri) GROUP BY ALL")
+def floor_summaries(spark, sf):
+    return entities.floor_summaries(t.rooms(spark, sf), t.devices(spark, sf))
+
+
+@query(f"""WITH {PL}, {DEVICES} SELECT device_uri, room_uri, count("timestamp") AS n_measurements, count(DISTINCT property_type) AS n_properties, min("timestamp") AS first, max("timestamp") AS last FROM devices LEFT JOIN (SELECT * FROM pl WHERE value > 50) USING (device_uri) GROUP BY ALL""")
+def device_summaries(spark, sf):
+    return entities.device_summaries(t.devices(spark, sf), t.property_level(spark, sf).where("value > 50"))
+
+
+@query("""SELECT unnest(['time', 'property', 'value', 'kept']) AS reason, unnest([a, b, c, d]) AS n FROM (SELECT count(*) FILTER (w = 1) AS a, count(*) FILTER (w = 2) AS b, count(*) FILTER (w = 3) AS c, count(*) FILTER (w = 4) AS d
+ FROM (SELECT CASE WHEN ts IS NULL OR ts < TIMESTAMP '2024-01-01' OR ts >= TIMESTAMP '2024-01-20' THEN 1 WHEN event_type NOT IN ('click', 'view') THEN 2 WHEN value IS NULL OR isnan(value) THEN 3 ELSE 4 END AS w FROM events))""")
+def skipped_readings(spark, sf):
+    from datetime import datetime
+
+    short = cal.Calendar(datetime(2024, 1, 1), datetime(2024, 1, 20), 360)
+    return levels.skipped(t.measurements(spark, sf), t.properties(spark), short, ["click", "view"])
+
+
+@query(f"""WITH {PL} SELECT "timestamp", device_uri, property_type, {r('value')} FROM pl WHERE "timestamp" BETWEEN TIMESTAMP '2024-01-05' AND (SELECT max("timestamp") FROM pl WHERE "timestamp" < TIMESTAMP '2024-01-09')""")
+def readings_in_timeframe(spark, sf):
+    rows = t.property_level(spark, sf)
+    last = rows.where("timestamp < timestamp_ntz '2024-01-09'").agg(F.max("timestamp")).first()[0]  # a reading's own time, as both ends count
+    return levels.in_timeframe(rows, "2024-01-05 00:00:00", last)
+
+
+@query(f"""WITH {SERIES} SELECT room_uri, bucket_idx, {r('clicks')}, CAST(row_number() OVER (ORDER BY bucket_idx, room_uri) - 1 AS INTEGER) AS sample FROM series QUALIFY sample < 150""")
+def first_samples(spark, sf):
+    return reports.first_samples(t.series(spark, sf).select("room_uri", "bucket_idx", "clicks"), ["bucket_idx", "room_uri"])
+
+
+@query(f"""WITH {PL}, g AS (SELECT var_samp(value) FILTER (h) / count(*) FILTER (h) AS a, var_samp(value) FILTER (NOT h) / count(*) FILTER (NOT h) AS b, count(*) FILTER (h) AS n1, count(*) FILTER (NOT h) AS n0 FROM (SELECT value, hour("timestamp") BETWEEN 8 AND 17 AS h FROM pl))
+ SELECT round(pow(a + b, 2) / (a * a / (n1 - 1) + b * b / (n0 - 1)), 6) AS nu FROM g""")
+def workhour_freedom(spark, sf):
+    return reports.welch(t.property_level(spark, sf), "value", F.hour("timestamp").between(8, 17)).select(F.round("nu", 6).alias("nu"))
+
+
+# --- weather
+HOURLY = """hourly AS (SELECT date_trunc('hour', ts) AS date, round(avg(value), 6) AS a, max(value) AS b, min(value) AS c, count(*)::DOUBLE AS n FROM events WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1),
+ slots AS (SELECT row_number() OVER (ORDER BY s) - 1 AS bucket_idx, s FROM (SELECT TIMESTAMP '2024-01-01' + INTERVAL 30 MINUTE * i AS s FROM range(1440) r(i)) WHERE isodow(s) <> 7)"""
+WIND = ", ".join(f"round({f}(radians(n * {k} % 360)), 8) + 0.0 AS wind_direction_{m}m_{f}" for m, k in ((10, 37), (80, 53)) for f in ("sin", "cos"))
+
+
+def half_hours(spark, sf):
+    from datetime import datetime
+
+    c = cal.Calendar(datetime(2024, 1, 1), datetime(2024, 1, 31), 30)
+    return c, c.spine(spark)
+
+
+@query(f"WITH {HOURLY} SELECT CAST(bucket_idx AS INTEGER) AS bucket_idx, a AS temperature_2m, b AS relative_humidity_2m, c AS precipitation, n AS wind_speed_10m, 2 * n AS wind_speed_80m, round(b - c, 8) + 0.0 AS cloud_cover, {WIND}, {', '.join(f'CAST(n % 3 = {k} AS INTEGER) AS wc_{k}' for k in range(3))} FROM slots JOIN hourly ON date = date_trunc('hour', s)")
+def weather_of_buckets(spark, sf):
+    from sensorium.sources import files
+
+    return files.weather_by_bucket(t.weather(spark, sf), half_hours(spark, sf)[1], 30, one_hot=True)
+
+
+@query(f"""WITH {HOURLY}, f AS (SELECT bucket_idx, bucket_idx // 288 AS block_id, a, c, n FROM slots LEFT JOIN hourly ON date = date_trunc('hour', s)), l AS (SELECT *, lag(a) OVER w AS a1, lag(c) OVER w AS c1 FROM f WINDOW w AS (PARTITION BY block_id ORDER BY bucket_idx))
+ SELECT CAST(bucket_idx AS INTEGER) AS bucket_idx, CAST(block_id AS INTEGER) AS block_id, a AS temperature_2m, c AS precipitation, round(lag(a, 2) OVER w, 8) + 0.0 AS temperature_2m_lag_2, round(avg(a1) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 8) + 0.0 AS temperature_2m_ma_3_sh1, round(avg(c1) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 8) + 0.0 AS precipitation_ma_3_sh1
+ FROM l WINDOW w AS (PARTITION BY block_id ORDER BY bucket_idx)""")
+def weather_history(spark, sf):
+    from sensorium.sources import files
+
+    _, spine = half_hours(spark, sf)
+    weather = files.weather_by_bucket(t.weather(spark, sf), spine, 30).select("bucket_idx", "temperature_2m", "precipitation")
+    return windows.tabular_features(features.with_buckets(spine.select("bucket_idx", "block_id"), weather), [2], [3], 1)
+
+
 # --- summer time
 @query("""WITH y AS (SELECT o_orderkey, o_orderdate + INTERVAL 150 MINUTE AS utc, CAST(year(o_orderdate) AS INT) AS y FROM orders), e AS (SELECT *, make_timestamp(y, 3, 31, 1, 0, 0.0) - INTERVAL 1 DAY * (isodow(make_date(y, 3, 31)) % 7) AS a, make_timestamp(y, m, d, 1, 0, 0.0) - INTERVAL 1 DAY * (isodow(make_date(y, m, d)) % 7) AS b FROM (SELECT *, CASE WHEN y < 1996 THEN 9 ELSE 10 END AS m, CASE WHEN y < 1996 THEN 30 ELSE 31 END AS d FROM y))
  SELECT o_orderkey, utc + INTERVAL 1 HOUR * CASE WHEN utc >= a AND utc < b THEN 2 ELSE 1 END AS local FROM e""")

@@ -11,7 +11,6 @@ from sensorium.operators import adjacency, calendar, entities, features, graph_t
 from sensorium.plans import forecast
 from sensorium.plans import standin as t
 from sensorium.plans.registry import QUERIES, SQL, query  # noqa: F401
-from sensorium.session import small
 from sensorium.sources import files, triples
 
 # --- parts of the SQL
@@ -537,7 +536,7 @@ DAY = date(2024, 1, 3)
 
 @query(f"""WITH {PL}, devices AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS device_uri, 'room' || (user_id % 25) AS room_uri FROM events) SELECT room_uri, round(avg(value) FILTER (hour("timestamp") = 6), 8) + 0.0 AS h6, round(avg(value) FILTER (hour("timestamp") = 12), 8) + 0.0 AS h12 FROM pl JOIN devices USING (device_uri) WHERE CAST("timestamp" AS DATE) = DATE '2024-01-03' GROUP BY room_uri""")
 def daily_rooms(spark, sf):
-    rows = t.property_level(spark, sf).join(small(t.devices(spark, sf)), "device_uri")
+    rows = t.property_level(spark, sf).join(t.devices(spark, sf), "device_uri")
     return reports.daily_rooms(rows, DAY, [6, 12]).select("room_uri", F.col("6").alias("h6"), F.col("12").alias("h12"))
 
 

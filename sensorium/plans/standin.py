@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from sensorium.operators import entities, levels
 from sensorium.operators.calendar import Calendar, dutch_holidays, work_hours
-from sensorium.session import small
+from sensorium.sources.files import WEATHER
 from sensorium.sources.triples import PREFIXES, RDF_TYPE
 
 CALENDAR = Calendar(datetime(2024, 1, 1), datetime(2024, 1, 31), 360)
@@ -47,6 +47,23 @@ def rooms(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select(F.concat(F.lit("room"), k.cast("string")).alias("room_uri"), F.col("n_name").alias("room_number"), F.col("n_regionkey").alias("floor_number"), pts.alias("points"), (k % 2 == 0).alias("has_windows"))
 
 
+def l_rooms(spark: SparkSession, sf: str) -> DataFrame:
+    """rooms without the right half of their upper half: they are shaped like an L."""
+    p = F.col("points")
+    x, y, w, h = p[0].x, p[0].y, p[2].x - p[0].x, p[2].y - p[0].y
+    at = lambda a, b: F.struct((x + a).alias("x"), (y + b).alias("y"))
+    zero = F.lit(0.0)
+    return rooms(spark, sf).withColumn("points", F.array(at(zero, zero), at(w, zero), at(w, h / 2), at(w / 2, h / 2), at(w / 2, h), at(zero, h)))
+
+
+def weather(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly weather, out of the readings of each hour; hours without any have none."""
+    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("date")
+    e = table(spark, sf, "events").where("value is not null and not isnan(value)").groupBy(hour).agg(F.round(F.avg("value"), 6).alias("a"), F.max("value").alias("b"), F.min("value").alias("c"), F.count("*").alias("n"))
+    of = {"temperature_2m": F.col("a"), "relative_humidity_2m": F.col("b"), "precipitation": F.col("c"), "wind_speed_10m": F.col("n") * 1.0, "wind_speed_80m": F.col("n") * 2.0, "cloud_cover": F.col("b") - F.col("c"), "wind_direction_10m": F.col("n") * 37.0 % 360, "wind_direction_80m": F.col("n") * 53.0 % 360, "weather_code": F.col("n") % 3 * 1.0}
+    return e.select("date", *[of[c].cast("double").alias(c) for c in WEATHER])
+
+
 def described_rooms(spark: SparkSession, sf: str) -> DataFrame:
     """rooms with windows: one to the back if the number is even, a second one to the left if it is divisible by six."""
     k = F.substring("room_uri", 5, 9).cast("int")
@@ -92,7 +109,7 @@ def room_level(spark: SparkSession, sf: str, simple: bool = False) -> DataFrame:
 
 def series(spark: SparkSession, sf: str) -> DataFrame:
     """room_uri, block_id, bucket_idx and the sum of clicks of each room and bucket with any readings of it."""
-    p = property_level(spark, sf).where("property_type = 'click'").join(small(devices(spark, sf)), "device_uri")
+    p = property_level(spark, sf).where("property_type = 'click'").join(devices(spark, sf), "device_uri")
     b = CALENDAR.bucket(F.col("timestamp"))
     s = p.groupBy("room_uri", b.alias("bucket_idx")).agg(F.sum("value").alias("clicks"), F.avg("value").alias("mean"))
     return s.select("room_uri", CALENDAR.block(F.col("bucket_idx")).alias("block_id"), "bucket_idx", "clicks", "mean")

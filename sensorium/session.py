@@ -9,7 +9,6 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def session(name: str = "sensorium", master: str | None = None, **settings: str) -> SparkSession:
@@ -43,11 +42,6 @@ def ship(spark: SparkSession) -> None:
     context._sensorium_sent = True
 
 
-def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """df, marked for broadcasting if a count of so many rows at most says that it is small; else Spark decides."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def work_dir(spark: SparkSession) -> str:
     """This application's folder in the one that driver and executors share (spark.checkpoint.dir); where that is
     unset, a temporary folder in local mode, and ValueError on a cluster."""

@@ -7,12 +7,13 @@ import os
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from sensorium.operators import assembly, concordance, graph_tables, quantiles, scaling, snapshots, spectral, splits
-from sensorium.plans import advanced, search
+from sensorium.operators import adjacency, assembly, concordance, graph_tables, levels, metrics, quantiles, scaling, snapshots, spectral, splits, windows
+from sensorium.plans import advanced, forecast, search
 from sensorium.plans import standin as t
 from sensorium.sources import heads, sinks, triples
 
@@ -320,3 +321,66 @@ def test_search_on_spark(spark):
     assert len(trials) == 4 and trials[0].value == min(r.value for r in trials if r.state == "whole") and all(math.isfinite(r.value) for r in trials)
     assert [t.params for t in search.read_trials(got)][:2] == [search.propose(space, [], random.Random(f"2-{k}")) for k in range(2)]
     assert {len(r.errors) for r in trials} <= {1, 2}
+
+
+def test_moving_averages_across_chunks(spark, monkeypatch):
+    """As a rolling mean over the sorted table, wherever chunks end."""
+    rnd = random.Random(4)
+    rows = [(b, f"r{r}", b * 10 + k, None if rnd.random() < 0.2 else float(rnd.randrange(50))) for b in range(4) for r in range(3) for k in range(rnd.randrange(2, 9))]
+    df = spark.createDataFrame(rows, "block_id int, room_uri string, bucket_idx int, v double").repartition(3)
+    table = pd.DataFrame(sorted(rows), columns=["block_id", "room_uri", "bucket_idx", "v"])
+    shifted = table.groupby(["block_id", "room_uri"])["v"].shift(1)
+    for chunk in (1, 5, 1 << 16):
+        monkeypatch.setattr(windows, "CHUNK", chunk)
+        got = windows.moving_averages(df, [2, 6], 1, ["v"], ["room_uri"], across_blocks=True).orderBy("block_id", "room_uri", "bucket_idx").toPandas()
+        assert list(got.columns) == ["block_id", "room_uri", "bucket_idx", "v", "v_ma_2_sh1", "v_ma_6_sh1"]
+        for w in (2, 6):
+            assert np.allclose(got[f"v_ma_{w}_sh1"].astype(float), shifted.rolling(w, min_periods=1).mean(), equal_nan=True)
+
+
+def test_top_with_ties(spark):
+    top = lambda values, n: sorted((r.place, r.v) for r in metrics.top_keep_ties(spark.createDataFrame([(v,) for v in values], "v double"), "v", n).collect())
+    assert top([1.0, 5.0, 5.0, 3.0, 3.0, 2.0], 3) == [(1, 5.0), (1, 5.0), (3, 3.0), (3, 3.0)]
+    assert top([1.0, None], 1) == [(1, 1.0)] and top([], 3) == []
+    few = metrics.top_keep_ties(spark.createDataFrame([(2.0,), (None,), (None,)], "v double"), "v", 2).collect()
+    assert sorted((r.place, r.v is None) for r in few) == [(1, False), (2, True), (2, True)]
+
+
+def test_least_weights_and_far_rooms(spark):
+    rooms = t.rooms(spark, SF)
+    every = {(r.src, r.dst): r.weight for r in adjacency.vertical(rooms, weighted=True, min_weight=0.2).collect()}
+    some = {(r.src, r.dst): r.weight for r in adjacency.vertical(rooms, weighted=True).collect()}
+    floor = {r.room_uri: r.floor_number for r in rooms.collect()}
+    assert {k: v for k, v in every.items() if k in some} == some and all(v == 0.2 for k, v in every.items() if k not in some)
+    assert every.keys() == {(a, b) for a in floor for b in floor if abs(floor[a] - floor[b]) == 1}
+
+
+def test_histories_and_masks(spark):
+    df = spark.createDataFrame([(0, 0, 1.0, 1), (0, 1, None, 0), (0, 2, 3.0, 1), (1, 3, 4.0, 0)], "block_id int, bucket_idx int, v double, is_workhour int")
+    first = {r.bucket_idx: ([x.v for x in r.history], r.padded) for r in windows.histories(df, ["v"], 3, 0, replicate=True).collect()}
+    assert first == {0: ([1.0, 1.0, 1.0], 2), 1: ([1.0, 1.0, None], 1), 2: ([1.0, None, 3.0], 0), 3: ([4.0, 4.0, 4.0], 2)}
+    zeros = {r.bucket_idx: [x.v for x in r.history] for r in windows.histories(df, ["v"], 3, 1).collect()}
+    assert zeros == {0: [0.0, 0.0, 1.0], 1: [0.0, 1.0, None], 2: [1.0, None, 3.0], 3: [0.0, 0.0, 4.0]}
+    assert [r.v_mask for r in windows.masks_from(df, ["v"], F.col("is_workhour")).orderBy("bucket_idx").collect()] == [1.0, 0.0, 1.0, 0.0]
+    wide = df.withColumns({"b": F.lit(1), "a": F.lit(1), "target_h_1": F.lit(1.0), "mask_h_1": F.col("is_workhour")})
+    assert windows.feature_columns(wide) == ["a", "b", "is_workhour", "v"]
+    hours = df.select("bucket_idx", "is_workhour")
+    kept = forecast.prepared(df.select("block_id", "bucket_idx", F.col("bucket_idx").cast("double").alias("v")), "v", [1], hours=hours, drop_outside_hours=True)
+    assert [r.bucket_idx for r in kept.collect()] == [1]  # of the others the next row is none, or outside work hours
+
+
+def test_levels_put_together(spark, tmp_path):
+    device = t.device_level(spark, SF)
+    listed = levels.clean_anomalies(device, period=None, buckets=[3, 4], clear_high_counts=False)
+    assert listed.where("bucket_idx in (3, 4) and (mean is not null or count > 0 or has_measurement > 0)").count() == 0
+    assert listed.where("mean is not null").count() == device.where("mean is not null and bucket_idx not in (3, 4)").count()
+    kept = levels.with_rooms(levels.drop_high_missingness(device, 0.9), t.devices(spark, SF), t.rooms(spark, SF))
+    by_floor = kept.groupBy("floor_number").agg(F.countDistinct("device_uri").alias("n"))
+    assert 0 < sum(r.n for r in by_floor.collect()) <= 15
+    sinks.write_level(listed, str(tmp_path / "level"), ["property_type"])
+    assert spark.read.parquet(str(tmp_path / "level")).count() == device.count()
+    runs = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0)], "name string, mae double")
+    assert {r["name"]: (r.mae_mean, r.mae_std) for r in metrics.summary(runs, ["name"], ["mae"]).collect()} == {"a": (2.0, math.sqrt(2)), "b": (2.0, None)}
+    table = splits.BlockSplitter(list(range(5)), seed=3).table(spark)
+    blocks = {r.block_id for r in table.where("fold = -1 and role = 'test'").collect()}
+    assert {r.block_id for r in splits.part(t.series(spark, SF), table, -1, "test").select("block_id").distinct().collect()} <= blocks and len(blocks) == 1
