@@ -30,7 +30,7 @@ from sensorium.session import ship
 from .common import lots
 
 #: Rows of a language, characters of a passage, and characters of all languages, at most.
-PASSAGES, LENGTH, TOTAL = 100, 300, 1_000_000
+PASSAGES, LENGTH, TOTAL = 50, 300, 1_000_000
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 UNKNOWN = "und"
 
