@@ -34,7 +34,7 @@ from .common import attach, lots
 from .pieces import BYTE, SPACE, Pieces
 
 #: Parts that a worker remembers, and characters in them; with more the tables are emptied before the next lot of texts.
-MAX_PARTS, MAX_CHARS = 500_000, 1 << 24
+MAX_PARTS, MAX_CHARS = 300_000, 1 << 23
 #: Pairs that are broadcast with their counts, at most.
 HOT_PAIRS = 1 << 18
 SPACES, CUT = regex.compile(r"\s\s"), regex.compile(r"(?<=\S) (?=\S)")
@@ -219,7 +219,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = aligner(a_path, b_path)
-        for b in lots(batches, "text"):
+        for b in lots(batches, "text", 1 << 20):
             n, said, pairs, times, ends = both.texts(b.column(2).to_pylist())
             ends = pa.array(np.append(0, ends), pa.int32())
             lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (pairs, times)]
