@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sensorium.llm import decontaminate, exact_dedup, pieces, queries, simhash, toxicity
 from sensorium.llm.common import stash, table
+from sensorium.session import recorded, unstash
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; when one is written, its input and the tables it made on the way are deleted."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with recorded() as made:
+            docs = stash(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        unstash(*before, *made[:-1])
+        before = [docs]
     return docs

@@ -113,16 +113,20 @@ def with_outside(edges: DataFrame, out: DataFrame) -> DataFrame:
     return edges.unionByName(out.where("weight > 0").select(F.lit("outside").alias("src"), F.col("room_uri").alias("dst"), "weight"))
 
 
-def propagation(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+def propagation(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
     """room_uri, activation_step: 0 for seeds (rooms with devices); k + 1 for rooms with an edge from a room of step k
-    that no earlier step reached. Rooms that nothing reaches are left out.
+    that no earlier step reached. Rooms that nothing reaches (in so many rounds) are left out.
 
-    Each round expands the rooms of the last step only and drops those known by an anti-join.
+    Edges are written once, as each round reads them. A round expands the rooms of the last step only and drops those
+    known by an anti-join.
     """
+    edges = stash(edges.where("weight > 0").select("src", "dst").distinct(), "walked")
     front = stash(seeds.select("room_uri").distinct().withColumn("activation_step", F.lit(0)), "round")
     known = front
     for k in count(1):
-        new = edges.where("weight > 0").join(front.select(F.col("room_uri").alias("src")), "src", "left_semi").select(F.col("dst").alias("room_uri")).distinct()
+        if rounds is not None and k > rounds:
+            return known
+        new = edges.join(front.select(F.col("room_uri").alias("src")), "src", "left_semi").select(F.col("dst").alias("room_uri")).distinct()
         front = stash(new.join(known, "room_uri", "left_anti").withColumn("activation_step", F.lit(k)), "round")
         if front.isEmpty():
             return known

@@ -264,6 +264,33 @@ def concave_vertical(spark, sf):
     return adjacency.vertical(t.l_rooms(spark, sf), weighted=True)
 
 
+# --- a building that grows with the tables
+MANY = """many AS (SELECT 'c' || c_custkey AS room_uri, c_nationkey AS floor_number, CAST(c_custkey * 7919 % 997 AS DOUBLE) AS x, CAST(c_custkey * 7817 % 499 AS DOUBLE) AS y, 5.0 + c_custkey % 7 AS w, 4.0 + c_custkey % 5 AS h FROM customer),
+ mh AS (SELECT a.room_uri AS src, b.room_uri AS dst FROM many a JOIN many b ON a.floor_number = b.floor_number AND a.room_uri <> b.room_uri WHERE sqrt(pow(greatest(0, a.x - b.x - b.w, b.x - a.x - a.w), 2) + pow(greatest(0, a.y - b.y - b.h, b.y - a.y - a.h), 2)) <= 5.0),
+ ml AS (SELECT a.room_uri AS src, b.room_uri AS dst, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS area, a.w * a.h AS own FROM many a JOIN many b ON abs(a.floor_number - b.floor_number) = 1),
+ mv AS (SELECT src, dst, area / own AS weight FROM ml WHERE area > 0.05)"""
+
+
+@query(f"WITH {MANY} SELECT src, dst, 1.0::DOUBLE AS weight FROM mh")
+def many_rooms_horizontal(spark, sf):
+    return adjacency.horizontal_binary(t.many_rooms(spark, sf))
+
+
+@query(f"WITH {MANY} SELECT src, dst, {r('weight')} FROM mv")
+def many_rooms_vertical(spark, sf):
+    return adjacency.vertical(t.many_rooms(spark, sf), weighted=True)
+
+
+@query(f"""WITH RECURSIVE {MANY}, e AS (SELECT * FROM mh UNION SELECT src, dst FROM mv), walk AS (SELECT room_uri, 0 AS step FROM many WHERE CAST(substr(room_uri, 2) AS INT) % 50 = 0 UNION SELECT dst, step + 1 FROM walk JOIN e ON src = room_uri WHERE step < 4)
+ SELECT room_uri, CAST(min(step) AS INTEGER) AS activation_step FROM walk GROUP BY 1""")
+def many_rooms_reached(spark, sf):
+    """The rooms within four steps of every fiftieth one."""
+    rooms = t.many_rooms(spark, sf)
+    edges = adjacency.combined(adjacency.horizontal_binary(rooms), adjacency.vertical(rooms))
+    seeds = rooms.where(F.substring("room_uri", 2, 12).cast("int") % 50 == 0)
+    return adjacency.propagation(edges, seeds, rounds=4)
+
+
 # --- entities and readings
 @query("""WITH d AS (SELECT 'urn:d' || s_suppkey AS device, 'urn:roomname_' || s_nationkey AS room FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 2 AND n_nationkey % 7 <> 0)
  SELECT device AS s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, 'https://saref.etsi.org/saref4ener/Device' AS o FROM d UNION SELECT device, 'https://saref.etsi.org/saref4bldg/isContainedIn', room FROM d UNION SELECT room, 'https://saref.etsi.org/saref4bldg/contains', device FROM d

@@ -56,6 +56,16 @@ def l_rooms(spark: SparkSession, sf: str) -> DataFrame:
     return rooms(spark, sf).withColumn("points", F.array(at(zero, zero), at(w, zero), at(w, h / 2), at(w / 2, h / 2), at(w / 2, h), at(zero, h)))
 
 
+def many_rooms(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as rooms of as many floors as there are nations: small boxes at scattered places, more with the scale."""
+    k = F.col("c_custkey")
+    x, y = (k * 7919 % 997).cast("double"), (k * 7817 % 499).cast("double")
+    w, h = (5 + k % 7).cast("double"), (4 + k % 5).cast("double")
+    p = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    pts = F.array(p(x, y), p(x + w, y), p(x + w, y + h), p(x, y + h))
+    return table(spark, sf, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("room_uri"), F.col("c_nationkey").cast("int").alias("floor_number"), pts.alias("points"))
+
+
 def weather(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly weather, out of the readings of each hour; hours without any have none."""
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("date")

@@ -6,6 +6,9 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,9 +70,25 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed = path
+    if (held := _recorded.get()) is not None:
+        held.append(out)
     return out
 
 
+_recorded: ContextVar[list[DataFrame] | None] = ContextVar("recorded", default=None)
+
+
+@contextmanager
+def recorded() -> Iterator[list[DataFrame]]:
+    """The frames that stash returns meanwhile (in this thread), so that they can be deleted when nothing reads them."""
+    held: list[DataFrame] = []
+    token = _recorded.set(held)
+    try:
+        yield held
+    finally:
+        _recorded.reset(token)
+
+
 def unstash(*frames: DataFrame) -> None:
     """Deletes the tables of frames that stash returned; whatever reads them must have been written before."""
     for df in frames:

@@ -12,10 +12,11 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from sensorium import session
 from sensorium.operators import adjacency, assembly, concordance, graph_tables, levels, metrics, quantiles, scaling, snapshots, spectral, splits, windows
 from sensorium.plans import advanced, forecast, search
 from sensorium.plans import standin as t
-from sensorium.sources import heads, sinks, triples
+from sensorium.sources import building, heads, sinks, triples
 
 SF = "/root/testdata/sf0.001"
 
@@ -384,3 +385,69 @@ def test_levels_put_together(spark, tmp_path):
     table = splits.BlockSplitter(list(range(5)), seed=3).table(spark)
     blocks = {r.block_id for r in table.where("fold = -1 and role = 'test'").collect()}
     assert {r.block_id for r in splits.part(t.series(spark, SF), table, -1, "test").select("block_id").distinct().collect()} <= blocks and len(blocks) == 1
+
+
+SENSOR = """@prefix ic: <https://interconnectproject.eu/example/> .
+@prefix saref: <https://saref.etsi.org/core/> .
+@prefix s4ener: <https://saref.etsi.org/saref4ener/> .
+ic:{name} a s4ener:Device ;
+    saref:hasModel "m-{name}" .
+ic:property_{name} a saref:Temperature .
+{readings}
+"""
+READING = "ic:{name} saref:makesMeasurement ic:{name}_{k} .\nic:{name}_{k} saref:hasTimestamp \"2022-03-07T1{k}:00:00\" ; saref:hasValue \"{v}\" ; saref:relatesToProperty ic:property_{name} ."
+
+
+def building_folder(tmp_path):
+    """Two floors with two rooms each; a sensor in each room, one that two floors claim, and one on a third floor."""
+    p = triples.PREFIXES
+    place = []
+    for floor, rooms in ((1, ("a", "b")), (2, ("c", "d")), (3, ("e",))):
+        lines = []
+        for k, r in enumerate(rooms):
+            uri, shape = f"<urn:roomname_{r}>", f"<urn:roomname_{r}/outline>"
+            wkt = f"POLYGON Z(({k * 5} 0 {floor}, {k * 5 + 4} 0 {floor}, {k * 5 + 4} 3 {floor}, {k * 5} 3 {floor}, {k * 5} 0 {floor}))"
+            lines += [f"{uri} a <{p['s4bldg']}BuildingSpace> .", f"{uri} <{p['s4bldg']}isSpaceOf> <urn:floor_{floor}> .", f"{uri} <{p['ex-ont']}hasDocumentGeometry> {shape} .", f'{shape} <{p["geosparql"]}asWKT> "{wkt}" .']
+            place.append(f"{uri} <{p['s4bldg']}contains> <{p['ic']}S{r}> .")
+        (tmp_path / f"floor_{floor}_polygons.ttl").write_text("\n".join(lines))
+        (tmp_path / f"floor_{floor}_enrichment.ttl").write_text("" if floor > 1 else f"<urn:roomname_a> <{p['ex-ont']}hasWindow> <urn:w> .\n<urn:w> <{p['ex-ont']}hasFacingDirection> 90 ; <{p['ex-ont']}facingRelativeDirection> \"front\" .")
+    place += [f"<urn:roomname_{r}> <{p['s4bldg']}contains> <{p['ic']}Twice> ." for r in "ac"]
+    (tmp_path / "devices_in_rooms.ttl").write_text("\n".join(place))
+    for name in ("Sa", "Sb", "Sc", "Sd", "Se", "Twice"):
+        (tmp_path / "devices" / name[0]).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "devices" / name[0] / f"{name}.ttl").write_text(SENSOR.format(name=name, readings="\n".join(READING.format(name=name, k=k, v=k + 0.5) for k in range(3))))
+    return str(tmp_path)
+
+
+def test_building_out_of_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    folder = building_folder(tmp_path / "in")
+    both = building.read_building(spark, folder, [1, 2])
+    assert {r.room_uri[-1]: (r.floor_number, len(r.points), r.has_front_windows) for r in both["rooms"].collect()} == {"a": (1, 4, True), "b": (1, 4, False), "c": (2, 4, False), "d": (2, 4, False)}
+    assert {(r.device_uri.rsplit("/", 1)[1], r.room_uri[-1], r.model) for r in both["devices"].collect()} == {(f"S{r}", r, f"m-S{r}") for r in "abcd"}
+    assert both["measurements"].count() == 12 and both["property_types"].count() == 4
+    assert [(r.seq, r.value) for r in both["sequences"].where("device_uri like '%Sc'").orderBy("seq").collect()] == [(1, 0.5), (2, 1.5), (3, 2.5)]
+    assert {r["name"]: r.rows for r in building.metadata(both).collect()} == {"floors": 2, "rooms": 4, "devices": 4, "measurements": 12, "property_types": 4, "sequences": 12}
+    one = building.read_building(spark, folder, [1])  # a device that no other floor read holds is on it
+    assert {r.device_uri.rsplit("/", 1)[1] for r in one["devices"].collect()} == {"Sa", "Sb", "Twice"}
+    building.write_floors(spark, folder, [1, 2], str(tmp_path / "out"))
+    loaded = building.load_floors(spark, str(tmp_path / "out"), [1, 2])
+    assert loaded["rooms"].count() == 4 and loaded["floors"].count() == 2 and loaded["devices"].where("device_uri like '%Twice'").count() == 1
+    # the sequence of the device that both floors hold by themselves is there twice, one after the other
+    twice = loaded["sequences"].where("device_uri like '%Twice'").orderBy("seq").collect()
+    assert [r.seq for r in twice] == list(range(6)) and [r.value for r in twice] == [0.5, 1.5, 2.5] * 2
+    assert sorted(r.seq for r in loaded["property_types"].collect()) == list(range(5))
+    with pytest.warns(UserWarning, match="floor_9"):
+        assert building.read_triples(spark, folder, [9]).count() == 0
+
+
+def test_recorded_tables_can_be_deleted(spark):
+    with session.recorded() as outer:
+        kept = session.stash(spark.range(3), "kept")
+        with session.recorded() as inner:
+            session.stash(spark.range(4), "gone")
+    after = session.stash(spark.range(5), "after")
+    assert len(outer) == len(inner) == 1 and outer[0] is kept
+    session.unstash(*inner)
+    assert not triples.there(spark, inner[0]._stashed) and kept.count() == 3 and after.count() == 5
+    session.unstash(*inner, kept, after)
