@@ -63,11 +63,12 @@ def clear_work(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: cuts lineage, outlives executors."""
+def stash(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder (in folders by columns, if any) and reads it back: cuts
+    lineage, outlives executors."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stashed = path
     if (held := _recorded.get()) is not None:

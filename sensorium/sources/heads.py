@@ -25,7 +25,9 @@ def store(path: str):
 
     if "://" not in path and not path.startswith("file:"):
         return fs.LocalFileSystem(), path, ""
-    where, own = fs.FileSystem.from_uri(path)
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = f"file://{path.removeprefix('file:')}"
+    where, own = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
     return where, own, path[: path.rfind(own.rstrip("/"))] if own.strip("/") else path
 
 
