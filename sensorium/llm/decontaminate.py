@@ -8,7 +8,7 @@ compared, which any window with it lies within: if 13 or more agree, they are hi
 six words on both sides are compared once, so that texts of repeated words take no longer. Word places are mapped back
 to offsets in the original text where spans are asked for.
 
-A worker holds one automaton. Benchmarks of more than MAX_WORDS words are dealt by hash into lots, each with an
+The pieces are a table in the shared folder, which workers read; a worker holds one automaton. Benchmarks of more than MAX_WORDS words are dealt by hash into lots, each with an
 automaton of its own; the corpus is still read once: each group of a partition's rows (GROUP bytes of text) meets one
 automaton after the other. Long texts of a benchmark are cut into pieces that overlap by a window less one word.
 
@@ -20,15 +20,17 @@ ignored.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sensorium.sources.heads import store
+
 from .common import WORD_TABLE, fresh, row_key, small_batches, stash
 
 WINDOW, MAX_WORDS, PIECE, GROUP = 13, 2_000_000, 4096, 1 << 25
@@ -89,18 +91,24 @@ class Patterns:
         return merged(ranges), found
 
 
-#: A name, and the lot of the benchmark that it stands for.
-Lot = tuple[str, Broadcast]
 _built: dict[str, Patterns] = {}
 
 
-def patterns(lot: Lot, size: int) -> Patterns:
-    """The automaton of a lot; the last one is kept."""
-    name, sent = lot
-    if name not in _built:
+def patterns(lot: str, size: int) -> Patterns:
+    """The automaton of a lot, the place of its pieces in the shared folder; a worker keeps the last one."""
+    if lot not in _built:
         _built.clear()
-        _built[name] = Patterns(sent.value, size)
-    return _built[name]
+        _built[lot] = Patterns(pieces_of(lot), size)
+    return _built[lot]
+
+
+def pieces_of(lot: str) -> list[tuple[bytes, list[str]]]:
+    """The pieces of a lot with the ids of their items, read from the shared folder; none if there is no such lot."""
+    where, path, _ = store(lot)
+    if not where.get_file_info(FileSelector(path, allow_not_found=True)):
+        return []
+    found = pq.read_table(path, columns=["piece", "items"], filesystem=where, partitioning=None)
+    return [*zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)]
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -119,8 +127,10 @@ def original_spans(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int,
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
-def lots(benchmark: DataFrame, item_col: str, item_text: str, size: int, most: int) -> list[Lot]:
-    """The benchmark's different pieces with the ids of their items, in lots of about `most` words."""
+def lots(benchmark: DataFrame, item_col: str, item_text: str, size: int, most: int) -> list[str]:
+    """The benchmark's different pieces with the ids of their items, written in lots of about `most` words: their places.
+
+    Workers read them there, so nothing of the benchmark passes through the driver, and lost executors lose nothing."""
     items = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[item_text].cast("binary").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,15 +146,13 @@ def lots(benchmark: DataFrame, item_col: str, item_text: str, size: int, most: i
     pieces = items.mapInArrow(cut, "item string, piece binary, n long").groupBy("piece", "n").agg(F.array_sort(F.collect_set("item")).alias("items"))
     pieces = stash(pieces, "benchmark-pieces")
     n = -(-(pieces.agg(F.sum("n")).first()[0] or 0) // most) or 1
-    sent = []
-    for k in range(n):
-        chosen = pieces.where(F.pmod(F.xxhash64("piece"), F.lit(n)) == k) if n > 1 else pieces
-        found = [(bytes(r["piece"]), r["items"]) for r in chosen.select("piece", "items").collect()]
-        sent.append((uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast(found)))
-    return sent
+    if n == 1:
+        return [pieces._stashed]
+    dealt = stash(pieces.withColumn("lot", F.pmod(F.xxhash64("piece"), F.lit(n)).cast("int")).repartition("lot"), "benchmark-lots", "lot")
+    return [f"{dealt._stashed}/lot={k}" for k in range(n)]
 
 
-def scanned(batches: Iterator[pa.RecordBatch], sent: list[Lot], size: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list, set]]]]:
+def scanned(batches: Iterator[pa.RecordBatch], sent: list[str], size: int) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list, set]]]]:
     """Batches, the text in their last column, each with (number of words, ranges, items) of its rows."""
 
     def done(group: list[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
