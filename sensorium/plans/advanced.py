@@ -8,7 +8,8 @@ from sensorium.functions import geometry
 from sensorium.operators import adjacency, assembly, concordance, entities, features, graph_tables, levels, quantiles, reports, scaling, snapshots, spectral, windows
 from sensorium.operators import calendar as cal
 from sensorium.plans import standin as t
-from sensorium.plans.queries import DIRECTED, GRID, HOURS, PAIRS, PL, SERIES, ROOMS, SPINE, W, directed, r
+from sensorium.plans import results
+from sensorium.plans.queries import CURVE, DIRECTED, GRID, HOURS, PAIRS, PL, REG, ROOMS, SERIES, SPINE, W, YP, coarse, directed, forecasts, labelled, r
 from sensorium.plans.registry import query
 
 # --- operators of graphs
@@ -120,6 +121,51 @@ def targets_scaled_together(spark, sf):
     return scaled_and_back(rows, scaling.fit_targets(rows.where("block_id < 3"), NAMES, "robust", False, ["mask_h_1", "mask_h_2"]))
 
 
+# --- reports
+BORDERS = [10.0, 100.0, 250.0]
+LABELS = {"hardcoded": (["0", "10", "100", "250"], [str(b) for b in BORDERS]), "std": (["0.0std", "0.1std", "1.0std", "3.0std"], ["0.1 * s", "1.0 * s", "3.0 * s"])}
+
+
+def label_sql(strategy: str) -> str:
+    names, borders = LABELS[strategy]
+    cases = " ".join(f"WHEN abs(y - p) < {b} THEN '({low} - {high})'" for b, low, high in zip(borders, names, names[1:], strict=False))
+    return f"sign || CASE {cases} ELSE '(> {names[-1]})' END"
+
+
+@query(f"""WITH {YP}, o AS (SELECT * FROM ok UNION ALL SELECT NULL, y, p, mean FROM ok), s AS (SELECT horizon, stddev_pop(y - p) AS s, count(*) AS c FROM o GROUP BY 1), b AS (SELECT o.horizon, y, p, s, c, unnest(CASE WHEN y - p > 1e-6 THEN ['Overall', 'Positive'] WHEN y - p < -1e-6 THEN ['Overall', 'Negative'] ELSE ['Overall'] END) AS category FROM o JOIN s ON s.horizon IS NOT DISTINCT FROM o.horizon),
+ g AS (SELECT *, CASE category WHEN 'Positive' THEN '+' WHEN 'Negative' THEN '-' ELSE '' END AS sign FROM b), t AS (SELECT 'binned' AS scope, horizon, 'hardcoded' AS strategy, category, {label_sql("hardcoded")} AS bin_label, y, p FROM g UNION ALL SELECT 'binned', horizon, 'std', category, {label_sql("std")}, y, p FROM g WHERE c > 1
+ UNION ALL SELECT CASE WHEN horizon IS NULL THEN 'overall' ELSE 'per_horizon' END, horizon, NULL, NULL, NULL, y, p FROM o) SELECT scope, horizon, strategy, category, bin_label, {REG} FROM t GROUP BY scope, horizon, strategy, category, bin_label HAVING var_pop(y) > 0""")
+def tidy_report(spark, sf):
+    return coarse(results.forecast_report(forecasts(spark, sf), BORDERS).where("n > 1"))
+
+
+@query(f"""WITH {CURVE}, f AS (SELECT p AS threshold FROM cum, tot ORDER BY 2 * tp / (tp + fp + np) DESC, p DESC LIMIT 1), c AS (SELECT threshold, count(*) FILTER (lab.p >= threshold AND y = 1) AS tp, count(*) FILTER (lab.p >= threshold AND y = 0) AS fp, count(*) FILTER (lab.p < threshold AND y = 1) AS fn, count(*) FILTER (lab.p < threshold AND y = 0) AS tn FROM lab, f GROUP BY 1),
+ a AS (SELECT *, (tp + tn) / (tp + tn + fp + fn) AS accuracy, greatest(tp + fn, tn + fp) / (tp + tn + fp + fn) AS majority FROM c), r AS (SELECT sum(neg * (tp - pos / 2)) / (max(np) * max(nn)) AS roc_auc, sum(pos * tp / (tp + fp)) / max(np) AS ap FROM cum, tot)
+ SELECT threshold, tp, fp, fn, tn, round(accuracy, 8) AS accuracy, round(majority, 8) AS majority_accuracy, round(100 * (accuracy - majority) / majority, 6) + 0.0 AS improvement, round(roc_auc, 8) AS roc_auc, round(ap, 8) AS average_precision FROM a, r""")
+def classification_scores(spark, sf):
+    out = results.classification_scores(labelled(spark, sf))
+    return out.select("threshold", "tp", "fp", "fn", "tn", "accuracy", "majority_accuracy", F.round("improvement", 6).alias("improvement"), "roc_auc", "average_precision")
+
+
+#: Trials of several studies: each device's sums of a property's readings by day.
+STUDIES = f"{PL}, trials AS (SELECT property_type AS study, CAST(device_uri AS INT) AS trial, round(sum(value), 6) AS value FROM pl WHERE CAST(timestamp AS DATE) < DATE '2024-01-09' GROUP BY 1, 2)"
+
+
+def studies(spark, sf):
+    rows = t.property_level(spark, sf).where("timestamp < timestamp_ntz '2024-01-09'")
+    return rows.groupBy(F.col("property_type").alias("study"), F.col("device_uri").cast("int").alias("trial")).agg(F.round(F.sum("value"), 6).alias("value"))
+
+
+@query(f"WITH {STUDIES} SELECT study, trial, value, min(value) OVER (PARTITION BY study ORDER BY trial) AS best FROM trials")
+def study_history(spark, sf):
+    return results.history(studies(spark, sf))
+
+
+@query(f"WITH {STUDIES} SELECT study, trial, value FROM trials QUALIFY row_number() OVER (PARTITION BY study ORDER BY value DESC, trial) = 1")
+def study_champions(spark, sf):
+    return results.champions(studies(spark, sf), minimise=False)
+
+
 # --- snapshots: readings of three groups of devices, loaded one after another
 def parts_of(rows):
     return [rows.where(F.col("device_uri").cast("long") % 3 == k) for k in (2, 0, 1)]

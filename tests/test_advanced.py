@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sensorium import session
 from sensorium.operators import adjacency, assembly, concordance, graph_tables, levels, metrics, quantiles, scaling, snapshots, spectral, splits, windows
-from sensorium.plans import advanced, forecast, search
+from sensorium.plans import advanced, forecast, results, search
 from sensorium.plans import standin as t
 from sensorium.sources import building, heads, sinks, triples
 
@@ -451,3 +451,22 @@ def test_recorded_tables_can_be_deleted(spark):
     session.unstash(*inner)
     assert not triples.there(spark, inner[0]._stashed) and kept.count() == 3 and after.count() == 5
     session.unstash(*inner, kept, after)
+
+
+def test_reports_of_tasks(spark):
+    one = spark.createDataFrame([(1, 5.0, 4.0, 4.0), (2, 9.0, 9.5, 9.0), (2, 400.0, 300.0, 100.0)], "horizon int, y double, p double, source double")
+    got = {(r.scope, r.horizon, r.strategy, r.category, r.bin_label): r.n for r in results.report("measurement_forecast", one, "CO2Level").collect()}
+    assert got[("overall", None, None, None, None)] == 3 and got[("per_horizon", 2, None, None, None)] == 2
+    assert got[("binned", 2, "hardcoded", "Positive", "+(> 250)")] == 1 == got[("binned", 2, "hardcoded", "Overall", "(0 - 10)")]
+    assert got[("binned", 1, "hardcoded", "Positive", "+(0 - 10)")] == 1 and not any(k[1] == 1 and k[2] == "std" for k in got)  # one row has no deviation
+    assert got[("binned", None, "std", "Overall", "(1.0std - 3.0std)")] == 1 and got[("binned", None, "std", "Overall", "(0.0std - 0.1std)")] == 2
+    assert {r.scope for r in results.report("consumption_forecast", one).collect()} == {"overall", "per_horizon"} == {r.scope for r in results.report("measurement_forecast", one, "Humidity").collect()}
+    labels = spark.createDataFrame([(1, 0.9), (0, 0.2), (0, 0.6), (1, 0.7), (0, 0.1)], "y int, p double")
+    best = results.report("workhour_classification", labels).first()
+    assert (best.threshold, best.accuracy, best.majority_accuracy, best.roc_auc) == (0.7, 1.0, 0.6, 1.0) and math.isclose(best.improvement, 200 / 3)
+    assert results.report("workhour_classification", labels, threshold=0.5).first().fp == 1
+    with pytest.raises(ValueError, match="gardening"):
+        results.report("gardening", one)
+    trials = spark.createDataFrame([("a", 1, 3.0), ("a", 0, 5.0), ("a", 2, 3.0), ("b", 0, None), ("b", 1, 1.0)], "study string, trial int, value double")
+    assert [(r.trial, r.best) for r in results.history(trials).where("study = 'a'").orderBy("trial").collect()] == [(0, 5.0), (1, 3.0), (2, 3.0)]
+    assert {(r.study, r.trial) for r in results.champions(trials).collect()} == {("a", 1), ("b", 1)} and results.champions(trials, minimise=False).where("study = 'a'").first().trial == 0
