@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from sensorium.session import ship, stash
 
 from .common import attach, lots
-from .pieces import BYTE, SPACE, Pieces
+from .pieces import SPACE, Pieces
 
-#: Parts that a worker remembers, and characters in them; with more the tables are emptied before the next lot of texts.
-MAX_PARTS, MAX_CHARS = 300_000, 1 << 23
+#: Parts that a worker remembers, and characters in them; with more, those met once are forgotten before the next lot.
+MAX_PARTS, MAX_CHARS = 240_000, 1 << 23
 #: Pairs that are broadcast with their counts, at most.
 HOT_PAIRS = 1 << 18
 SPACES, CUT = regex.compile(r"\s\s"), regex.compile(r"(?<=\S) (?=\S)")
@@ -85,25 +85,56 @@ class Aligner:
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
-        self.b, self.pieces = SentencePieceProcessor(model_file=b_path), Pieces(b_path)
+        self.b = SentencePieceProcessor(model_file=b_path)
         at = byte_alphabet()
         vocabulary = self.a.get_vocab(with_added_tokens=True)
         self.a_size = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for x, k in vocabulary.items():
             self.a_size[k] = len(x) if all(c in at for c in x) else len(x.encode())
-        self.b_size = np.array([1 if t == BYTE else len(p.replace(SPACE, " ").encode()) for p, t in zip(self.pieces.pieces, self.pieces.kinds, strict=True)])
+        b = self.b
+        pieces = [b.id_to_piece(k) for k in range(b.get_piece_size())]
+        self.b_size = np.array([1 if b.is_byte(k) else len(p.replace(SPACE, " ").encode()) for k, p in enumerate(pieces)])
         self.digits = np.array([str(k) for k in range(max(len(self.a_size), len(self.b_size)))], object)
         #: Characters that stand together in a piece; between others B always cuts.
-        self.together = {x + y for p in self.pieces.ids for x, y in pairwise(p)}
+        self.together = {x + y for k, p in enumerate(pieces) if not (b.is_byte(k) or b.is_control(k) or b.is_unknown(k)) for x, y in pairwise(p)}
+        #: No piece goes over a line's end, so what stands after one is encoded as it is elsewhere.
+        self.lines = not any("\n" in p for p in pieces)
+        self.line = len(b.encode("\n"))
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, tuple[int, ...]] = {}  # parts after a space: what they consist of
-        self.bare: dict[str, int] = {}  # parts of these, without a space
+        """Empty tables."""
+        self.known: dict[str, int] = {}  # parts after a space that aren't cut any more
+        self.bare: dict[str, int] = {}  # parts of parts that are, without a space
         self.said: list[str | None] = []
+        self.bad: list[int] = []  # parts without tokens
         self.held = 0  # characters of parts
         self.numbers = array("q")  # n_a, n_b, n_groups, n_links
         self.pairs, self.times, self.starts = array("q"), array("q"), array("q", [0])
+        self.used = np.zeros(0, np.int64)  # how often each part was met, halved whenever parts are forgotten
+
+    def forget(self) -> None:
+        """Keeps the parts that were met more than once, and of these not more than fill half of the tables."""
+        least = max(1, int(np.partition(self.used, -MAX_PARTS // 2)[-MAX_PARTS // 2]) if len(self.used) >= MAX_PARTS // 2 else 1)
+        keep = self.used > least
+        at = np.flatnonzero(keep)
+        now = np.cumsum(keep) - 1
+        known, bare, said = self.known, self.bare, self.said
+        starts = np.frombuffer(self.starts, np.int64)
+        sizes = (starts[1:] - starts[:-1])[at]
+        held = run_lengths(starts[at], sizes)
+        numbers, pairs, times = np.frombuffer(self.numbers, np.int64).reshape(-1, 4)[at], np.frombuffer(self.pairs, np.int64)[held], np.frombuffer(self.times, np.int64)[held]
+        used = self.used[at] // 2
+        self.clear()
+        self.known, self.bare = ({x: int(now[k]) for x, k in old.items() if keep[k]} for old in (known, bare))
+        self.held = sum(map(len, self.known)) + sum(map(len, self.bare))
+        if self.held > MAX_CHARS // 2:
+            return self.clear()
+        self.said, self.used = [said[k] for k in at], used
+        self.bad = [k for k, x in enumerate(self.said) if x is None]
+        for into, x in ((self.numbers, numbers), (self.pairs, pairs), (self.times, times), (self.starts, np.cumsum(sizes))):
+            into.frombytes(np.ascontiguousarray(x, np.int64).tobytes())
+        return None
 
     def align(self, parts: list[str], a: list[list[int]], b: list[list[int]]) -> range:
         """Keeps each part's groups as a string (None if its tokens aren't its bytes), its numbers, and the links of each pair."""
@@ -140,6 +171,7 @@ class Aligner:
         lines = iter("".join(said.tolist()).split("\n"))
         first = len(self.said)
         self.said += [next(lines) if x else None for x in good.tolist()]
+        self.bad += (np.flatnonzero(~good) + first).tolist()
         self.numbers.frombytes(numbers.tobytes())
         self.starts.frombytes(stops.tobytes())
         self.held += int(n.sum())
@@ -147,48 +179,61 @@ class Aligner:
 
     def cut(self, part: str) -> list[str]:
         """A part, cut where both tokenizers do whatever stands around: beside line ends, and between a letter and a mark."""
-        if part.isalpha() or " " in part:
+        if part.isalpha() or " " in part or not self.lines:
             return [part]
         if part[:-1].isalpha() and part[-1] in MARKS:
             return [part[:-1], part[-1]] if part[-2:] not in self.together else [part]
         at = [k for m in INNER.finditer(part) if part[(k := m.start()) - 1 : k + 1] not in self.together]
         return [part[i:j] for i, j in pairwise([0, *at, len(part)])]
 
-    def learn(self, parts: set[str]) -> None:
-        """Aligns what isn't known: first what the parts are cut into."""
+    def learn(self, parts: set[str]) -> dict[str, list[int]]:
+        """Aligns what isn't known; gives the parts that consist of others, which aren't remembered, and of which ones."""
         known, bare = self.known, self.bare
         cut = {x: self.cut(x) for x in parts if x not in known}
         first = [x for x in {p[0] for p in cut.values()} if x not in known]
         a = self.a.encode_batch_fast([" " + x for x in first], add_special_tokens=False)
-        known.update((x, (k,)) for x, k in zip(first, self.align([" " + x for x in first], [e.ids for e in a], self.b.encode(first, num_threads=1)), strict=True))
+        known.update(zip(first, self.align([" " + x for x in first], [e.ids for e in a], self.b.encode(first, num_threads=1)), strict=True))
         later = [x for x in {x for p in cut.values() if len(p) > 1 for x in p[1:]} if x not in bare]
         a = self.a.encode_batch_fast(later, add_special_tokens=False)
-        bare.update(zip(later, self.align(later, [e.ids for e in a], [self.pieces.ids_of(x) for x in later]), strict=True))
-        for x, (own, *rest) in cut.items():
-            if rest:
-                known[x] = (*known[own], *[bare[y] for y in rest])
+        b = [ids[self.line :] for ids in self.b.encode(["\n" + x for x in later], num_threads=1)]
+        bare.update(zip(later, self.align(later, [e.ids for e in a], b), strict=True))
+        return {x: [known[own], *[bare[y] for y in rest]] for x, (own, *rest) in cut.items() if rest}
+
+    def places(self, cut: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the parts that lists of parts consist of, and how many each list has; none if one has no tokens."""
+        joined = self.learn(set().union(*cut))
+        known, n = self.known, len(self.said)
+        known.update((x, n + k) for k, x in enumerate(joined))  # while the lists are looked up
+        lengths = np.fromiter(map(len, cut), np.int64, len(cut))
+        ids = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, lengths.sum())
+        for x in joined:
+            del known[x]
+        several = ids >= n
+        wide = np.ones(len(ids), np.int64)
+        members = np.fromiter(map(len, joined.values()), np.int64, len(joined))
+        wide[several] = members[ids[several] - n]
+        words = np.repeat(ids, wide)
+        words[np.repeat(several, wide)] = np.fromiter(chain.from_iterable(joined.values()), np.int64)[run_lengths((np.cumsum(members) - members)[ids[several] - n], wide[several])]
+        sizes = sums(wide, lengths)
+        if self.bad:
+            lost = sums(np.isin(words, self.bad), sizes) > 0
+            words, sizes = words[~np.repeat(lost, sizes)], np.where(lost, 0, sizes)
+        return words, sizes
 
     def texts(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of each text n_a, n_b, n_groups, n_links and groups_sha256; the pairs and links of all, and where each text's end."""
         cut = [[] if not t or SPACE in t else t.split(" ") if not SPACES.search(t) and not t[0].isspace() and not t[-1].isspace() else CUT.split(t) for t in texts]
         if len(self.known) > MAX_PARTS or self.held > MAX_CHARS:
-            self.clear()
-        self.learn(set().union(*cut))
-        get, said = self.known.__getitem__, self.said
-        places = [[*chain.from_iterable(map(get, parts))] for parts in cut]
-        shas = [""] * len(texts)
-        for k, p in enumerate(places):
-            try:
-                shas[k] = hashlib.sha256(";".join(map(said.__getitem__, p)).encode()).hexdigest() if p else ""
-            except TypeError:  # a part has no tokens
-                places[k] = []
-        sizes = np.fromiter(map(len, places), np.int64, len(places))
-        words = np.fromiter(chain.from_iterable(places), np.int64, sizes.sum())
+            self.forget()
+        words, sizes = self.places(cut)
+        said, ends = self.said, np.cumsum(sizes)
+        shas = [hashlib.sha256(";".join(map(said.__getitem__, words[b - n : b].tolist())).encode()).hexdigest() if n else "" for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
         doc = np.repeat(np.arange(len(texts)), sizes)
         numbers = np.stack([sums(x, sizes) for x in np.frombuffer(self.numbers, np.int64).reshape(-1, 4)[words].T], axis=1)
         # (text, part) with its count, then (text, pair) with its links
         some, n = np.unique(doc * max(1, len(said)) + words, return_counts=True)
         doc, words = np.divmod(some, max(1, len(said)))
+        self.used = np.append(self.used, np.zeros(len(said) - len(self.used), np.int64)) + np.bincount(words, n, len(said)).astype(np.int64)
         starts, stops = (np.frombuffer(self.starts, np.int64)[words + k] for k in (0, 1))
         held = stops - starts
         at = run_lengths(starts, held)
@@ -241,7 +286,7 @@ def pair_counts(links: DataFrame, size: int) -> DataFrame:
 
 def alignment(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_PAIRS) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row."""
-    size = len(Pieces(b_path).pieces)
+    size = len(Pieces(b_path).pieces)  # raises ValueError for models that don't cut at spaces
     rows = stash(aligned(docs, a_path, b_path, id_col, text_col), "aligned")
     counts = pair_counts(rows.select(F.explode("pairs").alias("pair")), size)
     links = rows.select("uid", F.explode(F.map_from_arrays("pairs", "times")).alias("pair", "times"))
