@@ -103,12 +103,15 @@ def patterns(lot: str, size: int) -> Patterns:
 
 
 def pieces_of(lot: str) -> list[tuple[bytes, list[str]]]:
-    """The pieces of a lot with the ids of their items, read from the shared folder; none if there is no such lot."""
+    """The pieces of a lot with the ids of their items, read from the shared folder file by file; none if there is no such lot."""
     where, path, _ = store(lot)
-    if not where.get_file_info(FileSelector(path, allow_not_found=True)):
-        return []
-    found = pq.read_table(path, columns=["piece", "items"], filesystem=where, partitioning=None)
-    return [*zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)]
+    out = []
+    for info in where.get_file_info(FileSelector(path, allow_not_found=True)):
+        if info.base_name.endswith(".parquet"):
+            with where.open_input_file(info.path) as f:
+                found = pq.ParquetFile(f).read(columns=["piece", "items"], use_threads=False)
+            out += zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True)
+    return out
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
