@@ -27,3 +27,13 @@ def running(df: DataFrame, order: Column | str, totals: dict[str, Column]) -> Da
 def numbered(df: DataFrame, order: Column | str, name: str) -> DataFrame:
     """df with dense numbers from 0 in an order in which no two rows are equal."""
     return running(df, order, {name: F.lit(1).cast("long")}).withColumn(name, F.col(name) - 1)
+
+
+def numbered_within(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """df with numbers from 0 of each key's rows in an order, whatever share of all rows a key has: rows are numbered
+    by ranges of (keys, order), and the first number of each key is subtracted, which is a join with a row for a key."""
+    placed = stash(numbered(df.withColumn("__order", F.struct(*keys, *order)), "__order", "__at").drop("__order"), "numbered")
+    same = [f"__key{k}" for k in range(len(keys))]
+    first = placed.groupBy(*keys).agg(F.min("__at").alias("__base")).select(*[F.col(c).alias(s) for c, s in zip(keys, same, strict=True)], "__base")
+    on = [F.col(c).eqNullSafe(F.col(s)) for c, s in zip(keys, same, strict=True)]
+    return placed.join(first, on).select(*df.columns, (F.col("__at") - F.col("__base")).cast("int").alias(name))

@@ -1,16 +1,18 @@
 """Snapshots of an entity store put together in the order in which they are loaded.
 
 Entities with a key are replaced by later ones; lists are unions by key, each item at its first place; sequences are
-one after another. All three stay rows: no list of a key is made in one task unless it is asked for.
+one after another. All three stay rows, numbered by ranges: no list of a key is made in one task unless it is asked for.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorium.sources.files import last_wins
 
+from .ordered import numbered_within
+
 #: How each of the store's collections is put together: by key, as list items of a key, or as sequences of a key.
 #: Items and sequences have a column `seq`, their place in the key's list.
 COLLECTIONS = {
@@ -39,17 +41,15 @@ def union_of_lists(parts: list[DataFrame], key: list[str], seq: str = "seq") ->
     Items are what the other columns say. Equal items are dropped by a hash aggregate, before anything is sorted.
     """
     items = [c for c in parts[0].columns if c not in (*key, seq)]
-    first = loaded(parts).groupBy(*key, *items).agg(F.min(F.struct("load", seq)).alias("first"))
-    order = Window.partitionBy(*key).orderBy("first", *items)
-    return first.select(*key, (F.row_number().over(order) - 1).alias(seq), *items)
+    first = loaded(parts).groupBy(*key, *items).agg(F.min(F.struct("load", seq)).alias("__first"))
+    return numbered_within(first, key, ["__first", *items], seq).select(*key, seq, *items)
 
 
 def joined_sequences(parts: list[DataFrame], key: list[str], seq: str = "seq") -> DataFrame:
     """The items of each key's sequences one part after another, equal ones too, numbered from 0."""
     rows = loaded(parts)
     items = [c for c in rows.columns if c not in (*key, seq, "load")]
-    order = Window.partitionBy(*key).orderBy("load", seq)
-    return rows.select(*key, (F.row_number().over(order) - 1).alias(seq), *items)
+    return numbered_within(rows.withColumnRenamed(seq, "__seq"), key, ["load", "__seq", *items], seq).select(*key, seq, *items)
 
 
 def merged(snapshots: list[dict[str, DataFrame]], collections: dict[str, tuple[str, list[str]]] = COLLECTIONS) -> dict[str, DataFrame]:

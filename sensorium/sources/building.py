@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sensorium.functions import geometry as g
 from sensorium.operators import entities, snapshots, windows
+from sensorium.operators.ordered import numbered_within
 
 from .files import load_snapshot, snapshot
 from .triples import graph, read_devices_of, read_floors, read_if_there
@@ -59,10 +60,7 @@ def extracted(triples: DataFrame) -> dict[str, DataFrame]:
 
 def numbered_items(types: DataFrame) -> DataFrame:
     """property_type, seq, property_uri: the properties of each type, numbered from 0 by uri."""
-    from pyspark.sql import Window
-
-    own = Window.partitionBy("property_type").orderBy("property_uri")
-    return types.select("property_type", (F.row_number().over(own) - 1).alias("seq"), "property_uri")
+    return numbered_within(types.select("property_type", "property_uri").distinct(), ["property_type"], ["property_uri"], "seq").select("property_type", "seq", "property_uri")
 
 
 def read_building(spark: SparkSession, folder: str, floors: list[int], places: str = "devices_in_rooms.ttl") -> dict[str, DataFrame]:
