@@ -53,8 +53,8 @@ def keep_least(entries: DataFrame) -> DataFrame:
             x = b.column(c)
             new[1:] |= pc.not_equal(x.slice(1), x.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
         starts = np.flatnonzero(new)
-        n = np.add.reduceat(b.column("n").to_numpy(), starts)
-        return b.take(pa.array(starts)).set_column(b.schema.get_field_index("n"), "n", pa.array(n, pa.int64()))
+        first, n = b.take(pa.array(starts)), np.add.reduceat(b.column("n").to_numpy(), starts)
+        return pa.RecordBatch.from_arrays([pa.array(n, pa.int64()) if c == "n" else first.column(c) for c in first.schema.names], schema=b.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the last entry, whose equals may go on in the next batch

@@ -38,7 +38,11 @@ def test_rounds(spark, fan_in):
     rnd = random.Random(fan_in)
     docs = spark.createDataFrame([(k if k % 9 else None, "hot" if k % 3 == 0 else f"text {rnd.randrange(60)}") for k in range(600)], "doc_id long, text string").repartition(11)
     rows = exact_dedup.digests(docs, "doc_id", "text")
-    root = exact_dedup.merged_runs(rows, fan_in)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        root = exact_dedup.merged_runs(rows, fan_in)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     want = rows.groupBy("digest", "n_bytes").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "uid")).alias("first"), F.count("*").alias("n"))
     key = lambda r: (bytes(r.digest), r.n_bytes, tuple(r["first"]), r.n)
     assert sorted(map(key, root.collect())) == sorted(map(key, want.select(*root.columns).collect()))
