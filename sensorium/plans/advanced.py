@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorium.functions import geometry
-from sensorium.operators import adjacency, assembly, concordance, entities, features, graph_tables, levels, quantiles, reports, scaling, snapshots, spectral, windows
+from sensorium.operators import adjacency, assembly, concordance, entities, features, graph_tables, levels, quantiles, reports, scaling, snapshots, spectral, splits, windows
 from sensorium.operators import calendar as cal
 from sensorium.plans import standin as t
 from sensorium.plans import results
@@ -121,6 +121,20 @@ def targets_scaled_together(spark, sf):
     return scaled_and_back(rows, scaling.fit_targets(rows.where("block_id < 3"), NAMES, "robust", False, ["mask_h_1", "mask_h_2"]))
 
 
+# --- splits
+#: What the draws of the default seed give for blocks 0 to 14 in strata of five: test blocks, each fold's
+#: validation blocks, and the last validation's.
+TEST_BLOCKS, FOLDS, LAST = [2, 9, 11], [[0, 5, 10], [3, 6, 12], [1, 7, 14], [4, 8, 13]], [1, 6, 10]
+HELD = ", ".join(f"({f}, 'validation', {b})" for f, own in [*enumerate(FOLDS), (-2, LAST)] for b in own)
+
+
+@query(f"""WITH b AS (SELECT DISTINCT CAST(o_orderkey % 15 AS INTEGER) AS block_id FROM orders), held AS (SELECT * FROM (VALUES {HELD}, {", ".join(f"(-1, 'test', {x})" for x in TEST_BLOCKS)}) v(fold, role, block_id))
+ SELECT fold, role, held.block_id FROM held JOIN b USING (block_id) UNION ALL SELECT f.fold, 'train', b.block_id FROM (SELECT DISTINCT fold FROM held) f, b WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.fold = f.fold AND h.block_id = b.block_id) AND (f.fold = -1 OR b.block_id NOT IN {tuple(TEST_BLOCKS)})""")
+def block_splits_of_orders(spark, sf):
+    blocks = [r.b for r in t.table(spark, sf, "orders").select((F.col("o_orderkey") % 15).cast("int").alias("b")).distinct().collect()]  # fifteen
+    return splits.BlockSplitter(blocks).table(spark)
+
+
 # --- reports
 BORDERS = [10.0, 100.0, 250.0]
 LABELS = {"hardcoded": (["0", "10", "100", "250"], [str(b) for b in BORDERS]), "std": (["0.0std", "0.1std", "1.0std", "3.0std"], ["0.1 * s", "1.0 * s", "3.0 * s"])}
