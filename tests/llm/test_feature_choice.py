@@ -57,5 +57,5 @@ def test_held_out_quality(spark):
     by_score = sorted(got, key=lambda r: r.score)
     n1 = sum(r.toxic for r in got)
     places = sum(k + 1 for k, r in enumerate(by_score) if r.toxic)
-    assert (places - n1 * (n1 + 1) / 2) / (n1 * (len(got) - n1)) > 0.98
+    assert (places - n1 * (n1 + 1) / 2) / (n1 * (len(got) - n1)) > 0.97
     assert all(math.isfinite(r.score) and 0 <= r.score <= 1 for r in got)
