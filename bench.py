@@ -14,7 +14,7 @@ from sensorium.session import session
 
 HEADLINE = ["device_stats", "device_grid", "room_level", "building_level", "lag_features", "moving_averages", "forecast_targets", "regression_metrics", "combined_adjacency", "scaled_features"]
 #: Timed too, but not part of the total, which stays comparable.
-MORE = ["exact_quantiles", "targets_scaled_together", "typed_nodes", "kendall_by_device"]
+MORE = ["exact_quantiles", "targets_scaled_together"]
 
 
 def shuffled(spark) -> int:
