@@ -67,6 +67,14 @@ def bounds(pts: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
+def is_box(pts: Column) -> Column:
+    """Whether a ring is the outline of its bounds: four corners, of which each and the next have one coordinate in common."""
+    c = [F.get(pts, F.lit(k)) for k in range(4)]
+    same = lambda axis, k: c[k][axis] == c[(k + 1) % 4][axis]
+    turns = lambda a, b: same(a, 0) & same(b, 1) & same(a, 2) & same(b, 3)
+    return F.coalesce((F.size(pts) == 4) & (turns("x", "y") | turns("y", "x")), F.lit(False))
+
+
 def shape(pts: Column) -> Column:
     """area, perimeter, width, height, compactness, rect_fit, aspect_ratio."""
     b, a, p = bounds(pts), area(pts), perimeter(pts)

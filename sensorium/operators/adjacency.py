@@ -13,10 +13,15 @@ from sensorium.session import ship, stash
 from .calendar import dense_index
 
 
+#: Cells are at least this wide.
+CELL = 20.0
+
+
 def sides(rooms: DataFrame, s: str) -> DataFrame:
-    """room_uri, floor_number and points of rooms with bounds, each prefixed."""
+    """room_uri, floor_number and points of rooms with bounds, and whether these are their outline, each prefixed."""
     ship(rooms.sparkSession)
-    return rooms.select(F.col("room_uri").alias(f"{s}_room"), F.col("floor_number").alias(f"{s}_floor"), F.col("points").alias(f"{s}_points"), g.bounds(F.col("points")).alias(f"{s}_box"))
+    pts = F.col("points")
+    return rooms.select(F.col("room_uri").alias(f"{s}_room"), F.col("floor_number").alias(f"{s}_floor"), pts.alias(f"{s}_points"), g.bounds(pts).alias(f"{s}_box"), g.is_box(pts).alias(f"{s}_boxed"))
 
 
 def _apart(reach: Column | float) -> Column:
@@ -25,35 +30,69 @@ def _apart(reach: Column | float) -> Column:
     return (a.x0 <= b.x1 + reach) & (b.x0 <= a.x1 + reach) & (a.y0 <= b.y1 + reach) & (b.y0 <= a.y1 + reach)
 
 
-def _cells(rooms: DataFrame, s: str, size: float, reach: float) -> DataFrame:
-    """Rooms with the grid cells (cx, cy) that their boxes touch, widened by reach."""
-    own = sides(rooms, s)
+def _box_distance() -> Column:
+    a, b, zero = F.col("a_box"), F.col("b_box"), F.lit(0.0)
+    x, y = F.greatest(zero, a.x0 - b.x1, b.x0 - a.x1), F.greatest(zero, a.y0 - b.y1, b.y0 - a.y1)
+    return F.sqrt(x * x + y * y)
+
+
+def _box_overlap() -> Column:
+    a, b, zero = F.col("a_box"), F.col("b_box"), F.lit(0.0)
+    return F.greatest(zero, F.least(a.x1, b.x1) - F.greatest(a.x0, b.x0)) * F.greatest(zero, F.least(a.y1, b.y1) - F.greatest(a.y0, b.y0))
+
+
+def _in_cells(own: DataFrame, s: str, size: float, reach: float) -> DataFrame:
+    """Sides with the grid cells (cx, cy) that their boxes touch, widened by reach."""
     at = lambda v, w: F.floor((v + w) / size)
     box = F.col(f"{s}_box")
     return own.withColumn("cx", F.explode(F.sequence(at(box.x0, -reach), at(box.x1, reach)))).withColumn("cy", F.explode(F.sequence(at(box.y0, -reach), at(box.y1, reach))))
 
 
-def near_pairs(rooms: DataFrame, reach: float, cell: float | None = None) -> DataFrame:
-    """Pairs (a before b by uri) of a floor whose boxes are within reach: an equi-join on floor and grid cell.
+def _met(a: DataFrame, b: DataFrame, size: float, reach: float) -> DataFrame:
+    """Pairs of a floor (a_floor of both) whose boxes are within reach: an equi-join on floor and grid cell.
 
-    Each pair is kept in one of its common cells only: the one with the least numbers that both touch.
+    Each pair is kept in one of its common cells only: the one with the least numbers that both touch. Files of rooms are
+    small for the work that pairs are, so that Spark would broadcast one side and leave the pairs to a task or two.
     """
-    cell = cell or max(4 * reach, 20.0)
-    a, b = _cells(rooms, "a", cell, reach), _cells(rooms, "b", cell, 0.0)
-    pairs = a.join(b.withColumnRenamed("b_floor", "a_floor"), ["a_floor", "cx", "cy"]).where((F.col("a_room") < F.col("b_room")) & _apart(reach))
-    x = F.greatest(F.floor((F.col("a_box").x0 - reach) / cell), F.floor(F.col("b_box").x0 / cell))
-    y = F.greatest(F.floor((F.col("a_box").y0 - reach) / cell), F.floor(F.col("b_box").y0 / cell))
-    return pairs.where((F.col("cx") == x) & (F.col("cy") == y)).drop("cx", "cy").withColumnRenamed("a_floor", "floor_number")
+    pairs = _in_cells(a, "a", size, reach).join(_in_cells(b, "b", size, 0.0).hint("merge"), ["a_floor", "cx", "cy"]).where(_apart(reach))
+    x = F.greatest(F.floor((F.col("a_box").x0 - reach) / size), F.floor(F.col("b_box").x0 / size))
+    y = F.greatest(F.floor((F.col("a_box").y0 - reach) / size), F.floor(F.col("b_box").y0 / size))
+    return pairs.where((F.col("cx") == x) & (F.col("cy") == y)).drop("cx", "cy")
+
+
+def near_pairs(rooms: DataFrame, reach: float, cell: float | None = None) -> DataFrame:
+    """Pairs (a before b by uri) of a floor whose boxes are within reach."""
+    a, b = sides(rooms, "a").drop("a_boxed"), sides(rooms, "b").drop("b_boxed").withColumnRenamed("b_floor", "a_floor")
+    pairs = _met(a, b, cell or max(4 * reach, CELL), reach).where("a_room < b_room")
+    return pairs.withColumnRenamed("a_floor", "floor_number")
+
+
+def _by_shape(a: DataFrame, b: DataFrame, reach: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs as _met, of boxes only (without their points), and those with another shape among them.
+
+    What two boxes have in common is an expression; only the others have to go through Arrow functions."""
+    size = max(4 * reach, CELL)
+    boxes = _met(a.where("a_boxed").drop("a_points"), b.where("b_boxed").drop("b_points"), size, reach)
+    others = _met(a.where("not a_boxed"), b, size, reach).unionByName(_met(a.where("a_boxed"), b.where("not b_boxed"), size, reach))
+    return boxes, others
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")]))
 
 
+def _both(a: Column | str, b: Column | str) -> Column:
+    """The edge of a pair in both directions, with a weight for each: (src, dst, weight) rows of one pass over pairs."""
+    edge = lambda s, d, w: F.struct(F.col(s).alias("src"), F.col(d).alias("dst"), w.alias("weight"))
+    return F.inline(F.array(edge("a_room", "b_room", a), edge("b_room", "a_room", b)))
+
+
 def horizontal_binary(rooms: DataFrame, threshold: float = 5.0) -> DataFrame:
     """src, dst, weight 1 of rooms of a floor no further apart than the threshold."""
-    near = near_pairs(rooms, threshold).where(g.polygon_distance("a_points", "b_points") <= threshold)
-    return both_ways(near.select(F.col("a_room").alias("src"), F.col("b_room").alias("dst"), F.lit(1.0).alias("weight")))
+    boxes, others = _by_shape(sides(rooms, "a"), sides(rooms, "b").withColumnRenamed("b_floor", "a_floor"), threshold)
+    near = boxes.where((_box_distance() <= threshold) & (F.col("a_room") < F.col("b_room"))).select("a_room", "b_room")
+    near = near.unionByName(others.where("a_room < b_room").where(g.polygon_distance("a_points", "b_points") <= threshold).select("a_room", "b_room"))
+    return near.select(_both(F.lit(1.0), F.lit(1.0)))
 
 
 def horizontal_weighted(rooms: DataFrame, threshold: float = 5.0, min_shared: float = 0.01, min_weight: float = 0.0) -> DataFrame:
@@ -72,14 +111,13 @@ def horizontal_weighted(rooms: DataFrame, threshold: float = 5.0, min_shared: fl
 def vertical(rooms: DataFrame, weighted: bool = False, min_overlap: float = 0.05, min_weight: float = 0.0) -> DataFrame:
     """src, dst, weight of rooms on neighbouring floors whose outlines overlap by more than min_overlap; weighted: the
     overlap's share of src's area, and min_weight (if any) for all other rooms of neighbouring floors."""
-    a, b = sides(rooms, "a"), sides(rooms, "b").withColumn("a_floor", F.col("b_floor") - 1)
-    over = a.join(b, "a_floor").where(_apart(0.0)).withColumn("overlap", g.polygon_overlap("a_points", "b_points")).where(F.col("overlap") > min_overlap)
-
-    def edge(s: str, d: str) -> DataFrame:
-        w = F.col("overlap") / g.area(F.col(f"{s}_points")) if weighted else F.lit(1.0)
-        return over.select(F.col(f"{s}_room").alias("src"), F.col(f"{d}_room").alias("dst"), w.alias("weight"))
-
-    found = edge("a", "b").unionByName(edge("b", "a"))
+    boxes, others = _by_shape(sides(rooms, "a"), sides(rooms, "b").withColumn("a_floor", F.col("b_floor") - 1).drop("b_floor"), 0.0)
+    extent = lambda s: (F.col(f"{s}_box").x1 - F.col(f"{s}_box").x0) * (F.col(f"{s}_box").y1 - F.col(f"{s}_box").y0)
+    whole = lambda s: g.area(F.col(f"{s}_points"))
+    told = lambda df, overlap, area: df.select("a_room", "b_room", overlap.alias("overlap"), area("a").alias("a_area"), area("b").alias("b_area"))
+    over = told(boxes, _box_overlap(), extent).unionByName(told(others, g.polygon_overlap("a_points", "b_points"), whole)).where(F.col("overlap") > min_overlap)
+    weights = [F.col("overlap") / F.col(f"{s}_area") if weighted else F.lit(1.0) for s in ("a", "b")]
+    found = over.select(_both(*weights))
     if not (weighted and min_weight > 0):
         return found
     # all other pairs, without their outlines: no overlap has to be computed of rooms whose boxes are apart

@@ -470,3 +470,46 @@ def test_reports_of_tasks(spark):
     trials = spark.createDataFrame([("a", 1, 3.0), ("a", 0, 5.0), ("a", 2, 3.0), ("b", 0, None), ("b", 1, 1.0)], "study string, trial int, value double")
     assert [(r.trial, r.best) for r in results.history(trials).where("study = 'a'").orderBy("trial").collect()] == [(0, 5.0), (1, 3.0), (2, 3.0)]
     assert {(r.study, r.trial) for r in results.champions(trials).collect()} == {("a", 1), ("b", 1)} and results.champions(trials, minimise=False).where("study = 'a'").first().trial == 0
+
+
+# --- rooms in cells
+def scattered(spark, n=60):
+    """Boxes and Ls of three floors."""
+    rnd = random.Random(8)
+    rows = []
+    for k in range(n):
+        x, y, w, h = rnd.randrange(60), rnd.randrange(40), rnd.randrange(3, 12), rnd.randrange(3, 9)
+        pts = [(x, y), (x + w, y), (x + w, y + h), (x, y + h)] if k % 3 else [(x, y), (x + w, y), (x + w, y + h / 2), (x + w / 2, y + h / 2), (x + w / 2, y + h), (x, y + h)]
+        rows.append((f"r{k}", rnd.randrange(3), [{"x": float(a), "y": float(b)} for a, b in pts]))
+    return spark.createDataFrame(rows, "room_uri string, floor_number int, points array<struct<x: double, y: double>>")
+
+
+def refused():
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        raise ValueError("two boxes need no Arrow function")
+
+    return run
+
+
+def test_vertical_joins_on_cells(spark, monkeypatch):
+    from sensorium.functions import geometry
+
+    rooms = scattered(spark)
+    both = {(a, b): x for (a, fa, p) in rooms.collect() for (b, fb, q) in rooms.collect() if abs(fa - fb) == 1 and (x := geometry.overlap_area(geometry.ring(p), geometry.ring(q))) > 0.05}
+    area = {r.room_uri: r.a for r in rooms.select("room_uri", geometry.area(F.col("points")).alias("a")).collect()}
+    got = {(r.src, r.dst): r.weight for r in adjacency.vertical(rooms, weighted=True).collect()}
+    assert both and got.keys() == both.keys() and all(abs(got[k] - v / area[k[0]]) < 1e-9 for k, v in both.items())
+    monkeypatch.setattr(geometry, "polygon_overlap", refused())
+    up = adjacency.vertical(rooms.where("size(points) = 4"))
+    assert up.count() and "cx" in up._jdf.queryExecution().optimizedPlan().toString()  # not all pairs of two floors
+
+
+def test_horizontal_of_boxes_is_an_expression(spark, monkeypatch):
+    from sensorium.functions import geometry
+
+    rooms = scattered(spark)
+    near = {(a, b) for (a, fa, p) in rooms.collect() for (b, fb, q) in rooms.collect() if a != b and fa == fb and geometry.ring_distance(geometry.ring(p), geometry.ring(q)) <= 5}
+    assert near and {(r.src, r.dst) for r in adjacency.horizontal_binary(rooms).collect()} == near
+    monkeypatch.setattr(geometry, "polygon_distance", refused())
+    assert adjacency.horizontal_binary(rooms.where("size(points) = 4")).count()
