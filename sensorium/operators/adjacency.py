@@ -171,6 +171,44 @@ def propagation(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -
         known = known.unionByName(front)
 
 
+def reached(rooms: DataFrame, seeds: DataFrame, rounds: int | None = None, threshold: float = 5.0, min_overlap: float = 0.05) -> DataFrame:
+    """room_uri, activation_step as propagation gives them over the edges of horizontal_binary and vertical, without
+    making these edges, of which there are as many as pairs of near rooms.
+
+    A round looks for any room of the last step near each unknown one: a semi-join on floor and cell, which ends at the
+    first one found.
+    """
+    size = max(4 * threshold, CELL)
+    held = stash(sides(rooms, "a"), "outlines")
+    only_boxes = held.where("not a_boxed").isEmpty()
+    front = stash(seeds.select("room_uri").distinct().withColumn("activation_step", F.lit(0)), "round")
+    known = front
+    near = F.when(F.col("own"), _box_distance() <= threshold).otherwise(_box_overlap() > min_overlap)
+    for k in count(1):
+        if rounds is not None and k > rounds:
+            return known
+        left = held.join(known.select(F.col("room_uri").alias("a_room")), "a_room", "left_anti")
+        at = held.join(front.select(F.col("room_uri").alias("a_room")), "a_room", "left_semi")
+        at = at.select(*[F.col(c).alias(c.replace("a_", "b_", 1)) for c in at.columns], F.explode(F.array(*[F.lit(up) for up in (-1, 0, 1)])).alias("up"))
+        at = at.select("b_room", "b_points", "b_box", "b_boxed", (F.col("b_floor") + F.col("up")).alias("a_floor"), (F.col("up") == 0).alias("own"))
+        cells = ["a_floor", "cx", "cy"]
+        boxes = _in_cells(left.where("a_boxed").drop("a_points"), "a", size, threshold).alias("a")
+        fronts = _in_cells(at.where("b_boxed").select("a_floor", "b_box", "own"), "b", size, 0.0).select(*[F.col(c).alias(f"b_{c}") for c in cells], "b_box", "own")
+        on = near
+        for c in cells:
+            on = (F.col(c) == F.col(f"b_{c}")) & on
+        new = boxes.join(fronts.hint("merge"), on, "left_semi").select(F.col("a_room").alias("room_uri"))
+        if not only_boxes:
+            others = _met(left.where("not a_boxed"), at, size, threshold).unionByName(_met(left.where("a_boxed"), at.where("not b_boxed"), size, threshold))
+            across = others.where(F.col("own")).where(g.polygon_distance("a_points", "b_points") <= threshold)
+            up = others.where(~F.col("own") & _apart(0.0)).where(g.polygon_overlap("a_points", "b_points") > min_overlap)
+            new = new.unionByName(across.unionByName(up).select(F.col("a_room").alias("room_uri")))
+        front = stash(new.distinct().withColumn("activation_step", F.lit(k)), "round")
+        if front.isEmpty():
+            return known
+        known = known.unionByName(front)
+
+
 def bundle(rooms: DataFrame, mode: str = "binary", kind: str = "combined", seeds: DataFrame | None = None, outside_node: bool = False) -> dict[str, DataFrame]:
     """All adjacency of rooms by mode (binary or weighted) and kind (horizontal, vertical or combined).
 

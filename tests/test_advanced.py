@@ -513,3 +513,16 @@ def test_horizontal_of_boxes_is_an_expression(spark, monkeypatch):
     assert near and {(r.src, r.dst) for r in adjacency.horizontal_binary(rooms).collect()} == near
     monkeypatch.setattr(geometry, "polygon_distance", refused())
     assert adjacency.horizontal_binary(rooms.where("size(points) = 4")).count()
+
+
+def test_reached_makes_no_edges(spark, monkeypatch):
+    rooms = scattered(spark)
+    seeds = rooms.where("room_uri in ('r0', 'r31')")
+    edges = adjacency.combined(adjacency.horizontal_binary(rooms), adjacency.vertical(rooms))
+    for rounds in (1, 3, None):
+        plain = {r.room_uri: r.activation_step for r in adjacency.propagation(edges, seeds, rounds).collect()}
+        assert {r.room_uri: r.activation_step for r in adjacency.reached(rooms, seeds, rounds).collect()} == plain
+    assert max(plain.values()) > 2
+    monkeypatch.setattr(adjacency, "horizontal_binary", None)
+    monkeypatch.setattr(adjacency, "vertical", None)
+    assert advanced.many_rooms_reached(spark, "/root/testdata/sf0.01").count() == 35
