@@ -78,15 +78,18 @@ def std_binned(df: DataFrame, multiples: list[float] = STD_BINS) -> DataFrame:
     return rows.groupBy("category", "bin_label").agg(*regression())
 
 
-def confusion(df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """tp, fp, fn, tn, accuracy, balanced accuracy, precision, recall and f1 of labels y and scores p; x / 0 is 0."""
+def confusion(df: DataFrame, threshold: float = 0.5, strict: bool = False) -> DataFrame:
+    """tp, fp, fn, tn, accuracy, balanced accuracy, precision, recall and f1 of labels y and scores p.
+
+    Scores that would be 0 / 0 are 0; strict: NaN, and NULL without any rows, as SQL has them."""
     hit, y = F.col("p") >= threshold, F.col("y") == 1
     n = lambda c: F.sum(c.cast("long"))
     d = df.agg(n(hit & y).alias("tp"), n(hit & ~y).alias("fp"), n(~hit & y).alias("fn"), n(~hit & ~y).alias("tn"))
-    part = lambda a, b: F.coalesce(F.col(a) / F.nullif(F.col(a) + F.col(b), F.lit(0)), F.lit(0.0))
-    d = d.withColumns({"accuracy": (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")), "precision": part("tp", "fp"), "recall": part("tp", "fn"), "specificity": part("tn", "fp")})
-    both = F.col("precision") + F.col("recall")
-    return d.withColumns({"balanced_accuracy": (F.col("recall") + F.col("specificity")) / 2, "f1": F.coalesce(2 * F.col("precision") * F.col("recall") / F.nullif(both, F.lit(0.0)), F.lit(0.0))})
+    part = lambda a, b: F.when(b == 0, F.lit(float("nan") if strict else 0.0)).otherwise(a / F.nullif(b, F.lit(0)))
+    known = lambda c: c if strict else F.coalesce(c, F.lit(0.0))
+    of = lambda a, b: known(part(F.col(a), F.col(a) + F.col(b)))
+    d = d.withColumns({"accuracy": (F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")), "precision": of("tp", "fp"), "recall": of("tp", "fn"), "specificity": of("tn", "fp")})
+    return d.withColumns({"balanced_accuracy": (F.col("recall") + F.col("specificity")) / 2, "f1": known(part(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))})
 
 
 def curve(df: DataFrame) -> DataFrame:
@@ -95,16 +98,22 @@ def curve(df: DataFrame) -> DataFrame:
     return running(per, F.desc("p"), {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
-def ranking(df: DataFrame) -> DataFrame:
-    """roc_auc and average_precision (0.5 each if there is one class only)."""
+def ranking(df: DataFrame, strict: bool = False) -> DataFrame:
+    """roc_auc and average_precision (0.5 each if there is one class only; strict: NaN where they are 0 / 0, which
+    average_precision is without positives, and NULL without any rows)."""
     c = curve(df)
     total = df.agg(F.sum((F.col("y") == 1).cast("long")).alias("np"), F.sum((F.col("y") != 1).cast("long")).alias("nn"))
     rows = c.crossJoin(F.broadcast(total))  # one row
     area = F.sum(F.col("neg") * (F.col("tp") - F.col("pos") / 2))
     ap = F.sum(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp")))
-    out = rows.groupBy("np", "nn").agg(area.alias("area"), ap.alias("ap"))
-    one = (F.col("np") == 0) | (F.col("nn") == 0)
-    return out.select(F.when(one, 0.5).otherwise(F.col("area") / F.nullif(F.col("np") * F.col("nn"), F.lit(0))).alias("roc_auc"), F.when(one, 0.5).otherwise(F.col("ap") / F.nullif(F.col("np"), F.lit(0))).alias("average_precision"))
+    if strict:
+        out = rows.agg(F.max("np").alias("np"), F.max("nn").alias("nn"), area.alias("area"), ap.alias("ap"))
+        no_area, no_ap, other = (F.col("np") == 0) | (F.col("nn") == 0), F.col("np") == 0, F.lit(float("nan"))
+    else:
+        out = rows.groupBy("np", "nn").agg(area.alias("area"), ap.alias("ap"))
+        no_area = no_ap = (F.col("np") == 0) | (F.col("nn") == 0)
+        other = F.lit(0.5)
+    return out.select(F.when(no_area, other).otherwise(F.col("area") / F.nullif(F.col("np") * F.col("nn"), F.lit(0))).alias("roc_auc"), F.when(no_ap, other).otherwise(F.col("ap") / F.nullif(F.col("np"), F.lit(0))).alias("average_precision"))
 
 
 def best_f1(df: DataFrame) -> DataFrame:

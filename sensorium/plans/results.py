@@ -52,15 +52,16 @@ def forecast_report(rows: DataFrame, borders: list[float] | None = None) -> Data
     return sinks.metric_report(parts)
 
 
-def classification_scores(rows: DataFrame, threshold: float | None = None) -> DataFrame:
+def classification_scores(rows: DataFrame, threshold: float | None = None, strict: bool = False) -> DataFrame:
     """One row: confusion counts and scores at a threshold (by default the one with the best f1), roc_auc,
-    average_precision, the majority's accuracy, and the improvement over it in percent. rows: y (0 or 1), p."""
+    average_precision, the majority's accuracy, and the improvement over it in percent. rows: y (0 or 1), p. strict is
+    that of metrics.confusion and metrics.ranking."""
     if threshold is None:
         best = metrics.best_f1(rows).first()
         threshold = 0.5 if best is None or best.threshold is None else float(best.threshold)
-    scores = sinks.classification_report(metrics.confusion(rows, threshold)).withColumn("threshold", F.lit(threshold))
+    scores = sinks.classification_report(metrics.confusion(rows, threshold, strict)).withColumn("threshold", F.lit(threshold))
     gain = 100 * (F.col("accuracy") - F.col("majority_accuracy")) / F.nullif(F.col("majority_accuracy"), F.lit(0.0))
-    return scores.withColumn("improvement", gain).crossJoin(F.broadcast(metrics.ranking(rows)))
+    return scores.withColumn("improvement", gain).crossJoin(F.broadcast(metrics.ranking(rows, strict)))
 
 
 def report(task: str, rows: DataFrame, variable: str | None = None, threshold: float | None = None) -> DataFrame:

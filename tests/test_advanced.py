@@ -526,3 +526,21 @@ def test_reached_makes_no_edges(spark, monkeypatch):
     monkeypatch.setattr(adjacency, "horizontal_binary", None)
     monkeypatch.setattr(adjacency, "vertical", None)
     assert advanced.many_rooms_reached(spark, "/root/testdata/sf0.01").count() == 35
+
+
+# --- labels of one class
+@pytest.mark.parametrize("name", ["classification_metrics", "ranking_metrics", "classification_scores"])
+@pytest.mark.parametrize("value", [500.0, 1.0])
+def test_scores_of_one_class_as_in_sql(spark, tmp_path, name, value):
+    import duckdb
+
+    from sensorium.plans.registry import QUERIES, SQL
+
+    path = f"{tmp_path}/events.parquet"
+    duck = duckdb.connect()
+    duck.execute(f"COPY (SELECT TIMESTAMP '2024-01-01' + INTERVAL 6 HOUR * i AS ts, u AS user_id, 'click' AS event_type, {value} + i AS value FROM range(12) r(i), range(3) s(u)) TO '{path}'")
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    got, want = QUERIES[name](spark, str(tmp_path)).first().asDict(), duck.execute(SQL[name]).fetchall()[0]
+    names = [c[0] for c in duck.description]
+    assert any(isinstance(v, float) and math.isnan(v) for v in want)
+    assert [repr(float(got[n])) for n in names] == [repr(float(v)) for v in want]
