@@ -106,8 +106,13 @@ def property_level(spark: SparkSession, sf: str) -> DataFrame:
     return levels.property_level(measurements(spark, sf), properties(spark), CALENDAR, PROPERTIES)
 
 
+def device_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of device_level that have readings."""
+    return levels.device_stats(property_level(spark, sf), CALENDAR)
+
+
 def device_level(spark: SparkSession, sf: str) -> DataFrame:
-    return levels.device_grid(levels.device_stats(property_level(spark, sf), CALENDAR), spine(spark))
+    return levels.device_grid(device_stats(spark, sf), spine(spark))
 
 
 def room_level(spark: SparkSession, sf: str, simple: bool = False) -> DataFrame:

@@ -544,3 +544,10 @@ def test_scores_of_one_class_as_in_sql(spark, tmp_path, name, value):
     names = [c[0] for c in duck.description]
     assert any(isinstance(v, float) and math.isnan(v) for v in want)
     assert [repr(float(got[n])) for n in names] == [repr(float(v)) for v in want]
+
+
+@pytest.mark.parametrize("name", ["kendall_by_device", "kendall_by_bucket"])
+def test_ranks_need_no_grid(spark, monkeypatch, name):
+    whole = getattr(advanced, name)(spark, SF).collect()
+    monkeypatch.setattr(levels, "device_grid", None)
+    assert getattr(advanced, name)(spark, SF).collect() == whole
