@@ -96,19 +96,25 @@ def static_nodes(typed: dict[str, DataFrame], rooms: DataFrame, cols: list[str])
     return room.unionByName(typed["device"].select("node_type", "node_idx", numbers(["node_idx"])))
 
 
-def temporal_nodes(typed: dict[str, DataFrame], spine: DataFrame, device_level: DataFrame, weather: DataFrame, time_features: DataFrame, cols: list[str]) -> DataFrame:
+def temporal_nodes(typed: dict[str, DataFrame], spine: DataFrame, device_level: DataFrame, weather: DataFrame, time_features: DataFrame, cols: list[str], absent: dict[str, float] | None = None) -> DataFrame:
     """bucket_idx, node_type, node_idx, x of nodes that change, with a row for each node and bucket.
 
     Property nodes have cols of the device level, outside the weather's columns and time the time features'; what isn't
-    known in a bucket is NULL, so that all types are aligned on the same buckets and on their nodes' order.
+    known in a bucket is NULL (of property nodes, what absent says), so that all types are aligned on the same buckets
+    and on their nodes' order. The device level may leave out buckets without readings.
     """
     buckets = F.broadcast(spine.select("bucket_idx"))
     props = [df for name, df in typed.items() if name.startswith("prop_")]
     out = None
     if props:
-        every = reduce(DataFrame.unionByName, props).crossJoin(buckets)
-        level = device_level.select(F.concat(F.lit("prop_"), "property_type").alias("node_type"), F.col("device_uri").alias("key"), "bucket_idx", *cols)
-        out = every.join(level, ["node_type", "key", "bucket_idx"], "left").select("bucket_idx", "node_type", "node_idx", numbers(cols))
+        types = [name.removeprefix("prop_") for name in typed if name.startswith("prop_")]
+        nodes = reduce(DataFrame.unionByName, props)
+        level = device_level.where(F.col("property_type").isin(types)).select(F.concat(F.lit("prop_"), "property_type").alias("node_type"), F.col("device_uri").alias("key"), "bucket_idx", *cols)
+        numbered = level.join(nodes, ["node_type", "key"]).drop("key")  # before the grid, which then goes by numbers
+        every = nodes.drop("key").crossJoin(buckets)
+        filled = every.join(numbered, ["node_type", "node_idx", "bucket_idx"], "left")
+        filled = filled.fillna(absent) if absent else filled
+        out = filled.select("bucket_idx", "node_type", "node_idx", numbers(cols))
     for name, values in (("outside", weather), ("time", time_features)):
         own = [c for c in values.columns if c != "bucket_idx"]
         one = spine.select("bucket_idx").join(values, "bucket_idx", "left").select("bucket_idx", F.lit(name).alias("node_type"), F.lit(0).alias("node_idx"), numbers(own))
@@ -143,7 +149,7 @@ def typed_edges(typed: dict[str, DataFrame], nodes: dict[str, DataFrame], horizo
     return reduce(DataFrame.unionByName, out)
 
 
-def export_bundle(rooms: DataFrame, static: DataFrame, devices: DataFrame, device_level: DataFrame, properties: list[str], spine: DataFrame, weather: DataFrame, time_features: DataFrame, horizontal: DataFrame, vertical: DataFrame, outside: DataFrame, cols: list[str] = ("mean", "has_measurement")) -> tuple[dict[str, DataFrame], dict]:
+def export_bundle(rooms: DataFrame, static: DataFrame, devices: DataFrame, device_level: DataFrame, properties: list[str], spine: DataFrame, weather: DataFrame, time_features: DataFrame, horizontal: DataFrame, vertical: DataFrame, outside: DataFrame, cols: list[str] = ("mean", "has_measurement"), absent: dict[str, float] | None = None) -> tuple[dict[str, DataFrame], dict]:
     """All that a trainer of the typed graph reads: frames, and settings (feature names, which are unique over property
     types, property types). sinks.write_metadata writes both, sinks.read_metadata reads them.
 
@@ -153,7 +159,7 @@ def export_bundle(rooms: DataFrame, static: DataFrame, devices: DataFrame, devic
     nodes = node_maps(rooms, devices, device_level)
     typed = type_numbers(nodes, properties)
     own = [c for c in static.columns if c != "room_uri"]
-    temporal = temporal_nodes(typed, spine, device_level, weather, time_features, list(cols))
+    temporal = temporal_nodes(typed, spine, device_level, weather, time_features, list(cols), absent)
     frames = {
         "mappings": reduce(DataFrame.unionByName, typed.values()),
         "static": static_nodes(typed, static, own),

@@ -551,3 +551,10 @@ def test_ranks_need_no_grid(spark, monkeypatch, name):
     whole = getattr(advanced, name)(spark, SF).collect()
     monkeypatch.setattr(levels, "device_grid", None)
     assert getattr(advanced, name)(spark, SF).collect() == whole
+
+
+def test_typed_nodes_need_no_grid(spark, monkeypatch):
+    monkeypatch.setattr(levels, "device_grid", None)
+    rows = advanced.typed_nodes(spark, SF).where("node_type like 'prop%'").collect()
+    assert len(rows) == len({(r.bucket_idx, r.node_type, r.node_idx) for r in rows}) and {r.x1 for r in rows} == {0.0, 1.0}
+    assert all((r.x0 is None) == (r.x1 == 0) for r in rows)
