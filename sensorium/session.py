@@ -76,6 +76,30 @@ def stash(df: DataFrame, name: str, *by: str) -> DataFrame:
     return out
 
 
+def stash_bucketed(df: DataFrame, name: str, buckets: int, by: str) -> DataFrame:
+    """As stash, but in buckets by a column: joins and sums by it (and others) on the table need no shuffle."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{table}"
+    df.write.bucketBy(buckets, by).option("path", path).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out._stashed, out._table = path, table
+    if (held := _recorded.get()) is not None:
+        held.append(out)
+    return out
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting that holds meanwhile."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 _recorded: ContextVar[list[DataFrame] | None] = ContextVar("recorded", default=None)
 
 
@@ -91,7 +115,10 @@ def recorded() -> Iterator[list[DataFrame]]:
 
 
 def unstash(*frames: DataFrame) -> None:
-    """Deletes the tables of frames that stash returned; whatever reads them must have been written before."""
+    """Deletes the tables of frames that stash or stash_bucketed returned; whatever reads them must have been written
+    before."""
     for df in frames:
+        if table := getattr(df, "_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stashed)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

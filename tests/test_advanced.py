@@ -71,6 +71,51 @@ def test_largest_singular_value_and_chebyshev(spark, graph):
         spectral.normalised_operator(edges, "sym_lap", nodes)
 
 
+def shuffled_rows(spark):
+    """Rows that all stages so far have written for shuffles."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_power_iteration_shuffles_nodes_only(spark):
+    many = spark.range(8000).select(F.concat(F.lit("u"), F.col("id") % 20).alias("src"), F.concat(F.lit("p"), (F.col("id") / 20).cast("long")).alias("dst"), (F.col("id") % 13 + 1.0).alias("weight"))
+    counts, values = [], []
+    with session.setting(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        for rounds in (2, 5):
+            before = shuffled_rows(spark)
+            values.append(spectral.largest_singular_value(many, tolerance=0.0, rounds=rounds)[0])
+            counts.append(shuffled_rows(spark) - before)
+    # a round: 20 sums of each cell, there and back, and a few sums of sums; the edges would be 16,000
+    assert counts[1] - counts[0] < 3 * (2 * 20 * spark.sparkContext.defaultParallelism + 40)
+    matrix = np.array([(k % 13) + 1.0 for k in range(8000)]).reshape(400, 20)
+    assert math.isclose(values[1], np.linalg.norm(matrix, 2), rel_tol=1e-6)
+    assert not [x for x in spark.catalog.listTables() if x.name.startswith(("cells_", "vector_"))]
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+
+
+def test_power_iteration_without_names(spark):
+    """Nodes without a name get products, but are joined with nothing, as in SQL; edges given twice are added up."""
+    rows = [("a", "x", 2.0), ("a", "x", 1.0), (None, "x", 4.0), ("b", "y", 5.0), ("b", None, 7.0), ("a", "y", None), ("b", "x", 0.5)]
+    edges = spark.createDataFrame(rows, "src string, dst string, weight double")
+    start = spark.createDataFrame([("x", 1.0), ("y", 2.0), ("z", 3.0)], "node string, x double")
+    m, lost, x = np.array([[3.0, 0.0], [0.5, 5.0]]), np.array([4.0, 0.0]), np.array([1.0, 2.0])
+    size = math.sqrt(14.0)
+    for rounds in (1, 2, 3):
+        y = m @ x
+        want = math.sqrt(y @ y + (lost @ x) ** 2) / size
+        assert math.isclose(spectral.largest_singular_value(edges, start, 0.0, rounds)[0], want, rel_tol=1e-12)
+        x = m.T @ y
+        size = math.sqrt(x @ x + (7.0 * y[1]) ** 2)
+
+
+def test_cells_have_partitions_of_their_own(spark):
+    for n in (1, 7, 40):
+        numbers = spectral.cell_numbers(spark, n)
+        rows = spark.createDataFrame([(k,) for k in numbers], "cell long").repartition(n, "cell").select(F.spark_partition_id()).collect()
+        assert sorted(r[0] for r in rows) == list(range(n))
+
+
 def test_quantiles(spark):
     rnd = random.Random(2)
     # a third of the values are equal
