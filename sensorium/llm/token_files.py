@@ -22,6 +22,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ from .common import small_batches
 SEGMENT, RANK_BITS, END_ID = 1 << 16, 512, 2
 #: Words remembered by a worker, of so many characters at most; then the tables are emptied.
 MAX_WORDS, MAX_CHARS = 800_000, 64
+#: New words that are encoded as one text.
+JOINED = 256
 SPACES, CUT = regex.compile(r"\s\s"), regex.compile(r"(?<=\S) (?=\S)")
 
 
@@ -49,7 +52,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.marks = {x: np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ".,;:!?"}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a space
+        self.begins[[i for x, i in vocabulary.items() if x.startswith("\u0120")]] = True
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
@@ -65,24 +70,45 @@ class Encoder:
         if len(later) + len(first) > MAX_WORDS:
             first.clear()
             later.clear()
-        long: list[tuple[dict[str, bytes], str]] = []  # words that aren't kept
-        for known, found, lead in ((first, {p[0] for p in parts}, ""), (later, {w for p in parts for w in p[1:]}, " ")):
-            # letters and a mark after them are never one token, so the letters are encoded once for all marks
-            cut = {x: x[:-1] if x[-1:] in self.marks and x[:-1].isalpha() else x for x in found if x not in known}
-            new = [x for x in set(cut.values()) if x not in known]
-            if new:
-                for x, e in zip(new, self.tokenizer.encode_batch_fast([lead + x for x in new], add_special_tokens=False), strict=True):
-                    known[x] = np.array(e.ids, "<u4").tobytes()
-            for x, letters in cut.items():
-                if x not in known:
-                    known[x] = known[letters] + self.marks[x[-1]]
-            long += [(known, x) for x in {*cut, *cut.values()} if len(x) > MAX_CHARS]
+        rests = [p[1:] for p in parts]
+        new = set(filterfalse(first.__contains__, [p[0] for p in parts]))
+        first.update(zip(new, self.single(list(new)), strict=True))
+        long = [(first, x) for x in new if len(x) > MAX_CHARS]  # words that aren't kept
+        new = set(filterfalse(later.__contains__, chain.from_iterable(rests)))
+        later.update(self.words(list(new)))
+        long += [(later, x) for x in new if len(x) > MAX_CHARS]
         get = later.__getitem__
-        out = [np.frombuffer(first[p[0]] + b"".join(map(get, p[1:])), "<u4") for p in parts]
+        out = [np.frombuffer(first[p[0]] + b"".join(map(get, r)), "<u4") for p, r in zip(parts, rests, strict=True)]
         for known, x in long:
             del known[x]
         return out
 
+    def single(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as bytes of u32."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
+        """Each word with its ids after a space. Words are encoded as one text: a word's first token, and no other,
+        begins with the space. Those at the end of a text may end with other white space, and go alone, as do all
+        words if their text has an added token or another number of beginnings."""
+        alone = [x for x in new if x[-1:].isspace() or " " in x]
+        if alone:
+            apart = set(alone)
+            new = [x for x in new if x not in apart]
+        for k in range(0, len(new), JOINED):
+            some = new[k : k + JOINED]
+            text = f" {' '.join(some)}"
+            if not any(x in text for x in self.added):
+                ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+                starts = np.flatnonzero(self.begins[ids])
+                if len(starts) == len(some) and starts[0] == 0:
+                    whole, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+                    yield from zip(some, (whole[a:e] for a, e in pairwise(cuts)), strict=True)
+                    continue
+            alone += some
+        if alone:
+            yield from zip(alone, self.single([f" {x}" for x in alone]), strict=True)
+
 
 _encoders: dict[str, Encoder] = {}
 
