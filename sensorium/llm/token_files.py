@@ -19,10 +19,12 @@ hash of the text. A document's ids never span two segments. Other columns are ig
 from __future__ import annotations
 
 import os
+import string
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse, pairwise
+from itertools import accumulate, compress, filterfalse, pairwise
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +43,15 @@ MAX_WORDS, MAX_CHARS = 800_000, 64
 #: New words that are encoded as one text.
 JOINED = 256
 SPACES, CUT = regex.compile(r"\s\s"), regex.compile(r"(?<=\S) (?=\S)")
+#: A run of these after one of the letters and digits up to LATER (of scripts that Unicode has long had) is a token's start.
+MARKS, LATER = string.punctuation, "\u0482"
 
 
 class Encoder:
-    """Encodes whole texts; words between single spaces, which the tokenizer never joins, are remembered."""
+    """Encodes whole texts; words between single spaces or line ends, which the tokenizer never joins, are remembered.
+
+    A word that follows a line end is kept with the line end before it. No other word begins with white space.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -53,10 +60,13 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with a space
-        self.begins[[i for x, i in vocabulary.items() if x.startswith("\u0120")]] = True
+        self.begins = {}  # of ids, whether their bytes begin with a space, or with a line end
+        for mark, code in ((" ", "\u0120"), ("\n", "\u010a")):
+            self.begins[mark] = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.begins[mark][[i for x, i in vocabulary.items() if x.startswith(code)]] = True
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, as u32. Texts in which an added token stands are encoded as they are."""
@@ -65,20 +75,24 @@ class Encoder:
             out = dict(zip(held, (np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast([texts[k] for k in held], add_special_tokens=False)), strict=True))
             rest = iter(self.batch([t for k, t in enumerate(texts) if k not in out]))
             return [out[k] if k in out else next(rest) for k in range(len(texts))]
-        parts = [t.split(" ") if not SPACES.search(t) and not t[:1].isspace() and not t[-1:].isspace() else CUT.split(t) for t in texts]
+        parts = [t.replace("\n", " \n").split(" ") if not SPACES.search(t) and not t[:1].isspace() and not t[-1:].isspace() else CUT.split(t) for t in texts]
         first, later = self.first, self.later
         if len(later) + len(first) > MAX_WORDS:
-            first.clear()
-            later.clear()
-        rests = [p[1:] for p in parts]
+            for known in (first, later, self.tails):
+                known.clear()
         new = set(filterfalse(first.__contains__, [p[0] for p in parts]))
         first.update(zip(new, self.single(list(new)), strict=True))
         long = [(first, x) for x in new if len(x) > MAX_CHARS]  # words that aren't kept
-        new = set(filterfalse(later.__contains__, chain.from_iterable(rests)))
-        later.update(self.words(list(new)))
+        words = [x for p in parts for x in p[1:]]
+        found = list(map(later.get, words))
+        holes = list(compress(range(len(words)), map(not_, found)))
+        new = {words[k] for k in holes}
+        self.learn(new)
+        for k in holes:
+            found[k] = later[words[k]]
         long += [(later, x) for x in new if len(x) > MAX_CHARS]
-        get = later.__getitem__
-        out = [np.frombuffer(first[p[0]] + b"".join(map(get, r)), "<u4") for p, r in zip(parts, rests, strict=True)]
+        ends = list(accumulate((len(p) - 1 for p in parts), initial=0))
+        out = [np.frombuffer(first[p[0]] + b"".join(found[a:e]), "<u4") for p, (a, e) in zip(parts, pairwise(ends), strict=True)]
         for known, x in long:
             del known[x]
         return out
@@ -87,27 +101,43 @@ class Encoder:
         """The ids of each text, as bytes of u32."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def words(self, new: list[str]) -> Iterator[tuple[str, bytes]]:
-        """Each word with its ids after a space. Words are encoded as one text: a word's first token, and no other,
-        begins with the space. Those at the end of a text may end with other white space, and go alone, as do all
-        words if their text has an added token or another number of beginnings."""
+    def learn(self, new: set[str]) -> None:
+        """Remembers the ids of new words, each after its space or with its line end. Marks at a word's end are tokens
+        of their own, so that such words are put together of what stands before the marks, and these."""
+        later, tails, bases = self.later, self.tails, {}
+        for x in new:
+            base = x.rstrip(MARKS)
+            if base and len(base) < len(x) <= MAX_CHARS and base[-1] < LATER and base[-1].isalnum():
+                bases[x] = base
+        whole = [x for x in new if x not in bases]
+        whole += set(filterfalse(new.__contains__, filterfalse(later.__contains__, bases.values())))
+        ends = list({t for x, base in bases.items() if (t := x[len(base) :]) not in tails})
+        tails.update(zip(ends, self.single(ends), strict=True))
+        later.update(self.words([x for x in whole if x[:1] != "\n"], " "))
+        later.update(self.words([x for x in whole if x[:1] == "\n"], "\n"))
+        later.update((x, later[base] + tails[x[len(base) :]]) for x, base in bases.items())
+
+    def words(self, new: list[str], mark: str) -> Iterator[tuple[str, bytes]]:
+        """Each word with its ids after a space, or with its line end. Words are encoded as one text: a word's first
+        token, and no other, begins with the mark. Those at the end of a text may end with other white space, and go
+        alone, as do all words if their text has an added token or another number of beginnings."""
         alone = [x for x in new if x[-1:].isspace() or " " in x]
         if alone:
             apart = set(alone)
             new = [x for x in new if x not in apart]
         for k in range(0, len(new), JOINED):
             some = new[k : k + JOINED]
-            text = f" {' '.join(some)}"
+            text = "".join(some) if mark == "\n" else f" {' '.join(some)}"
             if not any(x in text for x in self.added):
                 ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-                starts = np.flatnonzero(self.begins[ids])
+                starts = np.flatnonzero(self.begins[mark][ids])
                 if len(starts) == len(some) and starts[0] == 0:
                     whole, cuts = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
                     yield from zip(some, (whole[a:e] for a, e in pairwise(cuts)), strict=True)
                     continue
             alone += some
         if alone:
-            yield from zip(alone, self.single([f" {x}" for x in alone]), strict=True)
+            yield from zip(alone, self.single(alone if mark == "\n" else [f" {x}" for x in alone]), strict=True)
 
 
 _encoders: dict[str, Encoder] = {}

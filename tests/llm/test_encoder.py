@@ -48,3 +48,30 @@ def test_words_that_cannot_be_joined():
     assert [x.tolist() for x in enc.batch(texts)] == ids(texts)
     assert [x.tolist() for x in enc.batch(texts)] == ids(texts)  # remembered
     assert max(map(len, (*enc.first, *enc.later))) <= token_files.MAX_CHARS
+
+
+class Letters(Counting):
+    def encode_batch_fast(self, texts, **kw):
+        self.texts += sum(x.isalpha() for t in texts for x in t)
+        return self.inner.encode_batch_fast(texts, **kw)
+
+
+def test_marks_and_line_ends_bring_no_new_words():
+    rnd = random.Random(6)
+    words = sorted({"".join(rnd.choice("abcdeéжß") for _ in range(rnd.randrange(4, 10))) for _ in range(500)})
+    marked = [x + m for x in words for m in (".", ",", "?!", "'", "...", "\"')")]
+    rnd.shuffle(marked)
+    texts = [" ".join(words), " ".join(marked), "\n".join(words), "\n".join(f"{x} {y}" for x, y in zip(marked, reversed(marked), strict=True))]
+    enc = token_files.Encoder(PATH)
+    enc.tokenizer = Letters(enc.tokenizer)
+    assert [x.tolist() for k in range(4) for x in enc.batch(texts[k : k + 1])] == ids(texts)
+    assert enc.tokenizer.texts < 2.2 * len("".join(words))  # each word after a space, and after a line end
+
+
+def test_white_space_and_marks_anywhere():
+    rnd = random.Random(7)
+    pieces = ["\n", " ", " ", "\n", "\t", "\r\n", "\x1c", "\x85", " ", " ", "　", "᠎", "​", ".", ",", "'", "'s", "'ll", "..", "<|", "a", "Bc", "é", "×", "ж", "漢", "ก็", "́", "Ϳ", "ᲀ", "½", "7", "٣", "_", "😀"]
+    texts = ["".join(rnd.choice(pieces) for _ in range(rnd.randrange(12))) for _ in range(30_000)]
+    enc = token_files.Encoder(PATH)
+    assert [x.tolist() for x in enc.batch(texts)] == ids(texts)
+    assert [x.tolist() for x in enc.batch(texts)] == ids(texts)
