@@ -25,11 +25,12 @@ equal in id and text count as one document and all get its decision. Other colum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Iterable, Iterator
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,13 +47,15 @@ WORDS, BOTH = 9, 12
 CHARS_FOR_AN_EDIT = 5
 #: Fingerprints of a bucket, and lines of a connected part, that a task compares at once.
 TILE, PART = 1 << 17, 1 << 11
+#: Rows of buckets that a task has about at most.
+TASK_ROWS = 1 << 21
 #: Words of lines that are hashed at once.
 WORDS_AT_ONCE = 1 << 17
 #: Bits of a line's length in a bucket row's key, and further bits of its SimHash.
 CHAR_BITS, MORE_BITS = 17, 31
 #: As WORD_TABLE without lower-casing; line ends stay.
 TO_WORDS = bytes(0x0A if c == 0x0A else c if 0x41 <= c <= 0x5A else x for c, x in enumerate(WORD_TABLE))
-LANES = np.uint64(0x0101010101010101)
+LANES = 0x0101010101010101
 
 
 def normalised(text: str) -> list[list[bytes]]:
@@ -60,29 +63,49 @@ def normalised(text: str) -> list[list[bytes]]:
     return [x.split() for x in text.lower().encode("utf-8").translate(TO_WORDS).split(b"\n")]
 
 
-def simhashes(features: list, sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Of lists of features laid end to end: the first 64 bits of their SimHash, and MORE_BITS further ones.
+def simhashes(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of lists of features' hashes (128 bits each) laid end to end, n to a list: the first 64 bits of their SimHash,
+    and MORE_BITS further ones.
 
-    Eight lanes of eight bits of a word are added at once, 255 features at most; longer lists are cut and added up.
+    Lanes of eight bits of a word are added at once, 255 features at most; longer lists are cut and added up.
     """
-    n = np.array(sizes, np.int64)
-    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, features)), np.uint64).reshape(-1, 2)
     cuts = (n + 254) // 255
     first = np.cumsum(cuts) - cuts  # each list's first cut
     starts = np.repeat(np.cumsum(n) - n, cuts) + 255 * (np.arange(cuts.sum()) - np.repeat(first, cuts))
+    whole = len(starts) == len(n)
     out = []
-    for half in (0, 1):
-        bits = np.zeros((len(n), 64), bool)
+    for words in (np.ascontiguousarray(h[:, 0]), h[:, 1].astype(np.uint32)):  # of the second half no more is wanted
+        kind, wide = words.dtype.type, words.dtype.itemsize
+        bits = np.zeros((len(n), 8 * wide), bool)
         for k in range(8):
-            lanes = np.add.reduceat((h[:, half] >> np.uint64(k)) & LANES, starts).view(np.uint8).reshape(-1, 8)
-            bits[:, k::8] = 2 * np.add.reduceat(lanes, first, axis=0, dtype=np.int64) > n[:, None]
-        out.append(np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0])
+            lanes = np.add.reduceat((words >> kind(k)) & kind(LANES & np.iinfo(kind).max), starts, dtype=kind).view(np.uint8).reshape(-1, wide)
+            bits[:, k::8] = 2 * (lanes.astype(np.int64) if whole else np.add.reduceat(lanes, first, axis=0, dtype=np.int64)) > n[:, None]
+        out.append(np.packbits(bits, axis=1, bitorder="little").view(kind)[:, 0].astype(np.uint64))
     return out[0], out[1] & np.uint64((1 << MORE_BITS) - 1)
 
 
-def char_pairs(words: list[bytes]) -> set[str]:
-    s = b" ".join(words).decode("utf-8")
-    return {s[k : k + 2].encode("utf-8") for k in range(max(1, len(s) - 1))}
+def digests(features: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, features)), np.uint64).reshape(-1, 2)
+
+
+def feature_hashes(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each list's different features, laid end to end, and how many these are. A feature is hashed once,
+    however many lists have it."""
+    coded = lists.flatten().dictionary_encode()
+    sizes = np.diff(lists.offsets.to_numpy())
+    own = coded.indices.to_numpy().astype(np.int64) + np.repeat(np.arange(len(sizes)) << 32, sizes)
+    own.sort()
+    own = own[np.r_[True, own[1:] != own[:-1]]]
+    _, offsets, text = coded.dictionary.buffers()
+    ends, text = np.frombuffer(offsets, np.int32)[: len(coded.dictionary) + 1].tolist(), text.to_pybytes()
+    return digests(text[a:e] for a, e in pairwise(ends))[own & 0xFFFFFFFF], np.bincount(own >> 32, minlength=len(sizes))
+
+
+def char_pairs(norm: bytes) -> list[bytes]:
+    if norm.isascii():
+        return [norm[k : k + 2] for k in range(max(1, len(norm) - 1))]
+    s = norm.decode("utf-8")
+    return [s[k : k + 2].encode("utf-8") for k in range(max(1, len(s) - 1))]
 
 
 LINES = "no int, h1 long, h2 long, chars int, a long, ax long, b long, bx long"
@@ -97,38 +120,38 @@ def hashed_lines(given: DataFrame) -> DataFrame:
     b of pairs of characters; null where it has none)."""
     small_batches(given.sparkSession)
 
-    def made(batch: pa.RecordBatch, rows: list[int], nos: list[int], word_lists: list[list[bytes]]) -> pa.RecordBatch:
-        norms = [b" ".join(w) for w in word_lists]
-        h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, norms)), np.int64).reshape(-1, 2)
+    def made(batch: pa.RecordBatch, rows: list[int], nos: list[int], norms: list[bytes], n_words: np.ndarray) -> pa.RecordBatch:
+        h = digests(norms).view(np.int64)
         chars = [len(x) if x.isascii() else len(x.decode()) for x in norms]
-        n_words = np.fromiter(map(len, word_lists), np.int64, len(rows))
         columns = []
-        for chosen, make in ((n_words >= WORDS, set), (n_words < BOTH, char_pairs)):
+        words = lambda some: pc.split_pattern(pa.array(some, pa.binary()), " ")
+        pairs = lambda some: pa.array(list(map(char_pairs, some)), pa.list_(pa.binary()))
+        for chosen, make in ((n_words >= WORDS, words), (n_words < BOTH, pairs)):
             values = np.zeros((2, len(rows)), np.int64)
             at = np.flatnonzero(chosen)
             if len(at):
-                sets = [make(word_lists[k]) for k in at]
-                values[:, at] = [x.view(np.int64) for x in simhashes([x for s in sets for x in s], list(map(len, sets)))]
+                values[:, at] = [x.view(np.int64) for x in simhashes(*feature_hashes(make([norms[k] for k in at.tolist()])))]
             columns += [pa.array(v, mask=~chosen) for v in values]
         own = batch.select([0, 1, 2]).take(pa.array(rows))
         return pa.RecordBatch.from_arrays([*own.columns, pa.array(nos, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(chars, pa.int32()), *columns], ["__id", "__k1", "__k2", "no", "h1", "h2", "chars", "a", "ax", "b", "bx"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lots(batches, "__text"):
-            rows, nos, word_lists, held = [], [], [], 0
+            rows, nos, norms, n_words, held = [], [], [], [], 0
             for r in range(batch.num_rows):
                 text = batch.column(3)[r].as_py()
                 for no, w in enumerate(normalised(text) if text else ()):
                     if w:
                         rows.append(r)
                         nos.append(no)
-                        word_lists.append(w)
+                        norms.append(b" ".join(w))
+                        n_words.append(len(w))
                         held += len(w)
                     if held > WORDS_AT_ONCE:
-                        yield made(batch, rows, nos, word_lists)
-                        rows, nos, word_lists, held = [], [], [], 0
+                        yield made(batch, rows, nos, norms, np.array(n_words))
+                        rows, nos, norms, n_words, held = [], [], [], [], 0
             if rows:
-                yield made(batch, rows, nos, word_lists)
+                yield made(batch, rows, nos, norms, np.array(n_words))
 
     return given.mapInArrow(run, f"__id {dict(given.dtypes)['__id']}, __k1 long, __k2 long, {LINES}")
 
@@ -181,7 +204,7 @@ def bucket_rows(classes: DataFrame, radius: int, blocks: int) -> tuple[DataFrame
     return parts[0].unionByName(parts[1]), room
 
 
-def neighbours(fp: np.ndarray, more: np.ndarray, chars: np.ndarray, radius: int, most: int, at_once: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def neighbours(fp: np.ndarray, more: np.ndarray, chars: np.ndarray, radius: int, most: int, at_once: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Chunks of pairs (i, j), i < j, of neighbours; chars is sorted. The further bits, half as wide, are compared first."""
     n = len(fp)
     more = more.astype(np.uint32)
@@ -210,8 +233,9 @@ def neighbours(fp: np.ndarray, more: np.ndarray, chars: np.ndarray, radius: int,
         at += rows
 
 
-def forests(rows: DataFrame, room: int, radius: int, most: int, tile: int) -> DataFrame:
-    """Edges (u, v) between fingerprints: of each bucket a spanning forest of its neighbours. Equal ones give u = v."""
+def forests(rows: DataFrame, room: int, total: int, radius: int, most: int, tile: int) -> DataFrame:
+    """Edges (u, v) between fingerprints: of each bucket a spanning forest of its neighbours. Equal ones give u = v.
+    total: how many rows there are at most."""
     low = CHAR_BITS + room
     bucket = F.shiftright("key", low)
     counts = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > tile)
@@ -222,7 +246,9 @@ def forests(rows: DataFrame, room: int, radius: int, most: int, tile: int) -> Da
     deal = F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda x: F.least(own, x) * pieces + F.greatest(own, x))
     whole = cut.where("n is null").select(F.lit(0).cast("long").alias("t"), "key", "fp")
     dealt = whole.unionByName(cut.where("n is not null").select(F.explode(deal).alias("t"), "key", "fp"))
-    dealt = dealt.repartition(F.shiftright("key", low), "t").sortWithinPartitions("key")
+    # a task sorts its own rows, which numpy does faster, so there are tasks enough that each has few
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS + 1)
+    dealt = dealt.repartition(tasks, F.shiftright("key", low), "t")
     rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
 
     def done(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
@@ -242,21 +268,19 @@ def forests(rows: DataFrame, room: int, radius: int, most: int, tile: int) -> Da
         u, v = np.concatenate([fp[member], alike]), np.concatenate([fp[root[member]], alike])
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
-    def bucket_done(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for t in np.unique(rows[0]) if rows.shape[1] > 1 else ():
-            own = rows[:, rows[0] == t]
-            if own.shape[1] > 1 and (out := done(own[1], own[2])) is not None:
-                yield out
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.zeros((3, 0), np.int64)
-        for b in batches:
-            rest = np.concatenate([rest, np.stack([c.to_numpy() for c in b.columns])], axis=1)
-            cuts = [0, *(np.flatnonzero(np.diff(rest[1] >> low)) + 1).tolist()]  # the last bucket may go on
-            for x, y in zip(cuts, cuts[1:], strict=False):
-                yield from bucket_done(rest[:, x:y])
-            rest = rest[:, cuts[-1] :]
-        yield from bucket_done(rest)
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t, key, fp = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+        held.clear()
+        order = np.lexsort((key, t)) if t.any() else np.argsort(key)
+        t, key, fp = t[order], key[order], fp[order]
+        bucket = key >> low
+        cuts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (t[1:] != t[:-1]), True]).tolist()
+        for x, y in pairwise(cuts):
+            if y - x > 1 and (out := done(key[x:y], fp[x:y])) is not None:
+                yield out
 
     return dealt.mapInArrow(run, "u long, v long")
 
@@ -300,6 +324,32 @@ def within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
+#: Words of either line that an alignment may pass over at once, few first.
+PASSED = sorted(((i, j) for i in range(7) for j in range(7) if i or j), key=lambda x: (sum(x), abs(x[0] - x[1])))
+
+
+def surely_within(a: list[str], b: list[str], most: int) -> bool:
+    """Whether so many edits are enough by a plain alignment of words: equal ones in a row, and between them a few words of
+    either line, of which the longer text is counted. False says nothing."""
+    x = y = cost = 0
+    m, n = len(a), len(b)
+    while x < m and y < n:
+        if a[x] == b[y]:
+            x += 1
+            y += 1
+            continue
+        at = next(((i, j) for i, j in PASSED if x + i < m and y + j < n and a[x + i] == b[y + j]), None)
+        if at is None:
+            return False
+        i, j = at
+        # a space goes with each word
+        cost += max(sum(map(len, a[x : x + i])) + i, sum(map(len, b[y : y + j])) + j)
+        if cost > most:
+            return False
+        x, y = x + i, y + j
+    return cost + max(sum(map(len, a[x:])) + m - x, sum(map(len, b[y:])) + n - y) <= most
+
+
 def verified(lines: DataFrame, radius: int, most: int) -> DataFrame:
     """lines (root, t1, t2, t, line, fp, more, chars, norm), dealt by their first three: edges (u, v) between lines, a
     spanning forest of the links of each pair of tiles."""
@@ -331,7 +381,8 @@ def verified(lines: DataFrame, radius: int, most: int) -> DataFrame:
             if line[x] == line[y] or across and own[x] == own[y] or (p := root(x)) == (q := root(y)):
                 continue
             a, b = (text.get(k) or text.setdefault(k, norm[k].decode()) for k in (x, y))
-            if within(a, b, max(len(a), len(b)) // CHARS_FOR_AN_EDIT):
+            most = max(len(a), len(b)) // CHARS_FOR_AN_EDIT
+            if surely_within(a.split(" "), b.split(" "), most) or within(a, b, most):
                 top[max(p, q)] = min(p, q)
                 out.append((line[x], line[y]))
         return out
@@ -358,7 +409,8 @@ def verified(lines: DataFrame, radius: int, most: int) -> DataFrame:
 def near_lines(given: DataFrame, classes: DataFrame, radius: int = RADIUS, more: int = MORE, blocks: int = BLOCKS, tile: int = TILE, part: int = PART) -> DataFrame:
     """The connected groups (node, root) of linked classes, of those that have a link."""
     rows, room = bucket_rows(classes, radius, blocks)
-    edges = stash(forests(rows, room, radius, more, tile).distinct(), "near-hashes")
+    total = 2 * len(block_pairs(radius, blocks)) * classes.count()
+    edges = stash(forests(rows, room, total, radius, more, tile).distinct(), "near-hashes")
     found = components(edges, "u", "v")
     alike = edges.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("root"))
     roots = stash(found.unionByName(alike.join(found.select("node"), "node", "left_anti")), "near-parts")
@@ -412,7 +464,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """doc_id, n_lines, n_kept, removed of each row."""
-    rows = docs.select(docs[id_col].alias("doc_id"), *row_key(docs[id_col], docs[text_col]), F.coalesce(F.when(docs[text_col] != "", F.size(F.split(docs[text_col], "\n", -1))), F.lit(0)).cast("long").alias("n_lines"))
+    rows = docs.select(docs[id_col].alias("doc_id"), *row_key(docs[id_col], docs[text_col]), F.coalesce(F.when(docs[text_col] != "", 1 + F.length(docs[text_col]) - F.length(F.replace(docs[text_col], F.lit("\n"), F.lit("")))), F.lit(0)).cast("long").alias("n_lines"))
     found = rows.join(removals(docs, id_col, text_col, **how), ["__k1", "__k2"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return found.select("doc_id", "n_lines", (F.col("n_lines") - F.size(removed)).alias("n_kept"), removed.alias("removed"))
