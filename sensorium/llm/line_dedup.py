@@ -26,7 +26,7 @@ equal in id and text count as one document and all get its decision. Other colum
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import combinations, pairwise
+from itertools import chain, combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +49,12 @@ CHARS_FOR_AN_EDIT = 5
 TILE, PART = 1 << 17, 1 << 11
 #: Rows of buckets that a task has about at most.
 TASK_ROWS = 1 << 21
-#: Words of lines that are hashed at once.
-WORDS_AT_ONCE = 1 << 17
+#: Bytes of lines that are split at once, and hashed at once.
+SPLIT_AT_ONCE, HASHED_AT_ONCE = 1 << 18, 1 << 21
+#: Of so many buckets (all, with the parameters above) a task counts the rows by itself.
+FEW_BUCKETS = 1 << 16
+#: Neighbours of a bucket that are joined into its forest at once.
+PAIRS_AT_ONCE = 1 << 16
 #: Bits of a line's length in a bucket row's key, and further bits of its SimHash.
 CHAR_BITS, MORE_BITS = 17, 31
 #: As WORD_TABLE without lower-casing; line ends stay.
@@ -58,9 +62,74 @@ TO_WORDS = bytes(0x0A if c == 0x0A else c if 0x41 <= c <= 0x5A else x for c, x i
 LANES = 0x0101010101010101
 
 
-def normalised(text: str) -> list[list[bytes]]:
-    """The words of each line of a text."""
-    return [x.split() for x in text.lower().encode("utf-8").translate(TO_WORDS).split(b"\n")]
+class Lines:
+    """The lines of texts that have words: their rows, numbers (nos), normalised bytes (norms), lengths in characters
+    (chars), words and bytes (size). All that goes byte by byte is done by numpy for all lines at once."""
+
+    def __init__(self, data: bytes, rows: np.ndarray, nos: np.ndarray) -> None:
+        """data: lines, each with its end, out of TO_WORDS; rows and nos: those of each."""
+        found = np.frombuffer(data, np.uint8)
+        letter = found > 0x20
+        edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
+        if letter[0]:
+            edges = np.r_[0, edges]
+        starts, ends = edges[::2], edges[1::2]  # a line's end is no letter, so these are as many
+        line = np.searchsorted(np.flatnonzero(found == 0x0A), starts)
+        first = np.flatnonzero(np.r_[True, line[1:] != line[:-1]]) if len(line) else line
+        self.rows, self.nos = rows[line[first]], nos[line[first]]
+        self.n_words = np.diff(np.r_[first, len(line)])
+        self._first_word = first
+        self._offsets = np.r_[0, np.cumsum(ends - starts)].astype(np.int32)
+        letter[ends] = True  # one separator after each word
+        text = found[letter]
+        last = first + self.n_words - 1
+        self._at, self._end = self._offsets[first] + first, self._offsets[last + 1] + last
+        self._letters = text[text > 0x20]
+        text[text == 0x0A] = 0x20
+        self._text = text
+        self._chars = np.r_[0, np.cumsum((text & 0xC0) != 0x80, dtype=np.int32)]
+        self.chars = self._chars[self._end] - self._chars[self._at]
+        self._bytes = text.tobytes()
+        self.size = len(data)
+
+    def norms(self) -> list[bytes]:
+        return [self._bytes[a:e] for a, e in zip(self._at.tolist(), self._end.tolist(), strict=True)]
+
+    def words(self, chosen: np.ndarray) -> pa.ListArray:
+        every = pa.BinaryArray.from_buffers(pa.binary(), len(self._offsets) - 1, [None, pa.py_buffer(self._offsets), pa.py_buffer(self._letters)])
+        some = every if chosen.all() else every.filter(pa.array(np.repeat(chosen, self.n_words)))
+        return pa.ListArray.from_arrays(np.r_[0, np.cumsum(self.n_words[chosen])].astype(np.int32), some)
+
+    def char_pairs(self, chosen: np.ndarray) -> pa.ListArray:
+        """Each two neighbouring characters of the lines, or the one that a line has."""
+        n = np.maximum(self.chars[chosen] - 1, 1)
+        starts = np.flatnonzero((self._text & 0xC0) != 0x80)
+        own = np.repeat(self._chars[self._at[chosen]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        begin = starts[own]
+        # behind a line stands a separator's byte, so a pair's end is a character's start
+        end = np.minimum(np.r_[starts, len(self._text), len(self._text)][own + 2], np.repeat(self._end[chosen], n))
+        wide = end - begin
+        offsets = np.r_[0, np.cumsum(wide)]
+        data = self._text[np.repeat(begin - offsets[:-1], wide) + np.arange(offsets[-1])]
+        every = pa.BinaryArray.from_buffers(pa.binary(), len(wide), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+        return pa.ListArray.from_arrays(np.r_[0, np.cumsum(n)].astype(np.int32), every)
+
+
+def lines_of(texts: list[str | None]) -> Iterator[Lines]:
+    """The lines with words of the texts, some MB at a time, whatever the texts' lengths (a longer line is by itself)."""
+    counts = np.array([1 + t.count("\n") if t else 1 for t in texts])
+    rows = np.repeat(np.arange(len(texts)), counts)
+    nos = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+    data = ("\n".join([t.lower() if t else "" for t in texts]) + "\n").encode("utf-8").translate(TO_WORDS)
+    at = line = 0
+    while at < len(data):
+        end = len(data) if len(data) - at <= SPLIT_AT_ONCE else data.rfind(b"\n", at, at + SPLIT_AT_ONCE) + 1 or data.index(b"\n", at + SPLIT_AT_ONCE) + 1
+        part = data[at:end]
+        n = part.count(b"\n")
+        found = Lines(part, rows[line : line + n], nos[line : line + n])
+        if len(found.rows):
+            yield found
+        at, line = end, line + n
 
 
 def simhashes(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,13 +170,6 @@ def feature_hashes(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return digests(text[a:e] for a, e in pairwise(ends))[own & 0xFFFFFFFF], np.bincount(own >> 32, minlength=len(sizes))
 
 
-def char_pairs(norm: bytes) -> list[bytes]:
-    if norm.isascii():
-        return [norm[k : k + 2] for k in range(max(1, len(norm) - 1))]
-    s = norm.decode("utf-8")
-    return [s[k : k + 2].encode("utf-8") for k in range(max(1, len(s) - 1))]
-
-
 LINES = "no int, h1 long, h2 long, chars int, a long, ax long, b long, bx long"
 
 
@@ -120,38 +182,33 @@ def hashed_lines(given: DataFrame) -> DataFrame:
     b of pairs of characters; null where it has none)."""
     small_batches(given.sparkSession)
 
-    def made(batch: pa.RecordBatch, rows: list[int], nos: list[int], norms: list[bytes], n_words: np.ndarray) -> pa.RecordBatch:
-        h = digests(norms).view(np.int64)
-        chars = [len(x) if x.isascii() else len(x.decode()) for x in norms]
+    def made(held: list[tuple[pa.RecordBatch, Lines]]) -> pa.RecordBatch:
+        every = [lines for _, lines in held]
+        h = digests(norm for lines in every for norm in lines.norms()).view(np.int64)
         columns = []
-        words = lambda some: pc.split_pattern(pa.array(some, pa.binary()), " ")
-        pairs = lambda some: pa.array(list(map(char_pairs, some)), pa.list_(pa.binary()))
-        for chosen, make in ((n_words >= WORDS, words), (n_words < BOTH, pairs)):
-            values = np.zeros((2, len(rows)), np.int64)
-            at = np.flatnonzero(chosen)
-            if len(at):
-                values[:, at] = [x.view(np.int64) for x in simhashes(*feature_hashes(make([norms[k] for k in at.tolist()])))]
+        for wanted, make in ((lambda n: n >= WORDS, Lines.words), (lambda n: n < BOTH, Lines.char_pairs)):
+            chosen = [wanted(lines.n_words) for lines in every]
+            lists = [make(lines, some) for lines, some in zip(every, chosen, strict=True) if some.any()]
+            chosen = np.concatenate(chosen)
+            values = np.zeros((2, len(h)), np.int64)
+            if lists:
+                values[:, chosen] = [x.view(np.int64) for x in simhashes(*feature_hashes(pa.concat_arrays(lists)))]
             columns += [pa.array(v, mask=~chosen) for v in values]
-        own = batch.select([0, 1, 2]).take(pa.array(rows))
-        return pa.RecordBatch.from_arrays([*own.columns, pa.array(nos, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(chars, pa.int32()), *columns], ["__id", "__k1", "__k2", "no", "h1", "h2", "chars", "a", "ax", "b", "bx"])
+        own = pa.Table.from_batches([batch.take(pa.array(lines.rows)) for batch, lines in held]).combine_chunks().to_batches()[0]
+        no, chars = (pa.array(np.concatenate(x), pa.int32()) for x in ([lines.nos for lines in every], [lines.chars for lines in every]))
+        return pa.RecordBatch.from_arrays([*own.columns, no, pa.array(h[:, 0]), pa.array(h[:, 1]), chars, *columns], ["__id", "__k1", "__k2", "no", "h1", "h2", "chars", "a", "ax", "b", "bx"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
         for batch in lots(batches, "__text"):
-            rows, nos, norms, n_words, held = [], [], [], [], 0
-            for r in range(batch.num_rows):
-                text = batch.column(3)[r].as_py()
-                for no, w in enumerate(normalised(text) if text else ()):
-                    if w:
-                        rows.append(r)
-                        nos.append(no)
-                        norms.append(b" ".join(w))
-                        n_words.append(len(w))
-                        held += len(w)
-                    if held > WORDS_AT_ONCE:
-                        yield made(batch, rows, nos, norms, np.array(n_words))
-                        rows, nos, norms, n_words, held = [], [], [], [], 0
-            if rows:
-                yield made(batch, rows, nos, norms, np.array(n_words))
+            for lines in lines_of(batch.column(3).to_pylist()):
+                if held and sum(x.size for _, x in held) + lines.size > HASHED_AT_ONCE:
+                    yield made(held)
+                    held = []
+                # the texts needn't be kept
+                held.append((pa.RecordBatch.from_arrays(batch.columns[:3], ["__id", "__k1", "__k2"]), lines))
+        if held:
+            yield made(held)
 
     return given.mapInArrow(run, f"__id {dict(given.dtypes)['__id']}, __k1 long, __k2 long, {LINES}")
 
@@ -161,9 +218,9 @@ def line_texts(given: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in lots(batches, "__text"):
-            found = [(r, no, b" ".join(w)) for r, t in enumerate(batch.column(3).to_pylist()) for no, w in enumerate(normalised(t) if t else ()) if w]
-            own = batch.select([1, 2]).take(pa.array([f[0] for f in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.binary())], ["__k1", "__k2", "no", "norm"])
+            for lines in lines_of(batch.column(3).to_pylist()):
+                own = batch.select([1, 2]).take(pa.array(lines.rows))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(lines.nos, pa.int32()), pa.array(lines.norms(), pa.binary())], ["__k1", "__k2", "no", "norm"])
 
     return given.mapInArrow(run, "__k1 long, __k2 long, no int, norm binary")
 
@@ -185,80 +242,151 @@ def block_pairs(radius: int, blocks: int) -> list[tuple[tuple[int, int], tuple[i
     return [tuple((cuts[i], cuts[i + 1] - cuts[i]) for i in pair) for s in range(sets) for pair in combinations(range(s, blocks, sets), 2)]
 
 
-def bucket_rows(classes: DataFrame, radius: int, blocks: int) -> tuple[DataFrame, int]:
-    """(key, fp) of each class and key, and how many further bits of the SimHash a key has room for. A key is its
-    bucket's number, the line's length, and these bits, so that one long sorts a bucket by length."""
-    pairs = block_pairs(radius, blocks)
-    bits = max(a + b for (_, a), (_, b) in pairs)
-    room = min(MORE_BITS, 63 - (2 * len(pairs) - 1).bit_length() - bits - CHAR_BITS)
-    if room < 0:
-        raise ValueError("the blocks are too wide for a key of one long")
-    low = CHAR_BITS + room
-    cut = lambda fp, at, width: F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
-    keys = lambda kind: [F.shiftleft((F.lit((2 * k + kind) << bits).cast("long").bitwiseOR(F.shiftleft(cut(F.col("fp"), i, a), b)).bitwiseOR(cut(F.col("fp"), j, b))), low).bitwiseOR(F.col("rest")) for k, ((i, a), (j, b)) in enumerate(pairs)]
-    length = F.shiftleft(F.least("chars", F.lit((1 << CHAR_BITS) - 1)).cast("long"), room)
-    parts = []
-    for kind, (fp, more) in enumerate((("a", "ax"), ("b", "bx"))):
-        some = classes.where(F.col(fp).isNotNull()).select(F.col(fp).alias("fp"), length.bitwiseOR(F.col(more).bitwiseAND(F.lit((1 << room) - 1))).alias("rest"))
-        parts.append(some.select(F.explode(F.array(*keys(kind))).alias("key"), "fp"))
-    return parts[0].unionByName(parts[1]), room
+class Buckets:
+    """The bucket rows (key, fp) of classes: one for each key of each SimHash. A key is its bucket's number, the line's
+    length, and as many further bits of the SimHash as there is room for, so that one long sorts a bucket by length."""
+
+    def __init__(self, radius: int, blocks: int) -> None:
+        self.pairs = block_pairs(radius, blocks)
+        self.bits = max(a + b for (_, a), (_, b) in self.pairs)
+        self.room = min(MORE_BITS, 63 - (2 * len(self.pairs) - 1).bit_length() - self.bits - CHAR_BITS)
+        if self.room < 0:
+            raise ValueError("the blocks are too wide for a key of one long")
+        self.low = CHAR_BITS + self.room
+
+    def rows(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        keys, fps = [], []
+        for kind, (a, ax) in enumerate((("a", "ax"), ("b", "bx"))):
+            has = batch.column(a).is_valid()
+            fp, more, chars = (batch.column(c).filter(has).to_numpy().astype(np.int64) for c in (a, ax, "chars"))
+            rest = np.minimum(chars, (1 << CHAR_BITS) - 1) << self.room | more & ((1 << self.room) - 1)
+            cut = lambda at, width, fp=fp: (fp >> at) & ((1 << width) - 1)
+            for k, ((i, a), (j, b)) in enumerate(self.pairs):
+                keys.append(((2 * k + kind) << self.bits | cut(i, a) << b | cut(j, b)) << self.low | rest)
+                fps.append(fp)
+        return np.concatenate(keys), np.concatenate(fps)
+
+    def large(self, classes: DataFrame, tile: int) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of more than a tile, sorted, and how many tiles each has. They are at most as many as all rows
+        have tiles."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            counts, some = np.zeros(FEW_BUCKETS, np.int64), []
+            for batch in batches:
+                bucket = self.rows(batch)[0] >> self.low
+                few = bucket < FEW_BUCKETS
+                counts += np.bincount(bucket[few], minlength=FEW_BUCKETS)
+                if not few.all():
+                    some.append(np.unique(bucket[~few], return_counts=True))
+            held = np.flatnonzero(counts)
+            for bucket, n in [(held, counts[held]), *some]:
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], ["bucket", "n"])
+
+        counts = classes.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > tile)
+        found = sorted(counts.select("bucket", F.ceil(F.col("n") / tile)).collect())
+        return tuple(np.array([r[k] for r in found], np.int64) for k in (0, 1))
+
+    def dealt(self, classes: DataFrame, tile: int, large: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+        """bucket, t (a pair of tiles, where the bucket is large), and the keys and fps of rows that belong there, as
+        longs laid end to end: what a batch has for one place is one row."""
+        buckets, tiles = large
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key, fp = self.rows(batch)
+                bucket, t = key >> self.low, np.zeros(len(key), np.int64)
+                if len(buckets):
+                    at = np.minimum(np.searchsorted(buckets, bucket), len(buckets) - 1)
+                    pieces = np.where(buckets[at] == bucket, tiles[at], 1)
+                    own = (((fp ^ key).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % pieces
+                    k = np.repeat(np.arange(len(key)), pieces)
+                    other = np.arange(len(k)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                    t = np.minimum(own[k], other) * pieces[k] + np.maximum(own[k], other)
+                    key, fp, bucket = key[k], fp[k], bucket[k]
+                if not len(key):
+                    continue
+                small = bucket.astype(np.uint16) if bucket.max() < FEW_BUCKETS else bucket  # these are sorted faster
+                order = np.lexsort((t, bucket)) if len(buckets) else np.argsort(small, kind="stable")
+                bucket, t = bucket[order], t[order]
+                first = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (t[1:] != t[:-1])])
+                ends = pa.py_buffer((8 * np.r_[first, len(bucket)]).astype(np.int32))
+                laid = [pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(x[order])]) for x in (key, fp)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(t[first]), *laid], ["bucket", "t", "keys", "fps"])
+
+        return classes.mapInArrow(run, "bucket long, t long, keys binary, fps binary")
+
+
+def longs(laid: pa.BinaryArray) -> np.ndarray:
+    """All the longs that the rows hold."""
+    _, offsets, data = laid.buffers()
+    ends = np.frombuffer(offsets, np.int32)[laid.offset : laid.offset + len(laid) + 1]
+    return np.frombuffer(data, np.int64, (ends[-1] - ends[0]) // 8, ends[0]) if ends[-1] > ends[0] else np.empty(0, np.int64)
 
 
 def neighbours(fp: np.ndarray, more: np.ndarray, chars: np.ndarray, radius: int, most: int, at_once: int = 1 << 15) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Chunks of pairs (i, j), i < j, of neighbours; chars is sorted. The further bits, half as wide, are compared first."""
+    """Chunks of pairs (i, j), i < j, of neighbours; chars is sorted. The further bits, half as wide, are compared first,
+    each row's with those of the rows right behind it (a view of windows, so nothing is compared in vain)."""
     n = len(fp)
-    more = more.astype(np.uint32)
     upto = np.searchsorted(chars, chars * CHARS_FOR_AN_EDIT // (CHARS_FOR_AN_EDIT - 1), "right")
-    apart, count, near = np.empty(at_once + n, np.uint32), np.empty(at_once + n, np.uint8), np.empty(at_once + n, bool)
+    behind = upto - np.arange(1, n + 1)
+    widest = int(behind.max(initial=0))
+    more = np.r_[more.astype(np.uint32), np.zeros(widest, np.uint32)]
+    size = max(at_once, widest)
+    apart, count, near = np.empty(size, np.uint32), np.empty(size, np.uint8), np.empty(size, bool)
     at = 0
     while at < n - 1:
-        rows = max(1, min(n - 1 - at, at_once // max(1, int(upto[at]) - at)))
-        end = int(upto[at + rows - 1])
-        while rows > 1 and rows * (end - at - 1) > at_once:
-            rows //= 2
-            end = int(upto[at + rows - 1])
-        wide = end - at - 1
-        if wide:
-            x = apart[: rows * wide].reshape(rows, wide)
-            np.bitwise_xor(more[at : at + rows, None], more[None, at + 1 : end], out=x)
-            np.bitwise_count(x, out=(c := count[: rows * wide].reshape(rows, wide)))
-            np.less_equal(c, most, out=(ok := near[: rows * wide].reshape(rows, wide)))
-            i, j = np.divmod(np.flatnonzero(ok.reshape(-1)), wide)
-            i, j = i + at, j + at + 1
-            ok = (i < j) & (j < upto[i])
-            i, j = i[ok], j[ok]
-            ok = np.bitwise_count(fp[i] ^ fp[j]) <= radius
-            if ok.any():
-                yield i[ok], j[ok]
+        wide = int(behind[at])
+        if not wide:
+            at += 1
+            continue
+        rows = min(n - 1 - at, at_once // wide or 1)
+        wide = int(behind[at : at + rows].max())
+        rows = min(rows, size // wide)
+        windows = np.ndarray((rows, wide), np.uint32, more, 4 * (at + 1), (4, 4))
+        x = apart[: rows * wide].reshape(rows, wide)
+        np.bitwise_xor(more[at : at + rows, None], windows, out=x)
+        np.bitwise_count(apart[: rows * wide], out=(c := count[: rows * wide]))
+        np.less_equal(c, most, out=(ok := near[: rows * wide]))
+        k = ok.nonzero()[0]
+        i, j = np.divmod(k, wide)
+        i += at
+        j += i + 1
+        ok = np.bitwise_count(fp[i] ^ fp[np.minimum(j, n - 1)]) <= radius
+        i, j = i[ok], j[ok]
+        ok = j < upto[i]
+        if ok.any():
+            yield i[ok], j[ok]
         at += rows
 
 
-def forests(rows: DataFrame, room: int, total: int, radius: int, most: int, tile: int) -> DataFrame:
-    """Edges (u, v) between fingerprints: of each bucket a spanning forest of its neighbours. Equal ones give u = v.
-    total: how many rows there are at most."""
-    low = CHAR_BITS + room
-    bucket = F.shiftright("key", low)
-    counts = rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > tile)
-    # buckets are as many as keys have values, so this is small whatever the number of rows
-    cut = rows.withColumn("bucket", bucket).join(F.broadcast(counts), "bucket", "left")
-    pieces = F.ceil(F.coalesce("n", F.lit(1)) / tile)
-    own = F.pmod(F.xxhash64("fp", "key"), pieces)
-    deal = F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda x: F.least(own, x) * pieces + F.greatest(own, x))
-    whole = cut.where("n is null").select(F.lit(0).cast("long").alias("t"), "key", "fp")
-    dealt = whole.unionByName(cut.where("n is not null").select(F.explode(deal).alias("t"), "key", "fp"))
+def forests(classes: DataFrame, radius: int, blocks: int, most: int, tile: int) -> DataFrame:
+    """Edges (u, v) between fingerprints: of each bucket a spanning forest of its neighbours. Equal ones give u = v."""
+    spark = classes.sparkSession
+    buckets = Buckets(radius, blocks)
+    low, room = buckets.low, buckets.room
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+    count = classes.count()
+    classes = classes.select("a", "ax", "b", "bx", "chars")
+    # a line has two SimHashes at most, but only one in a bucket
+    large = buckets.large(classes, tile) if count > tile else (np.empty(0, np.int64),) * 2
     # a task sorts its own rows, which numpy does faster, so there are tasks enough that each has few
-    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS + 1)
-    dealt = dealt.repartition(tasks, F.shiftright("key", low), "t")
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * len(buckets.pairs) * count // TASK_ROWS + 1)
+    dealt = buckets.dealt(classes, tile, large).repartition(tasks, "bucket", "t")
 
     def done(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
         more, chars = key & ((1 << room) - 1), key >> room & ((1 << CHAR_BITS) - 1)
         same: list[np.ndarray] = []
 
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for i, j in neighbours(fp.view(np.uint64), more, chars, radius, most):
-                same.append(np.unique(fp[i[fp[i] == fp[j]]]))
-                yield i, j
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            for found in chain(neighbours(fp.view(np.uint64), more, chars, radius, most), [None]):
+                if found is not None:
+                    held.append(found)
+                if held and (found is None or sum(len(i) for i, _ in held) > PAIRS_AT_ONCE):
+                    i, j = (np.concatenate(x) for x in zip(*held, strict=True))
+                    same.append(np.unique(fp[i[fp[i] == fp[j]]]))
+                    yield i, j
+                    held = []
 
         root = forest(len(fp), pairs())
         member = np.flatnonzero(root != np.arange(len(fp)))
@@ -272,7 +400,9 @@ def forests(rows: DataFrame, room: int, total: int, radius: int, most: int, tile
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        t, key, fp = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in range(3))
+        n = np.concatenate([pc.binary_length(b.column("keys")).to_numpy() for b in held]) // 8
+        t = np.repeat(np.concatenate([b.column("t").to_numpy() for b in held]), n)
+        key, fp = (np.concatenate([longs(b.column(c)) for b in held]) for c in ("keys", "fps"))
         held.clear()
         order = np.lexsort((key, t)) if t.any() else np.argsort(key)
         t, key, fp = t[order], key[order], fp[order]
@@ -408,9 +538,7 @@ def verified(lines: DataFrame, radius: int, most: int) -> DataFrame:
 
 def near_lines(given: DataFrame, classes: DataFrame, radius: int = RADIUS, more: int = MORE, blocks: int = BLOCKS, tile: int = TILE, part: int = PART) -> DataFrame:
     """The connected groups (node, root) of linked classes, of those that have a link."""
-    rows, room = bucket_rows(classes, radius, blocks)
-    total = 2 * len(block_pairs(radius, blocks)) * classes.count()
-    edges = stash(forests(rows, room, total, radius, more, tile).distinct(), "near-hashes")
+    edges = stash(forests(classes, radius, blocks, more, tile).distinct(), "near-hashes")
     found = components(edges, "u", "v")
     alike = edges.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("root"))
     roots = stash(found.unionByName(alike.join(found.select("node"), "node", "left_anti")), "near-parts")
@@ -464,7 +592,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
     """doc_id, n_lines, n_kept, removed of each row."""
-    rows = docs.select(docs[id_col].alias("doc_id"), *row_key(docs[id_col], docs[text_col]), F.coalesce(F.when(docs[text_col] != "", 1 + F.length(docs[text_col]) - F.length(F.replace(docs[text_col], F.lit("\n"), F.lit("")))), F.lit(0)).cast("long").alias("n_lines"))
+    rows = docs.select(docs[id_col].alias("doc_id"), *row_key(docs[id_col], docs[text_col]), F.coalesce(F.when(docs[text_col] != "", 1 + F.octet_length(docs[text_col]) - F.octet_length(F.replace(docs[text_col], F.lit("\n"), F.lit("")))), F.lit(0)).cast("long").alias("n_lines"))
     found = rows.join(removals(docs, id_col, text_col, **how), ["__k1", "__k2"], "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return found.select("doc_id", "n_lines", (F.col("n_lines") - F.size(removed)).alias("n_kept"), removed.alias("removed"))
