@@ -14,7 +14,11 @@ within a set is a key. A bucket is sorted by line length, and compared within le
 leaves a bucket is a spanning forest of its neighbours, not its pairs. The texts of the classes that have neighbours
 at all are then dealt by their connected parts, and verified there: a pair whose ends are already in one group is
 skipped, and again only a spanning forest of the links goes on. Buckets and parts of more than a tile are cut into
-tiles, and each pair of tiles is a task's work of its own.
+tiles, and each pair of tiles is a task's work of its own. A part of many tiles is mostly one of lines that are strung
+together by chance, with few neighbours each, and copies of its lines for each pair of tiles would grow with its square.
+Its neighbours are found once more in buckets, each pair in the first bucket that both share; the bucket's lines, by
+length, are cut into blocks, and a pair of blocks gets the lines only that have a neighbour across it. So a line goes to
+no more places than it has neighbours, nor (the part is dealt by the way that takes fewer rows) than its part has tiles.
 
 Comparisons in a bucket grow with the square of the lines (2 ** -10 of all pairs with these parameters). For larger
 corpora take a smaller radius, which lets blocks be wider: keys and their width follow from radius and blocks.
@@ -35,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sensorium.session import unstash
+from sensorium.session import setting, unstash
 
 from .common import WORD_TABLE, attach, components, fresh, keyed, lots, row_key, small_batches, stash
 from .simhash import forest
@@ -47,8 +51,10 @@ WORDS, BOTH = 9, 12
 CHARS_FOR_AN_EDIT = 5
 #: Fingerprints of a bucket, and lines of a connected part, that a task compares at once.
 TILE, PART = 1 << 17, 1 << 11
-#: Rows of buckets that a task has about at most.
-TASK_ROWS = 1 << 21
+#: Tiles of a connected part; the neighbours of parts of more are found once more.
+PART_TILES = 8
+#: Rows of buckets that a task has about at most, and classes of which they are made at once.
+TASK_ROWS, CLASSES_AT_ONCE = 1 << 21, 1 << 16
 #: Bytes of lines that are split at once, and hashed at once.
 SPLIT_AT_ONCE, HASHED_AT_ONCE = 1 << 18, 1 << 21
 #: Of so many buckets (all, with the parameters above) a task counts the rows by itself.
@@ -266,6 +272,17 @@ class Buckets:
                 fps.append(fp)
         return np.concatenate(keys), np.concatenate(fps)
 
+    def owners(self, batch: pa.RecordBatch) -> np.ndarray:
+        """The number in the batch of the class that each of the rows is of."""
+        return np.concatenate([np.tile(np.flatnonzero(batch.column(a).is_valid()), len(self.pairs)) for a in ("a", "b")])
+
+    def first(self, bucket: int, apart: np.ndarray) -> np.ndarray:
+        """Whether SimHashes of this bucket, that differ in these bits, agree on no key before the bucket's."""
+        met = np.zeros(len(apart), bool)
+        for (i, a), (j, b) in self.pairs[: bucket >> self.bits + 1]:
+            met |= apart & np.uint64(((1 << a) - 1) << i | ((1 << b) - 1) << j) == 0
+        return ~met
+
     def large(self, classes: DataFrame, tile: int) -> tuple[np.ndarray, np.ndarray]:
         """The buckets of more than a tile, sorted, and how many tiles each has. They are at most as many as all rows
         have tiles."""
@@ -286,23 +303,26 @@ class Buckets:
         found = sorted(counts.select("bucket", F.ceil(F.col("n") / tile)).collect())
         return tuple(np.array([r[k] for r in found], np.int64) for k in (0, 1))
 
-    def dealt(self, classes: DataFrame, tile: int, large: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    def dealt(self, classes: DataFrame, tile: int, large: tuple[np.ndarray, np.ndarray], *own: str) -> DataFrame:
         """bucket, t (a pair of tiles, where the bucket is large), and the keys and fps of rows that belong there, as
-        longs laid end to end: what a batch has for one place is one row."""
+        longs laid end to end: what many classes have for one place is one row. Own columns of the classes (longs) go
+        with the rows."""
         buckets, tiles = large
+        names = ["keys", "fps", *own]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in merged(batches, CLASSES_AT_ONCE):
                 key, fp = self.rows(batch)
+                rest = [batch.column(c).to_numpy()[self.owners(batch)] for c in own]
                 bucket, t = key >> self.low, np.zeros(len(key), np.int64)
                 if len(buckets):
                     at = np.minimum(np.searchsorted(buckets, bucket), len(buckets) - 1)
                     pieces = np.where(buckets[at] == bucket, tiles[at], 1)
-                    own = (((fp ^ key).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % pieces
+                    mine = (((fp ^ key).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % pieces
                     k = np.repeat(np.arange(len(key)), pieces)
                     other = np.arange(len(k)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                    t = np.minimum(own[k], other) * pieces[k] + np.maximum(own[k], other)
-                    key, fp, bucket = key[k], fp[k], bucket[k]
+                    t = np.minimum(mine[k], other) * pieces[k] + np.maximum(mine[k], other)
+                    key, fp, bucket, rest = key[k], fp[k], bucket[k], [x[k] for x in rest]
                 if not len(key):
                     continue
                 small = bucket.astype(np.uint16) if bucket.max() < FEW_BUCKETS else bucket  # these are sorted faster
@@ -310,10 +330,54 @@ class Buckets:
                 bucket, t = bucket[order], t[order]
                 first = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (t[1:] != t[:-1])])
                 ends = pa.py_buffer((8 * np.r_[first, len(bucket)]).astype(np.int32))
-                laid = [pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(x[order])]) for x in (key, fp)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(t[first]), *laid], ["bucket", "t", "keys", "fps"])
+                laid = [pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, ends, pa.py_buffer(x[order])]) for x in (key, fp, *rest)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(t[first]), *laid], ["bucket", "t", *names])
+
+        return classes.mapInArrow(run, ", ".join(["bucket long, t long", *(f"{c} binary" for c in names)]))
+
+    def met(self, classes: DataFrame, tile: int, *own: str) -> DataFrame:
+        """The rows of each bucket (and pair of its tiles) in one task, dealt()."""
+        spark = classes.sparkSession
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(CLASSES_AT_ONCE))
+        count = classes.count()
+        classes = classes.select("a", "ax", "b", "bx", "chars", *own)
+        # a line has two SimHashes at most, but only one in a bucket
+        large = self.large(classes, tile) if count > tile else (np.empty(0, np.int64),) * 2
+        # a task sorts its own rows, which numpy does faster, so there are tasks enough that each has few
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * len(self.pairs) * count // TASK_ROWS + 1)
+        return self.dealt(classes, tile, large, *own).repartition(tasks, "bucket", "t")
+
+    def each(self, batches: Iterator[pa.RecordBatch], *own: str) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+        """Of a task's rows of met(): bucket, t, and the keys (sorted), fps and own columns of what is there, if two or more."""
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        n = np.concatenate([pc.binary_length(b.column("keys")).to_numpy() for b in held]) // 8
+        t = np.repeat(np.concatenate([b.column("t").to_numpy() for b in held]), n)
+        key, *rest = (np.concatenate([longs(b.column(c)) for b in held]) for c in ("keys", "fps", *own))
+        held.clear()
+        order = np.lexsort((key, t)) if t.any() else np.argsort(key)
+        t, key, rest = t[order], key[order], [x[order] for x in rest]
+        bucket = key >> self.low
+        cuts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (t[1:] != t[:-1]), True]).tolist()
+        for x, y in pairwise(cuts):
+            if y - x > 1:
+                yield int(bucket[x]), int(t[x]), [key[x:y], *(c[x:y] for c in rest)]
+
+    def near(self, key: np.ndarray, fp: np.ndarray, radius: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The neighbours in a bucket."""
+        return neighbours(fp.view(np.uint64), key & ((1 << self.room) - 1), key >> self.room & ((1 << CHAR_BITS) - 1), radius, most)
+
 
-        return classes.mapInArrow(run, "bucket long, t long, keys binary, fps binary")
+def merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they have so many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            held.append(batch)
+        if (n := sum(b.num_rows for b in held)) and (batch is None or n >= most):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+            held = []
 
 
 def longs(laid: pa.BinaryArray) -> np.ndarray:
@@ -361,25 +425,14 @@ def neighbours(fp: np.ndarray, more: np.ndarray, chars: np.ndarray, radius: int,
 
 def forests(classes: DataFrame, radius: int, blocks: int, most: int, tile: int) -> DataFrame:
     """Edges (u, v) between fingerprints: of each bucket a spanning forest of its neighbours. Equal ones give u = v."""
-    spark = classes.sparkSession
     buckets = Buckets(radius, blocks)
-    low, room = buckets.low, buckets.room
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "65536")
-    count = classes.count()
-    classes = classes.select("a", "ax", "b", "bx", "chars")
-    # a line has two SimHashes at most, but only one in a bucket
-    large = buckets.large(classes, tile) if count > tile else (np.empty(0, np.int64),) * 2
-    # a task sorts its own rows, which numpy does faster, so there are tasks enough that each has few
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * len(buckets.pairs) * count // TASK_ROWS + 1)
-    dealt = buckets.dealt(classes, tile, large).repartition(tasks, "bucket", "t")
 
     def done(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
-        more, chars = key & ((1 << room) - 1), key >> room & ((1 << CHAR_BITS) - 1)
         same: list[np.ndarray] = []
 
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
             held: list[tuple[np.ndarray, np.ndarray]] = []
-            for found in chain(neighbours(fp.view(np.uint64), more, chars, radius, most), [None]):
+            for found in chain(buckets.near(key, fp, radius, most), [None]):
                 if found is not None:
                     held.append(found)
                 if held and (found is None or sum(len(i) for i, _ in held) > PAIRS_AT_ONCE):
@@ -397,22 +450,42 @@ def forests(classes: DataFrame, radius: int, blocks: int, most: int, tile: int)
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        n = np.concatenate([pc.binary_length(b.column("keys")).to_numpy() for b in held]) // 8
-        t = np.repeat(np.concatenate([b.column("t").to_numpy() for b in held]), n)
-        key, fp = (np.concatenate([longs(b.column(c)) for b in held]) for c in ("keys", "fps"))
-        held.clear()
-        order = np.lexsort((key, t)) if t.any() else np.argsort(key)
-        t, key, fp = t[order], key[order], fp[order]
-        bucket = key >> low
-        cuts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (t[1:] != t[:-1]), True]).tolist()
-        for x, y in pairwise(cuts):
-            if y - x > 1 and (out := done(key[x:y], fp[x:y])) is not None:
+        for _, _, (key, fp) in buckets.each(batches):
+            if (out := done(key, fp)) is not None:
                 yield out
 
-    return dealt.mapInArrow(run, "u long, v long")
+    return buckets.met(classes, tile).mapInArrow(run, "u long, v long")
+
+
+def cells(lines: DataFrame, radius: int, blocks: int, most: int, tile: int, part: int) -> DataFrame:
+    """lines (line, fp, more, chars), each with a place (root, t1, t2) for each pair of blocks of a bucket across which it has a
+    neighbour, and its own block (t): root, t1, t2, t, line, fp. A pair of neighbours is in the first bucket that both share."""
+    buckets = Buckets(radius, blocks)
+    none = F.lit(None).cast("long")
+    classes = lines.select(F.col("fp").alias("a"), F.col("more").alias("ax"), none.alias("b"), none.alias("bx"), "chars", "line")
+
+    def placed(bucket: int, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row, own block and both blocks of each place."""
+        n, size = len(key), -(-len(key) // part)
+        held: list[np.ndarray] = [np.empty(0, np.int64)]
+        for i, j in buckets.near(key, fp, radius, most):
+            new = buckets.first(bucket, (fp[i] ^ fp[j]).view(np.uint64))
+            i, j = i[new], j[new]
+            cell = (i // part * size + j // part) * n
+            held += [cell + i, cell + j]
+            if sum(map(len, held[1:])) > max(PAIRS_AT_ONCE, len(held[0])):
+                held = [np.unique(np.concatenate(held))]
+        cell, row = np.divmod(np.unique(np.concatenate(held)), n)
+        return row, row // part, cell // size, cell % size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, t, (key, fp, line) in buckets.each(batches, "line"):
+            row, *own = placed(bucket, key, fp)
+            if len(row):
+                own, t1, t2 = (t << 32 | x for x in own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), bucket)), *map(pa.array, (t1, t2, own, line[row], fp[row]))], ["root", "t1", "t2", "t", "line", "fp"])
+
+    return buckets.met(classes, tile, "line").mapInArrow(run, "root long, t1 long, t2 long, t long, line long, fp long")
 
 
 def within(a: str, b: str, most: int) -> bool:
@@ -545,22 +618,37 @@ def near_lines(given: DataFrame, classes: DataFrame, radius: int = RADIUS, more:
     kinds = [classes.where(F.col(fp).isNotNull()).select(F.col(fp).alias("fp"), F.col(x).alias("more"), "line", "chars", "first.__k1", "first.__k2", "first.no") for fp, x in (("a", "ax"), ("b", "bx"))]
     member = likely(kinds[0].unionByName(kinds[1]), "fp", roots, "node").join(roots.withColumnRenamed("node", "fp"), "fp")
     member = stash(member, "near-lines")
-    sizes = member.groupBy("root").agg(F.count("*").alias("m"))
-    sized = attach(member, stash(sizes, "part-sizes"), ["root"], "m").where("m > 1")
-    pieces = F.ceil(F.col("m") / part)
-    sized = sized.withColumn("t", F.pmod(F.xxhash64("line"), pieces))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda x: F.struct(F.least("t", x).alias("t1"), F.greatest("t", x).alias("t2")))
-    sized = sized.withColumn("pairs", pairs)
+    sizes = stash(member.groupBy("root").agg(F.count("*").alias("m")), "part-sizes")
     place = ["__k1", "__k2", "no"]
     docs = likely(given, "__k1", member, "__k1")
     texts = line_texts(docs).withColumn("__place", F.xxhash64(*place))
-    wanted = member.select(*place).distinct()
+    wanted = member.select(*place, "line").distinct()
     texts = likely(texts, "__place", wanted.select(F.xxhash64(*place).alias("__place")), "__place").drop("__place")
-    texts = stash(texts.join(wanted, place, "left_semi").dropDuplicates(place), "line-texts")
-    both = sized.join(texts, place).select("root", "line", "fp", "more", "chars", "norm", "t", F.explode("pairs").alias("x"))
-    links = stash(verified(both.select("*", "x.t1", "x.t2"), radius, more), "links")
+    texts = stash(texts.join(wanted, place).dropDuplicates(place).select("line", "norm"), "line-texts")
+    pieces = F.ceil(F.col("m") / part)
+    wide = sizes.where(pieces > PART_TILES)  # of them there are few
+    cut, few = [], None
+    if not wide.isEmpty():
+        big = member.join(F.broadcast(wide.select("root")), "root").select(F.col("root").alias("part"), "line", "fp", "more", "chars")
+        places = stash(cells(big, radius, blocks, more, tile, part), "cells")
+        cut = [places, stash(places.join(big, ["line", "fp"]), "part-cells")]
+        rows = cut[1].groupBy("part").agg(F.count("*").alias("n"))
+        few = stash(rows.join(wide, rows["part"] == wide["root"]).where(F.col("n") < F.col("m") * pieces).select("root"), "parts-in-cells")
+        cut.append(few)
+    sized = attach(member, sizes, ["root"], "m").where("m > 1")
+    if few is not None:
+        sized = sized.join(F.broadcast(few), "root", "left_anti")
+    sized = sized.withColumn("t", F.pmod(F.xxhash64("line"), pieces))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), pieces - 1), lambda x: F.struct(F.least("t", x).alias("t1"), F.greatest("t", x).alias("t2")))
+    cols = ["root", "t1", "t2", "t", "line", "fp", "more", "chars", "norm"]
+    placed = sized.withColumn("pairs", pairs).join(texts, "line").select("*", F.explode("pairs").alias("x")).select("*", "x.t1", "x.t2")
+    found = verified(placed.select(*cols), radius, more)
+    if few is not None:
+        placed = cut[1].join(F.broadcast(few.withColumnRenamed("root", "part")), "part", "left_semi").join(texts, "line")
+        found = found.unionByName(verified(placed.select(*cols), radius, more))
+    links = stash(found, "links")
     out = components(links, "u", "v")
-    unstash(edges, roots, member, texts, links)
+    unstash(edges, roots, member, sizes, texts, links, *cut)
     return out
 
 
@@ -573,9 +661,8 @@ def decided(classes: DataFrame, roots: DataFrame) -> DataFrame:
     return stash(joined.unionByName(alone), "line-groups")
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """__k1, __k2 and removed (sorted line numbers from 0) of each document that loses lines."""
-    given = prepared(docs, id_col, text_col)
+def grouped_lines(given: DataFrame, **how: int) -> tuple[DataFrame, DataFrame]:
+    """The lines, and decided() of their classes."""
     lines = stash(hashed_lines(given), "lines")
     first = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), "__k1", "__k2", "no")
     # equal lines have equal SimHashes and lengths
@@ -584,6 +671,15 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     classes = stash(classes.withColumn("line", F.monotonically_increasing_id()), "line-classes")
     found = decided(classes, near_lines(given, classes, **how))
     unstash(classes)
+    return lines, found
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+    """__k1, __k2 and removed (sorted line numbers from 0) of each document that loses lines."""
+    given = prepared(docs, id_col, text_col)
+    # a table's shuffle files go when it is written, not when the driver happens to collect its garbage
+    with setting(docs.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        lines, found = grouped_lines(given, **how)
     some = likely(lines.select("__k1", "__k2", "no", "h1", "h2"), "h1", found, "h1")
     hit = attach(some, found, ["h1", "h2"], "n")
     lost = hit.where((F.col("__k1") != F.col("first.__k1")) | (F.col("__k2") != F.col("first.__k2")) | (F.col("no") != F.col("first.no")))
