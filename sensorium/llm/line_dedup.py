@@ -380,6 +380,19 @@ def merged(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBa
             held = []
 
 
+def together(pairs: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Chunks of pairs put together until they are more than so many."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for found in chain(pairs, [None]):
+        if found is not None:
+            held.append(found)
+            n += len(found[0])
+        if held and (found is None or n > most):
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, n = [], 0
+
+
 def longs(laid: pa.BinaryArray) -> np.ndarray:
     """All the longs that the rows hold."""
     _, offsets, data = laid.buffers()
@@ -431,15 +444,9 @@ def forests(classes: DataFrame, radius: int, blocks: int, most: int, tile: int)
         same: list[np.ndarray] = []
 
         def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            held: list[tuple[np.ndarray, np.ndarray]] = []
-            for found in chain(buckets.near(key, fp, radius, most), [None]):
-                if found is not None:
-                    held.append(found)
-                if held and (found is None or sum(len(i) for i, _ in held) > PAIRS_AT_ONCE):
-                    i, j = (np.concatenate(x) for x in zip(*held, strict=True))
-                    same.append(np.unique(fp[i[fp[i] == fp[j]]]))
-                    yield i, j
-                    held = []
+            for i, j in together(buckets.near(key, fp, radius, most), PAIRS_AT_ONCE):
+                same.append(np.unique(fp[i[fp[i] == fp[j]]]))
+                yield i, j
 
         root = forest(len(fp), pairs())
         member = np.flatnonzero(root != np.arange(len(fp)))
@@ -468,7 +475,7 @@ def cells(lines: DataFrame, radius: int, blocks: int, most: int, tile: int, part
         """Row, own block and both blocks of each place."""
         n, size = len(key), -(-len(key) // part)
         held: list[np.ndarray] = [np.empty(0, np.int64)]
-        for i, j in buckets.near(key, fp, radius, most):
+        for i, j in together(buckets.near(key, fp, radius, most), PAIRS_AT_ONCE):
             new = buckets.first(bucket, (fp[i] ^ fp[j]).view(np.uint64))
             i, j = i[new], j[new]
             cell = (i // part * size + j // part) * n
